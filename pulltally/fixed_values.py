@@ -9,12 +9,14 @@ braces are filled from columns by ``functions.text.fill``.
 API_REPO_PREFIX = "https://api.github.com/repos/"
 UNKNOWN_AUTHOR = "unknown"
 
-# --- Fixed values: patterns an added diff line is tested against -----------
+# --- Fixed values: what an added diff line is searched for, in small letters
 
 ADDED_LINE_MARK = "+"
-TEST_PATTERN = r"test|[.]spec[.]"
-DOC_PATTERN = r"README|[.]md|/[*][*]|///|#[^\n\r\x{2028}\x{2029}]*(?:TODO|FIXME)"
-SECURITY_PATTERN = r"password|secret|token|api_key|private_key|auth"
+TEST_WORDS = ("test", ".spec.")
+DOC_WORDS = ("readme", ".md", "/**", "///")
+DOC_COMMENT_WORDS = ("todo", "fixme")
+DOC_COMMENT_PATTERN = r"#[^\n\r\x{2028}\x{2029}]*(?:todo|fixme)"
+SECURITY_WORDS = ("password", "secret", "token", "api_key", "private_key", "auth")
 
 # --- Fixed values: windows, sizes and thresholds ---------------------------
 

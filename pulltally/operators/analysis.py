@@ -64,14 +64,23 @@ def analysis_metrics(
         F.sum("m.test_additions").alias("total_test_additions"),
         F.sum("m.doc_additions").alias("total_doc_additions"),
         F.count_if(F.col("m.security_pattern_matches") > 0).alias("security_prs"),
-        F.sum(share(F.col("m.test_additions"), F.col("m.total_additions"))).alias("test_shares"),
-        F.sum(share(F.col("m.doc_additions"), F.col("m.total_additions"))).alias("doc_shares"),
+        _exact_sum(share(F.col("m.test_additions"), F.col("m.total_additions"))).alias("test_shares"),
+        _exact_sum(share(F.col("m.doc_additions"), F.col("m.total_additions"))).alias("doc_shares"),
     )
     if authors is not None:
         totals = authors.select(*keys).distinct().join(totals, list(keys), "left")
     return _with_ratios(totals.fillna(0, [*COUNTERS, "test_shares", "doc_shares"]), keys)
 
 
+def _exact_sum(ratio: Column) -> Column:
+    """A sum that does not depend on the order of rows.
+
+    Sums of doubles do, and so could flip a rule or a printed digit when a lost
+    executor's rows are computed again. Twelve decimals are added up exactly.
+    """
+    return F.sum(ratio.cast("decimal(28,12)")).cast("double")
+
+
 def _with_ratios(totals: DataFrame, keys: Sequence[str]) -> DataFrame:
     selected, measured = F.col("total_prs"), F.col("metric_prs")
     additions = F.col("total_additions")

@@ -12,14 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulltally import schema
-from pulltally.functions.diff_lines import (
-    LINE_PATTERNS,
-    count_added_lines,
-    is_added,
-    is_documentation,
-    is_security,
-    is_test,
-)
+from pulltally.functions.diff_lines import LINE_TESTS, added_lines, fold, is_added
 
 # Rows of keys that may be broadcast. A key is a repository name (at most 140
 # characters) and a number, so this stays under 50 MB.
@@ -31,18 +24,18 @@ def diff_line_counts(diffs: DataFrame, on: Sequence[str] = schema.PR_KEY) -> Dat
 
     A pull request without a diff has no counts, so null diffs give no row.
     """
-    counts = [count_added_lines(F.col("diff"), pattern).alias(name) for name, pattern in LINE_PATTERNS.items()]
-    return diffs.filter(F.col("diff").isNotNull()).select(*on, *counts)
+    # A column of its own, so that the three counts share one split.
+    rows = diffs.filter(F.col("diff").isNotNull()).select(*on, added_lines(F.col("diff")).alias("added"))
+    counts = [F.size(F.filter("added", test)).cast("bigint").alias(name) for name, test in LINE_TESTS.items()]
+    return rows.select(*on, *counts)
 
 
 def diff_line_counts_by_line(diff_lines: DataFrame, on: Sequence[str] = schema.PR_KEY) -> DataFrame:
     """The same counts from one row per line; for diffs that are read line by line."""
-    added = is_added(F.col("line"))
-    return diff_lines.groupBy(*on).agg(
-        F.count_if(added & is_test(F.col("line"))).alias("test_additions"),
-        F.count_if(added & is_documentation(F.col("line"))).alias("doc_additions"),
-        F.count_if(added & is_security(F.col("line"))).alias("security_pattern_matches"),
-    )
+    rows = diff_lines.select(*on, fold(F.col("line")).alias("line"))
+    line = F.col("line")
+    return rows.groupBy(*on).agg(
+        *[F.count_if(is_added(line) & test(line)).alias(name) for name, test in LINE_TESTS.items()])
 
 
 def with_details(prs: DataFrame, details: DataFrame, on: Sequence[str] = schema.PR_KEY) -> DataFrame:
@@ -71,14 +64,14 @@ def pr_metrics(
         diffs = diffs.join(F.broadcast(keys.distinct()), list(on), "left_semi")
     counted = diff_line_counts_by_line(diffs, on) if "line" in diffs.columns else diff_line_counts(diffs, on)
 
-    counts = _one_per_key(counted, on, list(LINE_PATTERNS))
+    counts = _one_per_key(counted, on, list(LINE_TESTS))
     sizes = _one_per_key(details, on, ["additions", "deletions", "changed_files"])
     both = sizes.join(counts, list(on))
     if keys is not None:
         both = both.join(keys, list(on), "left_semi")
     zero = F.lit(0).cast("bigint")
     return both.select(
-        *on, *LINE_PATTERNS,
+        *on, *LINE_TESTS,
         F.coalesce("additions", zero).alias("total_additions"),
         F.coalesce("deletions", zero).alias("total_deletions"),
         F.coalesce("changed_files", zero).alias("files_changed"),

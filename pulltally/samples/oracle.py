@@ -43,10 +43,15 @@ def _matching(pattern: str) -> str:
             f"starts_with(l, '+') AND regexp_matches(l, '(?i){pattern}')))")
 
 
+# The line tests as patterns, matched in any case.
+TEST_PATTERN = r"test|[.]spec[.]"
+DOC_PATTERN = r"README|[.]md|/[*][*]|///|#[^\n\r\x{2028}\x{2029}]*(?:TODO|FIXME)"
+SECURITY_PATTERN = r"password|secret|token|api_key|private_key|auth"
+
 COUNTS = f"""counts AS (
-  SELECT number, {_matching(fixed.TEST_PATTERN)} AS test_additions,
-         {_matching(fixed.DOC_PATTERN)} AS doc_additions,
-         {_matching(fixed.SECURITY_PATTERN)} AS security_pattern_matches
+  SELECT number, {_matching(TEST_PATTERN)} AS test_additions,
+         {_matching(DOC_PATTERN)} AS doc_additions,
+         {_matching(SECURITY_PATTERN)} AS security_pattern_matches
   FROM diffs)"""
 
 METRICS = """metrics AS (
@@ -73,8 +78,10 @@ sums AS (
          count(total_additions) AS metric_prs, sum(total_additions) AS total_additions,
          sum(total_deletions) AS total_deletions, sum(test_additions) AS total_test_additions,
          sum(doc_additions) AS total_doc_additions, count(*) FILTER (security_pattern_matches > 0) AS security_prs,
-         sum(CASE WHEN total_additions > 0 THEN test_additions / total_additions ELSE 0 END) AS test_shares,
-         sum(CASE WHEN total_additions > 0 THEN doc_additions / total_additions ELSE 0 END) AS doc_shares
+         CAST(sum(CAST(CASE WHEN total_additions > 0 THEN test_additions / total_additions ELSE 0 END
+                       AS DECIMAL(28, 12))) AS DOUBLE) AS test_shares,
+         CAST(sum(CAST(CASE WHEN total_additions > 0 THEN doc_additions / total_additions ELSE 0 END
+                       AS DECIMAL(28, 12))) AS DOUBLE) AS doc_shares
   FROM joined GROUP BY author),
 whole AS (
   SELECT author, {zeros}
@@ -102,7 +109,8 @@ def _rollup(authors: str = "selected") -> str:
 
 
 def _one(x: str) -> str:
-    return f"printf('%.1f', round({x}, 1))"
+    """One decimal. printf rounds exactly but ties to even; only quarters can be ties, and go up."""
+    return f"printf('%.1f', ({x}) + CASE WHEN ({x}) * 4 = floor(({x}) * 4) THEN 0.01::DOUBLE ELSE 0 END)"
 
 
 def _rate(part: str, whole: str) -> str:

@@ -57,8 +57,11 @@ def pr_diffs(spark: SparkSession, folder: str) -> DataFrame:
     Documents repeat over the orders in turn; one turn in 17 has no document, so
     these orders have no diff.
     """
-    documents = table(spark, folder, "documents")
+    documents = table(spark, folder, "documents").select("doc_id", "text")
     held = documents.select(F.count(F.lit(1))).scalar()
+    # Where both tables are large the join spreads documents like this anyway;
+    # a small documents file is one row group and would be one task's work.
+    documents = documents.repartition("doc_id")
     key = F.col("o_orderkey")
     orders = table(spark, folder, "orders").select(
         key.alias("number"), (key % (held + F.floor(held / 16))).alias("doc_id"))
@@ -68,8 +71,8 @@ def pr_diffs(spark: SparkSession, folder: str) -> DataFrame:
     body = F.transform(
         F.split("text", "\n", -1),
         lambda line, i: F.concat(F.when(i % 3 == 2, F.lit("-")).otherwise(F.lit("+")), line))
-    return orders.join(documents.select("doc_id", "text"), "doc_id").select(
-        "number", F.concat(F.lit("+++ b/"), path, F.lit("\n"), F.array_join(body, "\n")).alias("diff"))
+    diff = F.concat(F.lit("+++ b/"), path, F.lit("\n"), F.array_join(body, "\n"))
+    return orders.join(documents, "doc_id").select("number", F.coalesce(diff, F.lit("")).alias("diff"))
 
 
 def pr_diff_lines(spark: SparkSession, folder: str) -> DataFrame:
