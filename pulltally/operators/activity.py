@@ -71,11 +71,17 @@ def activity_summary(prs: DataFrame, as_of: Moment = None, keys: Sequence[str] =
     return _with_rates(prs.groupBy(*keys).agg(*counters))
 
 
+def activity_summaries(prs: DataFrame, as_of: Moment = None, keys: Sequence[str] = AUTHOR) -> DataFrame:
+    """Only the ``summary`` of ``activity_report``, for what does not need its lists."""
+    return activity_summary(prs, as_of, keys).select(*keys, _summary().alias("summary"))
+
+
 def repo_counts(prs: DataFrame, keys: Sequence[str] = AUTHOR) -> DataFrame:
     """Pull requests per repository, ranked by count, then latest activity, then name.
 
-    An author with very many repositories is ranked by buckets: of the count, then
-    of the last day. With P pull requests over D days there are at most sqrt(2PD) of these.
+    An author with very many repositories is ranked by buckets of count and last
+    day. With P pull requests over D days there are at most sqrt(2PD) of these, and
+    a bucket holds no more than the repositories the author worked on in one day.
     """
     counts = _repo_totals(prs, keys)
     return ranked(counts, keys, _busiest_first(), _busiest_levels(), "repo_rank")
@@ -91,7 +97,7 @@ def _busiest_first() -> list[Column]:
 
 
 def _busiest_levels() -> list[Level]:
-    return [Level(F.col("pr_count"), True), Level(F.to_date("last_created_at"), True)]
+    return [Level(F.struct("pr_count", F.to_date("last_created_at").alias("day")), True)]
 
 
 def top_repositories(prs: DataFrame, n: int = fixed.PROMPT_REPOSITORIES, keys: Sequence[str] = AUTHOR) -> DataFrame:
@@ -166,6 +172,11 @@ def activity_report(
     )
 
 
+def first_parts(activity: DataFrame) -> DataFrame:
+    """One row per author of an ``activity_report``; ``activity_summaries`` has no other."""
+    return activity.filter(F.col("part") == 0) if "part" in activity.columns else activity
+
+
 def _summary() -> Column:
     def window(days: int) -> Column:
         return F.struct(

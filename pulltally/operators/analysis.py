@@ -12,7 +12,7 @@ from pulltally import schema
 from pulltally.functions.moments import Moment, report_date
 from pulltally.functions.prs import pr_size, share
 from pulltally.functions.text import fill, fixed_one, percent, rate_number, rate_short
-from pulltally.operators.activity import AUTHOR
+from pulltally.operators.activity import AUTHOR, first_parts
 
 COUNTERS = (
     "total_prs", "merged_prs", "total_size", "large_prs", "metric_prs", "total_additions",
@@ -163,12 +163,12 @@ def analysis_result(
 ) -> DataFrame:
     """The analysis of each author: metrics, findings, recommendations and risks.
 
-    ``rollup`` comes from ``analysis_metrics``. ``activity`` (from
-    ``activity_report``) adds the trend findings behind the others.
+    ``rollup`` comes from ``analysis_metrics``. ``activity`` (an ``activity_report``
+    or ``activity_summaries``) adds the trend findings behind the others.
     """
     analyzed = analyze_patterns(rollup)
     if activity is not None:
-        summaries = activity.filter(F.col("part") == 0).select(*keys, "summary")
+        summaries = first_parts(activity).select(*keys, "summary")
         analyzed = (
             analyzed.join(summaries, list(keys), "left")
             .withColumn("findings", F.concat("findings", trend_findings(F.col("summary"))))

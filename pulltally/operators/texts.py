@@ -18,15 +18,17 @@ from pulltally.functions.text import (
     or_not_available,
     or_text,
 )
-from pulltally.operators.activity import AUTHOR
+from pulltally.operators.activity import AUTHOR, first_parts
 
 
-def _with_report(analysis: DataFrame, activity: DataFrame | None, keys: Sequence[str]) -> DataFrame:
-    """Analyses with their activity report in column ``report``, null where there is none."""
+def _with_report(
+    analysis: DataFrame, activity: DataFrame | None, columns: Sequence[str], keys: Sequence[str]
+) -> DataFrame:
+    """Analyses with ``columns`` of their activity report, null where there is none."""
     if activity is None:
-        return analysis.withColumn("report", F.lit(None).cast(schema.REPORT_PART))
-    report = F.struct("summary", "repositories", "monthly_activity").alias("report")
-    return analysis.join(activity.filter(F.col("part") == 0).select(*keys, report), list(keys), "left")
+        return analysis.withColumns(
+            {name: F.lit(None).cast(layout) for name, layout in schema.REPORT_COLUMNS.items() if name in columns})
+    return analysis.join(first_parts(activity).select(*keys, *columns), list(keys), "left")
 
 
 def insight_prompts(analysis: DataFrame, keys: Sequence[str] = AUTHOR) -> DataFrame:
@@ -50,16 +52,15 @@ def coaching_prompts(
     analysis: DataFrame, activity: DataFrame | None = None, as_of: Moment = None, keys: Sequence[str] = AUTHOR
 ) -> DataFrame:
     """The request for a coaching letter, in column ``prompt``."""
-    m, report = F.col("metrics"), F.col("report")
-    summary = report["summary"]
+    m, summary = F.col("metrics"), F.col("summary")
 
     def count(name: str) -> Column:
         return F.coalesce(summary[name], F.lit(0))
 
     def first(name: str, n: int, field: str) -> Column:
-        return lines(F.slice(report[name], 1, n), fixed.COUNT_LINE, name=field, count="count")
+        return lines(F.slice(name, 1, n), fixed.COUNT_LINE, name=field, count="count")
 
-    period = F.when(report.isNotNull(), F.lit(short_date(as_of))).otherwise(F.lit(fixed.NO_PERIOD))
+    period = F.when(summary.isNotNull(), F.lit(short_date(as_of))).otherwise(F.lit(fixed.NO_PERIOD))
     prompt = fill(
         fixed.COACHING_PROMPT,
         user=F.col(keys[0]),
@@ -79,7 +80,8 @@ def coaching_prompts(
         findings=F.array_join("findings", "\n"),
         risks=_risks(fixed.RISK_LINE),
     )
-    return _with_report(analysis, activity, keys).select(*keys, prompt.alias("prompt"))
+    report = _with_report(analysis, activity, ("summary", "repositories", "monthly_activity"), keys)
+    return report.select(*keys, prompt.alias("prompt"))
 
 
 def assessments(
@@ -89,9 +91,12 @@ def assessments(
     footer: str = fixed.REPORT_FOOTER,
     keys: Sequence[str] = AUTHOR,
 ) -> DataFrame:
-    """The assessment as Markdown, in column ``assessment``."""
+    """The assessment as Markdown, in column ``assessment``.
+
+    Of ``activity`` it needs the summaries only.
+    """
     m = F.col("metrics")
-    summary = F.col("report")["summary"]
+    summary = F.col("summary")
     periods = {"all": summary, "90": summary["last_90_days"], "30": summary["last_30_days"]}
     trend = {}
     for name, period in periods.items():
@@ -121,7 +126,7 @@ def assessments(
         footer=F.lit(footer),
         **trend,
     )
-    return _with_report(analysis, activity, keys).select(*keys, text.alias("assessment"))
+    return _with_report(analysis, activity, ("summary",), keys).select(*keys, text.alias("assessment"))
 
 
 def _risks(template: str) -> Column:

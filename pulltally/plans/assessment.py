@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from pulltally import fixed_values as fixed
 from pulltally.functions.moments import Moment, utc
-from pulltally.operators.activity import activity_report
+from pulltally.operators.activity import activity_report, first_parts
 from pulltally.operators.analysis import analysis_metrics, analysis_result
 from pulltally.operators.bundle import analysis_bundle
 from pulltally.operators.insights import merge_insights
@@ -94,12 +94,12 @@ def assess(
 ) -> Assessment:
     """Overview, selection, metrics and analysis of every author in ``prs``.
 
-    The selection and the metrics are written once to the shared folder: the
-    analysis, the texts and the bundles all read them, and the diffs are scanned
-    a single time.
+    The activity reports, the selection and the metrics are written once to the
+    shared folder: the analysis, the texts and the bundles all read them, and the
+    diffs are scanned a single time.
     """
     as_of = utc(as_of)
-    activity = activity_report(search(prs, config.username), as_of)
+    activity = materialize(activity_report(search(prs, config.username), as_of), "activity")
 
     candidates = search(prs, config.username, config.repo_filter)
     if config.language_filter:
@@ -112,7 +112,7 @@ def assess(
 
     metrics = materialize(
         pr_metrics(details, diffs, selected, broadcast_selected=few_rows(selected)), "metrics")
-    authors = activity.select("author")
+    authors = first_parts(activity).select("author")
     analysis = analysis_result(
         analysis_metrics(selected, metrics, authors), activity, config.review_focus, config.pr_selection, as_of)
     return Assessment(config, as_of, activity, selected, metrics, analysis, insight_prompts(analysis))

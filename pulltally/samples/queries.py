@@ -137,8 +137,12 @@ def _rollup(spark: SparkSession, sf: str) -> DataFrame:
     return analysis.analysis_metrics(selected, _metrics(spark, sf, selected), on=t.KEY)
 
 
-def _analysis(spark: SparkSession, sf: str) -> DataFrame:
-    return analysis.analysis_result(_rollup(spark, sf), _report(spark, sf), FOCUS, CRITERIA, t.AS_OF)
+def _summaries(spark: SparkSession, sf: str) -> DataFrame:
+    return activity.activity_summaries(t.pull_requests(spark, sf), t.AS_OF)
+
+
+def _analysis(spark: SparkSession, sf: str, report: DataFrame) -> DataFrame:
+    return analysis.analysis_result(_rollup(spark, sf), report, FOCUS, CRITERIA, t.AS_OF)
 
 
 def analysis_metrics(spark: SparkSession, sf: str) -> DataFrame:
@@ -170,13 +174,15 @@ def _listed(name: str) -> Query:
 
 
 def trend_findings(spark: SparkSession, sf: str) -> DataFrame:
-    found = analysis.trend_findings(F.col("summary"))
-    return _report(spark, sf).select("author", F.explode(found).alias("text"))
+    # The list is a column of its own before it is exploded: exploding an expression
+    # over struct fields directly loses all rows in Spark 4.1 (nested column pruning).
+    found = _summaries(spark, sf).withColumn("found", analysis.trend_findings(F.col("summary")))
+    return found.select("author", F.explode("found").alias("text"))
 
 
 def analysis_result(spark: SparkSession, sf: str) -> DataFrame:
     m = F.col("metrics")
-    return _analysis(spark, sf).select(
+    return _analysis(spark, sf, _summaries(spark, sf)).select(
         "author", "total_prs_analyzed", "review_focus", "selection_criteria", "analysis_date",
         *[m[name].alias(name) for name in (
             "total_additions", "total_deletions", "total_test_additions", "total_doc_additions")],
@@ -244,15 +250,17 @@ def language_filter(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def insight_prompt(spark: SparkSession, sf: str) -> DataFrame:
-    return texts.insight_prompts(_analysis(spark, sf))
+    return texts.insight_prompts(_analysis(spark, sf, _summaries(spark, sf)))
 
 
 def coaching_prompt(spark: SparkSession, sf: str) -> DataFrame:
-    return texts.coaching_prompts(_analysis(spark, sf), _report(spark, sf), t.AS_OF)
+    report = _report(spark, sf)
+    return texts.coaching_prompts(_analysis(spark, sf, report), report, t.AS_OF)
 
 
 def assessment_markdown(spark: SparkSession, sf: str) -> DataFrame:
-    return texts.assessments(_analysis(spark, sf), _report(spark, sf), t.AS_OF)
+    summaries = _summaries(spark, sf)
+    return texts.assessments(_analysis(spark, sf, summaries), summaries, t.AS_OF)
 
 
 def coaching_report(spark: SparkSession, sf: str) -> DataFrame:

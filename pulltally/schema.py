@@ -86,10 +86,11 @@ SUMMARY = (
 )
 
 # What the texts need of an activity report.
-REPORT_PART = (
-    f"STRUCT<summary: {SUMMARY}, repositories: ARRAY<STRUCT<repo: STRING, count: BIGINT>>, "
-    "monthly_activity: ARRAY<STRUCT<month: STRING, count: BIGINT>>>"
-)
+REPORT_COLUMNS = {
+    "summary": SUMMARY,
+    "repositories": "ARRAY<STRUCT<repo: STRING, count: BIGINT>>",
+    "monthly_activity": "ARRAY<STRUCT<month: STRING, count: BIGINT>>",
+}
 
 # The report document as it is stored, with the names its readers know.
 REPORT_DOCUMENT = (
