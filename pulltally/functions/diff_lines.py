@@ -17,8 +17,8 @@ from pulltally import fixed_values as fixed
 
 # The two characters outside ASCII whose small forms hold ASCII letters: the
 # Kelvin sign and the dotted capital I.
-FALSE_ASCII = ("K", "İ")
-NO_LETTER = "�"
+FALSE_ASCII = ("\u212a", "\u0130")
+NO_LETTER = "\ufffd"
 
 
 def fold(text: Column) -> Column:
