@@ -33,14 +33,13 @@ def analysis_metrics(
     Pull requests without metrics still count in totals, merge rate and average
     size. ``authors`` adds rows of zeros for authors with nothing selected.
     """
-    measured = metrics.select(*on, F.struct(*schema.METRIC_COLUMNS).alias("m"))
+    measures = ("total_additions", "total_deletions", "test_additions", "doc_additions", "security_pattern_matches")
+    measured = metrics.select(*on, F.lit(1).alias("measured"), *measures)
     own = {name: F.col(name) if name in selected.columns else F.lit(None).cast("bigint")
            for name in ("additions", "deletions")}
     rows = selected.select(
-        *dict.fromkeys([*keys, *on]), "state",
-        own["additions"].alias("own_additions"), own["deletions"].alias("own_deletions"))
-    size = F.when(F.col("m").isNotNull(), F.col("m.total_additions") + F.col("m.total_deletions")).otherwise(
-        pr_size(F.col("own_additions"), F.col("own_deletions")))
+        *dict.fromkeys([*keys, *on]), "state", pr_size(own["additions"], own["deletions"]).alias("own_size"))
+    size = F.coalesce(F.col("total_additions") + F.col("total_deletions"), F.col("own_size"))
 
     # First per pull request: partitioned by the join's keys, so without a
     # shuffle, and a repeated selection row cannot count its metrics twice.
@@ -53,19 +52,19 @@ def analysis_metrics(
             F.count_if(F.col("state") == "MERGED").alias("merged_prs"),
             F.sum("size").alias("total_size"),
             F.count_if(F.col("size") > fixed.LARGE_PR_CHANGES).alias("large_prs"),
-            F.max("m").alias("m"),
+            *[F.max(name).alias(name) for name in ("measured", *measures)],
         )
     )
     totals = per_pr.groupBy(*keys).agg(
         *[F.sum(name).alias(name) for name in ("total_prs", "merged_prs", "total_size", "large_prs")],
-        F.count("m").alias("metric_prs"),
-        F.sum("m.total_additions").alias("total_additions"),
-        F.sum("m.total_deletions").alias("total_deletions"),
-        F.sum("m.test_additions").alias("total_test_additions"),
-        F.sum("m.doc_additions").alias("total_doc_additions"),
-        F.count_if(F.col("m.security_pattern_matches") > 0).alias("security_prs"),
-        _exact_sum(share(F.col("m.test_additions"), F.col("m.total_additions"))).alias("test_shares"),
-        _exact_sum(share(F.col("m.doc_additions"), F.col("m.total_additions"))).alias("doc_shares"),
+        F.count("measured").alias("metric_prs"),
+        F.sum("total_additions").alias("total_additions"),
+        F.sum("total_deletions").alias("total_deletions"),
+        F.sum("test_additions").alias("total_test_additions"),
+        F.sum("doc_additions").alias("total_doc_additions"),
+        F.count_if(F.col("security_pattern_matches") > 0).alias("security_prs"),
+        _exact_sum(share(F.col("test_additions"), F.col("total_additions"))).alias("test_shares"),
+        _exact_sum(share(F.col("doc_additions"), F.col("total_additions"))).alias("doc_shares"),
     )
     if authors is not None:
         totals = authors.select(*keys).distinct().join(totals, list(keys), "left")

@@ -84,6 +84,10 @@ def few_rows(df: DataFrame, most: int = BROADCAST_KEYS) -> bool:
 
 
 def _one_per_key(df: DataFrame, on: Sequence[str], values: list[str]) -> DataFrame:
-    """One row per key. Copies of a record are combined map-side; of differing ones the greatest stays."""
-    record = F.max(F.struct(*values)).alias("record")
-    return df.groupBy(*on).agg(record).select(*on, "record.*")
+    """One record per key. Copies are combined map-side; of differing ones the same stays on every run.
+
+    The record with the highest hash stays. Numbers instead of a struct of them
+    keep this a hash aggregation, which does not sort.
+    """
+    hashed = df.withColumn("_order", F.xxhash64(*values))
+    return hashed.groupBy(*on).agg(*[F.max_by(name, "_order").alias(name) for name in values])

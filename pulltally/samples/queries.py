@@ -133,8 +133,8 @@ def _selected(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _rollup(spark: SparkSession, sf: str) -> DataFrame:
-    selected = _selected(spark, sf)
-    return analysis.analysis_metrics(selected, _metrics(spark, sf, selected), on=t.KEY)
+    # No selection for the metrics: the roll-up joins them to the selection anyway.
+    return analysis.analysis_metrics(_selected(spark, sf), _metrics(spark, sf), on=t.KEY)
 
 
 def _summaries(spark: SparkSession, sf: str) -> DataFrame:
@@ -157,7 +157,7 @@ def recent_analysis_metrics(spark: SparkSession, sf: str) -> DataFrame:
     prs = t.pull_requests(spark, sf)
     selected = select_prs(prs, "last-90-days", t.AS_OF)
     rollup = analysis.analysis_metrics(
-        selected, _metrics(spark, sf, selected), authors=prs.select("author"), on=t.KEY)
+        selected, _metrics(spark, sf), authors=prs.select("author"), on=t.KEY)
     return rollup.select(
         "author", "total_prs", "metric_prs", "total_size", "security_prs",
         *_rounded("merge_rate", "average_pr_size", "average_doc_ratio"))
@@ -196,7 +196,7 @@ def analysis_result(spark: SparkSession, sf: str) -> DataFrame:
 def analysis_bundles(spark: SparkSession, sf: str) -> DataFrame:
     """Bundles in parts of 3 pull requests, so that most authors have several."""
     selected = select_prs(t.pull_requests(spark, sf), "open", t.AS_OF)
-    measured = _metrics(spark, sf, selected)
+    measured = _metrics(spark, sf)
     rollup = analysis.analysis_metrics(
         selected, measured, authors=t.pull_requests(spark, sf).select("author"), on=t.KEY)
     result = analysis.analysis_result(rollup, None, FOCUS, "open", t.AS_OF)

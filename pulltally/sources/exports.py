@@ -75,7 +75,7 @@ def prs_from_cli_records(records: DataFrame, status: DataFrame) -> DataFrame:
         "number", "state", "title", "body",
         utc_timestamp(F.col("createdAt")).alias("created_at"),
         utc_timestamp(F.col("closedAt")).alias("closed_at"),
-        F.col("author.login").alias("author"),
+        author_or_unknown(F.col("author.login")).alias("author"),
         label_names(F.col("labels")).alias("labels"),
         "url",
     )
