@@ -237,11 +237,11 @@ def api_pr_details(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def pr_files(spark: SparkSession, sf: str) -> DataFrame:
-    return exports.files_from_lists(t.pr_files(spark, sf)).drop("repo")
+    return exports.files_from_lists(t.file_lists(spark, sf)).drop("repo")
 
 
 def language_filter(spark: SparkSession, sf: str) -> DataFrame:
-    files = exports.files_from_lists(t.pr_files(spark, sf))
+    files = t.pr_files(spark, sf)
     prs = languages.language_filter(t.pull_requests(spark, sf), files, "TypeScript, python", on=t.KEY)
     return prs.select(*SELECTED)
 

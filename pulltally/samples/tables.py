@@ -79,24 +79,38 @@ def pr_diff_lines(spark: SparkSession, folder: str) -> DataFrame:
     return pr_diffs(spark, folder).select("number", F.explode(F.split("diff", "\n", -1)).alias("line"))
 
 
-def pr_files(spark: SparkSession, folder: str) -> DataFrame:
-    """The changed files, out of the JSON lists an export holds (both naming styles)."""
+def _changed_file() -> dict[str, Column]:
+    """One changed file per line item."""
     part = F.col("l_partkey")
     ending = F.when(part % 3 == 0, ".ts").when(part % 3 == 1, ".py").otherwise(".go")
-    path = F.concat(F.lit("src/f"), part, ending)
     returned = F.col("l_returnflag") == "R"
     changed = F.col("l_quantity").cast("bigint")
-    change = F.when(F.col("l_linestatus") == "O", "modified").otherwise("added")
+    return {
+        "path": F.concat(F.lit("src/f"), part, ending),
+        "additions": F.when(returned, F.lit(0)).otherwise(changed),
+        "deletions": F.when(returned, changed).otherwise(F.lit(0)),
+        "change_type": F.when(F.col("l_linestatus") == "O", "modified").otherwise("added"),
+    }
+
+
+def pr_files(spark: SparkSession, folder: str) -> DataFrame:
+    columns = [column.alias(name) for name, column in _changed_file().items()]
+    return table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("number"), *columns)
+
+
+def file_lists(spark: SparkSession, folder: str) -> DataFrame:
+    """The same files as an export holds them: JSON lists, in both naming styles."""
+    file = _changed_file()
     api_named = F.col("l_linenumber") % 2 == 0
-    file = F.struct(
-        F.when(~api_named, path).alias("path"),
-        F.when(api_named, path).alias("filename"),
-        F.when(returned, F.lit(0)).otherwise(changed).alias("additions"),
-        F.when(returned, changed).otherwise(F.lit(0)).alias("deletions"),
-        F.when(~api_named, change).alias("changeType"),
-        F.when(api_named, change).alias("status"))
+    entry = F.struct(
+        F.when(~api_named, file["path"]).alias("path"),
+        F.when(api_named, file["path"]).alias("filename"),
+        file["additions"].alias("additions"),
+        file["deletions"].alias("deletions"),
+        F.when(~api_named, file["change_type"]).alias("changeType"),
+        F.when(api_named, file["change_type"]).alias("status"))
     record = F.to_json(F.struct(
-        F.lit("org/repo").alias("repo"), F.col("l_orderkey").alias("number"), F.array(file).alias("files")))
+        F.lit("org/repo").alias("repo"), F.col("l_orderkey").alias("number"), F.array(entry).alias("files")))
     return _parsed(table(spark, folder, "lineitem").select(record.alias("json")), schema.RAW_FILES)
 
 
