@@ -115,7 +115,8 @@ def monthly_counts(prs: DataFrame, keys: Sequence[str] = AUTHOR) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("pr_count"))
     )
     # As many rows per author as there are months, however many pull requests.
-    return numbered(counts, keys, [F.col("month").desc()], "month_rank")
+    ranks = numbered(counts, keys, [F.col("month").desc()], "month_rank")
+    return ranks.withColumn("month_rank", F.col("month_rank").cast("bigint"))
 
 
 def latest_months(prs: DataFrame, n: int = fixed.PROMPT_MONTHS, keys: Sequence[str] = AUTHOR) -> DataFrame:

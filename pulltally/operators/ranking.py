@@ -34,8 +34,9 @@ class Level:
 
 def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, rank: str) -> DataFrame:
     """The first ``n`` rows per group with their rank; for ``n`` up to ``SMALL_N``."""
-    window = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= n)
+    first = numbered(df, keys, order, rank).filter(F.col(rank) <= n)
+    # Ranks are BIGINT everywhere; cast behind the filter, which is what prunes.
+    return first.withColumn(rank, F.col(rank).cast("bigint"))
 
 
 def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[Column], rank: str) -> DataFrame:

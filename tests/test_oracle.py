@@ -17,10 +17,14 @@ TABLES = "orders lineitem documents".split()
 
 def normal(value):
     if isinstance(value, float):
-        return None if math.isnan(value) else round(value, 5)
+        return None if math.isnan(value) else value
     return value
 
 
+SAME_TYPE = {"BIGINT": "bigint", "VARCHAR": "string", "INTEGER": "int", "DOUBLE": "double",
+             "TIMESTAMP": "timestamp_ntz", "BOOLEAN": "boolean"}
+
+
 @pytest.fixture(scope="module")
 def duck():
     connection = duckdb.connect()
@@ -41,6 +45,8 @@ def test_matches_sql(spark, duck, name):
     cursor = duck.execute(driver.oracle_sql()[name])
     names = [d[0] for d in cursor.description]
     assert sorted(names) == columns
+    types = dict(result.dtypes)
+    assert {d[0]: SAME_TYPE[str(d[1])] for d in cursor.description} == types
     order = [names.index(c) for c in columns]
     expected = Counter(tuple(normal(row[i]) for i in order) for row in cursor.fetchall())
     assert sum(expected.values()) > 0
