@@ -34,8 +34,8 @@ def newest_first() -> list[Column]:
 
 
 def newest_levels() -> list[Level]:
-    """Buckets for ``newest_first``: the day, then the moment."""
-    return [Level(F.to_date("created_at"), True), Level(F.col("created_at"), True)]
+    """Buckets for ``newest_first``: days. What one account can open in a day is limited."""
+    return [Level(F.to_date("created_at"), True)]
 
 
 def _counters(prs: DataFrame, as_of: Moment) -> dict[str, Column]:

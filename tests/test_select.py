@@ -127,4 +127,4 @@ def test_hot_groups_are_never_one_window(hot):
     """Rows are numbered within buckets only, never over a whole author."""
     plan = select_prs(hot, "last -10", AS_OF)._jdf.queryExecution().optimizedPlan().toString()
     row_numbers = [line for line in plan.splitlines() if "row_number()" in line and "Window [" in line]
-    assert row_numbers and all("_b0" in line and "_b1" in line for line in row_numbers)
+    assert row_numbers and all("_b0" in line for line in row_numbers)
