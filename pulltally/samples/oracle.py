@@ -300,6 +300,22 @@ JOIN (SELECT author, string_agg(concat_ws(':', month, pr_count), ' ' ORDER BY mo
       FROM months GROUP BY author) USING (author)
 JOIN (SELECT author, string_agg(concat_ws(':', repo, number, title, state), ' ' ORDER BY recent_rank) AS recent_prs
       FROM recent GROUP BY author) USING (author)"""),
+    "bundle_documents": _with(PRS, DETAILS, DIFFS, COUNTS, METRICS, f"""placed AS (
+  SELECT *, row_number() OVER (PARTITION BY author ORDER BY {NEWEST}) AS place FROM prs QUALIFY place <= 10)""", select="""
+SELECT author AS user, CAST(0 AS BIGINT) AS part, 'last 10' AS selection,
+       string_agg(concat(repo, '#', number, '@', strftime(created_at, '%Y-%m-%dT%H:%M:%SZ')), ' ' ORDER BY place) AS selected,
+       count(total_additions) AS measured, CAST(coalesce(sum(test_additions), 0) AS BIGINT) AS test_lines,
+       count(*) AS total_prs, CAST(coalesce(sum(total_additions), 0) AS BIGINT) AS additions
+FROM placed LEFT JOIN metrics USING (number) GROUP BY author"""),
+    "pr_fields": _with(PRS, DETAILS, _SIZED, select=f"""
+SELECT number, 'org' AS owner, substr(repo, 5) AS name, concat(repo, '#', number) AS key,
+       strftime(created_at, '%Y-%m') AS month, coalesce(additions, 0) + coalesce(deletions, 0) AS size,
+       {_one('CASE WHEN additions > 0 THEN deletions / additions * 100 ELSE 0 END')} AS deleted_percent
+FROM sized"""),
+    "cli_pr_details": _with(PRS, DETAILS, select="""
+SELECT repo, number, title AS body, additions, deletions, changed_files, author, author AS assignee,
+       'feature' AS head_ref_name, state = 'OPEN' AS is_draft
+FROM prs JOIN details USING (number)"""),
     "search_author_repo": _with(PRS, select="SELECT * FROM prs WHERE author = 'user-1' AND repo = 'org/repo-1'"),
     "search_newest": _with(PRS, select=f"SELECT * FROM prs ORDER BY {NEWEST} LIMIT 100"),
     "select_last_n": _select("QUALIFY selection_rank <= 3", _RANKED),
@@ -416,3 +432,5 @@ SELECT author, content, CASE right(author, 1) WHEN '7' THEN 'no recommendations'
 FROM (SELECT DISTINCT author FROM prs) LEFT JOIN responses USING (author)
 WHERE right(author, 1) IN ('7', '8', '9')"""),
 }
+
+ORACLE["stored_activity_report"] = ORACLE["activity_report"]

@@ -7,11 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pulltally import schema
+from pulltally.functions import prs as pr
+from pulltally.functions import text
 from pulltally.operators import activity, analysis, insights, languages, metrics, texts
 from pulltally.operators.bundle import analysis_bundle
 from pulltally.operators.select import search, select_prs
+from pulltally.plans.assessment import AssessmentConfig
 from pulltally.samples import tables as t
+from pulltally.sinks import writers
 from pulltally.sources import exports
+from pulltally.sources.reports import report_from_document
 
 FOCUS = "test coverage, security"
 CRITERIA = "last 10"
@@ -63,13 +69,13 @@ def _report(spark: SparkSession, sf: str) -> DataFrame:
     return activity.activity_report(t.pull_requests(spark, sf), t.AS_OF)
 
 
-def activity_report(spark: SparkSession, sf: str) -> DataFrame:
+def _flat_report(report: DataFrame) -> DataFrame:
     def listing(name: str, *fields: str) -> Column:
         line = F.transform(name, lambda x: F.concat_ws(":", *[x[f].cast("string") for f in fields]))
         return F.array_join(line, " ").alias(name)
 
     s = F.col("summary")
-    return _report(spark, sf).select(
+    return report.select(
         "author", "part", "generated_at",
         *[s[name].alias(name) for name in ("total_prs", "open_prs", "closed_prs", "merged_prs", "merge_rate")],
         *[s[f"last_{days}_days"][name].alias(f"{name}_{days}d")
@@ -79,6 +85,18 @@ def activity_report(spark: SparkSession, sf: str) -> DataFrame:
         listing("recent_prs", "repo", "number", "title", "state"))
 
 
+def activity_report(spark: SparkSession, sf: str) -> DataFrame:
+    return _flat_report(_report(spark, sf))
+
+
+def stored_activity_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Reports made into the stored JSON documents and read back."""
+    document = writers.report_document(_report(spark, sf))
+    stored = document.select(F.to_json(F.struct("*")).alias("json"))
+    parsed = stored.select(F.from_json("json", schema.REPORT_DOCUMENT).alias("report")).select("report.*")
+    return _flat_report(report_from_document(parsed))
+
+
 # Selection ------------------------------------------------------------------
 
 
@@ -210,9 +228,39 @@ def analysis_bundles(spark: SparkSession, sf: str) -> DataFrame:
         F.col("report.total_prs_analyzed").alias("total_prs_analyzed"))
 
 
+def bundle_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Bundles under their stored names."""
+    selected, measured = _selected(spark, sf), _metrics(spark, sf)
+    result = analysis.analysis_result(
+        analysis.analysis_metrics(selected, measured, on=t.KEY), None, FOCUS, CRITERIA, t.AS_OF)
+    config = AssessmentConfig(FOCUS, CRITERIA).as_column()
+    document = writers.bundle_document(analysis_bundle(result, selected, measured, config, on=t.KEY))
+    names = F.transform("selectedPRs", lambda p: F.concat(
+        p["repository"]["nameWithOwner"], F.lit("#"), p["number"], F.lit("@"), p["createdAt"]))
+    tested = F.aggregate(F.map_values("metrics"), F.lit(0).cast("bigint"), lambda n, m: n + m["testAdditions"])
+    return document.select(
+        "user", "part", F.col("config.prSelection").alias("selection"), F.array_join(names, " ").alias("selected"),
+        F.size("metrics").cast("bigint").alias("measured"), tested.alias("test_lines"),
+        F.col("report.totalPRsAnalyzed").alias("total_prs"),
+        F.col("report.metrics.totalAdditions").alias("additions"))
+
+
 # Sources --------------------------------------------------------------------
 
 
+def pr_fields(spark: SparkSession, sf: str) -> DataFrame:
+    """The expressions over one pull request."""
+    prs = metrics.with_details(t.pull_requests(spark, sf), t.pr_details(spark, sf), on=t.KEY)
+    return prs.select(
+        "number",
+        pr.repo_owner(F.col("repo")).alias("owner"),
+        pr.repo_name(F.col("repo")).alias("name"),
+        pr.pr_key(F.col("repo"), F.col("number")).alias("key"),
+        pr.month_key(F.col("created_at")).alias("month"),
+        pr.pr_size(F.col("additions"), F.col("deletions")).alias("size"),
+        text.fixed_one(pr.share(F.col("deletions"), F.col("additions")) * 100).alias("deleted_percent"))
+
+
 def api_pull_requests(spark: SparkSession, sf: str) -> DataFrame:
     prs = exports.prs_from_api_items(t.api_items(spark, sf))
     return prs.withColumn("labels", F.array_join("labels.name", ",")).withColumns(
@@ -236,6 +284,12 @@ def api_pr_details(spark: SparkSession, sf: str) -> DataFrame:
         "head_ref_name", "base_ref_name", "is_draft")
 
 
+def cli_pr_details(spark: SparkSession, sf: str) -> DataFrame:
+    return exports.details_from_cli(t.cli_details(spark, sf)).select(
+        "repo", "number", "body", "additions", "deletions", "changed_files", "author",
+        F.col("assignees")[0]["login"].alias("assignee"), "head_ref_name", "is_draft")
+
+
 def pr_files(spark: SparkSession, sf: str) -> DataFrame:
     return exports.files_from_lists(t.file_lists(spark, sf)).drop("repo")
 
@@ -293,6 +347,7 @@ QUERIES: dict[str, Query] = {
     "latest_months": latest_months,
     "recent_prs": recent_prs,
     "activity_report": activity_report,
+    "stored_activity_report": stored_activity_report,
     "search_author_repo": search_author_repo,
     "search_newest": search_newest,
     "select_last_n": _selection("last 3"),
@@ -318,10 +373,13 @@ QUERIES: dict[str, Query] = {
     "trend_findings": trend_findings,
     "analysis_result": analysis_result,
     "analysis_bundles": analysis_bundles,
+    "bundle_documents": bundle_documents,
+    "pr_fields": pr_fields,
     "api_pull_requests": api_pull_requests,
     "api_pull_requests_only": api_pull_requests_only,
     "merge_status_enrich": merge_status_enrich,
     "api_pr_details": api_pr_details,
+    "cli_pr_details": cli_pr_details,
     "pr_files": pr_files,
     "language_filter": language_filter,
     "insight_prompt": insight_prompt,

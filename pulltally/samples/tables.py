@@ -169,6 +169,21 @@ def api_details(spark: SparkSession, folder: str) -> DataFrame:
     return _parsed(joined.select(payload.alias("json")), schema.RAW_API_DETAIL)
 
 
+def cli_details(spark: SparkSession, folder: str) -> DataFrame:
+    joined = pull_requests(spark, folder).join(pr_details(spark, folder), "number")
+    payload = F.to_json(F.struct(
+        F.concat(F.lit("https://github.com/"), "repo", F.lit("/pull/"), "number").alias("url"),
+        F.col("title").alias("body"),
+        "additions", "deletions",
+        F.col("changed_files").alias("changedFiles"),
+        F.struct(F.col("author").alias("login")).alias("author"),
+        F.array(F.struct(F.col("author").alias("login"))).alias("assignees"),
+        F.lit("feature").alias("headRefName"),
+        F.lit("main").alias("baseRefName"),
+        (F.col("state") == "OPEN").alias("isDraft")))
+    return _parsed(joined.select(payload.alias("json")), schema.RAW_CLI_DETAIL)
+
+
 def responses(prs: DataFrame) -> DataFrame:
     """An answer per author: plain JSON, fenced JSON, JSON without recommendations, or no JSON, by last digit."""
     last = F.substring("author", -1, 1)

@@ -25,7 +25,7 @@ BY_DATE, PER_USER = "by_date", "per_user"
 def write_activity_reports(
     activity: DataFrame, path: str, as_of: Moment = None, layout: str = BY_DATE, files: int | None = None
 ) -> None:
-    document = _report_document(activity).withColumn("date", F.lit(report_date(as_of)))
+    document = report_document(activity).withColumn("date", F.lit(report_date(as_of)))
     _write(document, path, ["date"], layout, files, "json")
 
 
@@ -47,7 +47,7 @@ def write_coaching(
 def write_bundles(
     bundles: DataFrame, path: str, as_of: Moment = None, layout: str = BY_DATE, files: int | None = None
 ) -> None:
-    document = _bundle_document(bundles)
+    document = bundle_document(bundles)
     _write(_placed(document, as_of), path, ["date", "run"], layout, files, "json")
 
 
@@ -84,7 +84,7 @@ def _iso(moment: Column) -> Column:
     return F.date_format(moment, ISO_SECONDS)
 
 
-def _report_document(activity: DataFrame) -> DataFrame:
+def report_document(activity: DataFrame) -> DataFrame:
     """Reports under the names their readers know."""
     s = F.col("summary")
 
@@ -106,7 +106,8 @@ def _report_document(activity: DataFrame) -> DataFrame:
         F.col("monthly_activity").alias("monthlyActivity"), recent.alias("recentPRs"))
 
 
-def _bundle_document(bundles: DataFrame) -> DataFrame:
+def bundle_document(bundles: DataFrame) -> DataFrame:
+    """Bundles under the names their readers know."""
     r, m = F.col("report"), F.col("report")["metrics"]
     report = F.struct(
         r["total_prs_analyzed"].alias("totalPRsAnalyzed"), r["review_focus"].alias("reviewFocus"),
