@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pulltally import schema
 from pulltally.functions.prs import pr_key
 from pulltally.operators.activity import AUTHOR, newest_first, newest_levels
-from pulltally.operators.ranking import PART_ROWS, gather_parts, ranked
+from pulltally.operators.ranking import WIDE_PART_ROWS, gather_parts, ranked
 from pulltally.operators.select import RANK
 
 # Selection columns a bundle shows when the selection has them.
@@ -25,7 +25,7 @@ def analysis_bundle(
     config: Column,
     keys: Sequence[str] = AUTHOR,
     on: Sequence[str] = schema.PR_KEY,
-    part_rows: int = PART_ROWS,
+    part_rows: int = WIDE_PART_ROWS,
 ) -> DataFrame:
     """``config``, ``selected_prs``, ``metrics`` (by ``owner/repo#number``) and ``report`` per author.
 

@@ -21,7 +21,9 @@ from pyspark.sql import functions as F
 SMALL_N = 1000
 
 # Most rows that are gathered into one array; larger groups go on in further parts.
+# Pull requests with their texts are wide, names with counts are not.
 PART_ROWS = 10_000
+WIDE_PART_ROWS = 1_000
 
 
 @dataclass(frozen=True)

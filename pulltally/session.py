@@ -26,11 +26,18 @@ def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a temporary folder only where none is set."""
-    folder = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getConf().get(CHECKPOINT_DIR)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="pulltally-")
-        spark.conf.set(CHECKPOINT_DIR, folder)
+    """The cluster's ``spark.checkpoint.dir``.
+
+    Where none is set, a local session (tests) gets a temporary folder; on a
+    cluster that would be one machine's own disk, so there it is an error.
+    """
+    folder = spark.conf.get(CHECKPOINT_DIR, None)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"set {CHECKPOINT_DIR} to a folder that all machines share")
+    folder = tempfile.mkdtemp(prefix="pulltally-")
+    spark.conf.set(CHECKPOINT_DIR, folder)
     return folder
 
 

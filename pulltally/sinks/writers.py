@@ -67,8 +67,9 @@ def _write(
     df: DataFrame, path: str, folders: list[str], layout: str, files: int | None, form: str
 ) -> None:
     if layout == PER_USER:
-        # All of a user's rows in one task: one file per user and folder.
-        df = df.repartition("user") if files is None else df.repartition(files, "user")
+        # One file per user and folder; the parts of a large record spread over tasks.
+        keys = [name for name in ("user", "part") if name in df.columns]
+        df = df.repartition(*keys) if files is None else df.repartition(files, *keys)
         folders = ["user", *folders]
     elif files is not None:
         df = df.repartition(files, "user")

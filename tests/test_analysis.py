@@ -1,7 +1,5 @@
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from pulltally.operators import analysis, insights, texts
 from tests.data import metrics, pull_requests
 
