@@ -132,6 +132,24 @@ def test_materialize(spark):
     assert shared_folder(spark) in df.inputFiles()[0]
 
 
+class Unset:
+    """A session without the setting, on the given master."""
+
+    def __init__(self, master):
+        self.sparkContext = self.conf = self
+        self.master = master
+
+    def get(self, name, default=None):
+        return default
+
+
+def test_shared_folder_where_none_is_set():
+    made = shared_folder(Unset("local[4]"))
+    assert os.path.isdir(made) and shared_folder(Unset("local[4]")) == made
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(Unset("yarn"))
+
+
 @pytest.fixture(scope="module")
 def tables(spark):
     prs = spark.createDataFrame(
