@@ -1,7 +1,8 @@
 """Activity of each author: state counts, windows, repositories, months, newest pull requests.
 
 Every operator takes ``keys``, the columns that make a group; ``("author",)`` is
-the usual one. Pull requests need ``repo``, ``number``, ``state``, ``created_at``.
+the usual one; they must not be null (the sources name missing authors). Pull
+requests need ``repo``, ``number``, ``state``, ``created_at``.
 """
 
 from __future__ import annotations
@@ -34,8 +35,15 @@ def newest_first() -> list[Column]:
 
 
 def newest_levels() -> list[Level]:
-    """Buckets for ``newest_first``: days. What one account can open in a day is limited."""
-    return [Level(F.to_date("created_at"), True)]
+    """Buckets for ``newest_first``: days. What one account can open in a day is limited.
+
+    Pull requests without a readable time come last, in a bucket of their own.
+    """
+    return [Level(_day("created_at"), True)]
+
+
+def _day(moment: str) -> Column:
+    return F.coalesce(F.to_date(moment), F.lit("0001-01-01").cast("date"))
 
 
 def _counters(prs: DataFrame, as_of: Moment) -> dict[str, Column]:
@@ -97,7 +105,7 @@ def _busiest_first() -> list[Column]:
 
 
 def _busiest_levels() -> list[Level]:
-    return [Level(F.struct("pr_count", F.to_date("last_created_at").alias("day")), True)]
+    return [Level(F.struct("pr_count", _day("last_created_at").alias("day")), True)]
 
 
 def top_repositories(prs: DataFrame, n: int = fixed.PROMPT_REPOSITORIES, keys: Sequence[str] = AUTHOR) -> DataFrame:

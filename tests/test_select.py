@@ -55,6 +55,14 @@ def test_window_includes_its_edge(spark):
     assert numbers(select_prs(prs, "last-week", AS_OF)) == [1]
 
 
+def test_unreadable_times_come_last_and_stay(spark):
+    prs = pull_requests(spark, [(n, "OPEN", "2025-01-09T10:00:00", 1, 1) for n in (1, 2, 3)])
+    broken = prs.withColumn("created_at", F.when(F.col("number") != 2, F.col("created_at")))
+    assert numbers(select_prs(broken, "last 3", AS_OF)) == [1, 3, 2]
+    assert numbers(select_prs(broken, "last 3000", AS_OF)) == [1, 3, 2]
+    assert numbers(select_prs(broken, "last -1", AS_OF)) == [1, 3]
+
+
 def test_no_size_no_candidate(spark):
     prs = pull_requests(spark, [
         (1, "OPEN", "2025-01-09T10:00:00", None, 900), (2, "OPEN", "2025-01-09T10:00:00", 5, None),
