@@ -150,7 +150,10 @@ def read_diffs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_diff_lines(spark: SparkSession, path: str) -> DataFrame:
-    """The same files one line per row, so that Spark can split a large diff."""
+    """The same files one line per row, so that Spark can split a large diff.
+
+    An empty file has no line and so counts as no diff; ``read_diffs`` keeps it.
+    """
     texts = spark.read.text(_diff_files(path), lineSep="\n")
     return texts.select(*_key_from_path(), F.col("value").alias("line"))
 
