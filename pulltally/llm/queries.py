@@ -31,3 +31,5 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_decontaminate, op9_toxicity)}
+
+ORACLE: dict[str, str] = {}

@@ -3,7 +3,7 @@
 Learning: over all labelled training documents, count in how many toxic and clean ones each word occurs,
 and each word beginning of 4, 5 and 6 bytes. With an informative Dirichlet prior (the corpus share of the
 term, weighing as much as all toxic documents) this gives a log-odds ratio and its z-score. Terms with
-z >= 3 and log-odds >= 1.5 form the model; all others count a little below zero.
+z >= 3 and log-odds >= 2.5 form the model; all others count a little below zero.
 
 Scoring: a word has the log-odds of its most specific term. One linear scan finds all maximal scoring
 segments (Ruzzo and Tompa). By Karlin and Altschul, a segment of score S among n words of clean text has
@@ -25,7 +25,7 @@ from pulltally.llm.arrays import Words, byte_chunks, mix, random_words, split_wo
 from pulltally.llm.scratch import Scratch
 
 MIN_Z = 3.0
-MIN_LOG_ODDS = 1.5
+MIN_LOG_ODDS = 2.5
 #: Score of a word outside the model.
 OTHER = -0.5
 #: Bytes of the word beginnings that stand in for words too rare to judge.
