@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulltally.llm import decontaminate, near_dedup, toxicity
+from pulltally.llm import decontaminate, licenses, near_dedup, packing, pii, token_files, toxicity
+from pulltally.llm.scratch import Scratch
 from pulltally.llm.shipping import ship_package
 
 
@@ -22,6 +23,47 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def _tokenizer(name: str) -> str:
+    """Place of a public tokenizer's file; every executor has them."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = Scratch(spark, "op3").folder("ids")
+    token_files.write_token_files(_table(spark, sf_dir, "documents"), path, _tokenizer("word_bpe_49k.json"))
+    return token_files.read_token_files(spark, path)
+
+
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.personal_data(_table(spark, sf_dir, "documents"))
+
+    def joined(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    base = F.filter("spans", lambda s: s["kind"] != "term")
+    return found.select(F.col("kept.doc_id").alias("doc_id"), *map(count, pii.KINDS), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.license_notices(_table(spark, sf_dir, "documents"))
+    labels = F.array_sort(F.array_distinct(F.concat("base_labels", F.col("blocks.label"))))
+    best = F.coalesce(F.array_max("blocks.containment"), F.lit(0.0))
+    return found.select(
+        "doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base_labels", ",").alias("base_labels"),
+        F.array_join(labels, ",").alias("labels"), F.when(F.col("n_base") > 0, 1.0).otherwise(best).alias("score"), "blocks",
+    )
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack_documents(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
+    return pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     scores = toxicity.toxic_scores(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
@@ -30,6 +72,6 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_decontaminate, op9_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_decontaminate, op3_token_files, op5_personal_data, op6_licenses, op8_packing, op9_toxicity)}
 
 ORACLE: dict[str, str] = {}
