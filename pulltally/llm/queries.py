@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulltally.llm import decontaminate, licenses, near_dedup, packing, pii, token_files, toxicity
+from pulltally.llm import decontaminate, licenses, near_dedup, packing, pii, token_files, toxicity, warc
 from pulltally.llm.scratch import Scratch
 from pulltally.llm.shipping import ship_package
 
@@ -59,6 +59,12 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = Scratch(spark, "op7").folder("archives")
+    warc.write_archives(_table(spark, sf_dir, "pages"), path)
+    return warc.read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "error")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack_documents(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
     return pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
@@ -72,6 +78,6 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_decontaminate, op3_token_files, op5_personal_data, op6_licenses, op8_packing, op9_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_decontaminate, op3_token_files, op5_personal_data, op6_licenses, op7_warc, op8_packing, op9_toxicity)}
 
 ORACLE: dict[str, str] = {}
