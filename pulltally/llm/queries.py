@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulltally.llm import decontaminate, licenses, near_dedup, packing, pii, token_files, toxicity, warc
+from pulltally.llm import decontaminate, html_text, licenses, near_dedup, packing, pii, token_files, toxicity, warc
 from pulltally.llm.scratch import Scratch
 from pulltally.llm.shipping import ship_package
 
@@ -36,6 +36,11 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, path)
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    return html_text.extract_text(pages, html_text.fit(pages)).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.personal_data(_table(spark, sf_dir, "documents"))
 
@@ -78,6 +83,6 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_decontaminate, op3_token_files, op5_personal_data, op6_licenses, op7_warc, op8_packing, op9_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_decontaminate, op3_token_files, op4_html_text, op5_personal_data, op6_licenses, op7_warc, op8_packing, op9_toxicity)}
 
 ORACLE: dict[str, str] = {}
