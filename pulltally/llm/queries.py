@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulltally.llm import decontaminate, html_text, licenses, near_dedup, packing, pii, token_files, toxicity, warc
+from pulltally.llm import decontaminate, html_text, licenses, near_dedup, neighbours, packing, pii, token_files, toxicity, warc
 from pulltally.llm.scratch import Scratch
 from pulltally.llm.shipping import ship_package
 
@@ -83,6 +83,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_decontaminate, op3_token_files, op4_html_text, op5_personal_data, op6_licenses, op7_warc, op8_packing, op9_toxicity)}
+def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest_neighbours(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_decontaminate, op3_token_files, op4_html_text, op5_personal_data, op6_licenses, op7_warc, op8_packing, op9_toxicity, op10_neighbours)}
 
 ORACLE: dict[str, str] = {}
