@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pulltally.llm import decontaminate, html_text, licenses, near_dedup, neighbours, packing, pii, token_files, toxicity, warc
 from pulltally.llm.scratch import Scratch
 from pulltally.llm.shipping import ship_package
+from pulltally.llm.tokens import public_tokenizer
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,16 +24,9 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-def _tokenizer(name: str) -> str:
-    """Place of a public tokenizer's file; every executor has them."""
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = Scratch(spark, "op3").folder("ids")
-    token_files.write_token_files(_table(spark, sf_dir, "documents"), path, _tokenizer("word_bpe_49k.json"))
+    token_files.write_token_files(_table(spark, sf_dir, "documents"), path, public_tokenizer("word_bpe_49k.json"))
     return token_files.read_token_files(spark, path)
 
 
@@ -71,16 +65,16 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.pack_documents(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
+    pieces = packing.pack_documents(_table(spark, sf_dir, "documents"), public_tokenizer("byte_bpe_50k.json"))
     return pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     scores = toxicity.toxic_scores(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
-    return scores.select(
-        "doc_id", F.coalesce(toxicity.held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "passages"
-    )
+    doc_id = F.col("kept.doc_id")
+    held_out = F.coalesce(toxicity.held_out(doc_id), F.lit(False))
+    return scores.select(doc_id.alias("doc_id"), held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "passages")
 
 
 def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

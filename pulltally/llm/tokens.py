@@ -125,6 +125,13 @@ def encoder(path: str, split: str) -> Encoder:
     return _encoders[path, split]
 
 
+def public_tokenizer(name: str) -> str:
+    """Place of a public tokenizer's file; every executor has them."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def text_runs(texts: list[str | None], most: int = 1 << 20):
     """(first, after last, texts) of runs of about `most` characters. Nulls are empty."""
     first, size = 0, 0

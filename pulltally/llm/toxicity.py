@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pulltally.llm.arrays import Words, byte_chunks, mix, random_words, split_words
 from pulltally.llm.scratch import Scratch
@@ -161,6 +162,8 @@ def _lambda(rates: np.ndarray, scores: np.ndarray) -> float:
 
 
 def _scorer(model: Model, passages: bool):
+    """The first column with the score and passages of `text`, or with the feature alone."""
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, last, data, offsets in byte_chunks(batch.column("text")):
@@ -176,20 +179,21 @@ def _scorer(model: Model, passages: bool):
                             {"first_word": i, "after_word": j, "score": s, "e_value": float(np.exp(-model.feature(s, b - a))), "text": data[words.starts[a + i]:words.ends[a + j - 1]].tobytes().decode()}
                             for i, j, s in found if model.feature(s, b - a) >= -np.log(MAX_E)
                         ])
-                columns = [x.slice(first, last - first) for x in batch.columns]
-                names = list(batch.schema.names)
-                columns.append(pa.array(np.clip(features, LOW, HIGH)))
-                names.append("feature")
+                features = np.clip(features, LOW, HIGH)
+                columns, names = [batch.column(0).slice(first, last - first)], [batch.schema.names[0]]
                 if passages:
-                    columns += [pa.array(model.probability(np.clip(features, LOW, HIGH))), pa.array(spans, _SPANS)]
+                    columns += [pa.array(model.probability(features)), pa.array(spans, _SPANS)]
                     names += ["score", "passages"]
+                else:
+                    columns.append(pa.array(features))
+                    names.append("feature")
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     return score
 
 
 _SPANS = pa.list_(pa.struct([("first_word", pa.int64()), ("after_word", pa.int64()), ("score", pa.float64()), ("e_value", pa.float64()), ("text", pa.string())]))
-SPANS = "array<struct<first_word:long,after_word:long,score:double,e_value:double,text:string>>"
+_PASSAGES = T.ArrayType(T.StructType([T.StructField("first_word", T.LongType()), T.StructField("after_word", T.LongType()), T.StructField("score", T.DoubleType()), T.StructField("e_value", T.DoubleType()), T.StructField("text", T.StringType())]))
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
@@ -228,7 +232,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     rates = clean * n_clean / (n_clean + mass) / max(n["words"], 1) / (len(BEGINNINGS) + 1)
     rates = rates * min(1.0, 0.05 / max(rates.sum(), 1e-12))
     model = Model(keys[order], scores, _lambda(rates, scores) if len(keys) else 1.0, max(float(rates.sum()), 1e-9))
-    bins = training.mapInArrow(_scorer(model, False), "text string, toxic boolean, feature double").groupBy(F.round(F.col("feature") / STEP).alias("bin")).agg(
+    bins = training.select("toxic", "text").mapInArrow(_scorer(model, False), "toxic boolean, feature double").groupBy(F.round(F.col("feature") / STEP).alias("bin")).agg(
         F.sum(F.col("toxic").cast("long")).alias("toxic"), F.count("*").alias("n")).toPandas()  # at most (HIGH - LOW) / STEP + 1 rows
     x, y, w = bins["bin"].to_numpy(float) * STEP, bins["toxic"].to_numpy(float), bins["n"].to_numpy(float)
     model.slope, model.offset = _logistic(x, y, w)
@@ -250,10 +254,12 @@ def _logistic(x: np.ndarray, positive: np.ndarray, n: np.ndarray) -> tuple[float
 
 
 def toxic_scores(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, score (0 to 1) and passages of every row of docs (doc_id, text; other columns are ignored).
+    """Every row of docs as `kept` (a struct of all its columns) with its score (0 to 1) and passages.
 
-    A passage has its first word, the word after its last, score, E-value and lower-cased text; words are runs
-    of letters. Null, empty and wordless texts have no passage and the lowest score. Equal texts score alike.
+    docs needs a column text; others may have any name. A passage has its first word, the word after its last, score,
+    E-value and lower-cased text; words are runs of letters. Null, empty and wordless texts have no passage and the
+    lowest score. Equal texts score alike.
     """
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(_scorer(model, True), f"doc_id long, text string, feature double, score double, passages {SPANS}").select("doc_id", "score", "passages")
+    rows = docs.select(F.struct("*").alias("kept"), F.col("text").cast("string").alias("text"))
+    schema = T.StructType([rows.schema["kept"], T.StructField("score", T.DoubleType()), T.StructField("passages", _PASSAGES)])
+    return rows.mapInArrow(_scorer(model, True), schema)
