@@ -1,12 +1,97 @@
-"""The corpus pipeline over `documents`: toxicity, near duplicates, benchmark passages, personal data, packing."""
+"""The corpus pipeline over `documents`: toxicity, near duplicates, benchmark passages, personal data, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame. All but the last return the columns of docs, whatever
+they are besides doc_id and text, so a stage can be run on any table of documents. Rows without doc_id can't be
+found as copies or contaminated; they are kept. A doc_id that repeats stands for one document in the stages that filter.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pulltally.llm import decontaminate, near_dedup, packing, pii, toxicity
+from pulltally.llm.scratch import Scratch
+from pulltally.llm.shipping import ship_package
+from pulltally.llm.tokens import public_tokenizer
+
+#: Documents with at least this toxicity go.
+TOXIC = 0.5
+
+
+#: Up to this number (8 MB) of ids that go are broadcast; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def _without(docs: DataFrame, ids: DataFrame, scratch: Scratch) -> DataFrame:
+    """The rows of docs whose doc_id isn't among ids."""
+    ids = scratch.save(ids.select(F.col("doc_id").alias("_left_out")).where("_left_out is not null").distinct(), "ids")
+    side = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return docs.join(side, docs["doc_id"] == side["_left_out"], "left_anti")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Learns from the documents that `labels` marks and drops those that score as toxic."""
+    ship_package(spark)
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    clean = toxicity.toxic_scores(docs, model).where(F.col("score") < TOXIC)
+    return clean.select(*[F.col("kept")[c].alias(c) for c in docs.columns])
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest doc_id of each group of near duplicates, in one row."""
+    ship_package(spark)
+    classes = near_dedup.near_duplicate_classes(docs)
+    scratch = Scratch(spark, "copies")
+    kept = _without(docs, classes.where("not kept"), scratch)
+    # Rows that repeat a kept doc_id are copies too: one with the smallest text stays.
+    repeated = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("doc_id is not null and n > 1").select("doc_id")
+    repeated = scratch.save(repeated, "repeated")
+    if repeated.isEmpty():
+        return kept
+    again = kept.join(repeated.withColumnRenamed("doc_id", "_again"), kept["doc_id"] == F.col("_again"), "left_semi")
+    first = again.groupBy("doc_id").agg(F.min_by(F.struct("*"), F.coalesce("text", F.lit(""))).alias("row"))
+    return _without(kept, repeated, Scratch(spark, "repeated")).unionByName(first.select("row.*"))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold an item of `benchmark`."""
+    ship_package(spark)
+    found = decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _without(docs, found, Scratch(spark, "leaks"))
+
+
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces personal data in the texts by marks; all else stays as it is."""
+    ship_package(spark)
+    found = pii.personal_data(docs)
+    return found.select(*[(F.col("redacted") if c == "text" else F.col("kept")[c]).alias(c) for c in docs.columns])
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs all documents into sequences: one row per piece, with its ids and place."""
+    ship_package(spark)
+    return packing.pack_documents(docs, public_tokenizer("byte_bpe_50k.json"))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", drop_toxic),
+    ("near_dedup", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("personal_data", redact_personal_data),
+    ("packing", pack),
+]
 
-STAGES = []
+#: Learned toxicity and tokenization can't be said in SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over the documents of sf_dir, each written to the shared folder and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    scratch = Scratch(spark, "pipeline")
+    for name, stage in STAGES:
+        docs = scratch.save(stage(spark, docs, sf_dir), name)
+    return docs
