@@ -3,8 +3,8 @@
 Every element is described by its own and its ancestors' names and attribute words, depth, text and link density of its
 subtree, and by its siblings. A boosted-tree classifier learns from SAMPLE_PAGES pages (those with the smallest hash of
 the page id) which nodes are content: where a page names its article and its menus, notices and so on, the names
-are the labels. Half of the training rows have all names masked, so that the trees also learn shape for pages
-without telling names. A page is then decoded top-down for the best total: a node can only be kept if its parent is,
+are the labels. Each training row comes four times: as it is; with all names masked, so that the trees also learn shape
+for pages without telling names; and twice with the shape of other nodes, so that names decide where they are there. A page is then decoded top-down for the best total: a node can only be kept if its parent is,
 so an ancestor and a descendant never contradict each other, and a short paragraph goes with its article.
 """
 
@@ -57,6 +57,8 @@ FEATURES = (
     "sibling_chars", "sibling_links", "share_of_page", "place_in_page", "under_link", "parent_chars", "parent_link_share",
 )
 NAMED = 4
+#: From here on, features say nothing of names.
+SHAPE = 9
 
 
 class Dom(HTMLParser):
@@ -248,8 +250,13 @@ def _training(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             plain = features[known]
             masked = plain.copy()
             masked[:, :NAMED] = 0
-            rows = np.concatenate([plain, masked])
-            yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.list_(pa.float64())), pa.array(np.tile(label[known], 2).astype(float))], ["features", "label"])
+            dealt = []
+            for seed in range(2):
+                mixed = plain.copy()
+                mixed[:, SHAPE:] = np.random.default_rng(seed).permutation(features)[: len(plain), SHAPE:]
+                dealt.append(mixed)
+            rows = np.concatenate([plain, masked, *dealt])
+            yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.list_(pa.float64())), pa.array(np.tile(label[known], 4).astype(float))], ["features", "label"])
 
 
 def fit(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> Trees | None:

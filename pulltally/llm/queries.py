@@ -83,4 +83,43 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_decontaminate, op3_token_files, op4_html_text, op5_personal_data, op6_licenses, op7_warc, op8_packing, op9_toxicity, op10_neighbours)}
 
-ORACLE: dict[str, str] = {}
+_CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def _shingle_sql(name: str, table: str, key: str) -> str:
+    """Distinct shingles of each row, as the tables {name}_s (key, sh) and {name}_n (key, n)."""
+    return f"""
+{name}_w AS (
+    SELECT {key}, regexp_extract_all(translate(coalesce(text, ''), '{_CAPITALS}', '{_CAPITALS.lower()}'), '[^\\x20\\x09-\\x0D]+') AS w FROM {table}
+), {name}_s AS (
+    SELECT DISTINCT {key}, unnest(CASE
+        WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+        WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS sh
+    FROM {name}_w
+), {name}_n AS (SELECT {key}, count(*) AS n FROM {name}_s GROUP BY {key})"""
+
+
+#: SQL can't tokenize, learn, or give places of matches in code points; those operators are tested against brute force.
+ORACLE: dict[str, str] = {
+    "op1_near_dedup": f"""
+WITH RECURSIVE {_shingle_sql('d', 'documents', 'doc_id')}, pairs AS (
+    SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM d_s a JOIN d_s b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY ALL
+), links AS (
+    SELECT x, y FROM pairs JOIN d_n a ON a.doc_id = x JOIN d_n b ON b.doc_id = y WHERE 100 * c >= 75 * (a.n + b.n - c)
+), reach AS (
+    SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x
+), least AS (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
+FROM documents JOIN least USING (doc_id) LEFT JOIN d_n USING (doc_id)""",
+    "op2_decontaminate": f"""
+WITH {_shingle_sql('d', 'documents', 'doc_id')}, {_shingle_sql('i', 'benchmark', 'item_id')}
+SELECT doc_id, item_id, n AS n_item, count(*) AS n_shared, count(*) / n AS containment
+FROM d_s JOIN i_s USING (sh) JOIN i_n USING (item_id) GROUP BY doc_id, item_id, n HAVING 100 * count(*) >= 75 * n""",
+    "op7_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS digest, strlen(coalesce(html, '')) AS n FROM pages),
+last AS (SELECT digest, max(page_id) AS m FROM p WHERE n >= 1000 GROUP BY digest)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest,
+    CASE WHEN m <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN m <> page_id THEN m END AS refers_to, NULL::VARCHAR AS error
+FROM p LEFT JOIN last USING (digest)""",
+}
