@@ -5,7 +5,8 @@ import re
 
 from pulltally.llm import pii
 from pulltally.llm.pii import base_spans, personal_data, redact
-from tests.llm.cases import documents, odd_texts, prose
+from tests.llm.cases import documents, odd_texts
+from tests.llm.cases import prose as numbered
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -57,6 +58,9 @@ def test_spans_and_redaction(spark):
 
 def test_disclosing_terms(spark):
     """A name that always stands beside an address gives it away; common words and copies don't."""
+    def prose(seed, n, vocabulary):
+        return ["".join("abcdefghij"[int(d)] for d in w[1:]) + "en" for w in numbered(seed, n, vocabulary)]
+
     texts = [(k, " ".join([*prose(k, 12, 50), "Zebulon", "x@y.org", *prose(500 + k, 12, 50)])) for k in range(6)]
     texts += [(100 + k, " ".join(prose(100 + k, 40, 50))) for k in range(300)]
     texts += [(900 + k, "Quandary words stand here q@z.org often enough") for k in range(20)]
