@@ -35,6 +35,24 @@ def cutoff(df: DataFrame, column: str, as_of: Moment, days: int) -> Column:
     return F.lit(text + "+00:00").cast("timestamp")
 
 
+def in_utc(df: DataFrame, column: str) -> Column:
+    """A time column as the UTC time without zone, whatever the session's zone is."""
+    return without_zone(F.col(column), df.schema[column].dataType)
+
+
+def without_zone(value: Column, kind: T.DataType) -> Column:
+    """A value of a time type as UTC time without zone. Values that have no zone are UTC."""
+    if isinstance(kind, T.TimestampType):
+        return F.convert_timezone(F.current_timezone(), F.lit("UTC"), value.cast("timestamp_ntz"))
+    return value.cast("timestamp_ntz")
+
+
+def iso_seconds(value: Column, kind: T.DataType) -> Column:
+    """ISO-8601 in UTC, to the second, with ``Z``."""
+    text = F.substring(without_zone(value, kind).cast("string"), 1, 19)
+    return F.concat(F.replace(text, F.lit(" "), F.lit("T")), F.lit("Z"))
+
+
 def report_date(as_of: Moment = None) -> str:
     return utc(as_of).strftime("%Y-%m-%d")
 

@@ -70,8 +70,9 @@ def key_from_url(url: Column) -> tuple[Column, Column]:
     return present(F.regexp_extract(url, pattern, 1)), number
 
 
-def month_key(created_at: Column) -> Column:
-    return F.date_format(created_at, "yyyy-MM")
+def month_key(utc_time: Column) -> Column:
+    """The month of a time without zone, as ``moments.in_utc`` gives it; independent of the session's zone."""
+    return F.substring(utc_time.cast("string"), 1, 7)
 
 
 def pr_size(additions: Column, deletions: Column) -> Column:

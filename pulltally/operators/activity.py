@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulltally import fixed_values as fixed
-from pulltally.functions.moments import Moment, cutoff, iso_text
+from pulltally.functions.moments import Moment, cutoff, in_utc, iso_text
 from pulltally.functions.prs import month_key
 from pulltally.functions.text import percent, rate_text
 from pulltally.operators.ranking import (
@@ -35,11 +35,19 @@ def newest_first() -> list[Column]:
 
 
 def newest_levels() -> list[Level]:
-    """Buckets for ``newest_first``: days. What one account can open in a day is limited.
+    """Buckets for ``newest_first``: hours. What one account can open in an hour is limited.
 
-    Pull requests without a readable time come last, in a bucket of their own.
+    Pull requests without a readable time come last, by repository and ten thousand numbers of it.
     """
-    return [Level(_day("created_at"), True)]
+    hour = F.coalesce(F.date_trunc("hour", "created_at"), F.lit("0001-01-01").cast("timestamp"))
+    untimed = F.when(F.col("created_at").isNull(), numbered_place())
+    place = F.coalesce(untimed, F.struct(F.lit("").alias("repo"), F.lit(0).cast("bigint").alias("numbers")))
+    return [Level(hour, True), Level(place, False)]
+
+
+def numbered_place() -> Column:
+    """Repository and ten thousand pull requests of it, in the order of repository and number."""
+    return F.struct(F.coalesce("repo", F.lit("")).alias("repo"), F.floor(F.col("number") / 10_000).alias("numbers"))
 
 
 def _day(moment: str) -> Column:
@@ -112,13 +120,13 @@ def top_repositories(prs: DataFrame, n: int = fixed.PROMPT_REPOSITORIES, keys: S
     """The first ``n`` of ``repo_counts``."""
     if n > SMALL_N:
         return ranked(_repo_totals(prs, keys), keys, _busiest_first(), _busiest_levels(), "repo_rank", first=n)
-    return first_rows(_repo_totals(prs, keys), keys, _busiest_first(), n, "repo_rank")
+    return first_rows(_repo_totals(prs, keys), keys, _busiest_first(), n, "repo_rank", spread=("repo",))
 
 
 def monthly_counts(prs: DataFrame, keys: Sequence[str] = AUTHOR) -> DataFrame:
     """Pull requests per month (UTC), newest month ranked 1; months without any are absent."""
     counts = (
-        prs.withColumn("month", month_key(F.col("created_at")))
+        prs.withColumn("month", month_key(in_utc(prs, "created_at")))
         .groupBy(*keys, "month")
         .agg(F.count(F.lit(1)).alias("pr_count"))
     )
@@ -137,7 +145,7 @@ def recent_prs(prs: DataFrame, n: int = fixed.RECENT_PRS, keys: Sequence[str] =
     rows = prs.select(*dict.fromkeys([*keys, "repo", "number", "title", "state", "created_at"]))
     if n > SMALL_N:
         return ranked(rows, keys, newest_first(), newest_levels(), "recent_rank", first=n)
-    return first_rows(rows, keys, newest_first(), n, "recent_rank")
+    return first_rows(rows, keys, newest_first(), n, "recent_rank", spread=("repo", "number"))
 
 
 def activity_report(
@@ -149,8 +157,10 @@ def activity_report(
     and up, that go on with ``repositories`` and leave the other columns null.
     """
     keys = list(keys)
+    if not keys:
+        raise ValueError("a report is made for groups; add a constant column to report on everything")
     monthly = (
-        prs.withColumn("month", month_key(F.col("created_at")))
+        prs.withColumn("month", month_key(in_utc(prs, "created_at")))
         .groupBy(*keys, "month")
         .agg(*[column.alias(name) for name, column in _counters(prs, as_of).items()])
     )
@@ -181,6 +191,20 @@ def activity_report(
     )
 
 
+def prompt_overview(prs: DataFrame, as_of: Moment = None, keys: Sequence[str] = AUTHOR) -> DataFrame:
+    """What a coaching prompt shows: ``summary``, the first repositories and the latest months, one row per author."""
+    keys = list(keys)
+
+    def listed(rows: DataFrame, rank: str, item: Column, name: str) -> DataFrame:
+        gathered = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(rank, item.alias("item")))).alias("pairs"))
+        return gathered.select(*keys, F.col("pairs.item").alias(name))
+
+    count = F.col("pr_count").alias("count")
+    repositories = listed(top_repositories(prs, keys=keys), "repo_rank", F.struct("repo", count), "repositories")
+    months = listed(latest_months(prs, keys=keys), "month_rank", F.struct("month", count), "monthly_activity")
+    return activity_summaries(prs, as_of, keys).join(repositories, keys, "left").join(months, keys, "left")
+
+
 def first_parts(activity: DataFrame) -> DataFrame:
     """One row per author of an ``activity_report``; ``activity_summaries`` has no other."""
     return activity.filter(F.col("part") == 0) if "part" in activity.columns else activity

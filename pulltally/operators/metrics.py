@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 from pulltally import schema
 from pulltally.functions.diff_lines import LINE_TESTS, added_lines, fold, is_added
 
-# Rows of keys that may be broadcast. A key is a repository name (at most 140
-# characters) and a number, so this stays under 50 MB.
+SIZES = ("additions", "deletions", "changed_files")
+
+# Keys that may be broadcast: by number and by the bytes of their texts.
 BROADCAST_KEYS = 200_000
+BROADCAST_BYTES = 32 << 20
 
 
 def diff_line_counts(diffs: DataFrame, on: Sequence[str] = schema.PR_KEY) -> DataFrame:
@@ -40,8 +42,8 @@ def diff_line_counts_by_line(diff_lines: DataFrame, on: Sequence[str] = schema.P
 
 def with_details(prs: DataFrame, details: DataFrame, on: Sequence[str] = schema.PR_KEY) -> DataFrame:
     """Pull requests with the sizes from their details; all pull requests stay."""
-    sizes = _one_per_key(details, on, ["additions", "deletions", "changed_files"])
-    names = [name for name in prs.columns if name not in ("additions", "deletions", "changed_files")]
+    sizes = _one_per_key(details, on, list(SIZES))
+    names = [name for name in prs.columns if name not in SIZES]
     return prs.select(*names).join(sizes, list(on), "left")
 
 
@@ -65,7 +67,7 @@ def pr_metrics(
     counted = diff_line_counts_by_line(diffs, on) if "line" in diffs.columns else diff_line_counts(diffs, on)
 
     counts = _one_per_key(counted, on, list(LINE_TESTS))
-    sizes = _one_per_key(details, on, ["additions", "deletions", "changed_files"])
+    sizes = _one_per_key(details, on, list(SIZES))
     both = sizes.join(counts, list(on))
     if keys is not None:
         both = both.join(keys, list(on), "left_semi")
@@ -78,16 +80,26 @@ def pr_metrics(
     )
 
 
-def few_rows(df: DataFrame, most: int = BROADCAST_KEYS) -> bool:
-    """Whether ``df`` has at most ``most`` rows; runs a job that counts no further than that."""
-    return df.limit(most + 1).count() <= most
+def few_rows(
+    df: DataFrame, most: int = BROADCAST_KEYS, most_bytes: int = BROADCAST_BYTES, on: Sequence[str] = schema.PR_KEY
+) -> bool:
+    """Whether ``df`` has at most ``most`` rows, whose keys take at most ``most_bytes``.
+
+    Runs a job that counts no further than that many rows.
+    """
+    size = sum((F.coalesce(F.octet_length(F.col(name).cast("string")), F.lit(0)) for name in on), F.lit(0))
+    seen = df.select(size.alias("size")).limit(most + 1).agg(F.count("size").alias("n"), F.sum("size").alias("size")).first()
+    return seen["n"] <= most and (seen["size"] or 0) <= most_bytes
 
 
 def _one_per_key(df: DataFrame, on: Sequence[str], values: list[str]) -> DataFrame:
     """One record per key. Copies are combined map-side; of differing ones the same stays on every run.
 
-    The record with the highest hash stays. Numbers instead of a struct of them
-    keep this a hash aggregation, which does not sort.
+    The latest export stays (``exported_at``), of those of one time, or where there is none, the record with
+    the highest hash. Without times, numbers instead of structs keep this a hash aggregation, which does not sort.
     """
-    hashed = df.withColumn("_order", F.xxhash64(*values))
+    order = F.xxhash64(*values)
+    if "exported_at" in df.columns:
+        order = F.struct("exported_at", order.alias("hash"))
+    hashed = df.withColumn("_order", order)
     return hashed.groupBy(*on).agg(*[F.max_by(name, "_order").alias(name) for name in values])

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Up to this many rows per group Spark prunes before the shuffle
-# (spark.sql.optimizer.windowGroupLimitThreshold).
+# (spark.sql.optimizer.windowGroupLimitThreshold, which session.configure sets).
 SMALL_N = 1000
 
 # Most rows that are gathered into one array; larger groups go on in further parts.
@@ -34,8 +34,23 @@ class Level:
     descending: bool
 
 
-def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, rank: str) -> DataFrame:
-    """The first ``n`` rows per group with their rank; for ``n`` up to ``SMALL_N``."""
+# Shares that a group is cut into before its first rows are taken.
+SHARES = 32
+
+
+def first_rows(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, rank: str, spread: Sequence[str] = ()
+) -> DataFrame:
+    """The first ``n`` rows per group with their rank; for ``n`` up to ``SMALL_N``.
+
+    Each map task hands on ``n`` rows of a group, which for one large group over very many tasks would be
+    too much for the one that takes the first of all. With ``spread``, columns that tell its rows apart, the
+    first are taken from each of ``SHARES`` shares and then from these.
+    """
+    if spread:
+        share = F.pmod(F.xxhash64(*spread), F.lit(SHARES))
+        shares = numbered(df.withColumn("_share", share), [*keys, "_share"], order, rank)
+        df = shares.filter(F.col(rank) <= n).drop("_share", rank)
     first = numbered(df, keys, order, rank).filter(F.col(rank) <= n)
     # Ranks are BIGINT everywhere; cast behind the filter, which is what prunes.
     return first.withColumn(rank, F.col(rank).cast("bigint"))

@@ -12,20 +12,28 @@ from pyspark.sql import functions as F
 from pulltally import fixed_values as fixed
 from pulltally.functions.moments import Moment, cutoff
 from pulltally.functions.prs import pr_size
-from pulltally.operators.activity import AUTHOR, newest_first, newest_levels
+from pulltally.operators.activity import AUTHOR, newest_first, newest_levels, numbered_place
 from pulltally.operators.ranking import SMALL_N, Level, first_rows, ranked
 
 RANK = "selection_rank"
 
 
-def search(prs: DataFrame, author: str | None = None, repo: str | None = None, limit: int | None = None) -> DataFrame:
-    """Pull requests of one author and one repository, newest first. Without ``limit`` all of them."""
+def search(
+    prs: DataFrame, author: str | None = None, repo: str | None = None, limit: int | None = None,
+    keys: Sequence[str] = (),
+) -> DataFrame:
+    """Pull requests of one author and one repository. Without ``limit`` all of them.
+
+    ``limit`` keeps the newest so many of all, or with ``keys`` of each group.
+    """
     if author is not None:
         prs = prs.filter(F.col("author") == author)
     if repo is not None:
         prs = prs.filter(F.col("repo") == repo)
     if limit is None:
         return prs
+    if keys:
+        return _take(prs, keys, newest_first(), newest_levels(), limit).drop(RANK)
     return prs.orderBy(*newest_first()).limit(limit)
 
 
@@ -71,8 +79,8 @@ def largest_first() -> list[Column]:
 
 
 def _largest_levels() -> list[Level]:
-    """Buckets for ``largest_first``: the size, then the repository."""
-    return [Level(pr_size(F.col("additions"), F.col("deletions")), True), Level(F.col("repo"), False)]
+    """Buckets for ``largest_first``: the size, then the repository and ten thousand numbers of it."""
+    return [Level(pr_size(F.col("additions"), F.col("deletions")), True), Level(numbered_place(), False)]
 
 
 def select_prs(
@@ -102,7 +110,7 @@ def _take(
     prs: DataFrame, keys: Sequence[str], order: list[Column], levels: list[Level], count: int
 ) -> DataFrame:
     if 0 < count <= SMALL_N:
-        return first_rows(prs, keys, order, count, RANK)
+        return first_rows(prs, keys, order, count, RANK, spread=("repo", "number"))
     if count > 0:
         return ranked(prs, keys, order, levels, RANK, first=count)
     return ranked(prs, keys, order, levels, RANK, without_last=-count)

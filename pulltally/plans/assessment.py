@@ -6,19 +6,22 @@ this package; ``finish`` takes the answers in and gives the texts; ``save`` writ
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Sequence
 from dataclasses import dataclass, fields
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulltally import fixed_values as fixed
+from pulltally import schema
 from pulltally.functions.moments import Moment, utc
 from pulltally.operators.activity import activity_report, first_parts
 from pulltally.operators.analysis import analysis_metrics, analysis_result
 from pulltally.operators.bundle import analysis_bundle
-from pulltally.operators.insights import merge_insights
+from pulltally.operators.insights import answered, split_answered
 from pulltally.operators.languages import language_filter
-from pulltally.operators.metrics import few_rows, pr_metrics, with_details
+from pulltally.operators.metrics import SIZES, few_rows, pr_metrics, with_details
 from pulltally.operators.select import parse_criteria, search, select_prs
 from pulltally.operators.texts import (
     assessments,
@@ -26,7 +29,7 @@ from pulltally.operators.texts import (
     coaching_reports,
     insight_prompts,
 )
-from pulltally.session import materialize
+from pulltally.session import materialize, run_folder
 from pulltally.sinks.writers import (
     BY_DATE,
     write_activity_reports,
@@ -70,6 +73,7 @@ class Assessment:
     metrics: DataFrame  # one row per measured pull request
     analysis: DataFrame
     insight_prompts: DataFrame
+    run: str  # the folder of the tables written for this run
 
 
 @dataclass(frozen=True)
@@ -82,6 +86,7 @@ class FinishedAssessment:
     activity: DataFrame
     config: AssessmentConfig
     as_of: Moment
+    run: str
 
 
 def assess(
@@ -91,37 +96,51 @@ def assess(
     config: AssessmentConfig = AssessmentConfig(),
     as_of: Moment = None,
     files: DataFrame | None = None,
+    folder: str | None = None,
 ) -> Assessment:
     """Overview, selection, metrics and analysis of every author in ``prs``.
 
     The activity reports, the selection and the metrics are written once to the
     shared folder: the analysis, the texts and the bundles all read them, and the
-    diffs are scanned a single time.
+    diffs are scanned a single time. ``folder`` is the shared folder, by default that of the session;
+    ``session.discard(spark, assessment.run)`` removes the tables when all is saved.
     """
     as_of = utc(as_of)
-    activity = materialize(activity_report(search(prs, config.username), as_of), "activity")
+    run = run_folder(prs.sparkSession, folder)
+    activity = materialize(activity_report(search(prs, config.username), as_of), "activity", run)
 
     candidates = search(prs, config.username, config.repo_filter)
     if config.language_filter:
         if files is None:
             raise ValueError("a language filter needs the table of changed files")
         candidates = language_filter(candidates, files, config.language_filter)
-    if parse_criteria(config.pr_selection).kind == "largest":
-        candidates = with_details(candidates, details)
-    selected = materialize(select_prs(candidates, config.pr_selection, as_of), "selected")
+    selected = materialize(selected_prs(candidates, details, config.pr_selection, as_of), "selected", run)
 
     metrics = materialize(
-        pr_metrics(details, diffs, selected, broadcast_selected=few_rows(selected)), "metrics")
+        pr_metrics(details, diffs, selected, broadcast_selected=few_rows(selected)), "metrics", run)
     authors = first_parts(activity).select("author")
     analysis = analysis_result(
         analysis_metrics(selected, metrics, authors), activity, config.review_focus, config.pr_selection, as_of)
-    return Assessment(config, as_of, activity, selected, metrics, analysis, insight_prompts(analysis))
+    return Assessment(config, as_of, activity, selected, metrics, analysis, insight_prompts(analysis), run)
+
+
+def selected_prs(
+    candidates: DataFrame, details: DataFrame, criteria: str, as_of: Moment, on: Sequence[str] = schema.PR_KEY
+) -> DataFrame:
+    """The selection. Sizes from details only choose the largest: what a pull request measures is for its metrics to say."""
+    if parse_criteria(criteria).kind != "largest":
+        return select_prs(candidates, criteria, as_of)
+    own = {name: f"_own_{name}" for name in SIZES if name in candidates.columns}
+    sized = with_details(candidates.withColumns({kept: F.col(name) for name, kept in own.items()}), details, on)
+    return select_prs(sized, criteria, as_of).drop(*SIZES).withColumnsRenamed({kept: name for name, kept in own.items()})
 
 
 def finish(assessment: Assessment, responses: DataFrame) -> FinishedAssessment:
     """Take in the model's answers (``author``, ``content``) and make the texts."""
     a = assessment
-    merged, rejected = merge_insights(a.analysis, responses)
+    # Joined and parsed once; all texts, bundles and the rejected answers read the result.
+    parsed = materialize(answered(a.analysis, responses), f"answered-{uuid.uuid4().hex}", a.run)
+    merged, rejected = split_answered(parsed, a.analysis.columns)
     return FinishedAssessment(
         analysis=merged,
         rejected=rejected,
@@ -131,6 +150,7 @@ def finish(assessment: Assessment, responses: DataFrame) -> FinishedAssessment:
         activity=a.activity,
         config=a.config,
         as_of=a.as_of,
+        run=a.run,
     )
 
 

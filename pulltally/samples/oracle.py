@@ -29,11 +29,11 @@ DETAILS = """details AS (
 
 DIFFS = """held AS (SELECT count(*) AS n FROM documents),
 diffs AS (
-  SELECT o_orderkey AS number, array_to_string(list_concat(
+  SELECT o_orderkey AS number, CASE WHEN o_orderkey % 29 = 0 THEN '' ELSE array_to_string(list_concat(
            [concat('+++ b/', CASE o_orderkey % 5 WHEN 0 THEN 'src/app.py' WHEN 1 THEN 'tests/app.test.ts'
               WHEN 2 THEN 'README.md' WHEN 3 THEN 'src/auth.ts' ELSE 'src/core.go' END)],
            list_transform(string_split(text, chr(10)), lambda l, i:
-             concat(CASE WHEN (i - 1) % 3 = 2 THEN '-' ELSE '+' END, l))), chr(10)) AS diff
+             concat(CASE WHEN (i - 1) % 3 = 2 THEN '-' ELSE '+' END, l))), chr(10)) END AS diff
   FROM orders, held, documents
   WHERE doc_id = o_orderkey % (n + n // 16))"""
 
@@ -194,8 +194,9 @@ RESPONSES = """responses AS (
       WHEN last IN ('0', '1', '2', '3') THEN answer
       WHEN last IN ('4', '5', '6') THEN concat('```json', chr(10), answer, chr(10), '```', chr(10))
       WHEN last = '7' THEN '{"insights": ["only insights"]}'
-      WHEN last = '8' THEN 'Sorry, no analysis today.' END AS content
-  FROM (SELECT DISTINCT author, right(author, 1) AS last,
+      WHEN last = '8' THEN 'Sorry, no analysis today.' END
+    || CASE WHEN tens = '3' AND last NOT IN ('7', '8') THEN ' {}' ELSE '' END AS content
+  FROM (SELECT DISTINCT author, right(author, 1) AS last, substr(author, -2, 1) AS tens,
                concat('{"insights": ["Insight for ', author, '"], "recommendations": ["Advice A", "Advice B"]}') AS answer
         FROM prs)
   WHERE last <> '9')"""
@@ -317,6 +318,8 @@ SELECT repo, number, title AS body, additions, deletions, changed_files, author,
        'feature' AS head_ref_name, state = 'OPEN' AS is_draft
 FROM prs JOIN details USING (number)"""),
     "search_author_repo": _with(PRS, select="SELECT * FROM prs WHERE author = 'user-1' AND repo = 'org/repo-1'"),
+    "search_newest_per_author": _with(PRS, select=f"""
+SELECT * FROM prs QUALIFY row_number() OVER (PARTITION BY author ORDER BY {NEWEST}) <= 4"""),
     "search_newest": _with(PRS, select=f"SELECT * FROM prs ORDER BY {NEWEST} LIMIT 100"),
     "select_last_n": _select("QUALIFY selection_rank <= 3", _RANKED),
     "select_last_many": _select("QUALIFY selection_rank <= 2000", _RANKED),
@@ -333,6 +336,12 @@ FROM prs JOIN details USING (number)"""),
     "select_open": _select("WHERE state = 'OPEN'"),
     "select_default": _select("QUALIFY selection_rank <= 5", _RANKED),
     "diff_line_counts": _with(DIFFS, COUNTS, select="SELECT * FROM counts"),
+    "diff_records": _with(DIFFS, COUNTS, select="SELECT * FROM counts WHERE number % 13 <> 0 AND number % 17 <> 0"),
+    "diff_records_rejected": _with(DIFFS, select="""
+SELECT number, 'export.json' AS file, CASE WHEN number % 13 = 0 THEN 'not JSON' ELSE 'no diff' END AS reason
+FROM diffs WHERE number % 13 = 0 OR number % 17 = 0"""),
+    "diff_files": _with(DIFFS, select="""
+SELECT concat('org/re po-', number % 7) AS repo, number, length(diff) AS length FROM diffs"""),
     "diff_line_counts_by_line": _with(DIFFS, COUNTS, select="SELECT * FROM counts"),
     "pr_metrics": _with(DETAILS, DIFFS, COUNTS, METRICS, select="SELECT * FROM metrics"),
     "selected_pr_metrics": _with(PRS, DETAILS, DIFFS, COUNTS, METRICS, LAST_10, select="""
@@ -343,6 +352,11 @@ SELECT * REPLACE (round(merge_rate, 6) AS merge_rate, round(average_pr_size, 6)
                   round(average_doc_ratio, 6) AS average_doc_ratio,
                   round(documentation_percent, 6) AS documentation_percent)
 FROM rollup"""),
+    "largest_analysis_metrics": _with(
+        PRS, DETAILS, DIFFS, COUNTS, METRICS, _SIZED, f"""selected AS (
+  SELECT number, author, repo, state, created_at, title FROM sized WHERE additions IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY author ORDER BY additions + deletions DESC, repo, number) <= 10)""", _rollup(), select="""
+SELECT author, total_prs, metric_prs, total_size, large_prs, round(average_pr_size, 6) AS average_pr_size FROM rollup"""),
     "recent_analysis_metrics": _with(
         PRS, DETAILS, DIFFS, COUNTS, METRICS, _selected(f"WHERE created_at >= {AS_OF} - INTERVAL 90 DAY"),
         _rollup("prs"), select="""
@@ -386,6 +400,15 @@ SELECT repo, number, state, title, {_BODY} AS body, strftime(created_at, '%Y-%m-
        CASE WHEN author LIKE '%7' THEN 'unknown' ELSE author END AS author,
        concat('plain,', repo, ',') AS labels, concat('https://github.com/', repo, '/pull/', number) AS url
 FROM prs"""),
+    "api_pull_requests_rejected": _with(PRS, select="""
+SELECT number, 'export.json' AS file, CASE WHEN number % 11 = 0 THEN 'not JSON' ELSE 'no repository' END AS reason
+FROM prs WHERE number % 11 = 0 OR number % 23 = 0"""),
+    "api_activity_summary": _with(PRS, """read AS (
+  SELECT *, CASE WHEN author LIKE '%7' THEN 'unknown' ELSE author END AS named FROM prs WHERE number % 11 <> 0 AND number % 23 <> 0)""",
+        select=f"""
+SELECT named AS author, count(*) AS total_prs, count(*) FILTER (state = 'OPEN') AS open_prs, count(*) FILTER (state = 'CLOSED') AS closed_prs,
+       count(*) FILTER (state = 'MERGED') AS merged_prs, {_rate("count(*) FILTER (state = 'MERGED')", "count(*)")} AS merge_rate
+FROM read GROUP BY named"""),
     "api_pull_requests_only": _with(PRS, select="SELECT repo, number, state FROM prs WHERE state <> 'OPEN'"),
     "merge_status_enrich": _with(PRS, select=f"""
 SELECT repo, number, author,
@@ -403,6 +426,8 @@ SELECT l_orderkey AS number,
        CAST(CASE WHEN l_returnflag = 'R' THEN l_quantity ELSE 0 END AS BIGINT) AS deletions,
        CASE l_linestatus WHEN 'O' THEN 'modified' ELSE 'added' END AS change_type
 FROM lineitem""",
+    "stored_report_rejected": _with(PRS, select="""
+SELECT DISTINCT author, 'report.json' AS file, 'not JSON' AS reason FROM prs WHERE author LIKE '%3'"""),
     "language_filter": _select("""
 WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = number AND l_partkey % 3 IN (0, 1))"""),
     "insight_prompt": _with(*_ANALYSIS, select=f"SELECT author, {INSIGHT} AS prompt FROM result"),
@@ -415,6 +440,10 @@ SELECT author, {COACHING} AS prompt
 FROM result r JOIN summary s USING (author) JOIN repo_list USING (author) JOIN month_list USING (author)"""),
     "assessment_markdown": _with(*_ANALYSIS, select=f"""
 SELECT author, {ASSESSMENT} AS assessment FROM result r JOIN summary s USING (author)"""),
+    "coaching_records": _with(PRS, select=f"""
+SELECT author AS "user", {_text(fixed.COACHING_REPORT, user="author", date="'2001-08-02'", advice="'Keep going.'")} AS coaching,
+       '2001-08-02' AS date, 'analysis-2001-08-02T00-00-00' AS run
+FROM (SELECT DISTINCT author FROM prs) WHERE author NOT LIKE '%0'"""),
     "coaching_report": _with(PRS, select=f"""
 SELECT author, {_text(fixed.COACHING_REPORT, user="author", date="'2001-08-02'",
                       advice="concat('Well done: ', count(*), ' so far.')")} AS coaching
@@ -425,12 +454,16 @@ FROM prs GROUP BY author"""),
   FROM rollup LEFT JOIN fired USING (author) GROUP BY author)""", select="""
 SELECT author, concat_ws('|', nullif(findings, ''), concat('Insight for ', author)) AS findings,
        concat_ws('|', nullif(recommendations, ''), 'Advice A', 'Advice B') AS recommendations
-FROM listed WHERE right(author, 1) IN ('0', '1', '2', '3', '4', '5', '6')"""),
+FROM listed WHERE right(author, 1) IN ('0', '1', '2', '3', '4', '5', '6') AND substr(author, -2, 1) NOT IN ('2', '3')"""),
     "rejected_insights": _with(PRS, RESPONSES, select="""
-SELECT author, content, CASE right(author, 1) WHEN '7' THEN 'no recommendations' WHEN '8' THEN 'not JSON'
-                             ELSE 'no response' END AS problem
+SELECT author, content, CASE WHEN right(author, 1) = '9' THEN 'no response' WHEN substr(author, -2, 1) = '2' THEN 'several responses'
+                             WHEN right(author, 1) = '7' THEN 'no recommendations' ELSE 'not JSON' END AS problem
 FROM (SELECT DISTINCT author FROM prs) LEFT JOIN responses USING (author)
-WHERE right(author, 1) IN ('7', '8', '9')"""),
+WHERE right(author, 1) IN ('7', '8', '9') OR substr(author, -2, 1) IN ('2', '3')"""),
 }
 
 ORACLE["stored_activity_report"] = ORACLE["activity_report"]
+ORACLE["stored_report_rest"] = f"SELECT * FROM ({ORACLE['activity_report']}) WHERE author NOT LIKE '%3'"
+ORACLE["assessment_records"] = f"""
+SELECT author AS \"user\", assessment, '2001-08-02' AS date, 'analysis-2001-08-02T00-00-00' AS run
+FROM ({ORACLE['assessment_markdown']})"""

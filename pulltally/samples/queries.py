@@ -13,11 +13,11 @@ from pulltally.functions import text
 from pulltally.operators import activity, analysis, insights, languages, metrics, texts
 from pulltally.operators.bundle import analysis_bundle
 from pulltally.operators.select import search, select_prs
-from pulltally.plans.assessment import AssessmentConfig
+from pulltally.plans.assessment import AssessmentConfig, selected_prs
 from pulltally.samples import tables as t
 from pulltally.sinks import writers
 from pulltally.sources import exports
-from pulltally.sources.reports import report_from_document
+from pulltally.sources.reports import activity_reports, report_from_document
 
 FOCUS = "test coverage, security"
 CRITERIA = "last 10"
@@ -97,6 +97,26 @@ def stored_activity_report(spark: SparkSession, sf: str) -> DataFrame:
     return _flat_report(report_from_document(parsed))
 
 
+def stored_report_rejected(spark: SparkSession, sf: str) -> DataFrame:
+    """Stored documents of which every author's whose name ends in 3 is cut off."""
+    document = writers.report_document(_report(spark, sf))
+    text = F.to_json(F.struct("*"))
+    cut = F.when(F.col("user").endswith("3"), F.expr("left(text, length(text) - 1)")).otherwise(F.col("text"))
+    texts = document.withColumn("text", text).withColumn("text", cut).select(F.lit("report.json").alias("file"), "text", "user")
+    rejected = activity_reports(texts.select("file", "text")).rejected
+    user = F.regexp_extract("text", '"user":"([^"]*)"', 1)
+    return rejected.select(user.alias("author"), "file", "reason")
+
+
+def stored_report_rest(spark: SparkSession, sf: str) -> DataFrame:
+    """What is left of these documents."""
+    document = writers.report_document(_report(spark, sf))
+    text = F.to_json(F.struct("*"))
+    cut = F.when(F.col("user").endswith("3"), F.expr("left(text, length(text) - 1)")).otherwise(F.col("text"))
+    texts = document.withColumn("text", text).withColumn("text", cut).select(F.lit("report.json").alias("file"), "text")
+    return _flat_report(activity_reports(texts).rows)
+
+
 # Selection ------------------------------------------------------------------
 
 
@@ -108,6 +128,10 @@ def search_newest(spark: SparkSession, sf: str) -> DataFrame:
     return search(t.pull_requests(spark, sf), limit=100)
 
 
+def search_newest_per_author(spark: SparkSession, sf: str) -> DataFrame:
+    return search(t.pull_requests(spark, sf), limit=4, keys=("author",))
+
+
 def _selection(criteria: str, sized: bool = False) -> Query:
     def query(spark: SparkSession, sf: str) -> DataFrame:
         prs = t.pull_requests(spark, sf)
@@ -127,6 +151,23 @@ def diff_line_counts(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.diff_line_counts(t.pr_diffs(spark, sf), on=t.KEY)
 
 
+def diff_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Counts of diffs that are stored as records."""
+    return metrics.diff_line_counts(exports.diff_records(t.diff_texts(spark, sf)).rows, on=t.KEY)
+
+
+def diff_records_rejected(spark: SparkSession, sf: str) -> DataFrame:
+    rejected = exports.diff_records(t.diff_texts(spark, sf)).rejected
+    number = F.regexp_extract("text", '"number":([0-9]+)', 1).cast("bigint")
+    return rejected.select(number.alias("number"), "file", "reason")
+
+
+def diff_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Diffs that are stored one to a file, with the key from the file's address."""
+    return t.diff_paths(spark, sf).select(
+        *exports.key_from_path(F.col("path")), F.length("diff").cast("bigint").alias("length"))
+
+
 def diff_line_counts_by_line(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.diff_line_counts_by_line(t.pr_diff_lines(spark, sf), on=t.KEY)
 
@@ -181,6 +222,14 @@ def recent_analysis_metrics(spark: SparkSession, sf: str) -> DataFrame:
         *_rounded("merge_rate", "average_pr_size", "average_doc_ratio"))
 
 
+def largest_analysis_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """The largest pull requests, some of them without a diff: these have no size, as with any other selection."""
+    candidates = t.pull_requests(spark, sf)
+    selected = selected_prs(candidates, t.pr_details(spark, sf), "largest 10", t.AS_OF, on=t.KEY)
+    rollup = analysis.analysis_metrics(selected, _metrics(spark, sf), on=t.KEY)
+    return rollup.select("author", "total_prs", "metric_prs", "total_size", "large_prs", *_rounded("average_pr_size"))
+
+
 def _listed(name: str) -> Query:
     def query(spark: SparkSession, sf: str) -> DataFrame:
         patterns = analysis.analyze_patterns(_rollup(spark, sf))
@@ -267,6 +316,19 @@ def api_pull_requests(spark: SparkSession, sf: str) -> DataFrame:
         {name: F.date_format(name, "yyyy-MM-dd HH:mm:ss") for name in ("created_at", "closed_at", "merged_at")})
 
 
+def api_pull_requests_rejected(spark: SparkSession, sf: str) -> DataFrame:
+    rejected = exports.api_search(t.api_texts(spark, sf)).rejected
+    number = F.regexp_extract("text", '"number":([0-9]+)', 1).cast("bigint")
+    return rejected.select(number.alias("number"), "file", "reason")
+
+
+def api_activity_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """Counts over a broken export."""
+    prs = exports.api_search(t.api_texts(spark, sf)).rows
+    summary = activity.activity_summary(prs, t.AS_OF)
+    return summary.select("author", "total_prs", "open_prs", "closed_prs", "merged_prs", "merge_rate")
+
+
 def api_pull_requests_only(spark: SparkSession, sf: str) -> DataFrame:
     items = exports.pull_requests_only(t.api_items(spark, sf))
     return exports.prs_from_api_items(items).select("repo", "number", "state")
@@ -308,8 +370,8 @@ def insight_prompt(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def coaching_prompt(spark: SparkSession, sf: str) -> DataFrame:
-    report = _report(spark, sf)
-    return texts.coaching_prompts(_analysis(spark, sf, report), report, t.AS_OF)
+    overview = activity.prompt_overview(t.pull_requests(spark, sf), t.AS_OF)
+    return texts.coaching_prompts(_analysis(spark, sf, _summaries(spark, sf)), overview, t.AS_OF)
 
 
 def assessment_markdown(spark: SparkSession, sf: str) -> DataFrame:
@@ -323,6 +385,20 @@ def coaching_report(spark: SparkSession, sf: str) -> DataFrame:
     return texts.coaching_reports(advice, t.AS_OF)
 
 
+def assessment_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Assessments as they are stored."""
+    summaries = _summaries(spark, sf)
+    return writers.assessment_records(texts.assessments(_analysis(spark, sf, summaries), summaries, t.AS_OF), t.AS_OF)
+
+
+def coaching_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Coaching reports as they are stored; authors whose number ends in 0 got no advice."""
+    authors = t.pull_requests(spark, sf).select("author").distinct()
+    advice = F.when(~F.col("author").endswith("0"), F.lit("Keep going."))
+    coaching = texts.coaching_reports(authors.select("author", advice.alias("advice")), t.AS_OF)
+    return writers.coaching_records(coaching, t.AS_OF)
+
+
 def _merged(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     patterns = analysis.analyze_patterns(_rollup(spark, sf))
     return insights.merge_insights(patterns, t.responses(t.pull_requests(spark, sf)))
@@ -348,8 +424,11 @@ QUERIES: dict[str, Query] = {
     "recent_prs": recent_prs,
     "activity_report": activity_report,
     "stored_activity_report": stored_activity_report,
+    "stored_report_rejected": stored_report_rejected,
+    "stored_report_rest": stored_report_rest,
     "search_author_repo": search_author_repo,
     "search_newest": search_newest,
+    "search_newest_per_author": search_newest_per_author,
     "select_last_n": _selection("last 3"),
     "select_last_many": _selection("last 2000"),
     "select_last_negative": _selection("last -3"),
@@ -362,10 +441,14 @@ QUERIES: dict[str, Query] = {
     "select_open": _selection("open"),
     "select_default": _selection("custom"),
     "diff_line_counts": diff_line_counts,
+    "diff_records": diff_records,
+    "diff_records_rejected": diff_records_rejected,
+    "diff_files": diff_files,
     "diff_line_counts_by_line": diff_line_counts_by_line,
     "pr_metrics": pr_metrics,
     "selected_pr_metrics": selected_pr_metrics,
     "analysis_metrics": analysis_metrics,
+    "largest_analysis_metrics": largest_analysis_metrics,
     "recent_analysis_metrics": recent_analysis_metrics,
     "pattern_findings": _listed("findings"),
     "pattern_recommendations": _listed("recommendations"),
@@ -376,6 +459,8 @@ QUERIES: dict[str, Query] = {
     "bundle_documents": bundle_documents,
     "pr_fields": pr_fields,
     "api_pull_requests": api_pull_requests,
+    "api_pull_requests_rejected": api_pull_requests_rejected,
+    "api_activity_summary": api_activity_summary,
     "api_pull_requests_only": api_pull_requests_only,
     "merge_status_enrich": merge_status_enrich,
     "api_pr_details": api_pr_details,
@@ -386,6 +471,8 @@ QUERIES: dict[str, Query] = {
     "coaching_prompt": coaching_prompt,
     "assessment_markdown": assessment_markdown,
     "coaching_report": coaching_report,
+    "assessment_records": assessment_records,
+    "coaching_records": coaching_records,
     "merge_insights": merge_insights,
     "rejected_insights": rejected_insights,
 }

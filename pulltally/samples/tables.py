@@ -55,7 +55,7 @@ def pr_diffs(spark: SparkSession, folder: str) -> DataFrame:
     """A file header and the lines of one document per order, every third line a deletion.
 
     Documents repeat over the orders in turn; one turn in 17 has no document, so
-    these orders have no diff.
+    these orders have no diff. Every 29th order's diff is empty.
     """
     documents = table(spark, folder, "documents").select("doc_id", "text")
     held = documents.select(F.count(F.lit(1))).scalar()
@@ -72,7 +72,28 @@ def pr_diffs(spark: SparkSession, folder: str) -> DataFrame:
         F.split("text", "\n", -1),
         lambda line, i: F.concat(F.when(i % 3 == 2, F.lit("-")).otherwise(F.lit("+")), line))
     diff = F.concat(F.lit("+++ b/"), path, F.lit("\n"), F.array_join(body, "\n"))
-    return orders.join(documents, "doc_id").select("number", F.coalesce(diff, F.lit("")).alias("diff"))
+    empty = F.col("number") % 29 == 0
+    return orders.join(documents, "doc_id").select(
+        "number", F.when(empty, F.lit("")).otherwise(F.coalesce(diff, F.lit(""))).alias("diff"))
+
+
+def diff_paths(spark: SparkSession, folder: str) -> DataFrame:
+    """The diffs as they lie in files, one to a file, with their addresses."""
+    path = F.concat(F.lit("s3://exports/a%20b/org/re%20po-"), F.col("number") % 7, F.lit("/"), "number", F.lit(".diff"))
+    return pr_diffs(spark, folder).select(path.alias("path"), "diff")
+
+
+def diff_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """The diffs as JSON lines. Every 13th line is cut off, every 17th has no diff."""
+    number = F.col("number")
+    record = F.to_json(F.struct(F.lit("org/repo").alias("repo"), "number", F.when(number % 17 != 0, F.col("diff")).alias("diff")))
+    return _cut_off(pr_diffs(spark, folder).select("number", record.alias("text")), 13)
+
+
+def _cut_off(texts: DataFrame, every: int) -> DataFrame:
+    """``file`` and ``text``; the texts of every so many numbers end early."""
+    text = F.when(F.col("number") % every == 0, F.expr("left(text, length(text) - 2)")).otherwise(F.col("text"))
+    return texts.select(F.lit("export.json").alias("file"), text.alias("text"))
 
 
 def pr_diff_lines(spark: SparkSession, folder: str) -> DataFrame:
@@ -99,7 +120,7 @@ def pr_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def file_lists(spark: SparkSession, folder: str) -> DataFrame:
-    """The same files as an export holds them: JSON lists, in both naming styles."""
+    """The same files as an export holds them: a JSON list per pull request, in both naming styles."""
     file = _changed_file()
     api_named = F.col("l_linenumber") % 2 == 0
     entry = F.struct(
@@ -109,13 +130,22 @@ def file_lists(spark: SparkSession, folder: str) -> DataFrame:
         file["deletions"].alias("deletions"),
         F.when(~api_named, file["change_type"]).alias("changeType"),
         F.when(api_named, file["change_type"]).alias("status"))
-    record = F.to_json(F.struct(
-        F.lit("org/repo").alias("repo"), F.col("l_orderkey").alias("number"), F.array(entry).alias("files")))
-    return _parsed(table(spark, folder, "lineitem").select(record.alias("json")), schema.RAW_FILES)
+    lists = table(spark, folder, "lineitem").groupBy(F.col("l_orderkey").alias("number")).agg(F.collect_list(entry).alias("files"))
+    record = F.to_json(F.struct(F.lit("org/repo").alias("repo"), "number", "files"))
+    return _parsed(lists.select(record.alias("json")), schema.RAW_FILES)
 
 
 def api_items(spark: SparkSession, folder: str) -> DataFrame:
     """Pull requests as raw search items: made into JSON and parsed as an export is."""
+    return _parsed(_api_records(spark, folder).select(F.col("text").alias("json")), schema.RAW_API_ITEM)
+
+
+def api_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """The items as lines of an export. Every 11th is cut off, every 23rd has no address of its repository."""
+    return _cut_off(_api_records(spark, folder), 11)
+
+
+def _api_records(spark: SparkSession, folder: str) -> DataFrame:
     prs = pull_requests(spark, folder)
     merged = F.when(F.col("state") == "MERGED", F.lit("2001-08-01T12:00:00Z"))
     login = F.when(F.col("author").endswith("7"), F.lit("")).otherwise(F.col("author"))
@@ -127,12 +157,12 @@ def api_items(spark: SparkSession, folder: str) -> DataFrame:
         F.when(F.col("number") % 2 == 0, F.concat(F.lit("Body of "), "title")).alias("body"),
         F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("created_at"),
         F.when(F.col("state") != "OPEN", F.lit("2001-08-01T12:00:00Z")).alias("closed_at"),
-        F.concat(F.lit(fixed.API_REPO_PREFIX), "repo").alias("repository_url"),
+        F.when(F.col("number") % 23 != 0, F.concat(F.lit(fixed.API_REPO_PREFIX), "repo")).alias("repository_url"),
         F.struct(login.alias("login")).alias("user"),
         labels.alias("labels"),
         F.when(F.col("state") != "OPEN", F.struct(merged.alias("merged_at"))).alias("pull_request"),
         F.concat(F.lit("https://github.com/"), "repo", F.lit("/pull/"), "number").alias("html_url")))
-    return _parsed(prs.select(item.alias("json")), schema.RAW_API_ITEM)
+    return prs.select("number", item.alias("text"))
 
 
 def cli_records(spark: SparkSession, folder: str) -> DataFrame:
@@ -185,8 +215,12 @@ def cli_details(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def responses(prs: DataFrame) -> DataFrame:
-    """An answer per author: plain JSON, fenced JSON, JSON without recommendations, or no JSON, by last digit."""
-    last = F.substring("author", -1, 1)
+    """Answers per author, by last digit: plain JSON, fenced JSON, JSON without recommendations, or no JSON.
+
+    Digits 0 and 5 answer twice the same. Of numbers in the tens, 1 adds a null item, 2 adds another
+    answer, 3 goes on after the object.
+    """
+    last, tens = F.substring("author", -1, 1), F.substring("author", -2, 1)
     full = F.concat(F.lit('{"insights": ["Insight for '), "author", F.lit('"], "recommendations": ["Advice A", "Advice B"]}'))
     content = (
         F.when(last.isin("0", "1", "2", "3"), full)
@@ -194,8 +228,17 @@ def responses(prs: DataFrame) -> DataFrame:
         .when(last == "7", F.lit('{"insights": ["only insights"]}'))
         .when(last == "8", F.lit("Sorry, no analysis today."))
     )
+    content = (
+        F.when(last.isin("7", "8"), content)
+        .when(tens == "1", F.replace(content, F.lit('"Advice B"]'), F.lit('null, "Advice B"]')))
+        .when(tens == "3", F.concat(content, F.lit(" {}")))
+        .otherwise(content)
+    )
+    again = F.when(last.isin("0", "5"), content)
+    other = F.when(tens == "2", F.lit('{"insights": [], "recommendations": []}'))
     authors = prs.groupBy("author").agg(F.count(F.lit(1)).alias("n"))
-    return authors.filter(last != "9").select("author", content.alias("content"))
+    answers = F.array_compact(F.array(content, again, other))
+    return authors.filter(last != "9").select("author", F.explode(answers).alias("content"))
 
 
 def _parsed(df: DataFrame, layout: str) -> DataFrame:

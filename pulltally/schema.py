@@ -76,7 +76,7 @@ RAW_FILES = (
     "additions: BIGINT, deletions: BIGINT, changeType: STRING, status: STRING>>"
 )
 
-RESPONSE = "insights ARRAY<STRING>, recommendations ARRAY<STRING>, _corrupt STRING"
+RESPONSE = "insights: ARRAY<STRING>, recommendations: ARRAY<STRING>"
 
 _WINDOW = "STRUCT<total_prs: BIGINT, merged_prs: BIGINT, merge_rate: STRING>"
 

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,6 +14,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # First-n selections of up to ranking.SMALL_N rows are cut down before the shuffle.
+    "spark.sql.optimizer.windowGroupLimitThreshold": "1000",
 }
 
 
@@ -26,26 +26,28 @@ def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
     return builder
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession, folder: str | None = None) -> str:
+    """``folder``, else the cluster's ``spark.checkpoint.dir``, else the session's own checkpoint folder.
 
-    Where none is set, a local session (tests) gets a temporary folder; on a
-    cluster that would be one machine's own disk, so there it is an error.
+    It must be one that all machines share, so none is made up where nothing is set.
     """
+    if folder:
+        return folder
     folder = spark.conf.get(CHECKPOINT_DIR, None)
     if folder:
         return folder
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError(f"set {CHECKPOINT_DIR} to a folder that all machines share")
-    return _own_folder()
+    own = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if own.isDefined():
+        return own.get()
+    raise ValueError(f"name a folder, or set {CHECKPOINT_DIR} to one that all machines share")
 
 
-@cache
-def _own_folder() -> str:
-    return tempfile.mkdtemp(prefix="pulltally-")
+def run_folder(spark: SparkSession, folder: str | None = None) -> str:
+    """A new folder for the tables of one run."""
+    return f"{shared_folder(spark, folder).rstrip('/')}/{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, run: str | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Several sinks read the same per-PR metrics; without this each sink would
@@ -53,6 +55,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     parquet, still gives column pruning.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = f"{run or run_folder(spark)}/{name}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, run: str) -> None:
+    """Remove the tables of a run; its DataFrames can't be read afterwards."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(run)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -16,9 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulltally.functions.moments import Moment, report_date, run_name
+from pulltally.functions.moments import Moment, iso_seconds, report_date, run_name
 
-ISO_SECONDS = "yyyy-MM-dd'T'HH:mm:ss'Z'"
 BY_DATE, PER_USER = "by_date", "per_user"
 
 
@@ -33,15 +32,25 @@ def write_assessments(
     texts: DataFrame, path: str, as_of: Moment = None, layout: str = BY_DATE, files: int | None = None
 ) -> None:
     """Markdown assessments (columns ``author``, ``assessment``); a missing one is an error."""
+    _write_texts(assessment_records(texts, as_of), path, layout, files)
+
+
+def assessment_records(texts: DataFrame, as_of: Moment = None) -> DataFrame:
+    """Assessments as they are stored: user, text, date and run."""
     text = F.coalesce("assessment", F.raise_error(F.concat(F.lit("no assessment for "), "author")))
-    _write_texts(texts.withColumn("assessment", text), "assessment", path, as_of, layout, files)
+    return _text_records(texts.withColumn("assessment", text), "assessment", as_of)
 
 
 def write_coaching(
     texts: DataFrame, path: str, as_of: Moment = None, layout: str = BY_DATE, files: int | None = None
 ) -> None:
     """Coaching reports (columns ``author``, ``coaching``), where there is one."""
-    _write_texts(texts.filter(F.col("coaching").isNotNull()), "coaching", path, as_of, layout, files)
+    _write_texts(coaching_records(texts, as_of), path, layout, files)
+
+
+def coaching_records(texts: DataFrame, as_of: Moment = None) -> DataFrame:
+    """Coaching reports as they are stored: user, text, date and run; none for authors without advice."""
+    return _text_records(texts.filter(F.col("coaching").isNotNull()), "coaching", as_of)
 
 
 def write_bundles(
@@ -55,10 +64,11 @@ def _placed(df: DataFrame, as_of: Moment) -> DataFrame:
     return df.withColumns({"date": F.lit(report_date(as_of)), "run": F.lit(run_name(as_of))})
 
 
-def _write_texts(
-    texts: DataFrame, column: str, path: str, as_of: Moment, layout: str, files: int | None
-) -> None:
-    rows = _placed(texts.select(F.col("author").alias("user"), column), as_of)
+def _text_records(texts: DataFrame, column: str, as_of: Moment) -> DataFrame:
+    return _placed(texts.select(F.col("author").alias("user"), column), as_of)
+
+
+def _write_texts(rows: DataFrame, path: str, layout: str, files: int | None) -> None:
     # A text file of many users could not tell them apart, so by_date stores records.
     _write(rows, path, ["date", "run"], layout, files, "text" if layout == PER_USER else "json")
 
@@ -81,10 +91,6 @@ def _write(
         writer.text(path)
 
 
-def _iso(moment: Column) -> Column:
-    return F.date_format(moment, ISO_SECONDS)
-
-
 def report_document(activity: DataFrame) -> DataFrame:
     """Reports under the names their readers know."""
     s = F.col("summary")
@@ -98,9 +104,10 @@ def report_document(activity: DataFrame) -> DataFrame:
         s["total_prs"].alias("totalPRs"), s["open_prs"].alias("openPRs"), s["closed_prs"].alias("closedPRs"),
         s["merged_prs"].alias("mergedPRs"), s["merge_rate"].alias("mergeRate"),
         window("last_30_days", "last30Days"), window("last_90_days", "last90Days"))
+    created = activity.schema["recent_prs"].dataType.elementType["created_at"].dataType
     recent = F.transform("recent_prs", lambda pr: F.struct(
         pr["repo"].alias("repo"), pr["number"].alias("number"), pr["title"].alias("title"),
-        pr["state"].alias("state"), _iso(pr["created_at"]).alias("createdAt")))
+        pr["state"].alias("state"), iso_seconds(pr["created_at"], created).alias("createdAt")))
     return activity.select(
         F.col("author").alias("user"), "part", F.col("generated_at").alias("generatedAt"),
         F.when(s.isNotNull(), summary).alias("summary"), "repositories",
@@ -122,15 +129,15 @@ def bundle_document(bundles: DataFrame) -> DataFrame:
         r["findings"].alias("findings"), r["recommendations"].alias("recommendations"), r["risks"].alias("risks"))
     renamed = {"created_at": "createdAt", "closed_at": "closedAt", "merged_at": "mergedAt",
                "changed_files": "changedFiles"}
-    shown = bundles.schema["selected_prs"].dataType.elementType.names
+    shown = bundles.schema["selected_prs"].dataType.elementType
 
     def pull_request(pr: Column) -> Column:
         fields = []
-        for name in shown:
+        for name in shown.names:
             if name == "repo":
                 fields.append(F.struct(pr[name].alias("nameWithOwner")).alias("repository"))
             else:
-                value = _iso(pr[name]) if name.endswith("_at") else pr[name]
+                value = iso_seconds(pr[name], shown[name].dataType) if name.endswith("_at") else pr[name]
                 fields.append(value.alias(renamed.get(name, name)))
         return F.struct(*fields, F.struct(F.col("author").alias("login")).alias("author"))
 

@@ -1,9 +1,10 @@
 """Reading exported pull requests, details, diffs and file lists.
 
-``read_*`` functions scan files with a given schema (nothing is inferred);
-``*_from_*`` functions turn raw records into the tables of ``schema``. Exports are
-JSON lines, which Spark can split; ``pages=True`` reads stored answer pages
-(``{"items": [...]}``) instead.
+``read_*`` functions scan files and give ``Read(rows, rejected)``: the records with a given
+layout (nothing is inferred), and the texts that are no such record or lack what makes them one.
+``*_from_*`` functions turn raw records into the tables of ``schema``. Exports are JSON lines, which
+Spark can split; ``pages=True`` reads stored answer pages (``{"items": [...]}``) instead, and
+``multi_line=True`` pages that are indented over many lines, one to a file.
 """
 
 from __future__ import annotations
@@ -22,19 +23,22 @@ from pulltally.functions.prs import (
     text_or_empty,
     utc_timestamp,
 )
+from pulltally.sources.records import Read, decoded, missing, read_records, stored_texts
 
 
 # Pull requests, search-API shape ------------------------------------------
 
 
-def read_api_search(spark: SparkSession, path: str, pages: bool = False) -> DataFrame:
+def read_api_search(spark: SparkSession, path: str, pages: bool = False, multi_line: bool = False) -> Read:
     """Pull requests from exported search items."""
-    if pages:
-        stored = spark.read.schema(f"items ARRAY<STRUCT<{_struct_fields(schema.RAW_API_ITEM)}>>").json(path)
-        items = stored.select(F.explode("items").alias("item")).select("item.*")
-    else:
-        items = spark.read.schema(schema.RAW_API_ITEM).json(path)
-    return prs_from_api_items(items)
+    return api_search(stored_texts(spark, path, multi_line), "items" if pages or multi_line else None)
+
+
+def api_search(texts: DataFrame, items: str | None = None) -> Read:
+    """Pull requests from texts (``file``, ``text``) of search items, or of pages with a list of them."""
+    problem = missing(repository=present(F.col("repository_url")), number=F.col("number"))
+    found = read_records(texts, schema.RAW_API_ITEM, problem, items)
+    return Read(prs_from_api_items(found.rows), found.rejected)
 
 
 def prs_from_api_items(items: DataFrame) -> DataFrame:
@@ -62,11 +66,13 @@ def pull_requests_only(items: DataFrame) -> DataFrame:
 # Pull requests, command-line shape ----------------------------------------
 
 
-def read_cli_search(spark: SparkSession, path: str, status_path: str) -> DataFrame:
+def read_cli_search(spark: SparkSession, path: str, status_path: str) -> Read:
     """Pull requests from exported command-line records and their merge states."""
-    records = spark.read.schema(schema.RAW_CLI_RECORD).json(path)
-    status = spark.read.schema(schema.RAW_MERGE_STATUS).json(status_path)
-    return prs_from_cli_records(records, status)
+    repo = present(F.col("repository.nameWithOwner"))
+    records = read_records(stored_texts(spark, path), schema.RAW_CLI_RECORD, missing(repository=repo, number=F.col("number")))
+    key = missing(repository=present(F.col("repo")), number=F.col("number"))
+    status = read_records(stored_texts(spark, status_path), schema.RAW_MERGE_STATUS, key)
+    return Read(prs_from_cli_records(records.rows, status.rows), records.rejected.union(status.rejected))
 
 
 def prs_from_cli_records(records: DataFrame, status: DataFrame) -> DataFrame:
@@ -98,11 +104,18 @@ def with_merge_status(prs: DataFrame, status: DataFrame) -> DataFrame:
 # Details -------------------------------------------------------------------
 
 
-def read_details(spark: SparkSession, path: str, shape: str = "api") -> DataFrame:
-    """Details from exported payloads, ``shape`` being ``api`` or ``cli``."""
-    if shape == "api":
-        return details_from_api(spark.read.schema(schema.RAW_API_DETAIL).json(path))
-    return details_from_cli(spark.read.schema(schema.RAW_CLI_DETAIL).json(path))
+def read_details(spark: SparkSession, path: str, shape: str = "api") -> Read:
+    """Details from exported payloads, ``shape`` being ``api`` or ``cli``.
+
+    ``exported_at`` is the time of the file; of several copies of a record the latest counts.
+    """
+    layout, url, convert = {
+        "api": (schema.RAW_API_DETAIL, "html_url", details_from_api),
+        "cli": (schema.RAW_CLI_DETAIL, "url", details_from_cli),
+    }[shape]
+    repo, number = key_from_url(F.col(url))
+    found = read_records(stored_texts(spark, path), layout, missing(repository=repo, number=number))
+    return Read(convert(found.rows), found.rejected)
 
 
 def details_from_api(payloads: DataFrame) -> DataFrame:
@@ -137,34 +150,65 @@ def _details(payloads: DataFrame, body: Column, **names: str) -> DataFrame:
         F.col(names["head"]).alias("head_ref_name"),
         F.col(names["base"]).alias("base_ref_name"),
         F.col(names["draft"]).alias("is_draft"),
+        *([F.col("modified").alias("exported_at")] if "modified" in payloads.columns else []),
     )
 
 
 # Diffs ----------------------------------------------------------------------
 
 
+def read_diff_records(spark: SparkSession, path: str, form: str = "json") -> Read:
+    """Diffs as records ``repo, number, diff``, in JSON lines or ``form="parquet"``; the way to keep many of them.
+
+    An empty diff counts as one; a record without ``diff`` is rejected.
+    """
+    key = {"repository": present(F.col("repo")), "number": F.col("number"), "diff": F.col("diff")}
+    if form == "json":
+        return diff_records(stored_texts(spark, path))
+    stored = spark.read.schema(schema.PR_DIFFS).parquet(path).withColumn("reason", missing(**key))
+    bad = stored.filter(F.col("reason").isNotNull())
+    text = F.to_json(F.struct("repo", "number", "diff"))
+    rejected = bad.select(F.col("_metadata.file_path").alias("file"), text.alias("text"), "reason")
+    return Read(stored.filter(F.col("reason").isNull()).drop("reason"), rejected)
+
+
+def diff_records(texts: DataFrame) -> Read:
+    """Diffs from texts (``file``, ``text``) of records ``repo, number, diff``."""
+    key = missing(repository=present(F.col("repo")), number=F.col("number"), diff=F.col("diff"))
+    found = read_records(texts, schema.PR_DIFFS, key)
+    return Read(found.rows.select("repo", "number", "diff"), found.rejected)
+
+
 def read_diffs(spark: SparkSession, path: str) -> DataFrame:
-    """Whole diffs from files ``<path>/<owner>/<repo>/<number>.diff``."""
+    """Whole diffs from files ``<path>/<owner>/<repo>/<number>.diff``, for small sets: Spark lists each file."""
     texts = spark.read.text(_diff_files(path), wholetext=True)
-    return texts.select(*_key_from_path(), F.col("value").alias("diff"))
+    found = texts.select(*key_from_path(F.col("_metadata.file_path")), F.col("value").alias("diff"))
+    return found.union(_empty_diffs(spark, path))
 
 
 def read_diff_lines(spark: SparkSession, path: str) -> DataFrame:
-    """The same files one line per row, so that Spark can split a large diff.
-
-    An empty file has no line and so counts as no diff; ``read_diffs`` keeps it.
-    """
+    """The same files one line per row, so that Spark can split a large diff. An empty file has one empty line."""
     texts = spark.read.text(_diff_files(path), lineSep="\n")
-    return texts.select(*_key_from_path(), F.col("value").alias("line"))
+    found = texts.select(*key_from_path(F.col("_metadata.file_path")), F.col("value").alias("line"))
+    return found.union(_empty_diffs(spark, path))
+
+
+def _empty_diffs(spark: SparkSession, path: str) -> DataFrame:
+    """Files of length 0, which Spark passes over whatever the reader. They are listed like the others, by the driver."""
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(_diff_files(path))
+    listed = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern)
+    empty = [(f.getPath().toUri().getRawPath(),) for f in listed or [] if f.getLen() == 0]
+    return spark.createDataFrame(empty, "path STRING").select(*key_from_path(F.col("path")), F.lit("").alias("text"))
 
 
 def _diff_files(path: str) -> str:
     return path.rstrip("/") + "/*/*/*.diff"
 
 
-def _key_from_path() -> list[Column]:
+def key_from_path(path: Column) -> list[Column]:
+    """Repository and number from a diff's place."""
     place = r"([^/]+/[^/]+)/(\d+)[.]diff$"
-    file = F.url_decode(F.col("_metadata.file_path"))
+    file = decoded(path)
     return [
         F.regexp_extract(file, place, 1).alias("repo"),
         F.regexp_extract(file, place, 2).cast("bigint").alias("number"),
@@ -174,9 +218,11 @@ def _key_from_path() -> list[Column]:
 # Files ----------------------------------------------------------------------
 
 
-def read_files(spark: SparkSession, path: str) -> DataFrame:
+def read_files(spark: SparkSession, path: str) -> Read:
     """Changed files from exported lists, one record per pull request."""
-    return files_from_lists(spark.read.schema(schema.RAW_FILES).json(path))
+    key = missing(repository=present(F.col("repo")), number=F.col("number"), files=F.col("files"))
+    found = read_records(stored_texts(spark, path), schema.RAW_FILES, key)
+    return Read(files_from_lists(found.rows), found.rejected)
 
 
 def files_from_lists(lists: DataFrame) -> DataFrame:
@@ -189,9 +235,3 @@ def files_from_lists(lists: DataFrame) -> DataFrame:
         F.col("file.deletions").alias("deletions"),
         F.coalesce("file.changeType", "file.status").alias("change_type"),
     )
-
-
-def _struct_fields(columns: str) -> str:
-    from pyspark.sql.types import StructType
-
-    return ", ".join(f"{f.name}: {f.dataType.simpleString()}" for f in StructType.fromDDL(columns))

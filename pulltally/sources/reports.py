@@ -7,18 +7,34 @@ from pyspark.sql import functions as F
 
 from pulltally import schema
 from pulltally.functions.prs import utc_timestamp
+from pulltally.sources.records import Read, decoded, missing, read_records, stored_texts
 
 
-def read_activity_reports(spark: SparkSession, path: str, date: str | None = None) -> DataFrame:
+def read_activity_reports(spark: SparkSession, path: str, date: str | None = None, multi_line: bool = False) -> Read:
     """Reports that ``write_activity_reports`` stored, as ``activity_report`` gives them.
 
-    ``date`` reads one day only; other days' folders are not opened. A record that
-    cannot be read is left out, and its author goes on without a report.
+    ``date`` reads one day only; other days' folders are not opened. ``multi_line`` reads documents that are
+    indented over many lines, one to a file. What cannot be read is rejected, and its author goes on
+    without a report. Reports of an author with very many repositories have several rows; ``part`` tells them apart.
     """
-    stored = spark.read.schema(schema.REPORT_DOCUMENT + ", date STRING").option("mode", "DROPMALFORMED").json(path)
+    texts = stored_texts(spark, path, multi_line)
     if date is not None:
-        stored = stored.filter(F.col("date") == date)
-    return report_from_document(stored)
+        texts = texts.filter(F.col("date").cast("string") == date)
+    return activity_reports(texts.select("file", "text"))
+
+
+def activity_reports(texts: DataFrame) -> Read:
+    """Reports from texts (``file``, ``text``). A document without ``user`` has it in its folder's name ``user=``."""
+    user = user_of(F.col("user"), F.col("_file"))
+    found = read_records(texts.withColumn("_file", F.col("file")), schema.REPORT_DOCUMENT, missing(user=user))
+    return Read(report_from_document(found.rows.withColumn("user", user)), found.rejected)
+
+
+def user_of(user: Column, file: Column) -> Column:
+    """The document's user, else the one that its folder ``user=`` names."""
+    folder = F.nullif(F.regexp_extract(file, r"/user=([^/]+)/", 1), F.lit(""))
+    # Spark encodes the name for the folder, and the folder for the address.
+    return F.coalesce(user, decoded(decoded(folder)))
 
 
 def report_from_document(stored: DataFrame) -> DataFrame:

@@ -131,14 +131,18 @@ def test_insights(spark):
     answers = [
         ("a", good), ("b", f"```json\n{good}\n```"), ("c", "no JSON"), ("d", '{"insights": ["x"]}'),
         ("e", "{'insights': [], 'recommendations': []}"), ("f", good + " and more"),
+        ("k", good), ("k", good), ("k", None), ("l", good), ("l", "?"), ("m", good + "}"), ("n", good + "]"), ("o", good + "] }"),
+        ("p", f"{good}, {good}"), ("q", f"[{good}]"), ("r", '{"insights": ["x", null], "recommendations": [null]}'),
         ("h", '{"insights": [], "recommendations": []}'), ("i", '{"recommendations": []}'), ("j", "")]
-    base = spark.createDataFrame([(name, ["own"], ["own"]) for name, _ in [*answers, ("g", "")]],
+    base = spark.createDataFrame([(name, ["own"], ["own"]) for name in sorted({name for name, _ in answers} | {"g"})],
                                  "author STRING, findings ARRAY<STRING>, recommendations ARRAY<STRING>")
     merged, rejected = insights.merge_insights(base, spark.createDataFrame(answers, "author STRING, content STRING"))
     rows = {r.author: r for r in merged.collect()}
-    assert sorted(rows) == ["a", "b", "h"]
+    assert sorted(rows) == ["a", "b", "h", "k", "r"] and merged.count() == 5
+    assert rows["r"].findings == ["own", "x"] and rows["r"].recommendations == ["own"]
     assert rows["b"].findings == ["own", "i1", "i2"] and rows["b"].recommendations == ["own", "r"]
     assert rows["h"].findings == ["own"]
     problems = {r.author: r.problem for r in rejected.collect()}
     assert problems == {"c": "not JSON", "d": "no recommendations", "e": "not JSON", "f": "not JSON",
-                        "g": "no response", "i": "no insights", "j": "not JSON"}
+                        "g": "no response", "i": "no insights", "j": "not JSON", "l": "several responses",
+                        **dict.fromkeys("mnopq", "not JSON")}

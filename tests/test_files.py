@@ -9,21 +9,22 @@ import pytest
 from pyspark.sql import functions as F
 
 import pulltally
-from pulltally.operators.activity import activity_report
+from pulltally.operators.activity import activity_report, first_parts
 from pulltally.operators.languages import extensions_of, language_filter
+from pulltally.operators.metrics import diff_line_counts, diff_line_counts_by_line
 from pulltally.plans.assessment import AssessmentConfig, assess, finish, save
-from pulltally.session import materialize, shared_folder
+from pulltally.session import discard, materialize, run_folder, shared_folder
 from pulltally.sinks import writers
 from pulltally.sources import exports
 from pulltally.sources.reports import read_activity_reports
-from tests.data import DIFF, at, pull_requests
+from tests.data import DIFF, DIFF_COUNTS, at, pull_requests
 
 OPEN_ITEM = {
-    "number": 123, "state": "open", "title": "Test PR", "body": None, "created_at": "2025-01-01T00:00:00Z",
-    "closed_at": None, "repository_url": "https://api.github.com/repos/test/repo", "user": {"login": "testuser"},
-    "labels": ["a", {"name": "bug"}, {"id": 1}], "html_url": "https://github.com/test/repo/pull/123"}
+    "number": 41, "state": "open", "title": "Sort orders", "body": None, "created_at": "2025-01-01T00:00:00Z",
+    "closed_at": None, "repository_url": "https://api.github.com/repos/acme/shop", "user": {"login": "mira"},
+    "labels": ["a", {"name": "bug"}, {"id": 1}], "html_url": "https://github.com/acme/shop/pull/41"}
 MERGED_ITEM = {
-    **OPEN_ITEM, "number": 124, "state": "closed", "body": "Text", "closed_at": "2025-01-02T00:00:00Z",
+    **OPEN_ITEM, "number": 42, "state": "closed", "body": "Text", "closed_at": "2025-01-02T00:00:00Z",
     "pull_request": {"merged_at": "2025-01-02T00:00:00Z"}, "user": None, "labels": []}
 
 
@@ -34,17 +35,17 @@ def lines(path, *records):
 
 def test_api_items(spark, tmp_path):
     path = lines(tmp_path / "items.json", OPEN_ITEM, MERGED_ITEM)
-    first, second = exports.read_api_search(spark, path).orderBy("number").collect()
-    assert (first.repo, first.state, first.body, first.author) == ("test/repo", "OPEN", "", "testuser")
+    first, second = exports.read_api_search(spark, path).rows.orderBy("number").collect()
+    assert (first.repo, first.state, first.body, first.author) == ("acme/shop", "OPEN", "", "mira")
     assert [x["name"] for x in first.labels] == ["a", "bug", ""]
     assert (second.state, second.author, second.merged_at) == ("MERGED", "unknown", second.closed_at)
     raw = spark.read.schema(pulltally.schema.RAW_API_ITEM).json(path)
-    assert [r.number for r in exports.pull_requests_only(raw).collect()] == [124]
+    assert [r.number for r in exports.pull_requests_only(raw).collect()] == [42]
 
 
 def test_api_pages(spark, tmp_path):
     path = lines(tmp_path / "pages.json", {"items": [OPEN_ITEM]}, {"items": [MERGED_ITEM, OPEN_ITEM]})
-    assert exports.read_api_search(spark, path, pages=True).count() == 3
+    assert exports.read_api_search(spark, path, pages=True).rows.count() == 3
 
 
 def test_cli_records(spark, tmp_path):
@@ -54,26 +55,26 @@ def test_cli_records(spark, tmp_path):
     path = lines(tmp_path / "prs.json", record, {**record, "number": 2}, {**record, "number": 3})
     merged = {"repo": "t/r", "number": 1, "state": "MERGED", "mergedAt": "2025-01-03T00:00:00Z"}
     status = lines(tmp_path / "status.json", merged, merged, {"repo": "t/r", "number": 2, "mergedAt": ""})
-    rows = exports.read_cli_search(spark, path, status).orderBy("number").collect()
+    rows = exports.read_cli_search(spark, path, status).rows.orderBy("number").collect()
     assert [(r.number, r.state, r.merged_at is None) for r in rows] == [
         (1, "MERGED", False), (2, "CLOSED", True), (3, "CLOSED", True)]
 
 
 def test_details(spark, tmp_path):
-    api = {"html_url": "https://github.com/test/repo/pull/789", "body": None, "created_at": "2025-01-03T00:00:00Z",
-           "additions": 100, "deletions": 50, "changed_files": 5, "user": {"login": "testuser"}, "assignees": [],
-           "labels": [], "head": {"ref": "feature-branch"}, "base": {"ref": "main"}, "draft": False}
-    row = exports.read_details(spark, lines(tmp_path / "api.json", api)).first()
-    assert (row.repo, row.number, row.additions, row.deletions, row.changed_files) == ("test/repo", 789, 100, 50, 5)
-    assert (row.head_ref_name, row.base_ref_name, row.is_draft, row.body) == ("feature-branch", "main", False, "")
+    api = {"html_url": "https://github.com/acme/shop/pull/57", "body": None, "created_at": "2025-01-03T00:00:00Z",
+           "additions": 31, "deletions": 7, "changed_files": 4, "user": {"login": "mira"}, "assignees": [],
+           "labels": [], "head": {"ref": "sorting"}, "base": {"ref": "main"}, "draft": False}
+    row = exports.read_details(spark, lines(tmp_path / "api.json", api)).rows.first()
+    assert (row.repo, row.number, row.additions, row.deletions, row.changed_files) == ("acme/shop", 57, 31, 7, 4)
+    assert (row.head_ref_name, row.base_ref_name, row.is_draft, row.body) == ("sorting", "main", False, "")
     cli = {"url": api["html_url"], "body": "b", "createdAt": "2025-01-03T00:00:00Z", "additions": 1, "deletions": 2,
            "changedFiles": 3, "author": {"login": "u"}, "headRefName": "h", "baseRefName": "m", "isDraft": True}
-    row = exports.read_details(spark, lines(tmp_path / "cli.json", cli), shape="cli").first()
-    assert (row.number, row.changed_files, row.author, row.is_draft) == (789, 3, "u", True)
+    row = exports.read_details(spark, lines(tmp_path / "cli.json", cli), shape="cli").rows.first()
+    assert (row.number, row.changed_files, row.author, row.is_draft) == (57, 3, "u", True)
 
 
 def diff_files(folder):
-    for name, text in {"test/repo/1": DIFF, "test/re po/22": "+auth\r+x\n-y"}.items():
+    for name, text in {"acme/shop/1": DIFF, "acme/re po+x/22": "+auth\r+x\n-y", "acme/shop/3": ""}.items():
         path = folder / f"{name}.diff"
         path.parent.mkdir(parents=True, exist_ok=True)
         path.write_bytes(text.encode())
@@ -83,15 +84,81 @@ def diff_files(folder):
 def test_diffs(spark, tmp_path):
     path = diff_files(tmp_path)
     whole = {(r.repo, r.number): r.diff for r in exports.read_diffs(spark, path).collect()}
-    assert whole == {("test/repo", 1): DIFF, ("test/re po", 22): "+auth\r+x\n-y"}
+    assert whole == {("acme/shop", 1): DIFF, ("acme/re po+x", 22): "+auth\r+x\n-y", ("acme/shop", 3): ""}
     by_line = exports.read_diff_lines(spark, path).filter("number = 22").collect()
     assert sorted(r.line for r in by_line) == ["+auth\r+x", "-y"]
+    counts = [sorted(map(tuple, f(d).collect())) for f, d in (
+        (diff_line_counts, exports.read_diffs(spark, path)), (diff_line_counts_by_line, exports.read_diff_lines(spark, path)))]
+    assert counts[0] == counts[1] and ("acme/shop", 3, 0, 0, 0) in counts[0] and ("acme/shop", 1, *DIFF_COUNTS) in counts[0]
+
+
+def test_diff_records(spark, tmp_path):
+    records = [{"repo": "a/b", "number": 1, "diff": DIFF}, {"repo": "a/b", "number": 2, "diff": ""}, {"repo": "a/b", "number": 3}]
+    rows, rejected = exports.read_diff_records(spark, lines(tmp_path / "diffs.json", *records))
+    assert {(r.number, r.diff) for r in rows.collect()} == {(1, DIFF), (2, "")}
+    assert [r.reason for r in rejected.collect()] == ["no diff"]
+    stored = str(tmp_path / "diffs.parquet")
+    spark.createDataFrame([("a/b", 1, DIFF), ("a/b", 2, ""), (None, 3, "x")], "repo STRING, number BIGINT, diff STRING").write.parquet(stored)
+    rows, rejected = exports.read_diff_records(spark, stored, "parquet")
+    assert {(r.number, r.diff) for r in rows.collect()} == {(1, DIFF), (2, "")}
+    assert [r.reason for r in rejected.collect()] == ["no repository"]
+
+
+def test_rejected_records(spark, tmp_path):
+    path = lines(tmp_path / "items.json", OPEN_ITEM, {**MERGED_ITEM, "repository_url": None}, {**MERGED_ITEM, "number": None})
+    with open(path, "a", encoding="utf-8") as file:
+        file.write(json.dumps(OPEN_ITEM)[:-5] + "\n\n   \n" + json.dumps(OPEN_ITEM) + " more\n[]\nnull\n")
+    rows, rejected = exports.read_api_search(spark, path)
+    assert [r.author for r in rows.collect()] == ["mira"]
+    assert sorted(r.reason for r in rejected.collect()) == ["no number", "no repository", *["not JSON"] * 4]
+    assert {r.file.rsplit("/", 1)[1] for r in rejected.collect()} == {"items.json"}
+    details = exports.read_details(spark, lines(tmp_path / "d.json", {"html_url": "https://x/none", "additions": 1}))
+    assert details.rows.count() == 0 and details.rejected.first().reason == "no repository, number"
+    files = exports.read_files(spark, lines(tmp_path / "f.json", {"repo": "a/b", "number": 1}))
+    assert files.rows.count() == 0 and files.rejected.first().reason == "no files"
+    cli = exports.read_cli_search(spark, lines(tmp_path / "c.json", {"number": 1}), lines(tmp_path / "s.json", {"repo": "a/b"}))
+    assert cli.rows.count() == 0 and sorted(r.reason for r in cli.rejected.collect()) == ["no number", "no repository"]
+
+
+def test_indented_pages(spark, tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps({"items": [OPEN_ITEM, MERGED_ITEM, {"number": 7}]}, indent=2))
+    (tmp_path / "b.json").write_text(json.dumps({"items": []}, indent=2))
+    (tmp_path / "c.json").write_text(json.dumps({"message": "limit"}, indent=2))
+    rows, rejected = exports.read_api_search(spark, str(tmp_path), multi_line=True)
+    assert sorted(r.number for r in rows.collect()) == [41, 42]
+    assert sorted((r.file[-6:], r.reason) for r in rejected.collect()) == [("a.json", "no repository"), ("c.json", "no items")]
+
+
+def test_indented_report(spark, tmp_path):
+    report = activity_report(pull_requests(spark, [(1, "MERGED", "2025-01-10T00:00:00", 1, 1, "a b", "o/x")]), "2025-01-15")
+    document = writers.report_document(report).select(F.to_json(F.struct("*")).alias("j")).first().j
+    (tmp_path / "r.json").write_text(json.dumps(json.loads(document), indent=2))
+    assert read_activity_reports(spark, str(tmp_path), multi_line=True).rows.collect() == report.collect()
+    assert read_activity_reports(spark, str(tmp_path)).rejected.count() > 1
+
+
+@pytest.mark.parametrize("zone", ["America/Los_Angeles", "Asia/Kolkata"])
+def test_another_session_zone(spark, zone):
+    prs = pull_requests(spark, [(1, "MERGED", "2025-01-01T00:30:00", 1, 1, "a", "o/x"), (2, "OPEN", "2024-12-31T23:30:00", 1, 1, "a", "o/x")])
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        report = activity_report(prs, "2025-01-15")
+        assert [(m.month, m["count"]) for m in report.first().monthly_activity] == [("2025-01", 1), ("2024-12", 1)]
+        stored = writers.report_document(report).first().recentPRs
+        assert [p.createdAt for p in stored] == ["2025-01-01T00:30:00Z", "2024-12-31T23:30:00Z"]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_groups_are_needed(spark):
+    with pytest.raises(ValueError, match="groups"):
+        activity_report(pull_requests(spark, []), keys=())
 
 
 def test_file_lists(spark, tmp_path):
     cli = {"repo": "t/r", "number": 1, "files": [{"path": "a/b.TS", "additions": 1, "deletions": 0, "changeType": "ADDED"}]}
     api = {"repo": "t/r", "number": 2, "files": [{"filename": "c.go", "additions": 2, "deletions": 3, "status": "modified"}]}
-    files = exports.read_files(spark, lines(tmp_path / "files.json", cli, api))
+    files = exports.read_files(spark, lines(tmp_path / "files.json", cli, api)).rows
     assert [tuple(r) for r in files.orderBy("number").collect()] == [
         ("t/r", 1, "a/b.TS", 1, 0, "ADDED"), ("t/r", 2, "c.go", 2, 3, "modified")]
     prs = pull_requests(spark, [(n, "OPEN", "2025-01-01T00:00:00", 1, 1, "d", "t/r") for n in (1, 2, 3)])
@@ -109,15 +176,17 @@ def test_reports_round_trip(spark, tmp_path):
         path = str(tmp_path / layout)
         writers.write_activity_reports(report, path, "2025-01-15", layout)
         writers.write_activity_reports(report.filter("author = 'a'"), path, "2025-01-16", layout)
-        back = read_activity_reports(spark, path, "2025-01-15").orderBy("author", "part").collect()
+        back = read_activity_reports(spark, path, "2025-01-15").rows.orderBy("author", "part").collect()
         assert back == report.orderBy("author", "part").collect()
-        assert read_activity_reports(spark, path).count() == 5
+        assert read_activity_reports(spark, path).rows.count() == 5
     stored = next(f for f in (tmp_path / "per_user" / "user=b" / "date=2025-01-15").iterdir() if f.suffix == ".json")
     document = json.loads(stored.read_text())
     assert document["summary"]["last30Days"] == {"totalPRs": 1, "mergedPRs": 0, "mergeRate": "0.0"}
     assert document["recentPRs"][0]["createdAt"] == "2025-01-09T00:00:00Z"
     (tmp_path / "by_date" / "date=2025-01-15" / "bad.json").write_text("{broken\n")
-    assert read_activity_reports(spark, str(tmp_path / "by_date"), "2025-01-15").count() == 3
+    rows, rejected = read_activity_reports(spark, str(tmp_path / "by_date"), "2025-01-15")
+    assert rows.count() == 3
+    assert [(r.file.rsplit("/", 1)[1], r.text, r.reason) for r in rejected.collect()] == [("bad.json", "{broken", "not JSON")]
 
 
 def test_missing_assessment_is_an_error(spark, tmp_path):
@@ -127,27 +196,39 @@ def test_missing_assessment_is_an_error(spark, tmp_path):
 
 
 def test_materialize(spark):
-    df = materialize(spark.range(3), "three")
+    run = run_folder(spark)
+    df = materialize(spark.range(3), "three", run)
     assert df.count() == 3
     assert shared_folder(spark) in df.inputFiles()[0]
+    discard(spark, run)
+    assert not os.path.exists(run)
 
 
 class Unset:
-    """A session without the setting, on the given master."""
+    """A session without the setting, perhaps with a checkpoint folder of its own."""
 
-    def __init__(self, master):
-        self.sparkContext = self.conf = self
-        self.master = master
+    def __init__(self, own=None):
+        self.sparkContext = self.conf = self._jsc = self
+        self.own = own
 
-    def get(self, name, default=None):
-        return default
+    def sc(self):
+        return self
+
+    def getCheckpointDir(self):
+        return self
+
+    def isDefined(self):
+        return self.own is not None
+
+    def get(self, *_):
+        return self.own
 
 
 def test_shared_folder_where_none_is_set():
-    made = shared_folder(Unset("local[4]"))
-    assert os.path.isdir(made) and shared_folder(Unset("local[4]")) == made
+    assert shared_folder(Unset(), "mine") == "mine"
+    assert shared_folder(Unset("s3://own")) == "s3://own"
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        shared_folder(Unset("yarn"))
+        shared_folder(Unset())
 
 
 @pytest.fixture(scope="module")
@@ -172,7 +253,7 @@ def test_whole_plan(spark, tables, tmp_path):
     first = assess(*tables, config(tmp_path), as_of="2025-01-20T10:20:30")
     rows = {r.author: r for r in first.analysis.collect()}
     assert (rows["ann"].total_prs_analyzed, rows["bob"].total_prs_analyzed) == (3, 1)
-    assert rows["ann"].metrics.total_test_additions == 5
+    assert rows["ann"].metrics.total_test_additions == DIFF_COUNTS[0]
     assert {r.author for r in first.insight_prompts.collect()} == {"ann", "bob"}
 
     answers = spark.createDataFrame(
@@ -193,7 +274,7 @@ def test_whole_plan(spark, tables, tmp_path):
     assert [p["number"] for p in bundle["selectedPRs"]] == [3, 2, 1]
     assert bundle["selectedPRs"][1]["additions"] == 5 and bundle["selectedPRs"][0]["additions"] is None
     assert sorted(bundle["metrics"]) == ["t/r#1", "t/r#2"]
-    assert bundle["metrics"]["t/r#1"]["testAdditions"] == 5
+    assert bundle["metrics"]["t/r#1"]["testAdditions"] == DIFF_COUNTS[0]
     assert bundle["report"]["findings"][-1] == "more" and bundle["report"]["totalPRsAnalyzed"] == 3
 
 
@@ -224,3 +305,29 @@ def test_language_needs_files(tables, tmp_path):
 def test_quick_config():
     quick = AssessmentConfig.quick("u")
     assert (quick.pr_selection, quick.username, quick.repo_filter) == ("last 10", "u", None)
+
+
+@pytest.mark.parametrize("criteria", ["last 1", "largest 1"])
+def test_size_without_a_diff_is_none_for_any_selection(spark, tables, criteria):
+    """Details alone measure nothing: the size rule stays quiet however the pull request was chosen."""
+    prs, details, diffs = tables
+    only = prs.filter("number = 1")
+    found = assess(only, details, diffs.filter("number > 1"), AssessmentConfig(pr_selection=criteria), "2025-01-20").analysis.first()
+    assert found.metrics.average_pr_size == 0.0 and not any("large" in f.lower() for f in found.findings)
+
+
+def test_repeated_answers_give_one_report(spark, tables, tmp_path):
+    answer = '{"insights": ["x"], "recommendations": []}'
+    answers = spark.createDataFrame([("ann", answer)] * 3 + [("bob", answer), ("bob", "other")], "author STRING, content STRING")
+    done = finish(assess(*tables, config(tmp_path), as_of="2025-01-20"), answers)
+    assert [r.author for r in done.analysis.collect()] == ["ann"]
+    assert done.assessments.count() == 1
+    assert sorted((r.author, r.report is None) for r in done.bundles.collect()) == [("ann", False), ("bob", True)]
+    assert [(r.author, r.problem) for r in done.rejected.collect()] == [("bob", "several responses")]
+
+
+def test_joins_over_an_author_in_parts(spark):
+    prs = pull_requests(spark, [(n, "OPEN", "2025-01-01T00:00:00", 1, 1, "a", f"o/{n}") for n in range(5)])
+    report = activity_report(prs, "2025-01-15", part_rows=2)
+    assert [r.part for r in report.orderBy("part").collect()] == [0, 1, 2]
+    assert first_parts(report).join(prs.select("author").distinct(), "author").count() == 1

@@ -5,7 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from pulltally.operators import metrics
-from tests.data import DIFF
+from tests.data import DIFF, DIFF_COUNTS, at
 
 COUNTS = ("test_additions", "doc_additions", "security_pattern_matches")
 
@@ -27,7 +27,7 @@ def expected(text):
 
 
 def test_sample_diff(spark):
-    assert counts(spark, [DIFF]) == {0: (5, 0, 2)}
+    assert counts(spark, [DIFF]) == {0: DIFF_COUNTS}
 
 
 def test_line_rules(spark):
@@ -59,13 +59,14 @@ def tables(spark):
 
 def test_metrics_need_details_and_diff(spark):
     rows = metrics.pr_metrics(*tables(spark)).orderBy("number").collect()
-    assert [tuple(r) for r in rows] == [("r/r", 1, 5, 0, 2, 10, 0, 4), ("r/r", 4, 0, 0, 1, 0, 0, 0)]
+    assert [tuple(r) for r in rows] == [("r/r", 1, *DIFF_COUNTS, 10, 0, 4), ("r/r", 4, 0, 0, 1, 0, 0, 0)]
 
 
 def test_metrics_of_a_selection(spark):
     details, diffs = tables(spark)
     selected = spark.createDataFrame([("r/r", 4), ("r/r", 4), ("r/r", 2)], "repo STRING, number BIGINT")
     assert metrics.few_rows(selected, 3) and not metrics.few_rows(selected, 2)
+    assert metrics.few_rows(selected, 3, most_bytes=12) and not metrics.few_rows(selected, 3, most_bytes=11)
     for small in (False, True):
         rows = metrics.pr_metrics(details, diffs, selected, broadcast_selected=small).collect()
         assert [r.number for r in rows] == [4]
@@ -75,7 +76,7 @@ def test_metrics_from_lines(spark):
     details, diffs = tables(spark)
     lines = diffs.filter("diff IS NOT NULL").select("repo", "number", F.explode(F.split("diff", "\n", -1)).alias("line"))
     once = metrics.pr_metrics(details, lines.filter("number = 1")).collect()
-    assert [tuple(r) for r in once] == [("r/r", 1, 5, 0, 2, 10, 0, 4)]
+    assert [tuple(r) for r in once] == [("r/r", 1, *DIFF_COUNTS, 10, 0, 4)]
 
 
 def test_texts_are_not_shuffled(spark):
@@ -90,3 +91,13 @@ def test_details_fill_sizes(spark):
     prs = spark.createDataFrame([("r/r", 1, "a"), ("r/r", 9, "a")], "repo STRING, number BIGINT, author STRING")
     rows = {r.number: r for r in metrics.with_details(prs, details).collect()}
     assert rows[1].additions == 10 and rows[9].additions is None and len(rows) == 2
+
+
+def test_latest_copy_of_details_counts(spark):
+    layout = "repo STRING, number BIGINT, additions BIGINT, deletions BIGINT, changed_files BIGINT, exported_at TIMESTAMP"
+    details = spark.createDataFrame(
+        [("r/r", 1, size, 0, 1, at(f"2025-01-{day}T00:00:00")) for size, day in ((10, "02"), (500, "04"), (70, "03"))], layout)
+    prs = spark.createDataFrame([("r/r", 1)], "repo STRING, number BIGINT")
+    assert metrics.with_details(prs, details).first().additions == 500
+    diffs = spark.createDataFrame([("r/r", 1, "+x")], "repo STRING, number BIGINT, diff STRING")
+    assert metrics.pr_metrics(details.orderBy("additions"), diffs).first().total_additions == 500

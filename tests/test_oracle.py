@@ -9,7 +9,8 @@ from collections import Counter
 import duckdb
 import pytest
 
-import __spark_entry__ as driver
+from pulltally.samples.oracle import ORACLE
+from pulltally.samples.queries import QUERIES
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "orders lineitem documents".split()
@@ -34,15 +35,15 @@ def duck():
 
 
 def test_every_query_has_sql():
-    assert set(driver.queries()) == set(driver.oracle_sql())
+    assert set(QUERIES) == set(ORACLE)
 
 
-@pytest.mark.parametrize("name", sorted(driver.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_matches_sql(spark, duck, name):
-    result = driver.queries()[name](spark, FOLDER)
+    result = QUERIES[name](spark, FOLDER)
     columns = sorted(result.columns)
     found = Counter(tuple(normal(v) for v in row) for row in result.select(*columns).collect())
-    cursor = duck.execute(driver.oracle_sql()[name])
+    cursor = duck.execute(ORACLE[name])
     names = [d[0] for d in cursor.description]
     assert sorted(names) == columns
     types = dict(result.dtypes)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from pulltally.operators import ranking
 from pulltally.operators.activity import newest_first, newest_levels
-from pulltally.operators.select import largest_first, parse_criteria, search, select_prs
+from pulltally.operators.select import _largest_levels, largest_first, parse_criteria, search, select_prs
 from tests.data import pull_requests, three
 
 AS_OF = "2025-01-16T10:00:00"
@@ -136,3 +136,21 @@ def test_hot_groups_are_never_one_window(hot):
     plan = select_prs(hot, "last -10", AS_OF)._jdf.queryExecution().optimizedPlan().toString()
     row_numbers = [line for line in plan.splitlines() if "row_number()" in line and "Window [" in line]
     assert row_numbers and all("_b0" in line for line in row_numbers)
+
+
+def test_equal_rows_of_one_author_fall_into_many_buckets(spark):
+    """A robot's changes have one size, one repository and one hour, or no time at all."""
+    number = F.col("id") + 1
+    robot = spark.range(200_000).select(
+        F.lit("robot").alias("author"), F.lit("o/mono").alias("repo"), number.alias("number"), F.lit(None).cast("timestamp").alias("created_at"),
+        F.lit(1).cast("bigint").alias("additions"), F.lit(1).cast("bigint").alias("deletions"))
+    for levels in (newest_levels(), _largest_levels()):
+        assert ranking.bucket_offsets(robot, ["author"], levels).count() >= 20
+    chosen = select_prs(robot, "last -199990")
+    assert sorted((r.number, r.selection_rank) for r in chosen.collect()) == [(n, n) for n in range(1, 11)]
+
+
+def test_newest_of_each_author(hot):
+    found = search(hot, limit=5, keys=("author",))
+    assert sorted((r.author, r.number) for r in found.collect()) == sorted((a, n) for a, n, _ in pairs(select_prs(hot, "last 5", AS_OF)))
+    assert found.columns == hot.columns
