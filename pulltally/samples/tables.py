@@ -92,7 +92,7 @@ def diff_texts(spark: SparkSession, folder: str) -> DataFrame:
 
 def _cut_off(texts: DataFrame, every: int) -> DataFrame:
     """``file`` and ``text``; the texts of every so many numbers end early."""
-    text = F.when(F.col("number") % every == 0, F.expr("left(text, length(text) - 2)")).otherwise(F.col("text"))
+    text = F.when(F.col("number") % every == 0, F.expr("left(text, length(text) - 1)")).otherwise(F.col("text"))
     return texts.select(F.lit("export.json").alias("file"), text.alias("text"))
 
 
@@ -142,13 +142,14 @@ def api_items(spark: SparkSession, folder: str) -> DataFrame:
 
 def api_texts(spark: SparkSession, folder: str) -> DataFrame:
     """The items as lines of an export. Every 11th is cut off, every 23rd has no address of its repository."""
-    return _cut_off(_api_records(spark, folder), 11)
+    return _cut_off(_api_records(spark, folder, without_repository=23), 11)
 
 
-def _api_records(spark: SparkSession, folder: str) -> DataFrame:
+def _api_records(spark: SparkSession, folder: str, without_repository: int | None = None) -> DataFrame:
     prs = pull_requests(spark, folder)
     merged = F.when(F.col("state") == "MERGED", F.lit("2001-08-01T12:00:00Z"))
     login = F.when(F.col("author").endswith("7"), F.lit("")).otherwise(F.col("author"))
+    address = F.concat(F.lit(fixed.API_REPO_PREFIX), "repo")
     labels = F.array(F.lit("plain"), F.to_json(F.struct(F.col("repo").alias("name"))), F.lit('{"id":1}'))
     item = F.to_json(F.struct(
         "number",
@@ -157,7 +158,7 @@ def _api_records(spark: SparkSession, folder: str) -> DataFrame:
         F.when(F.col("number") % 2 == 0, F.concat(F.lit("Body of "), "title")).alias("body"),
         F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("created_at"),
         F.when(F.col("state") != "OPEN", F.lit("2001-08-01T12:00:00Z")).alias("closed_at"),
-        F.when(F.col("number") % 23 != 0, F.concat(F.lit(fixed.API_REPO_PREFIX), "repo")).alias("repository_url"),
+        (F.when(F.col("number") % without_repository != 0, address) if without_repository else address).alias("repository_url"),
         F.struct(login.alias("login")).alias("user"),
         labels.alias("labels"),
         F.when(F.col("state") != "OPEN", F.struct(merged.alias("merged_at"))).alias("pull_request"),
