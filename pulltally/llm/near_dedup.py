@@ -6,7 +6,7 @@
    shares the band: by signature first, then by the full sets. This links almost every group, with
    one candidate per node and band however large a group is.
 3. Where a band still holds nodes of different components, its nodes are compared with each other
-   in blocks of bounded size, across components only: by signature first, and only those that have a
+   in blocks of bounded size, across components only (never within the largest): by signature first, and only those that have a
    partner there by full sets. So no link between different texts is left out.
 4. Components come from alternating large-star and small-star.
 
@@ -147,13 +147,29 @@ def _linker(percent: int):
 
 
 def _block_pairs(members: DataFrame) -> DataFrame:
-    """Each member of a band once for every pair of blocks of at most about BLOCK nodes that its own block is in."""
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    """Members of a band (band, node, component) in the pairs of blocks that hold pairs across components.
+
+    The band's largest component needs no comparison within itself. So its blocks meet only those of the rest, and
+    the rest's blocks meet all: where few nodes are left beside a large group, each of its nodes comes but once.
+    A block has about BLOCK nodes.
+    """
+    sizes = members.groupBy("band", "component").agg(F.count("*").alias("n"))
+    bands = sizes.groupBy("band").agg(
+        F.max_by("component", F.struct("n", "component")).alias("main"), F.ceil(F.max("n") / BLOCK).cast("int").alias("main_blocks"),
+        F.greatest(F.lit(1), F.ceil((F.sum("n") - F.max("n")) / BLOCK)).cast("int").alias("rest_blocks"),
+    )
+    main, block, other, rest = F.col("component") == F.col("main"), F.col("block"), F.col("other"), F.col("rest_blocks")
+    others = F.when(main, F.sequence(F.lit(0), rest - 1)).otherwise(F.sequence(F.lit(0), rest + F.col("main_blocks") - 1))
     return (
-        members.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-        .withColumn("block", F.pmod(F.xxhash64("node", "band"), F.col("blocks")).cast("int"))
-        .withColumn("other", other)
-        .withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other"), "own": F.col("block") <= F.col("other")})
+        members.join(bands, "band")
+        .withColumn("block", F.pmod(F.xxhash64("node", "band"), F.when(main, F.col("main_blocks")).otherwise(rest)).cast("int"))
+        .withColumn("other", F.explode(others))
+        .withColumn("meets_main", ~main & (other >= rest))
+        .withColumns({
+            "low": F.when(main, other).when(F.col("meets_main"), block).otherwise(F.least("block", "other")),
+            "high": F.when(main, rest + block).when(F.col("meets_main"), other).otherwise(F.greatest("block", "other")),
+            "own": F.when(main, F.lit(False)).when(F.col("meets_main"), F.lit(True)).otherwise(block <= other),
+        })
     )
 
 
@@ -175,7 +191,7 @@ def near_duplicate_classes(docs: DataFrame, threshold_percent: int = 75) -> Data
     bands = F.array(*[F.xxhash64(F.lit(b), F.slice("signature", b * ROWS + 1, ROWS)) for b in range(BANDS)])
     banded = nodes.select("node", F.explode(bands).alias("band"))
     shared = banded.groupBy("band").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).where("n > 1")
-    members = scratch.save(banded.join(shared, "band"), "members")
+    members = scratch.save(banded.join(shared, "band").select("band", "node", "pivot"), "members")
 
     def signed_pairs(pairs: DataFrame) -> DataFrame:
         a, b = (nodes.select(F.col("node").alias(c), F.col("signature").alias(f"{c}_signature")) for c in "uv")
@@ -195,7 +211,7 @@ def near_duplicate_classes(docs: DataFrame, threshold_percent: int = 75) -> Data
     parts = scratch.save(connected_components(links, scratch, "parts"), "parts")
 
     # Bands that still hold several components.
-    labelled = members.join(parts, "node", "left").select("band", "node", "n", F.coalesce("component", "node").alias("component"))
+    labelled = members.join(parts, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
     labelled = scratch.save(labelled, "labelled")
     open_bands = labelled.groupBy("band").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a != b").select("band")
     contested = labelled.join(open_bands, "band", "left_semi").join(nodes, "node")
@@ -205,9 +221,7 @@ def near_duplicate_classes(docs: DataFrame, threshold_percent: int = 75) -> Data
     )
     if not partnered.isEmpty():
         sets = _full_sets(docs, signed, partnered, scratch, "more-sets")
-        sizes = labelled.join(open_bands, "band", "left_semi").join(partnered, "node", "left_semi")
-        counts = sizes.groupBy("band").agg(F.count("*").alias("n"))
-        again = sizes.drop("n").join(counts, "band").join(nodes, "node").join(sets, "node")
+        again = labelled.join(open_bands, "band", "left_semi").join(partnered, "node", "left_semi").join(nodes, "node").join(sets, "node")
         more = _block_pairs(again).groupBy("band", "low", "high").applyInPandas(_linker(threshold_percent), "u long, v long").distinct()
         links = links.union(scratch.save(more, "more-links"))
         parts = scratch.save(connected_components(links, scratch, "parts-again"), "all-parts")
