@@ -99,7 +99,10 @@ def repo_counts(prs: DataFrame, keys: Sequence[str] = AUTHOR) -> DataFrame:
     day. With P pull requests over D days there are at most sqrt(2PD) of these, and
     a bucket holds no more than the repositories the author worked on in one day.
     """
-    counts = _repo_totals(prs, keys)
+    return _ranked_repos(_repo_totals(prs, keys), keys)
+
+
+def _ranked_repos(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
     return ranked(counts, keys, _busiest_first(), _busiest_levels(), "repo_rank")
 
 
@@ -118,9 +121,27 @@ def _busiest_levels() -> list[Level]:
 
 def top_repositories(prs: DataFrame, n: int = fixed.PROMPT_REPOSITORIES, keys: Sequence[str] = AUTHOR) -> DataFrame:
     """The first ``n`` of ``repo_counts``."""
+    return _first_repos(_repo_totals(prs, keys), n, keys)
+
+
+def _first_repos(counts: DataFrame, n: int, keys: Sequence[str]) -> DataFrame:
     if n > SMALL_N:
-        return ranked(_repo_totals(prs, keys), keys, _busiest_first(), _busiest_levels(), "repo_rank", first=n)
-    return first_rows(_repo_totals(prs, keys), keys, _busiest_first(), n, "repo_rank", spread=("repo",))
+        return ranked(counts, keys, _busiest_first(), _busiest_levels(), "repo_rank", first=n)
+    return first_rows(counts, keys, _busiest_first(), n, "repo_rank", spread=("repo",))
+
+
+def _by_month(prs: DataFrame, as_of: Moment, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """All counters per month, and pull requests with the latest time per repository, from one pass over ``prs``."""
+    counters = _counters(prs, as_of)
+    base = (
+        prs.withColumn("month", month_key(in_utc(prs, "created_at")))
+        .groupBy(*_plus(_plus(keys, "repo"), "month"))
+        .agg(*[column.alias(name) for name, column in counters.items()], F.max("created_at").alias("last_created_at"))
+    )
+    monthly = base.groupBy(*keys, "month").agg(*[F.sum(name).alias(name) for name in counters])
+    repositories = base.groupBy(*_plus(keys, "repo")).agg(
+        F.sum("total_prs").alias("pr_count"), F.max("last_created_at").alias("last_created_at"))
+    return monthly, repositories
 
 
 def monthly_counts(prs: DataFrame, keys: Sequence[str] = AUTHOR) -> DataFrame:
@@ -159,11 +180,7 @@ def activity_report(
     keys = list(keys)
     if not keys:
         raise ValueError("a report is made for groups; add a constant column to report on everything")
-    monthly = (
-        prs.withColumn("month", month_key(in_utc(prs, "created_at")))
-        .groupBy(*keys, "month")
-        .agg(*[column.alias(name) for name, column in _counters(prs, as_of).items()])
-    )
+    monthly, repo_totals = _by_month(prs, as_of, keys)
     names = list(_counters(prs, as_of))
     month_item = F.struct("month", F.col("total_prs").alias("count"))
     totals = _with_rates(
@@ -174,7 +191,7 @@ def activity_report(
     )
 
     repositories = gather_parts(
-        repo_counts(prs, keys), keys, "repo_rank",
+        _ranked_repos(repo_totals, keys), keys, "repo_rank",
         F.struct("repo", F.col("pr_count").alias("count")), "repositories", part_rows)
 
     recent = gather_parts(
@@ -199,10 +216,15 @@ def prompt_overview(prs: DataFrame, as_of: Moment = None, keys: Sequence[str] =
         gathered = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(rank, item.alias("item")))).alias("pairs"))
         return gathered.select(*keys, F.col("pairs.item").alias(name))
 
-    count = F.col("pr_count").alias("count")
-    repositories = listed(top_repositories(prs, keys=keys), "repo_rank", F.struct("repo", count), "repositories")
-    months = listed(latest_months(prs, keys=keys), "month_rank", F.struct("month", count), "monthly_activity")
-    return activity_summaries(prs, as_of, keys).join(repositories, keys, "left").join(months, keys, "left")
+    monthly, repo_totals = _by_month(prs, as_of, keys)
+    first = _first_repos(repo_totals, fixed.PROMPT_REPOSITORIES, keys)
+    repositories = listed(first, "repo_rank", F.struct("repo", F.col("pr_count").alias("count")), "repositories")
+    # As many rows per author as there are months.
+    month = F.struct("month", F.col("total_prs").alias("count"))
+    totals = _with_rates(monthly.groupBy(*keys).agg(
+        *[F.sum(name).alias(name) for name in _counters(prs, as_of)],
+        F.slice(F.sort_array(F.collect_list(month), asc=False), 1, fixed.PROMPT_MONTHS).alias("monthly_activity")))
+    return totals.select(*keys, _summary().alias("summary"), "monthly_activity").join(repositories, keys, "left")
 
 
 def first_parts(activity: DataFrame) -> DataFrame:
