@@ -33,10 +33,11 @@ def _without(docs: DataFrame, ids: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learns from the documents that `labels` marks and drops those that score as toxic."""
+    """Learns from the documents that `labels` marks and drops those that score as toxic and have a toxic passage."""
     ship_package(spark)
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    clean = toxicity.toxic_scores(docs, model).where(F.col("score") < TOXIC)
+    toxic = (F.col("score") >= TOXIC) & (F.size("passages") > 0)  # a high share of toxic labels alone is no reason
+    clean = toxicity.toxic_scores(docs, model).where(~toxic)
     return clean.select(*[F.col("kept")[c].alias(c) for c in docs.columns])
 
 
