@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at a time; a longer document is handled alone.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 SHINGLE = 5
 
 _U = np.uint64

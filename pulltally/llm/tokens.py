@@ -13,8 +13,8 @@ import numpy as np
 #: "spaces": byte-level; a piece may begin with the space before it, and a line end is a token of its own.
 #: "whole": the text is one piece.
 SPLITS = ("words", "spaces", "whole")
-#: Pieces kept; some 250 MB at most for usual words. When full, the cache starts anew.
-CACHED = 1_500_000
+#: Pieces kept; some 100 MB at most for usual words. When full, the cache starts anew.
+CACHED = 500_000
 #: Longer pieces are encoded but not kept.
 LONGEST = 64
 #: Pieces encoded in one call; they are joined by a mark, which saves most of a call's cost.
