@@ -209,7 +209,8 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """
     files = spark.read.format("binaryFile").load(path).select("content")
     parts = ", ".join(f"part_{x}" for x in _PARTS.split(", "))
-    rows = Scratch(spark, "warc-read").save(files.mapInArrow(_unpack, f"{FIELDS}, {parts}"), "records")
+    # Both sides parse the files; keeping the payloads in between would take as much disk as the archives.
+    rows = files.mapInArrow(_unpack, f"{FIELDS}, {parts}")
     whole = rows.where("part_origin is null").select(*_NAMES)
     segments = rows.where("part_origin is not null").select(*[f"part_{x.split()[0]}" for x in _PARTS.split(", ")])
     return whole.unionByName(segments.groupBy("part_origin").applyInPandas(reassemble, FIELDS))
