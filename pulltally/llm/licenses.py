@@ -1,10 +1,11 @@
 """License notices: fixed phrases, and an exact set-similarity join of text blocks with notice templates.
 
-A block is a line; block and template are sets of words. They match when the block holds at least `threshold` of
-the template's words. Words are ordered by how often the whole corpus has them, rarest first. A block that
+A block is a line, or a stretch across line ends of at most as many words as the template has. Block and template
+are sets of words. They match when the block holds at least `threshold` of the template's words. Words are ordered by how often the whole corpus has them, rarest first. A block that
 matches must hold one of the template's first n - need + 1 words (prefix filter) and at least `need` of all template
 words (length filter); at the first common word, what is left on both sides must still reach `need` (positional
-filter). Only pairs that pass are counted out, so the result is exact. Templates are a short list in the
+filter). A stretch must hold `need` places of template words, one of them in the prefix. Only pairs that pass are
+counted out, so the result is exact. Of stretches of a template that overlap, the fullest counts. Templates are a short list in the
 program, so each task holds their index; texts are never shuffled.
 """
 
@@ -13,6 +14,7 @@ from __future__ import annotations
 import math
 from collections import defaultdict
 from collections.abc import Iterator, Mapping, Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -75,6 +77,17 @@ def _counter(vocabulary: np.ndarray):
     return count
 
 
+class Stretch(NamedTuple):
+    """A match of a template within as many words as it has; places are words of the chunk."""
+
+    template: int
+    doc: int
+    start: int
+    end: int
+    containment: float
+    words: frozenset[int]
+
+
 class Templates:
     """Templates as word ranks, rarest word of the corpus first, with an index of their prefixes."""
 
@@ -82,17 +95,20 @@ class Templates:
         self.vocabulary = vocabulary
         self.rank = np.empty(len(vocabulary), np.int64)
         self.rank[np.lexsort((vocabulary, counts))] = np.arange(len(vocabulary))
-        self.labels, self.words, self.need = [], [], []
+        self.labels, self.words, self.need, self.lengths, self.rare = [], [], [], [], []
         self.prefixes: dict[int, list[tuple[int, int]]] = defaultdict(list)  # word: (template, position)
         for label in sorted(templates):
             for text in templates[label]:
-                words = np.unique(self.rank[np.searchsorted(vocabulary, np.unique(_words(text)))])
+                hashes = _words(text)
+                words = np.unique(self.rank[np.searchsorted(vocabulary, np.unique(hashes))])
                 need = math.ceil(threshold * len(words) - 1e-9)
                 for position, word in enumerate(words[: len(words) - need + 1].tolist()):
                     self.prefixes[word].append((len(self.words), position))
                 self.labels.append(label)
                 self.words.append(frozenset(words.tolist()))
                 self.need.append(need)
+                self.lengths.append(len(hashes))
+                self.rare.append(words[: len(words) - need + 1])
         self.least = min(self.need, default=0)
 
     def matches(self, block: list[int]) -> dict[int, float]:
@@ -110,6 +126,69 @@ class Templates:
                             found[template] = both / size
         return found
 
+    def stretches(self, at: np.ndarray, ranks: np.ndarray, owner: np.ndarray) -> list[Stretch]:
+        """Stretches of all templates; at has the places of template words in ascending order, owner their documents."""
+        out = []
+        for t, words in enumerate(self.words):
+            size, need, length = len(words), self.need[t], self.lengths[t]
+            own = np.zeros(len(self.rank), bool)
+            own[list(words)] = True
+            mine = np.flatnonzero(own[ranks])
+            if not need or len(mine) < need:
+                continue
+            place, rank, doc = at[mine], ranks[mine], owner[mine]
+            last = np.searchsorted(place, place + length)  # of the window that starts at each place
+            last = np.minimum(last, np.searchsorted(doc, doc, "right"))
+            rare = np.zeros(len(self.rank), bool)
+            rare[self.rare[t]] = True
+            n_rare = np.append(0, np.cumsum(rare[rank]))
+            first = np.flatnonzero((last - np.arange(len(place)) >= need) & (n_rare[last] > n_rare[:-1]))
+            both = _distinct(rank.tolist(), first.tolist(), last[first].tolist())
+            good = [(-n, k, int(last[k])) for n, k in zip(both, first.tolist(), strict=True) if n >= need]
+            free = np.ones(len(place), bool)
+            for n, a, b in sorted(good):
+                if free[a] and free[b - 1]:  # those before are at least as full, none is shorter than need places
+                    if not free[a:b].all():
+                        continue
+                    free[a:b] = False
+                    a, b = _trimmed(rank, a, b)
+                    out.append(Stretch(t, int(doc[a]), int(place[a]), int(place[b - 1]) + 1, -n / size, frozenset(rank[a:b].tolist())))
+        return out
+
+
+def _distinct(ranks: list[int], first: list[int], last: list[int]) -> list[int]:
+    """Number of different ranks from each first to each last; both ascend."""
+    counts: dict[int, int] = defaultdict(int)
+    out, a, b = [], 0, 0
+    for x, y in zip(first, last, strict=True):
+        if x >= b:
+            counts.clear()
+            a = b = x
+        while b < y:
+            counts[ranks[b]] += 1
+            b += 1
+        while a < x:
+            counts[ranks[a]] -= 1
+            if not counts[ranks[a]]:
+                del counts[ranks[a]]
+            a += 1
+        out.append(len(counts))
+    return out
+
+
+def _trimmed(rank: np.ndarray, a: int, b: int) -> tuple[int, int]:
+    """Without words at the end, then at the start, that the rest holds."""
+    while rank[b - 1] in rank[a:b - 1]:
+        b -= 1
+    while rank[a] in rank[a + 1:b]:
+        a += 1
+    return a, b
+
+
+def _outdone(x: Stretch, others: list[Stretch]) -> bool:
+    """Whether the words of x lie inside a fuller match of another template at the same place."""
+    return any(y.containment > x.containment and y.start < x.end and x.start < y.end and x.words <= y.words for y in others)
+
 
 def _scanner(templates: Templates, phrases: list[tuple[np.ndarray, str]]):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,7 +209,7 @@ def _scanner(templates: Templates, phrases: list[tuple[np.ndarray, str]]):
                 if len(vocabulary):
                     place = np.minimum(np.searchsorted(vocabulary, hashes), len(vocabulary) - 1)
                     hit = np.flatnonzero(vocabulary[place] == hashes)
-                    # A block is a line of a document.
+                    # A block is a line of a document, or a stretch across lines.
                     edges = np.union1d(offsets[:-1], np.flatnonzero(data == 10))
                     block = np.searchsorted(edges, words.starts[hit], "right")
                     pairs = np.unique(np.stack([block, templates.rank[place[hit]]]), axis=1) if len(hit) else np.zeros((2, 0), np.int64)
@@ -143,6 +222,14 @@ def _scanner(templates: Templates, phrases: list[tuple[np.ndarray, str]]):
                             start, end = (int(first_word[x] - words.bounds[doc]) for x in (b - 1, b))
                             labels = sorted({templates.labels[t] for t, c in found.items() if c == best})
                             blocks[doc] += [{"label": x, "start": start, "end": end, "containment": best} for x in labels]
+                    by_doc: dict[int, list[Stretch]] = defaultdict(list)
+                    for x in templates.stretches(hit, templates.rank[place[hit]], owner[hit]):
+                        by_doc[x.doc].append(x)
+                    for doc, found_in in by_doc.items():
+                        base = int(words.bounds[doc])
+                        across = {(templates.labels[x.template], x.start - base, x.end - base, x.containment) for x in found_in if len(set(np.searchsorted(first_word, [x.start, x.end - 1], "right").tolist())) > 1 and not _outdone(x, found_in)}
+                        blocks[doc] += [dict(zip(("label", "start", "end", "containment"), x, strict=True)) for x in across]
+                        blocks[doc].sort(key=lambda x: (x["start"], x["end"], x["label"], -x["containment"]))
                 columns = [
                     pa.array(np.diff(words.bounds), pa.int64()),
                     pa.array([len(p) for p in places], pa.int64()),
@@ -162,7 +249,8 @@ def license_notices(docs: DataFrame, templates: Mapping[str, Sequence[str]] = TE
 
     Columns: doc_id, n_words, n_base (places of all phrases), first_word and last_word (their smallest and largest
     start, null without any), base_labels (sorted), blocks (label, start and end in words, containment). Of several
-    templates that a block meets, those with the largest containment count. Null and empty texts have no words.
+    templates that a line meets, those with the largest containment count; a stretch across lines counts unless its words
+    lie inside a fuller one. Null and empty texts have no words.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     texts = [_words(t) for label in sorted(templates) for t in templates[label]]

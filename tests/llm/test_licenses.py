@@ -3,6 +3,7 @@ from __future__ import annotations
 import math
 import random
 import re
+import textwrap
 
 from pulltally.llm.licenses import PHRASES, TEMPLATES, license_notices
 from tests.llm.cases import documents, odd_texts, prose
@@ -70,3 +71,31 @@ def test_odd_rows(spark):
     assert sorted(map(repr, map(found, rows))) == sorted(repr(expected(t)) for _, t in odd_texts())
     assert license_notices(documents(spark, [])).count() == 0
     assert license_notices(documents(spark, [(1, "mit license")]), templates={}).first()["base_labels"] == ["mit"]
+
+
+def test_wrapped_notices(spark):
+    """Every notice has its block however its lines are broken, with comment marks and text around it."""
+    cases = [(label, notice, width) for label, notices in TEMPLATES.items() for notice in notices for width in (40, 72, 80)]
+    texts = []
+    for k, (_, notice, width) in enumerate(cases):
+        lines = [" ".join(prose(k, 9)), "", *textwrap.wrap(notice, width), "", " ".join(prose(k + 1, 9))]
+        texts.append((k, "\n".join(f" * {x}" for x in lines)))
+    rows = {r["doc_id"]: r for r in license_notices(documents(spark, texts)).collect()}
+    for k, (label, notice, width) in enumerate(cases):
+        full = {tuple(b) for b in rows[k]["blocks"] if b["containment"] == 1}
+        lines = textwrap.wrap(notice, width)
+        if len(lines) > 1:
+            last = max(words(notice).index(w) for w in words(notice)) + 1  # words that stand before end no block
+            assert (label, 9, 9 + last, 1.0) in full, (label, width)
+        assert label in {b[0] for b in full}
+        assert "gpl" not in {b["label"] for b in rows[k]["blocks"]} or label == "gpl"
+
+
+def test_stretches_stay_inside(spark):
+    """Words of a notice that stand too far apart or in two documents are no block."""
+    head, tail = TEMPLATES["mit"][0][:70], TEMPLATES["mit"][0][70:]
+    texts = [(1, f"{head}\n{' '.join(prose(1, 30))}\n{tail}"), (2, head), (3, tail), (4, f"{head}\n{tail}\n{head}\n{tail}")]
+    rows = {r["doc_id"]: [tuple(b) for b in r["blocks"]] for r in license_notices(documents(spark, texts).coalesce(1)).collect()}
+    n = len(words(TEMPLATES["mit"][0]))
+    assert not rows[1] and not rows[2] and not rows[3]
+    assert rows[4] == [("mit", 0, n, 1.0), ("mit", n, 2 * n, 1.0)]
