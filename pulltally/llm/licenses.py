@@ -12,6 +12,7 @@ program, so each task holds their index; texts are never shuffled.
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator, Mapping, Sequence
 from typing import NamedTuple
@@ -185,6 +186,11 @@ def _trimmed(rank: np.ndarray, a: int, b: int) -> tuple[int, int]:
     return a, b
 
 
+def _beside(x: Stretch, ordered: list[Stretch], longest: int) -> list[Stretch]:
+    """Those of ordered (by start, none longer than longest) that can overlap x."""
+    return ordered[bisect_left(ordered, x.start - longest, key=lambda y: y.start):bisect_left(ordered, x.end, key=lambda y: y.start)]
+
+
 def _outdone(x: Stretch, others: list[Stretch]) -> bool:
     """Whether the words of x lie inside a fuller match of another template at the same place."""
     return any(y.containment > x.containment and y.start < x.end and x.start < y.end and x.words <= y.words for y in others)
@@ -215,21 +221,34 @@ def _scanner(templates: Templates, phrases: list[tuple[np.ndarray, str]]):
                     pairs = np.unique(np.stack([block, templates.rank[place[hit]]]), axis=1) if len(hit) else np.zeros((2, 0), np.int64)
                     numbers, begin, size = np.unique(pairs[0], return_index=True, return_counts=True)
                     first_word = np.searchsorted(words.starts, np.append(edges, len(data)))
+                    stretches: dict[int, list[Stretch]] = defaultdict(list)  # by document
+                    in_line: dict[tuple[int, int], list[Stretch]] = defaultdict(list)  # by line and template
+                    longest = max(templates.lengths)
+                    for x in sorted(templates.stretches(hit, templates.rank[place[hit]], owner[hit]), key=lambda x: x.start):
+                        stretches[x.doc].append(x)
+                        a, b = np.searchsorted(first_word, [x.start, x.end - 1], "right").tolist()
+                        if a == b:
+                            in_line[a, x.template].append(x)
+                    entries: list[set[tuple]] = [set() for _ in range(n)]
                     for b, at, m in zip(numbers.tolist(), begin.tolist(), size.tolist(), strict=True):
-                        if m >= templates.least and (found := templates.matches(pairs[1, at:at + m].tolist())):
-                            best = max(found.values())
+                        own = pairs[1, at:at + m].tolist()
+                        if m >= templates.least and (found := templates.matches(own)):
                             doc = int(owner[first_word[b - 1]])
                             start, end = (int(first_word[x] - words.bounds[doc]) for x in (b - 1, b))
-                            labels = sorted({templates.labels[t] for t, c in found.items() if c == best})
-                            blocks[doc] += [{"label": x, "start": start, "end": end, "containment": best} for x in labels]
-                    by_doc: dict[int, list[Stretch]] = defaultdict(list)
-                    for x in templates.stretches(hit, templates.rank[place[hit]], owner[hit]):
-                        by_doc[x.doc].append(x)
-                    for doc, found_in in by_doc.items():
+                            whole = [Stretch(t, doc, start, end, c, templates.words[t].intersection(own)) for t, c in found.items()]
+                            for x in whole:
+                                # It goes if the line has a fuller one with its words, and so has each place where it stands.
+                                if not _outdone(x, whole) or not all(_outdone(y, _beside(y, stretches[doc], longest)) for y in in_line[b, x.template]):
+                                    entries[doc].add((templates.labels[x.template], start, end, x.containment))
+                    for doc, those in stretches.items():
                         base = int(words.bounds[doc])
-                        across = {(templates.labels[x.template], x.start - base, x.end - base, x.containment) for x in found_in if len(set(np.searchsorted(first_word, [x.start, x.end - 1], "right").tolist())) > 1 and not _outdone(x, found_in)}
-                        blocks[doc] += [dict(zip(("label", "start", "end", "containment"), x, strict=True)) for x in across]
-                        blocks[doc].sort(key=lambda x: (x["start"], x["end"], x["label"], -x["containment"]))
+                        for x in those:
+                            a, b = np.searchsorted(first_word, [x.start, x.end - 1], "right").tolist()
+                            if a != b and not _outdone(x, _beside(x, those, longest)):
+                                entries[doc].add((templates.labels[x.template], x.start - base, x.end - base, x.containment))
+                    for doc, those in enumerate(entries):
+                        ordered = sorted(those, key=lambda x: (x[1], x[2], x[0], -x[3]))
+                        blocks[doc] = [dict(zip(("label", "start", "end", "containment"), x, strict=True)) for x in ordered]
                 columns = [
                     pa.array(np.diff(words.bounds), pa.int64()),
                     pa.array([len(p) for p in places], pa.int64()),
@@ -248,9 +267,8 @@ def license_notices(docs: DataFrame, templates: Mapping[str, Sequence[str]] = TE
     """Phrases and template blocks of every row of docs (doc_id, text; other columns are ignored).
 
     Columns: doc_id, n_words, n_base (places of all phrases), first_word and last_word (their smallest and largest
-    start, null without any), base_labels (sorted), blocks (label, start and end in words, containment). Of several
-    templates that a line meets, those with the largest containment count; a stretch across lines counts unless its words
-    lie inside a fuller one. Null and empty texts have no words.
+    start, null without any), base_labels (sorted), blocks (label, start and end in words, containment). Every template
+    that a line or a stretch across lines meets counts, unless its words lie inside a fuller match at the same place. Null and empty texts have no words.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     texts = [_words(t) for label in sorted(templates) for t in templates[label]]

@@ -99,3 +99,17 @@ def test_stretches_stay_inside(spark):
     n = len(words(TEMPLATES["mit"][0]))
     assert not rows[1] and not rows[2] and not rows[3]
     assert rows[4] == [("mit", 0, n, 1.0), ("mit", n, 2 * n, 1.0)]
+
+
+def test_several_notices_in_a_line(spark):
+    """A line that holds a whole notice and most of others has blocks of all; of gpl only where it stands by itself."""
+    cut = {label: " ".join(words(TEMPLATES[label][0])) for label in ("bsd", "mit", "gpl", "lgpl", "isc")}
+    part = " ".join(cut["mit"].split()[:17])
+    own = cut["gpl"].replace("this program is free", "it is free")
+    texts = [(1, f"{cut['bsd']} {part}"), (2, cut["lgpl"]), (3, f"{cut['lgpl']} {' '.join(prose(1, 40))} {own}"), (4, f"{' '.join(prose(2, 300))} {part} {' '.join(prose(3, 300))} {cut['bsd']} {cut['isc']}")]
+    rows = {r["doc_id"]: {b["label"]: b["containment"] for b in r["blocks"]} for r in license_notices(documents(spark, texts)).collect()}
+    n = len(set(cut["mit"].split()))
+    assert set(rows[1]) == {"bsd", "mit"} and rows[1]["bsd"] == 1 and math.ceil(0.75 * n) / n <= rows[1]["mit"] < 1
+    assert rows[2] == {"lgpl": 1.0}
+    assert set(rows[3]) == {"lgpl", "gpl"} and rows[3]["lgpl"] == 1 > rows[3]["gpl"]
+    assert set(rows[4]) == {"bsd", "mit", "isc"}
