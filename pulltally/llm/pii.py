@@ -1,8 +1,8 @@
 """Personal data: fixed kinds by pattern, and terms near them that give an entity away.
 
 Entities are the values that the patterns find. For each entity and each word within WINDOW words of it, the
-number of different contexts that hold both is counted over the whole corpus, as is the number of documents
-that hold the word. With p(e|t) = contexts / documents of t, the word's pointwise mutual information with
+number of different contexts that hold both is counted over the whole corpus, as is the number of different
+texts that hold the word. With p(e|t) = contexts / texts of t, the word's pointwise mutual information with
 the entity, as a share of the entity's information content -ln p(e), says how much of the entity it discloses.
 Words seen with it in at least MIN_CONTEXTS different contexts and disclosing at least DISCLOSURE of it become spans of kind `term`
 next to that entity. Contexts with equal words count once, so copies of a text are no evidence.
@@ -127,19 +127,40 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("term"), pa.array([_term_hash(t) for t in batch.column("term").to_pylist()], pa.int64())], ["term", "hash"])
 
 
-def _holder(table: bytes):
+def _marked(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    place = hashes & np.uint64(PLACES - 1)
+    return (table[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 > 0
+
+
+def _places(hashes: DataFrame) -> bytes:
+    """A table of bits, one set for each value of the column hash."""
+    place = f"(hash & {PLACES - 1})"
+    words = hashes.groupBy(F.expr(f"{place} div 64").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({place} % 64 as int))")).alias("bits")).toPandas()
+    table = np.zeros(PLACES // 64, np.int64)
+    table[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    return table.tobytes()
+
+
+def _holder(table: bytes, copies: bytes):
     def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Hashes of the candidate words that each document holds, once per document."""
-        places = np.frombuffer(table, np.uint8)
+        """Hashes of the candidate words that each text holds, once per text: counted, or with the key of texts that may have copies."""
+        places, repeated = np.frombuffer(table, np.uint8), np.frombuffer(copies, np.uint8)
         for batch in batches:
-            for _, _, data, offsets in byte_chunks(batch.column("text")):
+            keys = batch.column("text_key").to_numpy().astype(np.int64)
+            for first, last, data, offsets in byte_chunks(batch.column("text")):
                 words = split_words(data, offsets, _SEPARATORS)
                 hashes, owner = words.hashes(), words.docs()
-                place = hashes & np.uint64(PLACES - 1)
-                hit = (places[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 > 0
+                hit = _marked(places, hashes)
                 pairs = np.unique(np.stack([owner[hit].astype(np.uint64), hashes[hit]]), axis=1) if hit.any() else np.zeros((2, 0), np.uint64)
-                found, n = np.unique(pairs[1], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], ["hash", "n"])
+                key = keys[first:last][pairs[0].astype(np.int64)]
+                again = _marked(repeated, key.view(np.uint64))
+                found, n = np.unique(pairs[1][~again], return_counts=True)
+                columns = [
+                    pa.array(np.concatenate([found, pairs[1][again]]).view(np.int64)),
+                    pa.array([*[None] * len(found), *key[again].tolist()], pa.int64()),
+                    pa.array(np.concatenate([n, np.ones(int(again.sum()), np.int64)]).astype(np.int64)),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["hash", "text_key", "n"])
 
     return hold
 
@@ -147,7 +168,7 @@ def _holder(table: bytes):
 def disclosing_terms(docs: DataFrame) -> DataFrame | None:
     """(text_key, entity, terms): per text and entity the words around it that disclose it; None if there are none."""
     scratch = Scratch(docs.sparkSession, "pii")
-    keyed = docs.select(F.xxhash64("text").alias("text_key"), "text")
+    keyed = docs.where("text is not null").select(F.xxhash64("text").alias("text_key"), "text")
     seen = scratch.save(keyed.mapInArrow(_seen, "text_key long, entity string, context string, term string"), "seen")
     # How many different contexts hold both: first once per context, then counted.
     pairs = seen.select("entity", "term", F.xxhash64("context").alias("context")).distinct().groupBy("entity", "term").agg(F.count("*").alias("both"))
@@ -155,12 +176,12 @@ def disclosing_terms(docs: DataFrame) -> DataFrame | None:
     if pairs.isEmpty():
         return None
     terms = scratch.save(pairs.select("term").distinct().mapInArrow(_hashed, "term string, hash long"), "terms")
-    place = f"(hash & {PLACES - 1})"
-    words = terms.groupBy(F.expr(f"{place} div 64").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({place} % 64 as int))")).alias("bits")).toPandas()
-    table = np.zeros(PLACES // 64, np.int64)
-    table[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
-    held = docs.select("text").mapInArrow(_holder(table.tobytes()), "hash long, n long").groupBy("hash").agg(F.sum("n").alias("holding"))
-    n_docs = float(docs.count())
+    keys = scratch.save(keyed.groupBy("text_key").agg(F.count("*").alias("n")), "keys")
+    n_docs = float(keys.count())
+    copies = _places(keys.where("n > 1").select(F.col("text_key").alias("hash")))
+    held = keyed.mapInArrow(_holder(_places(terms), copies), "hash long, text_key long, n long")
+    once = held.groupBy("hash", "text_key").agg(F.sum("n").alias("n")).select("hash", F.when(F.col("text_key").isNull(), F.col("n")).otherwise(1).alias("n"))
+    held = once.groupBy("hash").agg(F.sum("n").alias("holding"))
     entity = seen.select("entity", F.xxhash64("context").alias("context")).distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
     p_term = F.least(F.lit(1.0), F.col("both") / F.greatest("holding", "both"))
     p_entity = F.least(F.col("n_entity") / n_docs, F.lit(1 - 1e-9))

@@ -80,3 +80,21 @@ def test_overlaps():
 def test_empty(spark):
     assert personal_data(documents(spark, [])).count() == 0
     assert pii.disclosing_terms(documents(spark, []).select("text")) is None
+
+
+def letters(seed, n, vocabulary=50):
+    return ["".join("abcdefghij"[int(d)] for d in w[1:]) + "en" for w in numbered(seed, n, vocabulary)]
+
+
+def terms(spark, texts):
+    rows = personal_data(documents(spark, texts)).collect()
+    return {r["kept"]["doc_id"]: [r["kept"]["text"][s["start"]:s["end"]] for s in r["spans"] if s["kind"] == "term"] for r in rows}
+
+
+def test_copies_count_neither_for_nor_against_a_term(spark):
+    texts = [(k, " ".join([*letters(k, 12), "Zebulon", "x@y.org", *letters(500 + k, 12)])) for k in range(6)]
+    texts += [(100 + k, " ".join(letters(100 + k, 40))) for k in range(300)]
+    texts += [(1000 + k, texts[0][1]) for k in range(1000)]
+    found = terms(spark, texts)
+    assert all(found[k] == ["Zebulon"] for k in (*range(6), *range(1000, 2000)))
+    assert not any(found[k] for k in range(100, 400))
