@@ -1,11 +1,11 @@
-"""Personal data: fixed kinds by pattern, and terms near them that give an entity away.
-
-Entities are the values that the patterns find. For each entity and each word within WINDOW words of it, the
-number of different contexts that hold both is counted over the whole corpus, as is the number of different
-texts that hold the word. With p(e|t) = contexts / texts of t, the word's pointwise mutual information with
-the entity, as a share of the entity's information content -ln p(e), says how much of the entity it discloses.
-Words seen with it in at least MIN_CONTEXTS different contexts and disclosing at least DISCLOSURE of it become spans of kind `term`
-next to that entity. Contexts with equal words count once, so copies of a text are no evidence.
+"""Personal data: fixed kinds by pattern, and terms that give an entity away.
+
+Entities are the values that the patterns find. For each entity and each word of the texts that hold it, the number
+of different texts that hold both is counted over the whole corpus, as is the number of different texts that hold the
+word. With p(e|t) = texts with both / texts with t, the word's pointwise mutual information with the entity, as a
+share of the entity's information content -ln p(e), says how much of the entity it discloses. Words in at least
+MIN_TEXTS different texts with it that disclose at least DISCLOSURE of it become spans of kind `term`
+wherever they stand in texts that hold the entity. Equal texts count once, so copies of a text are no evidence.
 """
 
 from __future__ import annotations
@@ -22,9 +22,8 @@ from pyspark.sql import types as T
 from pulltally.llm.arrays import byte_chunks, split_words
 from pulltally.llm.scratch import Scratch
 
-WINDOW = 8
-MIN_CONTEXTS = 3
 DISCLOSURE = 0.8
+MIN_TEXTS = 3
 #: Shorter words never become terms.
 MIN_LETTERS = 3
 KINDS = ("email", "ip", "card", "phone")
@@ -86,45 +85,34 @@ def _entity(kind: str, value: str) -> str:
     return f"{kind}:{value.lower() if kind in ('email', 'ip') else ''.join(_DIGITS.findall(value))}"
 
 
-def contexts(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[str, list[tuple[str, int, int]]]]:
-    """Each entity with the lower-cased words around it: (word, start, end). Words inside spans don't count."""
-    taken = sorted((a, b) for _, a, b in spans)
-    for kind, a, b in spans:
-        words = []
-        # Wide enough for WINDOW words of usual length on either side; a word cut at the edge is left out.
-        left, right = max(0, a - 24 * WINDOW), min(len(text), b + 24 * WINDOW)
-        before = [m for m in _WORD.finditer(text, left, a) if m.start() > left or left == 0]
-        after = [m for m in _WORD.finditer(text, b, right) if m.end() < right or right == len(text)]
-        for m in before[-WINDOW:] + after[:WINDOW]:
-            if not any(x < m.end() and m.start() < y for x, y in taken):
-                words.append((m[0].lower(), m.start(), m.end()))
-        yield _entity(kind, text[a:b]), words
+def words_outside(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[str, int, int]]:
+    """(word, start, end) of the lower-cased words of MIN_LETTERS or more that don't touch a span."""
+    taken: list[list[int]] = []
+    for a, b in sorted((a, b) for _, a, b in spans):
+        if taken and a < taken[-1][1]:
+            taken[-1][1] = max(b, taken[-1][1])
+        else:
+            taken.append([a, b])
+    k = 0
+    for m in _WORD.finditer(text):
+        while k < len(taken) and taken[k][1] <= m.start():
+            k += 1
+        if m.end() - m.start() >= MIN_LETTERS and (k == len(taken) or m.end() <= taken[k][0]):
+            yield m[0].lower(), m.start(), m.end()
 
 
 def _ascii_lower(text: str) -> str:
     return "".join(c.lower() if c.isascii() else c for c in text)
 
 
-def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text_key, entity, context, term) of the words around each entity."""
+def _entities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text_key, entity) of each entity of a text, once."""
     for batch in batches:
-        rows: list[tuple] = []
+        rows = []
         for key, value in zip(batch.column("text_key").to_pylist(), batch.column("text"), strict=True):
             text = value.as_py() or ""
-            for entity, words in contexts(text, base_spans(text)):
-                context = " ".join(w for w, _, _ in words)
-                rows += [(key, entity, context, w) for w in {w for w, _, _ in words} if len(w) >= MIN_LETTERS]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [()] * 4, (pa.int64(), *[pa.string()] * 3), strict=True)], ["text_key", "entity", "context", "term"])
-
-
-def _term_hash(term: str) -> int:
-    data = np.frombuffer(_ascii_lower(term).encode(), np.uint8)
-    return int(split_words(data, np.array([0, len(data)]), _SEPARATORS).hashes()[:1].view(np.int64)[0])
-
-
-def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column("term"), pa.array([_term_hash(t) for t in batch.column("term").to_pylist()], pa.int64())], ["term", "hash"])
+            rows += [(key, e) for e in sorted({_entity(kind, text[a:b]) for kind, a, b in base_spans(text)})]
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int64()), pa.array([e for _, e in rows], pa.string())], ["text_key", "entity"])
 
 
 def _marked(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -141,6 +129,30 @@ def _places(hashes: DataFrame) -> bytes:
     return table.tobytes()
 
 
+def _beside(table: bytes):
+    def beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(text_key, term) of each word of the texts in the table, once per row."""
+        places = np.frombuffer(table, np.uint8)
+        for batch in batches:
+            keys = batch.column("text_key").to_numpy().astype(np.int64)
+            for k in np.flatnonzero(_marked(places, keys.view(np.uint64))).tolist():
+                text = batch.column("text")[k].as_py() or ""
+                terms = sorted({w for w, _, _ in words_outside(text, base_spans(text))})
+                yield pa.RecordBatch.from_arrays([pa.array([int(keys[k])] * len(terms), pa.int64()), pa.array(terms, pa.string())], ["text_key", "term"])
+
+    return beside
+
+
+def _term_hash(term: str) -> int:
+    data = np.frombuffer(_ascii_lower(term).encode(), np.uint8)
+    return int(split_words(data, np.array([0, len(data)]), _SEPARATORS).hashes()[:1].view(np.int64)[0])
+
+
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column("term"), pa.array([_term_hash(t) for t in batch.column("term").to_pylist()], pa.int64())], ["term", "hash"])
+
+
 def _holder(table: bytes, copies: bytes):
     def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Hashes of the candidate words that each text holds, once per text: counted, or with the key of texts that may have copies."""
@@ -166,40 +178,48 @@ def _holder(table: bytes, copies: bytes):
 
 
 def disclosing_terms(docs: DataFrame) -> DataFrame | None:
-    """(text_key, entity, terms): per text and entity the words around it that disclose it; None if there are none."""
+    """(text_key, terms): per text the words that disclose an entity of it; None if there are none."""
     scratch = Scratch(docs.sparkSession, "pii")
     keyed = docs.where("text is not null").select(F.xxhash64("text").alias("text_key"), "text")
-    seen = scratch.save(keyed.mapInArrow(_seen, "text_key long, entity string, context string, term string"), "seen")
-    # How many different contexts hold both: first once per context, then counted.
-    pairs = seen.select("entity", "term", F.xxhash64("context").alias("context")).distinct().groupBy("entity", "term").agg(F.count("*").alias("both"))
-    pairs = scratch.save(pairs.where(F.col("both") >= MIN_CONTEXTS), "pairs")
-    if pairs.isEmpty():
-        return None
-    terms = scratch.save(pairs.select("term").distinct().mapInArrow(_hashed, "term string, hash long"), "terms")
+    found = scratch.save(keyed.mapInArrow(_entities, "text_key long, entity string").distinct(), "entities")
     keys = scratch.save(keyed.groupBy("text_key").agg(F.count("*").alias("n")), "keys")
-    n_docs = float(keys.count())
+    n_texts = float(keys.count())
+    if not n_texts:
+        return None
+    # The least p(e|t) that discloses enough: (ln p(e|t) - ln p(e)) / -ln p(e) >= DISCLOSURE.
+    least = F.pow(F.least(F.col("n_entity") / n_texts, F.lit(1 - 1e-9)), F.lit(1 - DISCLOSURE))
+    entities = found.groupBy("entity").agg(F.count("*").alias("n_entity")).withColumn("least", least)
+    entities = entities.where(F.col("n_entity") >= MIN_TEXTS)
+    live = scratch.save(found.join(entities, "entity"), "live")
+    if live.isEmpty():
+        return None
+    texts = live.select("text_key").distinct()
+    words = keyed.mapInArrow(_beside(_places(texts.select(F.col("text_key").alias("hash")))), "text_key long, term string")
+    words = scratch.save(words.distinct().join(texts, "text_key", "left_semi"), "words")
+    terms = scratch.save(words.select("term").distinct().mapInArrow(_hashed, "term string, hash long"), "terms")
     copies = _places(keys.where("n > 1").select(F.col("text_key").alias("hash")))
     held = keyed.mapInArrow(_holder(_places(terms), copies), "hash long, text_key long, n long")
     once = held.groupBy("hash", "text_key").agg(F.sum("n").alias("n")).select("hash", F.when(F.col("text_key").isNull(), F.col("n")).otherwise(1).alias("n"))
     held = once.groupBy("hash").agg(F.sum("n").alias("holding"))
-    entity = seen.select("entity", F.xxhash64("context").alias("context")).distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    p_term = F.least(F.lit(1.0), F.col("both") / F.greatest("holding", "both"))
-    p_entity = F.least(F.col("n_entity") / n_docs, F.lit(1 - 1e-9))
-    # PMI(e;t) / IC(e) = (ln p(e|t) - ln p(e)) / -ln p(e)
-    strong = pairs.join(terms, "term").join(held, "hash").join(entity, "entity").where((F.log(p_term) - F.log(p_entity)) / -F.log(p_entity) >= DISCLOSURE)
-    strong = scratch.save(strong.select("entity", "term"), "strong")
-    flagged = seen.select("text_key", "entity", "term").distinct().join(strong, ["entity", "term"])
-    flagged = scratch.save(flagged.groupBy("text_key").agg(F.collect_set(F.struct("entity", "term")).alias("terms")), "flagged")  # at most the words around a text's own entities
+    held = scratch.save(terms.join(held, "hash").select("term", "holding"), "held")
+    # A word in more texts than n_entity / least can't pass, so it isn't paired.
+    pairs = live.join(words.join(held, "term"), "text_key").where(F.col("holding") * F.col("least") <= F.col("n_entity"))
+    pairs = pairs.groupBy("entity", "term").agg(F.count("*").alias("both"), F.first("least").alias("least"), F.first("holding").alias("holding"))
+    strong = scratch.save(pairs.where((F.col("both") >= MIN_TEXTS) & (F.col("both") / F.greatest("holding", "both") >= F.col("least"))).select("entity", "term"), "strong")
+    some = words.join(strong.select("term").distinct(), "term", "left_semi")
+    flagged = some.join(live.select("text_key", "entity"), "text_key").join(strong, ["entity", "term"], "left_semi")
+    flagged = scratch.save(flagged.groupBy("text_key").agg(F.collect_set("term").alias("terms")), "flagged")  # at most the words of the text
     return None if flagged.isEmpty() else flagged
 
 
-def all_spans(text: str, terms: list[dict] | None) -> list[tuple[str, int, int]]:
+def all_spans(text: str, terms: list[str] | None) -> list[tuple[str, int, int]]:
     base = base_spans(text)
     if not terms:
         return base
-    wanted = {(t["entity"], t["term"]) for t in terms}
-    extra = {("term", a, b) for entity, words in contexts(text, base) for w, a, b in words if (entity, w) in wanted}
-    return base + sorted(extra, key=lambda s: s[1])
+    wanted = set(terms)
+    extra = [("term", a, b) for w, a, b in words_outside(text, base) if w in wanted]
+    return base + extra
+
 
 
 def redact(text: str, spans: list[tuple[str, int, int]]) -> str:
@@ -237,7 +257,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
     """
     texts = docs.select(F.col("text").cast("string").alias("text"))
     terms = disclosing_terms(texts)
-    kind = "array<struct<entity:string,term:string>>"
+    kind = "array<string>"
     rows = docs.select(F.struct("*").alias("kept"), F.col("text").cast("string").alias("text"))
     if terms is None:
         rows = rows.withColumn("terms", F.lit(None).cast(kind))

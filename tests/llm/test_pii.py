@@ -98,3 +98,14 @@ def test_copies_count_neither_for_nor_against_a_term(spark):
     found = terms(spark, texts)
     assert all(found[k] == ["Zebulon"] for k in (*range(6), *range(1000, 2000)))
     assert not any(found[k] for k in range(100, 400))
+
+
+def test_terms_anywhere_in_the_document(spark):
+    """A name at the head discloses the address at the foot and goes wherever it stands, long words between or not."""
+    texts = [(k, " ".join(["Zebulon", *letters(k, 60), "zebulon", *letters(700 + k, 30), "q" * 300, "x@y.org"])) for k in range(8)]
+    texts += [(100 + k, " ".join(letters(100 + k, 40))) for k in range(300)]
+    found = terms(spark, texts)
+    for k in range(8):
+        assert [t for t in found[k] if t.lower() == "zebulon"] == ["Zebulon", "zebulon"]
+        assert set(found[k]) == {"Zebulon", "zebulon", "q" * 300}
+    assert not any(found[k] for k in range(100, 400))
