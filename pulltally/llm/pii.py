@@ -3,19 +3,20 @@
 Entities are the values that the patterns find. For each entity and each word of the texts that hold it, the number
 of different texts that hold both is counted over the whole corpus, as is the number of different texts that hold the
 word. With p(e|t) = texts with both / texts with t, the word's pointwise mutual information with the entity, as a
-share of the entity's information content -ln p(e), says how much of the entity it discloses. Words in at least
-MIN_TEXTS different texts with it that disclose at least DISCLOSURE of it become spans of kind `term`
+share of the entity's information content -ln p(e), says how much of the entity it discloses. Words that disclose at
+least DISCLOSURE of it, at the lower bound that p(e|t) has with a confidence of 95%, become spans of kind `term`
 wherever they stand in texts that hold the entity. Equal texts count once, so copies of a text are no evidence.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,7 +24,8 @@ from pulltally.llm.arrays import byte_chunks, split_words
 from pulltally.llm.scratch import Scratch
 
 DISCLOSURE = 0.8
-MIN_TEXTS = 3
+#: -ln of the chance at which a word that discloses less would be seen with the entity as often.
+EVIDENCE = -math.log(0.05)
 #: Shorter words never become terms.
 MIN_LETTERS = 3
 KINDS = ("email", "ip", "card", "phone")
@@ -189,7 +191,8 @@ def disclosing_terms(docs: DataFrame) -> DataFrame | None:
     # The least p(e|t) that discloses enough: (ln p(e|t) - ln p(e)) / -ln p(e) >= DISCLOSURE.
     least = F.pow(F.least(F.col("n_entity") / n_texts, F.lit(1 - 1e-9)), F.lit(1 - DISCLOSURE))
     entities = found.groupBy("entity").agg(F.count("*").alias("n_entity")).withColumn("least", least)
-    entities = entities.where(F.col("n_entity") >= MIN_TEXTS)
+    # Words that stand with the entity only and in all of its texts are the best evidence there can be.
+    entities = entities.where(-F.col("n_entity") * F.log("least") >= EVIDENCE)
     live = scratch.save(found.join(entities, "entity"), "live")
     if live.isEmpty():
         return None
@@ -205,13 +208,20 @@ def disclosing_terms(docs: DataFrame) -> DataFrame | None:
     # A word in more texts than n_entity / least can't pass, so it isn't paired.
     pairs = live.join(words.join(held, "term"), "text_key").where(F.col("holding") * F.col("least") <= F.col("n_entity"))
     pairs = pairs.groupBy("entity", "term").agg(F.count("*").alias("both"), F.first("least").alias("least"), F.first("holding").alias("holding"))
-    strong = scratch.save(pairs.where((F.col("both") >= MIN_TEXTS) & (F.col("both") / F.greatest("holding", "both") >= F.col("least"))).select("entity", "term"), "strong")
+    strong = scratch.save(pairs.where(_passes(F.col("both"), F.greatest("holding", "both"), F.col("least"))).select("entity", "term"), "strong")
     some = words.join(strong.select("term").distinct(), "term", "left_semi")
     flagged = some.join(live.select("text_key", "entity"), "text_key").join(strong, ["entity", "term"], "left_semi")
     flagged = scratch.save(flagged.groupBy("text_key").agg(F.collect_set("term").alias("terms")), "flagged")  # at most the words of the text
     return None if flagged.isEmpty() else flagged
 
 
+def _passes(both: Column, holding: Column, least: Column) -> Column:
+    """Whether p(e|t) is at least `least` with a confidence of 1 - exp(-EVIDENCE), by Chernoff's bound."""
+    share = both / holding
+    rest = F.when(both < holding, (holding - both) * F.log((1 - share) / (1 - least))).otherwise(0.0)
+    return (share > least) & (both * F.log(share / least) + rest >= EVIDENCE)
+
+
 def all_spans(text: str, terms: list[str] | None) -> list[tuple[str, int, int]]:
     base = base_spans(text)
     if not terms:

@@ -109,3 +109,13 @@ def test_terms_anywhere_in_the_document(spark):
         assert [t for t in found[k] if t.lower() == "zebulon"] == ["Zebulon", "zebulon"]
         assert set(found[k]) == {"Zebulon", "zebulon", "q" * 300}
     assert not any(found[k] for k in range(100, 400))
+
+
+def test_two_texts_are_evidence_in_a_large_corpus(spark):
+    """An address seen twice has terms where the corpus is large enough to tell them from chance; one seen once has none."""
+    texts = [(k, " ".join([*letters(k, 9), "Zebulon", "x@y.org", *letters(500 + k, 9)])) for k in range(2)]
+    texts += [(10, "Quandary stands here q@z.org")] + [(100 + k, " ".join(letters(100 + k, 12))) for k in range(5000)]
+    found = terms(spark, texts)
+    assert found[0] == found[1] == ["Zebulon"] and not any(t for i, t in found.items() if i > 1)
+    few = terms(spark, texts[:300])
+    assert not any(few.values())
