@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulltally.llm import decontaminate, html_text, licenses, near_dedup, neighbours, packing, pii, token_files, toxicity, warc
+from pulltally.llm import decontaminate, html_text, licenses, merkle, near_dedup, neighbours, packing, pii, token_files, toxicity, warc
 from pulltally.llm.scratch import Scratch
 from pulltally.llm.shipping import ship_package
 from pulltally.llm.tokens import public_tokenizer
@@ -81,7 +81,15 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest_neighbours(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_decontaminate, op3_token_files, op4_html_text, op5_personal_data, op6_licenses, op7_warc, op8_packing, op9_toxicity, op10_neighbours)}
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.check_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+QUERIES = {
+    f.__name__: f for f in (
+        op1_near_dedup, op2_decontaminate, op3_token_files, op4_html_text, op5_personal_data, op6_licenses, op7_warc, op8_packing,
+        op9_toxicity, op10_neighbours, op12_merkle)
+}
 
 _CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -99,6 +107,57 @@ def _shingle_sql(name: str, table: str, key: str) -> str:
 ), {name}_n AS (SELECT {key}, count(*) AS n FROM {name}_s GROUP BY {key})"""
 
 
+def _merkle_sql(levels: int = 8, top_levels: int = 4) -> str:
+    """Trees of up to 8**levels rows per lang and 8**top_levels langs."""
+    def field(value: str) -> str:
+        return f"coalesce(strlen({value}::VARCHAR) || ':' || {value}::VARCHAR, '-')"
+
+    def leaf(text: str) -> str:
+        return "sha256(" + " || ".join(map(field, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+
+    # The crc32 of the decimal id: each byte, then its eight shifts (marked by -1).
+    steps = "list_concat([0::BIGINT], flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])))"
+    crc = f"xor(list_reduce({steps}, lambda r, b: CASE WHEN b >= 0 THEN xor(r, b) WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END, 4294967295), 4294967295)"
+    lowered = f"translate(text, '{_CAPITALS}', '{_CAPITALS.lower()}')"
+    parts = [f"""
+leaves AS (
+    SELECT doc_id, lang, {leaf('text')} AS leaf, CASE WHEN {crc} % 3 = 0 THEN {leaf(lowered)} ELSE {leaf('text')} END AS x FROM documents
+), l0 AS (
+    SELECT doc_id, lang, leaf, leaf AS d, x, '' AS proof,
+        row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM leaves
+)"""]
+
+    def climb(name: str, depth: int, key: str, rows: str) -> str:
+        """Nodes one level higher, and the leaves' walk there: their node, the hash of it as altered, and the siblings passed."""
+        nodes, up = f"{name}{depth}", f"{name}{depth + 1}"
+        same = f"a.{key} IS NOT DISTINCT FROM p.{key}" if key else "true"
+        group = f"{key}, " if key else ""
+        return f"""
+{up} AS (
+    SELECT {group}i // 8 AS i, (max(n) + 7) // 8 AS n, list(d ORDER BY i) AS ds, sha256(string_agg(d, '' ORDER BY i)) AS d
+    FROM (SELECT DISTINCT {group}i, n, d FROM {nodes}) WHERE n > 1 GROUP BY {group}i // 8
+    UNION ALL SELECT DISTINCT {group}i, n, NULL, d FROM {nodes} WHERE n = 1
+), {rows}{depth + 1} AS (
+    SELECT a.* REPLACE (
+        CASE WHEN ds IS NULL THEN a.i ELSE p.i END AS i, p.n AS n, p.d AS d,
+        CASE WHEN ds IS NULL THEN x ELSE sha256(array_to_string(ds[1:a.i % 8], '') || x || array_to_string(ds[a.i % 8 + 2:], '')) END AS x,
+        CASE WHEN ds IS NULL THEN proof ELSE proof || array_to_string(ds[1:a.i % 8], '') || array_to_string(ds[a.i % 8 + 2:], '') END AS proof)
+    FROM {rows}{depth} a JOIN {up} p ON {same} AND p.i = CASE WHEN a.n > 1 THEN a.i // 8 ELSE a.i END
+)"""
+
+    parts += ["w0 AS (SELECT * FROM l0)"] + [climb("l", k, "lang", "w") for k in range(levels)]
+    parts.append(f"""
+t0 AS (
+    SELECT lang, d, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT lang, d FROM w{levels})
+), v0 AS (
+    SELECT w.* REPLACE (t.i AS i, t.n AS n), w.d AS subroot FROM w{levels} w JOIN t0 t ON w.lang IS NOT DISTINCT FROM t.lang
+)""")
+    parts += [climb("t", k, "", "v") for k in range(top_levels)]
+    return f"""
+WITH {','.join(parts)}
+SELECT doc_id, leaf, subroot, d AS root, sha256(proof) AS proof_sha256, x AS folded_root, x = d AS verified FROM v{top_levels}"""
+
+
 #: SQL can't tokenize, learn, or give places of matches in code points; those operators are tested against brute force.
 ORACLE: dict[str, str] = {
     "op1_near_dedup": f"""
@@ -122,4 +181,5 @@ SELECT page_id, n AS payload_bytes, digest AS payload_digest,
     CASE WHEN m <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
     CASE WHEN m <> page_id THEN m END AS refers_to, NULL::VARCHAR AS error
 FROM p LEFT JOIN last USING (digest)""",
+    "op12_merkle": _merkle_sql(),
 }
