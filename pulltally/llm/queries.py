@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulltally.llm import decontaminate, html_text, licenses, merkle, near_dedup, neighbours, packing, pii, token_files, toxicity, warc
+from pulltally.llm import decontaminate, hard_negatives, html_text, licenses, merkle, near_dedup, neighbours, packing, pii, secrets, token_files, toxicity, warc
 from pulltally.llm.scratch import Scratch
 from pulltally.llm.shipping import ship_package
 from pulltally.llm.tokens import public_tokenizer
@@ -16,6 +16,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _joined(spans: Column) -> Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+def _count(kind: str) -> Column:
+    return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicate_classes(_table(spark, sf_dir, "documents"))
 
@@ -37,15 +45,8 @@ def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.personal_data(_table(spark, sf_dir, "documents"))
-
-    def joined(spans: Column) -> Column:
-        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
-
-    def count(kind: str) -> Column:
-        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-
     base = F.filter("spans", lambda s: s["kind"] != "term")
-    return found.select(F.col("kept.doc_id").alias("doc_id"), *map(count, pii.KINDS), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    return found.select(F.col("kept.doc_id").alias("doc_id"), *map(_count, pii.KINDS), F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
 
 
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,14 +82,29 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest_neighbours(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    found = secrets.secret_spans(docs, secrets.fit(secrets.labelled_samples(docs)))
+    base = F.filter("spans", lambda s: s["kind"] != "random")
+    return found.select(
+        F.col("kept.doc_id").alias("doc_id"), *[_count(kind) for kind in secrets.KINDS],
+        F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.check_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vec_id, label = F.col("vec_id"), F.col("label")
+    shifted = _table(spark, sf_dir, "embeddings").withColumn("label", F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label))
+    return hard_negatives.hard_negatives(shifted, vec_id % 50 == 0)
+
+
 QUERIES = {
     f.__name__: f for f in (
         op1_near_dedup, op2_decontaminate, op3_token_files, op4_html_text, op5_personal_data, op6_licenses, op7_warc, op8_packing,
-        op9_toxicity, op10_neighbours, op12_merkle)
+        op9_toxicity, op10_neighbours, op11_secrets, op12_merkle, op13_hard_negatives)
 }
 
 _CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -182,4 +198,18 @@ SELECT page_id, n AS payload_bytes, digest AS payload_digest,
     CASE WHEN m <> page_id THEN m END AS refers_to, NULL::VARCHAR AS error
 FROM p LEFT JOIN last USING (digest)""",
     "op12_merkle": _merkle_sql(),
+    "op13_hard_negatives": """
+WITH v AS (
+    SELECT row_number() OVER () AS i, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e
+    FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+    SELECT a.i, a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id, list_sum(list_transform(list_zip(a.e, b.e), lambda z: z[1] * z[2]))::BIGINT AS score
+    FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE a.vec_id % 50 = 0
+), p AS (
+    SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, vec_id) AS r FROM s WHERE same QUALIFY r <= 5
+)
+SELECT p.anchor_id, p.vec_id AS positive_id, row_number() OVER (PARTITION BY p.i, p.r ORDER BY s.score DESC, s.vec_id)::INTEGER AS rank,
+    s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON s.i = p.i AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score QUALIFY rank <= 3""",
 }

@@ -18,7 +18,7 @@ FOLDER = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def duck():
     connection = duckdb.connect()
-    for name in ("documents", "benchmark", "pages"):
+    for name in ("documents", "benchmark", "pages", "embeddings"):
         connection.execute(f"CREATE VIEW {name} AS SELECT * FROM '{FOLDER}/{name}.parquet'")
     return connection
 
@@ -33,7 +33,7 @@ def test_matches_sql(spark, duck, name):
 
 
 def test_every_operator_has_a_query():
-    assert {name.split("_")[0] for name in QUERIES} == {f"op{n}" for n in (*range(1, 11), 12)}
+    assert {name.split("_")[0] for name in QUERIES} == {f"op{n}" for n in range(1, 14)}
 
 
 def test_pipeline(spark, duck):
