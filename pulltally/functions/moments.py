@@ -47,6 +47,15 @@ def without_zone(value: Column, kind: T.DataType) -> Column:
     return value.cast("timestamp_ntz")
 
 
+def microseconds(value: Column, kind: T.DataType) -> Column:
+    """Microseconds since 1970 as a number that follows the time, in any zone of the session."""
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(value)
+    days = F.datediff(value.cast("date"), F.lit("1970-01-01").cast("date")).cast("bigint")
+    seconds = (days * 24 + F.hour(value)) * 3600 + F.minute(value) * 60
+    return seconds * 1_000_000 + (F.extract(F.lit("SECOND"), value) * 1_000_000).cast("bigint")
+
+
 def iso_seconds(value: Column, kind: T.DataType) -> Column:
     """ISO-8601 in UTC, to the second, with ``Z``."""
     text = F.substring(without_zone(value, kind).cast("string"), 1, 19)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulltally import fixed_values as fixed
-from pulltally.functions.moments import Moment, cutoff, in_utc, iso_text
+from pulltally.functions.moments import Moment, cutoff, in_utc, iso_text, microseconds
 from pulltally.functions.prs import month_key
 from pulltally.functions.text import percent, rate_text
 from pulltally.operators.ranking import (
@@ -24,6 +24,7 @@ from pulltally.operators.ranking import (
     gather_parts,
     numbered,
     ranked,
+    with_ranges,
 )
 
 AUTHOR = ("author",)
@@ -95,15 +96,20 @@ def activity_summaries(prs: DataFrame, as_of: Moment = None, keys: Sequence[str]
 def repo_counts(prs: DataFrame, keys: Sequence[str] = AUTHOR) -> DataFrame:
     """Pull requests per repository, ranked by count, then latest activity, then name.
 
-    An author with very many repositories is ranked by buckets of count and last
-    day. With P pull requests over D days there are at most sqrt(2PD) of these, and
-    a bucket holds no more than the repositories the author worked on in one day.
+    An author with very many repositories is ranked by buckets of count and last day, with P pull requests over D
+    days at most sqrt(2PD) of these, and where one day has thousands of them by ranges of time and name.
     """
     return _ranked_repos(_repo_totals(prs, keys), keys)
 
 
-def _ranked_repos(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return ranked(counts, keys, _busiest_first(), _busiest_levels(), "repo_rank")
+def _ranked_repos(counts: DataFrame, keys: Sequence[str], first: int | None = None) -> DataFrame:
+    bucket = F.struct("pr_count", _day("last_created_at").alias("day"))
+    # Within a bucket the latest come first, those without a time last, then names.
+    time = microseconds(F.col("last_created_at"), counts.schema["last_created_at"].dataType)
+    place = F.struct(F.coalesce(-time, F.lit(2**63 - 1)).alias("time"), F.coalesce("repo", F.lit("")).alias("repo"))
+    ranges = with_ranges(counts, keys, bucket, place, "_range")
+    levels = [Level(bucket, True), Level(F.col("_range"), False)]
+    return ranked(ranges, keys, _busiest_first(), levels, "repo_rank", first=first).drop("_range")
 
 
 def _repo_totals(prs: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -115,10 +121,6 @@ def _busiest_first() -> list[Column]:
     return [F.col("pr_count").desc(), F.col("last_created_at").desc(), F.col("repo").asc()]
 
 
-def _busiest_levels() -> list[Level]:
-    return [Level(F.struct("pr_count", _day("last_created_at").alias("day")), True)]
-
-
 def top_repositories(prs: DataFrame, n: int = fixed.PROMPT_REPOSITORIES, keys: Sequence[str] = AUTHOR) -> DataFrame:
     """The first ``n`` of ``repo_counts``."""
     return _first_repos(_repo_totals(prs, keys), n, keys)
@@ -126,7 +128,7 @@ def top_repositories(prs: DataFrame, n: int = fixed.PROMPT_REPOSITORIES, keys: S
 
 def _first_repos(counts: DataFrame, n: int, keys: Sequence[str]) -> DataFrame:
     if n > SMALL_N:
-        return ranked(counts, keys, _busiest_first(), _busiest_levels(), "repo_rank", first=n)
+        return _ranked_repos(counts, keys, first=n)
     return first_rows(counts, keys, _busiest_first(), n, "repo_rank", spread=("repo",))
 
 

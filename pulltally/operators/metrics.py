@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulltally import schema
 from pulltally.functions.diff_lines import LINE_TESTS, added_lines, fold, is_added
+from pulltally.functions.moments import microseconds
 
 SIZES = ("additions", "deletions", "changed_files")
 
@@ -40,6 +41,42 @@ def diff_line_counts_by_line(diff_lines: DataFrame, on: Sequence[str] = schema.P
         *[F.count_if(is_added(line) & test(line)).alias(name) for name, test in LINE_TESTS.items()])
 
 
+def diff_line_counts_by_chunk(chunks: DataFrame, on: Sequence[str] = schema.PR_KEY) -> DataFrame:
+    """The same counts from diffs cut into numbered chunks (``chunk``, ``data`` BINARY), wherever the cuts are.
+
+    Whole lines are counted in their chunk. What stands before a chunk's first line end and after its last is
+    joined with its neighbours' to whole lines, as bytes, since a cut may fall inside a character. So only ends of
+    chunks are shuffled, and no task needs a whole diff, whatever its size. Chunks of a diff are numbered in
+    their order; null ones count as empty.
+    """
+    data = F.coalesce("data", F.lit(b""))
+    rows = chunks.select(*on, "chunk", data.alias("data"))
+    # Each byte as one character, so that places are bytes.
+    plain = rows.withColumn("_plain", F.decode("data", "ISO-8859-1"))
+    sizes = plain.withColumns({
+        "_head": F.length(F.substring_index("_plain", "\n", 1)), "_tail": F.length(F.substring_index("_plain", "\n", -1)),
+        "_ends": F.instr("_plain", "\n") > 0}).drop("_plain")
+    middle = F.expr("substring(data, _head + 2, length(data) - _head - _tail - 2)")
+    whole = F.when(F.col("_ends") & (F.length("data") > F.col("_head") + F.col("_tail") + 1), middle.cast("string"))
+    counted = sizes.select(*on, added_lines(whole).alias("added"))
+    inner = counted.select(*on, *[F.coalesce(F.size(F.filter("added", test)), F.lit(0)).cast("bigint").alias(name) for name, test in LINE_TESTS.items()])
+
+    # A line's number is that of the chunks with a line end before it; one with an end gives the rest of a line and the start of the next.
+    tail = F.expr("substring(data, length(data) - _tail + 1, _tail)")
+    head = F.when(F.col("_ends"), F.expr("substring(data, 1, _head)")).otherwise(F.col("data"))
+    before = Window.partitionBy(*on).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    ends = sizes.select(*on, "chunk", "_ends", head.alias("_first"), F.when(F.col("_ends"), tail).alias("_last"))
+    ends = ends.withColumn("_line", F.coalesce(F.sum(F.col("_ends").cast("bigint")).over(before), F.lit(0)))
+    parts = ends.select(*on, "_line", F.struct("chunk", F.lit(0).alias("part"), F.hex("_first").alias("hex")).alias("piece")).union(
+        ends.filter("_ends").select(*on, F.col("_line") + 1, F.struct("chunk", F.lit(1).alias("part"), F.hex("_last").alias("hex"))))
+    joined = parts.groupBy(*on, "_line").agg(F.array_join(F.sort_array(F.collect_list("piece"))["hex"], "").alias("hex"))
+    line = fold(F.unhex("hex").cast("string"))
+    outer = joined.select(*on, line.alias("line"))
+    line = F.col("line")
+    outer = outer.select(*on, *[(is_added(line) & test(line)).cast("bigint").alias(name) for name, test in LINE_TESTS.items()])
+    return inner.union(outer).groupBy(*on).agg(*[F.sum(name).alias(name) for name in LINE_TESTS])
+
+
 def with_details(prs: DataFrame, details: DataFrame, on: Sequence[str] = schema.PR_KEY) -> DataFrame:
     """Pull requests with the sizes from their details; all pull requests stay."""
     sizes = _one_per_key(details, on, list(SIZES))
@@ -59,12 +96,13 @@ def pr_metrics(
     With ``selected`` only those pull requests count: all diffs are counted on the
     spot and the narrow results joined. ``broadcast_selected``, for selections that
     pass ``few_rows``, drops the other diffs before their lines are counted.
-    ``diffs`` has either whole texts (``diff``) or one ``line`` per row.
+    ``diffs`` has whole texts (``diff``), one ``line`` per row, or numbered chunks (``chunk``, ``data``).
     """
     keys = None if selected is None else selected.select(*on)
     if keys is not None and broadcast_selected:
         diffs = diffs.join(F.broadcast(keys.distinct()), list(on), "left_semi")
-    counted = diff_line_counts_by_line(diffs, on) if "line" in diffs.columns else diff_line_counts(diffs, on)
+    count = diff_line_counts_by_line if "line" in diffs.columns else diff_line_counts_by_chunk if "chunk" in diffs.columns else diff_line_counts
+    counted = count(diffs, on)
 
     counts = _one_per_key(counted, on, list(LINE_TESTS))
     sizes = _one_per_key(details, on, list(SIZES))
@@ -96,10 +134,13 @@ def _one_per_key(df: DataFrame, on: Sequence[str], values: list[str]) -> DataFra
     """One record per key. Copies are combined map-side; of differing ones the same stays on every run.
 
     The latest export stays (``exported_at``), of those of one time, or where there is none, the record with
-    the highest hash. Without times, numbers instead of structs keep this a hash aggregation, which does not sort.
+    the highest hash. The order is a number of fixed width, so that this is a hash aggregation, which does not sort.
     """
     order = F.xxhash64(*values)
     if "exported_at" in df.columns:
-        order = F.struct("exported_at", order.alias("hash"))
+        time = microseconds(F.col("exported_at"), df.schema["exported_at"].dataType)
+        # 64 bits of time, the lowest where there is none, and 60 of the hash: less than 38 digits.
+        time = F.coalesce(time, F.lit(-(2**63))).cast("decimal(19,0)") * F.lit(2**60).cast("decimal(19,0)")
+        order = (time + F.shiftright(order, 4)).cast("decimal(38,0)")
     hashed = df.withColumn("_order", order)
     return hashed.groupBy(*on).agg(*[F.max_by(name, "_order").alias(name) for name in values])

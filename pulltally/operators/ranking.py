@@ -6,6 +6,9 @@ before the shuffle, so nothing more is needed. For full ranks, large n and "all
 but the last n" the group is cut into buckets that follow the order: rows per
 bucket are counted (combined map-side), running totals over the short bucket list
 give each bucket's first rank, and rows are numbered only inside their bucket.
+
+Where no value bounds a bucket (one day's thousands of repositories), ``with_ranges`` cuts
+it into ranges of its order. Their edges come from a sample that is combined map-side.
 """
 
 from __future__ import annotations
@@ -34,6 +37,12 @@ class Level:
     descending: bool
 
 
+# Rows that a bucket may have before it is cut into ranges, and the rows sampled for their edges.
+RANGE_ROWS = 8192
+SAMPLES = 4096
+# Samples behind each range: so its size varies by a third or so.
+SAMPLES_PER_RANGE = 8
+
 # Shares that a group is cut into before its first rows are taken.
 SHARES = 32
 
@@ -61,6 +70,32 @@ def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[Column], rank:
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
 
 
+def with_ranges(df: DataFrame, keys: Sequence[str], bucket: Column, place: Column, name: str) -> DataFrame:
+    """Adds ``name``, a number that follows ``place`` (ascending) within each bucket of a group; for a last ``Level``.
+
+    Buckets of more than ``RANGE_ROWS`` rows are cut into ranges of about that many, at most ``SAMPLES`` /
+    ``SAMPLES_PER_RANGE``; all others are 0. A bucket's sample holds the place with the lowest hash of each of
+    ``SAMPLES`` slots, so map tasks combine theirs and no bucket is gathered. The same rows give the same ranges.
+    """
+    rows = df.withColumns({"_bucket": bucket, "_place": place})
+    order = F.xxhash64("_place")
+    slots = rows.groupBy(*keys, "_bucket", F.pmod(order, F.lit(SAMPLES)).alias("_slot")).agg(
+        F.count(F.lit(1)).alias("_rows"), F.min_by("_place", order).alias("_sample"))
+    large = slots.groupBy(*keys, "_bucket").agg(F.sum("_rows").alias("_rows"), F.array_sort(F.collect_list("_sample")).alias("_sorted"))
+    large = large.filter(F.col("_rows") > RANGE_ROWS)
+    ranges = F.least(F.ceil(F.col("_rows") / RANGE_ROWS), F.ceil(F.size("_sorted") / SAMPLES_PER_RANGE)).cast("int")
+    edges = F.expr("transform(sequence(1, _ranges), k -> get(_sorted, cast(floor(k * size(_sorted) / _ranges) as int)))")
+    cut = large.withColumn("_ranges", ranges).select(*keys, "_bucket", F.slice(edges, 1, F.col("_ranges") - 1).alias("_edges"))
+    # A large bucket's rows meet its edges in shares, so that no task gets all of them.
+    copies = cut.withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
+    shared = rows.withColumn("_share", F.pmod(order, F.lit(SHARES)).cast("int"))
+    met = shared.join(copies, [*keys, "_bucket", "_share"], "left")
+    # The number of edges at or before the place, by halving steps.
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range((SAMPLES // SAMPLES_PER_RANGE).bit_length()))])
+    found = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get("_edges", at + step - 1) <= F.col("_place"), at + step).otherwise(at))
+    return met.withColumn(name, F.when(F.col("_edges").isNull(), 0).otherwise(found)).select(*df.columns, name)
+
+
 def _running_totals(
     counts: DataFrame, keys: Sequence[str], names: Sequence[str], depth: int, level: Level
 ) -> DataFrame:
@@ -76,7 +111,7 @@ def _running_totals(
 
 
 def bucket_offsets(df: DataFrame, keys: Sequence[str], levels: Sequence[Level]) -> DataFrame:
-    """Per group and bucket: rows ahead of the bucket, and rows in the group."""
+    """Per group and bucket: rows ahead of the bucket, in it, and in the group."""
     names = [f"_b{i}" for i in range(len(levels))]
     columns = [level.value.alias(name) for level, name in zip(levels, names)]
     counts = df.select(*keys, *columns).groupBy(*keys, *names).agg(F.count(F.lit(1)).alias("_rows"))
@@ -88,7 +123,7 @@ def bucket_offsets(df: DataFrame, keys: Sequence[str], levels: Sequence[Level])
         totals = _running_totals(at_depth, keys, names, depth, levels[depth]).drop("_rows")
         placed = placed.join(totals, [*keys, *names[: depth + 1]])
     ahead = sum((F.col(f"_ahead{depth}") for depth in range(1, last + 1)), F.col("_ahead0"))
-    return placed.select(*keys, *names, ahead.alias("_ahead"), "_group_rows")
+    return placed.select(*keys, *names, ahead.alias("_ahead"), "_rows", "_group_rows")
 
 
 def ranked(
@@ -120,7 +155,22 @@ def ranked(
         result = result.filter(F.col(rank) <= first)
     if without_last:
         result = result.filter(F.col(rank) <= F.col("_group_rows") - without_last)
-    return result.drop(*names, "_ahead", "_group_rows")
+    return result.drop(*names, "_ahead", "_rows", "_group_rows")
+
+
+def first_of_all(df: DataFrame, order: Sequence[Column], levels: Sequence[Level], n: int) -> DataFrame:
+    """The first ``n`` of all rows. Only the bucket that holds the last of them is sorted; those before it are kept whole.
+
+    The first level must have few values (years), as their totals are added up in one task.
+    """
+    names = [f"_b{i}" for i in range(len(levels))]
+    kept = bucket_offsets(df, [], levels).filter(F.col("_ahead") < n)
+    rows = df.withColumns({name: level.value for level, name in zip(levels, names)})
+    whole = kept.filter(F.col("_ahead") + F.col("_rows") <= n)
+    last = kept.filter(F.col("_ahead") + F.col("_rows") > n).select(*names, "_ahead")
+    cut = rows.join(last, names).withColumn("_rank", F.row_number().over(Window.partitionBy(*names).orderBy(*order)))
+    cut = cut.filter(F.col("_ahead") + F.col("_rank") <= n)
+    return rows.join(whole, names, "left_semi").select(*df.columns).union(cut.select(*df.columns))
 
 
 def gather_parts(

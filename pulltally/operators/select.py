@@ -13,7 +13,7 @@ from pulltally import fixed_values as fixed
 from pulltally.functions.moments import Moment, cutoff
 from pulltally.functions.prs import pr_size
 from pulltally.operators.activity import AUTHOR, newest_first, newest_levels, numbered_place
-from pulltally.operators.ranking import SMALL_N, Level, first_rows, ranked
+from pulltally.operators.ranking import SMALL_N, Level, first_of_all, first_rows, ranked
 
 RANK = "selection_rank"
 
@@ -34,7 +34,17 @@ def search(
         return prs
     if keys:
         return _take(prs, keys, newest_first(), newest_levels(), limit).drop(RANK)
-    return prs.orderBy(*newest_first()).limit(limit)
+    if limit <= SMALL_N:
+        return prs.orderBy(*newest_first()).limit(limit)
+    return first_of_all(prs, newest_first(), _minutes(), limit)
+
+
+def _minutes() -> list[Level]:
+    """Buckets for the newest of all: years, hours and minutes, then as in ``newest_levels``."""
+    hour, untimed = newest_levels()
+    never = F.lit("0001-01-01").cast("timestamp")
+    year, minute = (F.coalesce(F.date_trunc(unit, "created_at"), never) for unit in ("year", "minute"))
+    return [Level(year, True), hour, Level(minute, True), untimed]
 
 
 @dataclass(frozen=True)

@@ -21,6 +21,12 @@ PR_DETAILS = (
 
 PR_DIFFS = "repo STRING, number BIGINT, diff STRING"
 
+# A diff of any size as chunks of its bytes, numbered in their order.
+PR_DIFF_CHUNKS = "repo STRING, number BIGINT, chunk BIGINT, data BINARY"
+
+# Exported diff files and their sizes.
+DIFF_MANIFEST = "path STRING, bytes BIGINT"
+
 PR_FILES = (
     "repo STRING, number BIGINT, path STRING, additions BIGINT, deletions BIGINT, "
     "change_type STRING"

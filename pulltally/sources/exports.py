@@ -179,39 +179,90 @@ def diff_records(texts: DataFrame) -> Read:
     return Read(found.rows.select("repo", "number", "diff"), found.rejected)
 
 
-def read_diffs(spark: SparkSession, path: str) -> DataFrame:
-    """Whole diffs from files ``<path>/<owner>/<repo>/<number>.diff``, for small sets: Spark lists each file."""
-    texts = spark.read.text(_diff_files(path), wholetext=True)
-    found = texts.select(*key_from_path(F.col("_metadata.file_path")), F.col("value").alias("diff"))
-    return found.union(_empty_diffs(spark, path))
+def read_diff_chunks(spark: SparkSession, path: str, form: str = "parquet") -> Read:
+    """Diffs of any size as chunks ``repo, number, chunk, data``; in JSON lines (``form="json"``) data is base 64.
 
+    Chunks of a diff are numbered from 0. A record without one of the four is rejected, as is text that isn't base 64.
+    """
+    if form == "json":
+        layout = schema.PR_DIFF_CHUNKS.replace("BINARY", "STRING")
+        data = F.try_to_binary(F.col("data"), F.lit("base64"))
+        problem = missing(repository=present(F.col("repo")), number=F.col("number"), chunk=F.col("chunk"), data=data)
+        found = read_records(stored_texts(spark, path), layout, problem)
+        return Read(found.rows.select("repo", "number", "chunk", data.alias("data")), found.rejected)
+    problem = missing(repository=present(F.col("repo")), number=F.col("number"), chunk=F.col("chunk"), data=F.col("data"))
+    stored = spark.read.schema(schema.PR_DIFF_CHUNKS).parquet(path).withColumn("reason", problem)
+    text = F.to_json(F.struct("repo", "number", "chunk"))
+    rejected = stored.filter("reason is not null").select(F.col("_metadata.file_path").alias("file"), text.alias("text"), "reason")
+    return Read(stored.filter("reason is null").drop("reason"), rejected)
+
+
+def diff_chunks(diffs: DataFrame, chunk_bytes: int = 1 << 20) -> DataFrame:
+    """Whole diffs cut into chunks of that many bytes, wherever that is; an empty diff has one empty chunk."""
+    data = F.col("diff").cast("binary")
+    last = F.floor((F.greatest(F.length(data), F.lit(1)) - 1) / chunk_bytes).cast("bigint")
+    rows = diffs.filter(F.col("diff").isNotNull()).select(*schema.PR_KEY, data.alias("_data"), F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("chunk"))
+    part = F.substring("_data", (F.col("chunk") * chunk_bytes + 1).cast("int"), F.lit(chunk_bytes))
+    return rows.select(*schema.PR_KEY, "chunk", part.alias("data"))
+
+
+def read_diffs(spark: SparkSession, path: str, manifest: DataFrame | None = None) -> DataFrame:
+    """Whole diffs from files ``<owner>/<repo>/<number>.diff`` below ``path``.
+
+    Spark lists folder by folder, many of them on the executors, but passes over empty files whatever the reader. With a
+    ``manifest`` (``path``, ``bytes``) the empty diffs are those that it names with 0 bytes, and the driver lists nothing
+    itself; without one it looks for them, which suits small sets. For very many diffs use ``read_diff_records`` or
+    ``read_diff_chunks``, which hold many in a file.
+    """
+    texts = _diff_texts(spark, path, wholetext=True)
+    return texts.withColumnRenamed("text", "diff").union(_empty_diffs(spark, path, manifest))
 
-def read_diff_lines(spark: SparkSession, path: str) -> DataFrame:
+
+def read_diff_lines(spark: SparkSession, path: str, manifest: DataFrame | None = None) -> DataFrame:
     """The same files one line per row, so that Spark can split a large diff. An empty file has one empty line."""
-    texts = spark.read.text(_diff_files(path), lineSep="\n")
-    found = texts.select(*key_from_path(F.col("_metadata.file_path")), F.col("value").alias("line"))
-    return found.union(_empty_diffs(spark, path))
+    texts = _diff_texts(spark, path, lineSep="\n")
+    return texts.withColumnRenamed("text", "line").union(_empty_diffs(spark, path, manifest))
 
 
-def _empty_diffs(spark: SparkSession, path: str) -> DataFrame:
-    """Files of length 0, which Spark passes over whatever the reader. They are listed like the others, by the driver."""
-    pattern = spark._jvm.org.apache.hadoop.fs.Path(_diff_files(path))
-    listed = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern)
-    empty = [(f.getPath().toUri().getRawPath(),) for f in listed or [] if f.getLen() == 0]
-    return spark.createDataFrame(empty, "path STRING").select(*key_from_path(F.col("path")), F.lit("").alias("text"))
+def missing_diffs(manifest: DataFrame, found: DataFrame) -> DataFrame:
+    """Manifest rows whose diff wasn't read: files that are gone, or whose place names no pull request."""
+    listed = manifest.select(*key_from_path(F.col("path")), *manifest.columns)
+    keys = found.select(*[F.col(name).alias(f"_{name}") for name in schema.PR_KEY]).distinct()
+    same = (F.col("repo") == F.col("_repo")) & (F.col("number") == F.col("_number"))
+    return listed.join(keys, same, "left_anti").select(*manifest.columns)
+
 
+def _diff_texts(spark: SparkSession, path: str, **options) -> DataFrame:
+    texts = spark.read.options(recursiveFileLookup=True, pathGlobFilter="*.diff").text(path, **options)
+    return _keyed(texts.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")))
 
-def _diff_files(path: str) -> str:
-    return path.rstrip("/") + "/*/*/*.diff"
+
+def _keyed(texts: DataFrame) -> DataFrame:
+    """``repo, number, text`` of those whose ``path`` is a diff's place."""
+    return texts.select(*key_from_path(F.col("path")), "text").filter(F.col("number").isNotNull())
+
+
+def _empty_diffs(spark: SparkSession, path: str, manifest: DataFrame | None) -> DataFrame:
+    """Files of length 0, from the manifest or as the driver finds them."""
+    if manifest is not None:
+        return _keyed(manifest.filter("bytes = 0").select("path", F.lit("").alias("text")))
+    return _keyed(spark.createDataFrame([(place, "") for place in _empty_files(spark, path)], "path STRING, text STRING"))
+
+
+def _empty_files(spark: SparkSession, path: str) -> list[str]:
+    """Addresses of empty diff files, listed by the driver."""
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + "/*/*/*.diff")
+    listed = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern)
+    return [f.getPath().toUri().getRawPath() for f in listed or [] if f.getLen() == 0]
 
 
 def key_from_path(path: Column) -> list[Column]:
-    """Repository and number from a diff's place."""
+    """Repository and number from a diff's place; null where it is none."""
     place = r"([^/]+/[^/]+)/(\d+)[.]diff$"
     file = decoded(path)
     return [
-        F.regexp_extract(file, place, 1).alias("repo"),
-        F.regexp_extract(file, place, 2).cast("bigint").alias("number"),
+        F.nullif(F.regexp_extract(file, place, 1), F.lit("")).alias("repo"),
+        F.nullif(F.regexp_extract(file, place, 2), F.lit("")).try_cast("bigint").alias("number"),
     ]
 
 

@@ -1,6 +1,11 @@
 from __future__ import annotations
 
-from pulltally.operators import activity
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from pulltally.functions.moments import microseconds
+from pulltally.operators import activity, ranking
+from pulltally.operators.ranking import RANGE_ROWS, with_ranges
 from tests.data import pull_requests
 
 AS_OF = "2025-01-15"
@@ -70,3 +75,42 @@ def test_windows_do_not_split_the_scan(spark, tmp_path):
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert text.count("FileScan") == 1 and text.count("Exchange") == 1
     assert "title" not in text
+
+
+def one_day(spark, n):
+    """An author with one pull request in each of n repositories, all on one day, and a few others."""
+    many = spark.range(n).select(
+        F.concat(F.lit("org/service-"), F.lpad(F.col("id").cast("string"), 7, "0")).alias("repo"), F.lit(1).cast("bigint").alias("number"),
+        F.lit("OPEN").alias("state"), F.lit("hot").alias("author"),
+        F.timestamp_seconds(F.lit(1_735_700_000) + F.when(F.col("id") % 3 == 0, F.col("id") % 5).otherwise(7)).alias("created_at"))
+    few = many.filter("repo < 'org/service-0000050'").withColumn("author", F.concat(F.lit("user"), F.substring("repo", -1, 1)))
+    return many.union(few)
+
+
+def test_one_day_with_very_many_repositories_falls_into_ranges(spark):
+    counts = activity._repo_totals(one_day(spark, 300_000), ("author",))
+    bucket = F.struct("pr_count", F.to_date("last_created_at").alias("day"))
+    place = F.struct((-F.unix_micros("last_created_at")).alias("time"), "repo")
+    found = with_ranges(counts, ["author"], bucket, place, "range").groupBy("author", "range").count().collect()
+    sizes = [r["count"] for r in found if r["author"] == "hot"]
+    assert len(sizes) >= 30 and sum(sizes) == 300_000 and max(sizes) < 3 * RANGE_ROWS
+    assert {r["range"] for r in found if r["author"] != "hot"} == {0}
+
+
+def test_ranks_over_ranges(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "RANGE_ROWS", 50)
+    for kind in ("timestamp", "timestamp_ntz"):
+        prs = one_day(spark, 3000).withColumn("created_at", F.col("created_at").cast(kind))
+        prs = prs.union(prs.limit(200).withColumns({"repo": F.concat(F.lit("no-time-"), "repo"), "created_at": F.lit(None).cast(kind)}))
+        found = activity.repo_counts(prs)
+        order = Window.partitionBy("author").orderBy(*activity._busiest_first())
+        assert found.count() == 3000 + 50 + 200
+        assert found.withColumn("plain", F.row_number().over(order)).filter("plain != repo_rank").count() == 0
+        first = activity.top_repositories(prs, 1500).filter("author = 'hot'")
+        assert first.count() == 1500 and first.agg(F.max("repo_rank")).first()[0] == 1500
+
+
+def test_microseconds_follow_the_time(spark):
+    rows = spark.sql("SELECT timestamp'1969-12-31 23:59:59.25Z' AS a, timestamp_ntz'2024-03-31 02:30:01.5' AS b")
+    times = [microseconds(F.col(c), rows.schema[c].dataType) for c in "ab"]
+    assert tuple(rows.select(*times).first()) == (-750_000, 1_711_852_201_500_000)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 import pulltally
 from pulltally.operators.activity import activity_report, first_parts
 from pulltally.operators.languages import extensions_of, language_filter
-from pulltally.operators.metrics import diff_line_counts, diff_line_counts_by_line
+from pulltally.operators.metrics import diff_line_counts, diff_line_counts_by_chunk, diff_line_counts_by_line
 from pulltally.plans.assessment import AssessmentConfig, assess, finish, save
 from pulltally.session import discard, materialize, run_folder, shared_folder
 from pulltally.sinks import writers
@@ -155,6 +155,41 @@ def test_groups_are_needed(spark):
         activity_report(pull_requests(spark, []), keys=())
 
 
+def test_many_small_diffs_with_a_manifest(spark, tmp_path, monkeypatch):
+    """The driver looks for nothing: folders are listed by Spark's own jobs, empty files come from the manifest."""
+    listed = []
+    for k in range(10_000):
+        folder = tmp_path / "diffs" / f"owner{k % 50}" / "a b"
+        folder.mkdir(parents=True, exist_ok=True)
+        text = "" if k % 100 == 7 else "+test\n"
+        (folder / f"{k}.diff").write_text(text)
+        listed.append((f"{folder}/{k}.diff".replace(" ", "%20"), len(text)))
+    (folder / "notes.diff").write_text("+test")
+    listed += [(f"{folder}/notes.diff", 5), (f"{folder}/99999.diff", 3)]
+    manifest = spark.createDataFrame(listed, pulltally.schema.DIFF_MANIFEST)
+    monkeypatch.setattr(exports, "_empty_files", None)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    found = exports.read_diffs(spark, str(tmp_path / "diffs"), manifest)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) > jobs
+    counts = {tuple(r) for r in diff_line_counts(found).select("repo", "number", "test_additions").collect()}
+    assert counts == {(f"owner{k % 50}/a b", k, int(k % 100 != 7)) for k in range(10_000)}
+    assert sorted(r.path[-10:] for r in exports.missing_diffs(manifest, found).collect()) == ["99999.diff", "notes.diff"]
+
+
+def test_stored_chunks(spark, tmp_path):
+    diffs = spark.createDataFrame([("o/r", 1, DIFF), ("o/r", 2, ""), ("o/r", 3, None)], pulltally.schema.PR_DIFFS)
+    exports.diff_chunks(diffs, 10).write.parquet(str(tmp_path / "chunks"))
+    rows, rejected = exports.read_diff_chunks(spark, str(tmp_path / "chunks"))
+    counts = {r.number: (r.test_additions, r.doc_additions, r.security_pattern_matches) for r in diff_line_counts_by_chunk(rows).collect()}
+    assert counts == {1: DIFF_COUNTS, 2: (0, 0, 0)} and rejected.count() == 0
+    records = exports.diff_chunks(diffs, 10).withColumn("data", F.base64("data")).select(F.to_json(F.struct("*")).alias("value"))
+    bad = spark.createDataFrame([('{"repo": "o/r", "number": 1, "chunk": 4, "data": "?"}',), ('{"repo": "o/r", "number": 1, "data": ""}',), ("{",)], "value STRING")
+    records.union(bad).write.text(str(tmp_path / "json"))
+    again, rejected = exports.read_diff_chunks(spark, str(tmp_path / "json"), form="json")
+    assert sorted(again.collect()) == sorted(rows.collect())
+    assert sorted(r.reason for r in rejected.collect()) == ["no chunk", "no data", "not JSON"]
+
+
 def test_file_lists(spark, tmp_path):
     cli = {"repo": "t/r", "number": 1, "files": [{"path": "a/b.TS", "additions": 1, "deletions": 0, "changeType": "ADDED"}]}
     api = {"repo": "t/r", "number": 2, "files": [{"filename": "c.go", "additions": 2, "deletions": 3, "status": "modified"}]}

@@ -5,6 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from pulltally.operators import metrics
+from pulltally.sources.exports import diff_chunks
 from tests.data import DIFF, DIFF_COUNTS, at
 
 COUNTS = ("test_additions", "doc_additions", "security_pattern_matches")
@@ -16,6 +17,9 @@ def counts(spark, texts):
     lines = df.filter("diff IS NOT NULL").select("repo", "number", F.explode(F.split("diff", "\n", -1)).alias("line"))
     by_line = {r.number: tuple(r[c] for c in COUNTS) for r in metrics.diff_line_counts_by_line(lines).collect()}
     assert whole == by_line
+    for size in (1, 2, 3, 7, 50, 1 << 20):
+        chunks = diff_chunks(df, size)
+        assert {r.number: tuple(r[c] for c in COUNTS) for r in metrics.diff_line_counts_by_chunk(chunks).collect()} == whole
     return whole
 
 
@@ -101,3 +105,32 @@ def test_latest_copy_of_details_counts(spark):
     assert metrics.with_details(prs, details).first().additions == 500
     diffs = spark.createDataFrame([("r/r", 1, "+x")], "repo STRING, number BIGINT, diff STRING")
     assert metrics.pr_metrics(details.orderBy("additions"), diffs).first().total_additions == 500
+
+
+def test_metrics_from_chunks(spark):
+    details, diffs = tables(spark)
+    once = diff_chunks(diffs.filter("number = 1"), 5)
+    assert once.count() > 20
+    assert [tuple(r) for r in metrics.pr_metrics(details, once).collect()] == [("r/r", 1, *DIFF_COUNTS, 10, 0, 4)]
+
+
+def test_a_line_over_many_chunks_and_uneven_cuts(spark):
+    text = "+é test " + "x" * 5000 + "README\n-password\n" + "+tokén auth" * 300 + "\n+漢字 secret\n\n"
+    data, cuts = text.encode(), [0, 1, 3, 4, 900, 901, 5018, 5019, 5031, 9000, 9001]
+    chunks = [("r/r", 1, k, bytearray(data[a:b])) for k, (a, b) in enumerate(zip(cuts, [*cuts[1:], len(data)]))]
+    rows = [*chunks, ("r/r", 2, 0, bytearray()), ("r/r", 3, 0, None), ("r/r", 4, 0, bytearray(b"\n")), ("r/r", 5, 7, bytearray(b"+te")), ("r/r", 5, 9, bytearray(b"st"))]
+    df = spark.createDataFrame(rows, "repo STRING, number BIGINT, chunk BIGINT, data BINARY")
+    found = {r.number: tuple(r[c] for c in COUNTS) for r in metrics.diff_line_counts_by_chunk(df).collect()}
+    assert found == {1: expected(text), 2: (0, 0, 0), 3: (0, 0, 0), 4: (0, 0, 0), 5: (1, 0, 0)}
+
+
+def test_latest_copies_are_hash_aggregated(spark):
+    layout = "repo STRING, number BIGINT, additions BIGINT, deletions BIGINT, changed_files BIGINT, exported_at "
+    diffs = spark.createDataFrame([("r/r", k, "+x") for k in range(4)], "repo STRING, number BIGINT, diff STRING")
+    early, late = at("1960-01-01T00:00:00"), at("9999-12-31T00:00:00")
+    rows = [("r/r", 0, 1, 0, 1, None), ("r/r", 0, 2, 0, 1, early), ("r/r", 1, 3, 0, 1, early), ("r/r", 1, 4, 0, 1, late), ("r/r", 2, 5, 0, 1, None)]
+    for kind in ("TIMESTAMP", "TIMESTAMP_NTZ"):
+        given = [r if kind == "TIMESTAMP" or r[-1] is None else (*r[:-1], r[-1].replace(tzinfo=None)) for r in rows]
+        result = metrics.pr_metrics(spark.createDataFrame(given, layout + kind), diffs)
+        assert sorted((r.number, r.total_additions) for r in result.collect()) == [(0, 2), (1, 4), (2, 5)]
+        assert "SortAggregate" not in result._jdf.queryExecution().executedPlan().toString()

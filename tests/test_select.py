@@ -154,3 +154,15 @@ def test_newest_of_each_author(hot):
     found = search(hot, limit=5, keys=("author",))
     assert sorted((r.author, r.number) for r in found.collect()) == sorted((a, n) for a, n, _ in pairs(select_prs(hot, "last 5", AS_OF)))
     assert found.columns == hot.columns
+
+
+def test_a_high_limit_is_cut_by_running_counts(spark):
+    hot = spark.range(40_000).select(
+        F.lit("x/y").alias("repo"), F.col("id").alias("number"), F.lit("OPEN").alias("state"), F.lit("a").alias("author"),
+        F.when(F.col("id") % 1000 != 0, F.timestamp_seconds(1_735_689_000 - F.floor(F.col("id") / 7) * 60 - F.col("id") % 5)).alias("created_at"))
+    for limit in (1_001, 20_000, 39_970, 100_000):
+        found = search(hot, limit=limit)
+        want = hot.orderBy(*newest_first()).limit(limit)
+        assert found.count() == min(limit, 40_000) and found.exceptAll(want).count() == 0
+    plan = search(hot, limit=1_000_000)._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrdered" not in plan and "GlobalLimit" not in plan
