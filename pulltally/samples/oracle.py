@@ -321,6 +321,7 @@ FROM prs JOIN details USING (number)"""),
     "search_newest_per_author": _with(PRS, select=f"""
 SELECT * FROM prs QUALIFY row_number() OVER (PARTITION BY author ORDER BY {NEWEST}) <= 4"""),
     "search_newest": _with(PRS, select=f"SELECT * FROM prs ORDER BY {NEWEST} LIMIT 100"),
+    "search_newest_many": _with(PRS, select=f"SELECT * FROM prs ORDER BY {NEWEST} LIMIT 1234"),
     "select_last_n": _select("QUALIFY selection_rank <= 3", _RANKED),
     "select_last_many": _select("QUALIFY selection_rank <= 2000", _RANKED),
     "select_last_negative": _select("QUALIFY selection_rank <= count(*) OVER (PARTITION BY author) - 3", _RANKED),
@@ -336,6 +337,7 @@ SELECT * FROM prs QUALIFY row_number() OVER (PARTITION BY author ORDER BY {NEWES
     "select_open": _select("WHERE state = 'OPEN'"),
     "select_default": _select("QUALIFY selection_rank <= 5", _RANKED),
     "diff_line_counts": _with(DIFFS, COUNTS, select="SELECT * FROM counts"),
+    "diff_chunk_counts": _with(DIFFS, COUNTS, select="SELECT * FROM counts"),
     "diff_records": _with(DIFFS, COUNTS, select="SELECT * FROM counts WHERE number % 13 <> 0 AND number % 17 <> 0"),
     "diff_records_rejected": _with(DIFFS, select="""
 SELECT number, 'export.json' AS file, CASE WHEN number % 13 = 0 THEN 'not JSON' ELSE 'no diff' END AS reason

@@ -128,6 +128,10 @@ def search_newest(spark: SparkSession, sf: str) -> DataFrame:
     return search(t.pull_requests(spark, sf), limit=100)
 
 
+def search_newest_many(spark: SparkSession, sf: str) -> DataFrame:
+    return search(t.pull_requests(spark, sf), limit=1234)
+
+
 def search_newest_per_author(spark: SparkSession, sf: str) -> DataFrame:
     return search(t.pull_requests(spark, sf), limit=4, keys=("author",))
 
@@ -151,6 +155,11 @@ def diff_line_counts(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.diff_line_counts(t.pr_diffs(spark, sf), on=t.KEY)
 
 
+def diff_chunk_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Counts of diffs that are cut into chunks, most cuts being inside a line."""
+    return metrics.diff_line_counts_by_chunk(exports.diff_chunks(t.pr_diffs(spark, sf), 1000, t.KEY), on=t.KEY)
+
+
 def diff_records(spark: SparkSession, sf: str) -> DataFrame:
     """Counts of diffs that are stored as records."""
     return metrics.diff_line_counts(exports.diff_records(t.diff_texts(spark, sf)).rows, on=t.KEY)
@@ -428,6 +437,7 @@ QUERIES: dict[str, Query] = {
     "stored_report_rest": stored_report_rest,
     "search_author_repo": search_author_repo,
     "search_newest": search_newest,
+    "search_newest_many": search_newest_many,
     "search_newest_per_author": search_newest_per_author,
     "select_last_n": _selection("last 3"),
     "select_last_many": _selection("last 2000"),
@@ -441,6 +451,7 @@ QUERIES: dict[str, Query] = {
     "select_open": _selection("open"),
     "select_default": _selection("custom"),
     "diff_line_counts": diff_line_counts,
+    "diff_chunk_counts": diff_chunk_counts,
     "diff_records": diff_records,
     "diff_records_rejected": diff_records_rejected,
     "diff_files": diff_files,

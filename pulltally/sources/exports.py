@@ -4,11 +4,15 @@
 layout (nothing is inferred), and the texts that are no such record or lack what makes them one.
 ``*_from_*`` functions turn raw records into the tables of ``schema``. Exports are JSON lines, which
 Spark can split; ``pages=True`` reads stored answer pages (``{"items": [...]}``) instead, and
-``multi_line=True`` pages that are indented over many lines, one to a file.
+``multi_line=True`` records or pages that are indented over many lines, one to a file. Rows and rejected
+texts are two results of one parse: with a ``run`` folder (``session.run_folder``) it is stored there and
+done once, without one each of the two reads the export.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,24 +27,33 @@ from pulltally.functions.prs import (
     text_or_empty,
     utc_timestamp,
 )
+from pulltally.sources.pages import read_pages
 from pulltally.sources.records import Read, decoded, missing, read_records, stored_texts
 
 
 # Pull requests, search-API shape ------------------------------------------
 
 
-def read_api_search(spark: SparkSession, path: str, pages: bool = False, multi_line: bool = False) -> Read:
-    """Pull requests from exported search items."""
-    return api_search(stored_texts(spark, path, multi_line), "items" if pages or multi_line else None)
+def read_api_search(
+    spark: SparkSession, path: str, pages: bool = False, multi_line: bool = False, run: str | None = None
+) -> Read:
+    """Pull requests from exported search items. Indented pages (``multi_line``) may have any size."""
+    if multi_line:
+        found = read_pages(spark, path, schema.RAW_API_ITEM, "items", _item_problem(), run=run)
+        return Read(prs_from_api_items(found.rows), found.rejected)
+    return api_search(stored_texts(spark, path), "items" if pages else None, run)
 
 
-def api_search(texts: DataFrame, items: str | None = None) -> Read:
+def api_search(texts: DataFrame, items: str | None = None, run: str | None = None) -> Read:
     """Pull requests from texts (``file``, ``text``) of search items, or of pages with a list of them."""
-    problem = missing(repository=present(F.col("repository_url")), number=F.col("number"))
-    found = read_records(texts, schema.RAW_API_ITEM, problem, items)
+    found = read_records(texts, schema.RAW_API_ITEM, _item_problem(), items, run)
     return Read(prs_from_api_items(found.rows), found.rejected)
 
 
+def _item_problem() -> Column:
+    return missing(repository=present(F.col("repository_url")), number=F.col("number"))
+
+
 def prs_from_api_items(items: DataFrame) -> DataFrame:
     merged_at = F.col("pull_request.merged_at")
     return items.select(
@@ -66,12 +79,13 @@ def pull_requests_only(items: DataFrame) -> DataFrame:
 # Pull requests, command-line shape ----------------------------------------
 
 
-def read_cli_search(spark: SparkSession, path: str, status_path: str) -> Read:
+def read_cli_search(spark: SparkSession, path: str, status_path: str, run: str | None = None) -> Read:
     """Pull requests from exported command-line records and their merge states."""
     repo = present(F.col("repository.nameWithOwner"))
-    records = read_records(stored_texts(spark, path), schema.RAW_CLI_RECORD, missing(repository=repo, number=F.col("number")))
+    records = read_records(
+        stored_texts(spark, path), schema.RAW_CLI_RECORD, missing(repository=repo, number=F.col("number")), run=run)
     key = missing(repository=present(F.col("repo")), number=F.col("number"))
-    status = read_records(stored_texts(spark, status_path), schema.RAW_MERGE_STATUS, key)
+    status = read_records(stored_texts(spark, status_path), schema.RAW_MERGE_STATUS, key, run=run)
     return Read(prs_from_cli_records(records.rows, status.rows), records.rejected.union(status.rejected))
 
 
@@ -104,8 +118,10 @@ def with_merge_status(prs: DataFrame, status: DataFrame) -> DataFrame:
 # Details -------------------------------------------------------------------
 
 
-def read_details(spark: SparkSession, path: str, shape: str = "api") -> Read:
-    """Details from exported payloads, ``shape`` being ``api`` or ``cli``.
+def read_details(
+    spark: SparkSession, path: str, shape: str = "api", multi_line: bool = False, run: str | None = None
+) -> Read:
+    """Details from exported payloads, ``shape`` being ``api`` or ``cli``; indented ones (``multi_line``) one to a file.
 
     ``exported_at`` is the time of the file; of several copies of a record the latest counts.
     """
@@ -114,7 +130,7 @@ def read_details(spark: SparkSession, path: str, shape: str = "api") -> Read:
         "cli": (schema.RAW_CLI_DETAIL, "url", details_from_cli),
     }[shape]
     repo, number = key_from_url(F.col(url))
-    found = read_records(stored_texts(spark, path), layout, missing(repository=repo, number=number))
+    found = read_records(stored_texts(spark, path, multi_line), layout, missing(repository=repo, number=number), run=run)
     return Read(convert(found.rows), found.rejected)
 
 
@@ -197,13 +213,13 @@ def read_diff_chunks(spark: SparkSession, path: str, form: str = "parquet") -> R
     return Read(stored.filter("reason is null").drop("reason"), rejected)
 
 
-def diff_chunks(diffs: DataFrame, chunk_bytes: int = 1 << 20) -> DataFrame:
+def diff_chunks(diffs: DataFrame, chunk_bytes: int = 1 << 20, on: Sequence[str] = schema.PR_KEY) -> DataFrame:
     """Whole diffs cut into chunks of that many bytes, wherever that is; an empty diff has one empty chunk."""
     data = F.col("diff").cast("binary")
     last = F.floor((F.greatest(F.length(data), F.lit(1)) - 1) / chunk_bytes).cast("bigint")
-    rows = diffs.filter(F.col("diff").isNotNull()).select(*schema.PR_KEY, data.alias("_data"), F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("chunk"))
+    rows = diffs.filter(F.col("diff").isNotNull()).select(*on, data.alias("_data"), F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("chunk"))
     part = F.substring("_data", (F.col("chunk") * chunk_bytes + 1).cast("int"), F.lit(chunk_bytes))
-    return rows.select(*schema.PR_KEY, "chunk", part.alias("data"))
+    return rows.select(*on, "chunk", part.alias("data"))
 
 
 def read_diffs(spark: SparkSession, path: str, manifest: DataFrame | None = None) -> DataFrame:
@@ -269,10 +285,10 @@ def key_from_path(path: Column) -> list[Column]:
 # Files ----------------------------------------------------------------------
 
 
-def read_files(spark: SparkSession, path: str) -> Read:
-    """Changed files from exported lists, one record per pull request."""
+def read_files(spark: SparkSession, path: str, multi_line: bool = False, run: str | None = None) -> Read:
+    """Changed files from exported lists, one record per pull request; indented ones (``multi_line``) one to a file."""
     key = missing(repository=present(F.col("repo")), number=F.col("number"), files=F.col("files"))
-    found = read_records(stored_texts(spark, path), schema.RAW_FILES, key)
+    found = read_records(stored_texts(spark, path, multi_line), schema.RAW_FILES, key, run=run)
     return Read(files_from_lists(found.rows), found.rejected)
 
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulltally.functions.strict_json import strict_object, struct_fields
+from pulltally.session import materialize
 
 NOT_JSON = "not JSON"
 REJECTED = ("file", "text", "reason")
@@ -32,12 +34,20 @@ def stored_texts(spark: SparkSession, path: str, multi_line: bool = False) -> Da
     return texts.select(*columns, *folders).filter(F.col("text").rlike(r"\S"))
 
 
-def read_records(texts: DataFrame, fields: str, problem: Column | None = None, items: str | None = None) -> Read:
+def read_records(
+    texts: DataFrame, fields: str, problem: Column | None = None, items: str | None = None, run: str | None = None
+) -> Read:
     """Records of ``texts`` (``file``, ``text``; others stay), each a JSON object with these ``fields``.
 
     ``problem`` is a text, over the fields, for records that can't be used; null for good ones.
-    ``items`` names a list that each text holds instead: its items are the records.
+    ``items`` names a list that each text holds instead: its items are the records. With a ``run`` folder the texts
+    are parsed once and stored there, so that using both rows and rejected texts reads the export once.
     """
+    return split(parse_records(texts, fields, items), problem, run)
+
+
+def parse_records(texts: DataFrame, fields: str, items: str | None = None) -> DataFrame:
+    """``file``, ``text``, ``record`` and ``_bad`` (why it is none, or null) of each record; other columns stay."""
     kept = [name for name in texts.columns if name not in ("file", "text")]
     layout = struct_fields(fields)
     if items is None:
@@ -54,10 +64,18 @@ def read_records(texts: DataFrame, fields: str, problem: Column | None = None, i
         parsed = parsed.filter(~F.col("_none")).drop("_none").withColumns({
             "_bad": F.coalesce("_bad", F.when(F.col("record").isNull(), F.lit(f"no object among {items}"))),
             "text": F.coalesce("text", F.to_json("record"), F.lit("null"))})
-    names = parsed.select("record.*").columns
-    flat = parsed.select("file", "text", "_bad", *kept, *[F.col("record")[name].alias(name) for name in names if not name.startswith("_end")])
+    names = [name for name in parsed.select("record.*").columns if not name.startswith("_end")]
+    record = F.when(F.col("record").isNotNull(), F.struct(*[F.col("record")[name].alias(name) for name in names]))
+    return parsed.select("file", "text", "_bad", *kept, record.alias("record"))
+
+
+def split(parsed: DataFrame, problem: Column | None = None, run: str | None = None) -> Read:
+    """Good rows of ``parse_records``, and those that are rejected; parsed once and stored where there is a ``run`` folder."""
     reason = F.coalesce("_bad", problem) if problem is not None else F.col("_bad")
-    judged = flat.withColumn("reason", reason)
+    kept = [name for name in parsed.columns if name != "record"]
+    judged = parsed.select(*kept, "record.*").withColumn("reason", reason)
+    if run is not None:
+        judged = materialize(judged, f"records-{uuid.uuid4().hex}", run)
     good = judged.filter(F.col("reason").isNull()).drop("file", "text", "_bad", "reason")
     return Read(good, judged.filter(F.col("reason").isNotNull()).select(*REJECTED))
 

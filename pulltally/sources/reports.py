@@ -10,7 +10,7 @@ from pulltally.functions.prs import utc_timestamp
 from pulltally.sources.records import Read, decoded, missing, read_records, stored_texts
 
 
-def read_activity_reports(spark: SparkSession, path: str, date: str | None = None, multi_line: bool = False) -> Read:
+def read_activity_reports(spark: SparkSession, path: str, date: str | None = None, multi_line: bool = False, run: str | None = None) -> Read:
     """Reports that ``write_activity_reports`` stored, as ``activity_report`` gives them.
 
     ``date`` reads one day only; other days' folders are not opened. ``multi_line`` reads documents that are
@@ -20,13 +20,13 @@ def read_activity_reports(spark: SparkSession, path: str, date: str | None = Non
     texts = stored_texts(spark, path, multi_line)
     if date is not None:
         texts = texts.filter(F.col("date").cast("string") == date)
-    return activity_reports(texts.select("file", "text"))
+    return activity_reports(texts.select("file", "text"), run)
 
 
-def activity_reports(texts: DataFrame) -> Read:
+def activity_reports(texts: DataFrame, run: str | None = None) -> Read:
     """Reports from texts (``file``, ``text``). A document without ``user`` has it in its folder's name ``user=``."""
     user = user_of(F.col("user"), F.col("_file"))
-    found = read_records(texts.withColumn("_file", F.col("file")), schema.REPORT_DOCUMENT, missing(user=user))
+    found = read_records(texts.withColumn("_file", F.col("file")), schema.REPORT_DOCUMENT, missing(user=user), run=run)
     return Read(report_from_document(found.rows.withColumn("user", user)), found.rejected)
 
 

@@ -16,6 +16,7 @@ from pulltally.plans.assessment import AssessmentConfig, assess, finish, save
 from pulltally.session import discard, materialize, run_folder, shared_folder
 from pulltally.sinks import writers
 from pulltally.sources import exports
+from pulltally.sources.records import stored_texts
 from pulltally.sources.reports import read_activity_reports
 from tests.data import DIFF, DIFF_COUNTS, at, pull_requests
 
@@ -129,6 +130,49 @@ def test_indented_pages(spark, tmp_path):
     assert sorted((r.file[-6:], r.reason) for r in rejected.collect()) == [("a.json", "no repository"), ("c.json", "no items")]
 
 
+def pages(folder):
+    """Indented pages, good and broken, and compact ones."""
+    odd = {**OPEN_ITEM, "number": 50, "title": 'a "{x}\n    },\n    {" b', "body": "line\u2028end \\", "labels": [{"name": "q", "more": {"k": [1, {"z": []}]}}]}
+    docs = {
+        "many": {"total_count": 9, "items": [{**OPEN_ITEM, "number": k} for k in range(100, 400)], "incomplete_results": False},
+        "odd": {"errors": [{"items": [{"number": 1}]}, {"number": 2}], "items": [odd, {}, MERGED_ITEM, None, {"number": 7}], "items_more": [{"number": 3}]},
+        **{f"mixed{k}": {"items": [OPEN_ITEM, other]} for k, other in enumerate((5, [1, [2]], "x", True, [OPEN_ITEM]))},
+        "none": {"items": []}, "null": {"items": None}, "other": {"message": "limit"}, "nested": {"data": {"items": [OPEN_ITEM]}}, "list": [OPEN_ITEM],
+    }
+    for name, doc in docs.items():
+        (folder / f"{name}.json").write_text(json.dumps(doc, indent=2))
+        (folder / f"{name}-compact.json").write_text(json.dumps(doc))
+        (folder / f"{name}-wide.json").write_text(json.dumps(doc, indent=4))
+    whole = json.dumps(docs["many"], indent=2)
+    (folder / "cut.json").write_text(whole[:len(whole) // 2])
+    (folder / "comma.json").write_text(whole.replace("    },", "    }", 1))
+    (folder / "commas.json").write_text(whole.replace("    }\n  ]", "    },\n  ]"))
+    (folder / "word.json").write_text(whole.replace('"number": 150', '"number": oops'))
+    (folder / "after.json").write_text(whole + "\n{}")
+    (folder / "blank.json").write_text(" \n\n")
+    (folder / "crlf.json").write_text(whole.replace("\n", "\r\n"))
+
+
+def test_pages_by_lines_equal_whole_pages(spark, tmp_path):
+    pages(tmp_path)
+    whole = exports.api_search(stored_texts(spark, str(tmp_path), multi_line=True), "items")
+    for block in ("128m", "3000b"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", block)
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        found = exports.read_api_search(spark, str(tmp_path), multi_line=True, run=str(tmp_path / "runs"))
+        assert sorted(found.rows.collect(), key=str) == sorted(whole.rows.collect(), key=str)
+        assert sorted((r.file, r.reason) for r in found.rejected.collect()) == sorted((r.file, r.reason) for r in whole.rejected.collect())
+    for name in ("maxPartitionBytes", "openCostInBytes"):
+        spark.conf.unset(f"spark.sql.files.{name}")
+
+
+def test_parsed_once(spark, tmp_path):
+    path = lines(tmp_path / "items.json", OPEN_ITEM, MERGED_ITEM, {"number": 9})
+    found = exports.read_api_search(spark, path, run=str(tmp_path / "run"))
+    (tmp_path / "items.json").unlink()
+    assert found.rows.count() == 2 and [r.reason for r in found.rejected.collect()] == ["no repository"]
+
+
 def test_indented_report(spark, tmp_path):
     report = activity_report(pull_requests(spark, [(1, "MERGED", "2025-01-10T00:00:00", 1, 1, "a b", "o/x")]), "2025-01-15")
     document = writers.report_document(report).select(F.to_json(F.struct("*")).alias("j")).first().j
