@@ -15,6 +15,7 @@ Every anchor meets every row's code, in blocks of bounded size; first ones of bl
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +33,14 @@ AT_ONCE = 32
 BITS = 6
 #: Times the wanted number of rows that are scored for their high estimates.
 SEEDS = 3
-#: Components multiplied at once when pairs are scored.
+#: Components in a block of rows, whatever the vectors' length.
+COMPONENTS = 1 << 21
+#: Components multiplied at once when pairs are scored one by one; where more than a share of DENSE of all pairs is to be
+#: scored, a matrix product does it.
 PRODUCTS = 1 << 21
+DENSE = 0.05
+#: Up to this size of all sums, floating-point products of integers are exact.
+EXACT = 2.0**53
 #: Squared length up to which every score surely fits a 64-bit number.
 LONGEST = 2.0**62
 
@@ -105,6 +112,8 @@ class _Side:
         self.vec_id, self.label, self.row = (table[c].to_numpy() for c in ("vec_id", "label", "row"))
         self.alignment, self.rest, self.norm = (table[c].to_numpy() for c in ("alignment", "rest", "norm"))
         self.vector = np.frombuffer(b"".join(table["vector"].to_pylist()), np.int64).reshape(len(table), table["dim"][0].as_py())
+        self.floats = self.vector.astype(float)
+        self.longest = float(self.norm.max()) * (1 + 1e-9)
         self.code = np.frombuffer(b"".join(table["code"].to_pylist()), np.uint64).reshape(len(table), -1)
 
 
@@ -132,12 +141,15 @@ def intervals(turned: np.ndarray, codes: np.ndarray, alignment: np.ndarray, rest
     return centre - spread, centre + spread, product * (norm**2 / np.maximum(alignment, 1e-9))
 
 
-def _scores(anchors: _Side, rows: _Side, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Integer scores of pairs of an anchor and a row."""
+def _scores(anchors: _Side, rows: _Side, at: slice, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Integer scores of pairs of an anchor, counted from the slice's first, and a row."""
+    some = anchors.vector[at]
+    if len(i) > DENSE * len(some) * len(rows.vector) and anchors.longest * rows.longest < EXACT:
+        return (anchors.floats[at] @ rows.floats.T)[i, j].astype(np.int64)
     out = np.empty(len(i), np.int64)
     step = max(1, PRODUCTS // max(1, rows.vector.shape[1]))
     for k in range(0, len(i), step):
-        out[k:k + step] = (anchors.vector[i[k:k + step]] * rows.vector[j[k:k + step]]).sum(axis=1)
+        out[k:k + step] = (some[i[k:k + step]] * rows.vector[j[k:k + step]]).sum(axis=1)
     return out
 
 
@@ -185,15 +197,13 @@ def _best_positives(n: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
         if len(left) and len(right):
             anchors, rows = _Side(left), _Side(right)
             for at, (_, upper, estimates), same, _ in _chunks(anchors, rows):
-                def score_of(i: np.ndarray, j: np.ndarray, first: int = at.start) -> np.ndarray:
-                    return _scores(anchors, rows, i + first, j)
-
+                score_of = partial(_scores, anchors, rows, at)
                 none = np.full((len(upper), 1), np.inf)
                 i, j = np.nonzero(same & (upper >= _reached(estimates, same, n, score_of, -none, none)))
                 score = score_of(i, j)
-                i += at.start
                 first = _firsts(i, score, rows.vec_id[j], n)
-                parts.append((anchors.row[i[first]], anchors.vec_id[i[first]], rows.vec_id[j[first]], score[first]))
+                i, j, score = i[first] + at.start, j[first], score[first]
+                parts.append((anchors.row[i], anchors.vec_id[i], rows.vec_id[j], score))
         return _columns(_POSITIVE, parts)
 
     return find
@@ -205,22 +215,28 @@ def _best_negatives(n: int, low_percent: int, high_percent: int) -> Callable[[pa
         if len(left) and len(right):
             anchors, rows = _Side(left), _Side(right)
             windows = [[(-(-low_percent * p // 100), high_percent * p // 100) for p in scores] for scores in left["positive_scores"].to_pylist()]
+            most = max(map(len, windows))
             for at, (lower, upper, estimates), _, different in _chunks(anchors, rows):
-                def score_of(i: np.ndarray, j: np.ndarray, first: int = at.start) -> np.ndarray:
-                    return _scores(anchors, rows, i + first, j)
-
-                for w in range(max(map(len, windows[at]))):
-                    bounds = np.array([x[w] if w < len(x) else (1, 0) for x in windows[at]], float)
-                    low, high = bounds[:, :1], bounds[:, 1:]
-                    may = different & (upper >= low) & (lower <= high) & (low <= high)
-                    least = _reached(estimates, may & (estimates <= high), n, score_of, low, high)
-                    i, j = np.nonzero(may & (upper >= least))
-                    score = score_of(i, j)
-                    exact = np.array([x[w] if w < len(x) else (1, 0) for x in windows[at]], np.int64)[i].reshape(-1, 2)
-                    fits = (score >= exact[:, 0]) & (score <= exact[:, 1])
-                    i, j, score = i[fits] + at.start, j[fits], score[fits]
+                score_of = partial(_scores, anchors, rows, at)
+                bounds = np.array([[*scores, *[(1, 0)] * (most - len(scores))] for scores in windows[at]], np.int64)  # (1, 0): no window
+                low, high = bounds[:, :, 0], bounds[:, :, 1]
+                real = low <= high
+                # Where the lowest window has n rows, the other windows' first n score no less than those.
+                lowest = np.where(real, high, np.iinfo(np.int64).max).argmin(axis=1)[:, None]
+                low_end, high_end = (np.take_along_axis(x, lowest, 1).astype(float) for x in (low, high))
+                top = np.where(real, high, np.iinfo(np.int64).min).max(axis=1, keepdims=True).astype(float)
+                may = different & real.any(axis=1, keepdims=True) & (upper >= low_end) & (lower <= top)
+                i, j = np.nonzero(may & (upper >= _reached(estimates, may & (estimates <= high_end), n, score_of, low_end, high_end)))
+                scores = np.full(different.shape, np.iinfo(np.int64).min)
+                scores[i, j] = score_of(i, j)
+                ordered = np.sort(scores, axis=1)
+                for w in range(most):
+                    ends = np.array([np.searchsorted(row, end, "right") for row, end in zip(ordered, high[:, w], strict=True)])
+                    least = np.maximum(np.take_along_axis(ordered, np.maximum(ends - n, 0)[:, None], 1)[:, 0], low[:, w])
+                    i, j = np.nonzero((scores >= least[:, None]) & (scores <= high[:, w, None]))
+                    score = scores[i, j]
                     first = _firsts(i, score, rows.vec_id[j], n)
-                    parts.append((anchors.row[i[first]], np.full(len(first), w), rows.vec_id[j[first]], score[first]))
+                    parts.append((anchors.row[i[first] + at.start], np.full(len(first), w), rows.vec_id[j[first]], score[first]))
         return _columns(_NEGATIVE, parts)
 
     return find
@@ -263,8 +279,9 @@ def hard_negatives(
     known = known.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), vector.alias("vector"), F.coalesce(anchors, F.lit(False)).alias("is_anchor"))
     numbered = known.withColumn("row", F.monotonically_increasing_id())
     encoded = scratch.save(numbered.mapInArrow(_encoder(scale), _ENCODED), "encoded")
-    sizes = encoded.agg(F.count("*").alias("rows"), F.count_if("is_anchor").alias("anchors")).first()
-    blocks = max(1, -(-sizes["anchors"] // ANCHORS)), max(1, -(-sizes["rows"] // ROWS))
+    sizes = encoded.agg(F.count("*").alias("rows"), F.count_if("is_anchor").alias("anchors"), F.max("dim").alias("dim")).first()
+    most = max(1, COMPONENTS // max(1, sizes["dim"] or 1))
+    blocks = max(1, -(-sizes["anchors"] // min(ANCHORS, most))), max(1, -(-sizes["rows"] // min(ROWS, most)))
     chosen = encoded.where("is_anchor")
 
     found = _met(chosen, encoded, blocks, parts, _best_positives(positives), "anchor_row long, anchor_id long, vec_id long, score long")
