@@ -1,13 +1,13 @@
 """Near-duplicate documents: MinHash bands find candidates, full shingle sets confirm them.
 
-1. Each text becomes its set of five-word shingles (64-bit hashes), a set fingerprint and 128 minima
-   of universal hash functions. Texts with equal sets share a fingerprint and count as one node.
+1. Each text becomes its set of five-word shingles (64-bit hashes), two set fingerprints and 128 minima
+   of universal hash functions. Texts with equal sets share both fingerprints (128 bits) and count as one node.
 2. The minima form 32 bands of four. In every band, each node is held against the smallest node that
    shares the band: by signature first, then by the full sets. This links almost every group, with
    one candidate per node and band however large a group is.
-3. Where a band still holds nodes of different components, its nodes are compared with each other
-   in blocks of bounded size, across components only (never within the largest): by signature first, and only those that have a
-   partner there by full sets. So no link between different texts is left out.
+3. Where a band still holds nodes of different components, these are compared with each other: those of bands of up to
+   FEW nodes in pairs made by a join, once over all bands; those of larger bands in blocks of bounded size, across components
+   only (never within the largest). By signature first, then by full sets. So no link between different texts is left out.
 4. Components come from alternating large-star and small-star.
 
 Two sets with a similarity of exactly 0.75 share no band with a chance of 5e-6, of 0.8 with 5e-8.
@@ -33,12 +33,16 @@ ROWS = 4
 BANDS = MINIMA // ROWS
 #: Pairs below this estimated similarity are not looked at further.
 ESTIMATE = 0.55
-#: Nodes of a band that are compared in one go.
+#: Bands of up to so many nodes are paired by a join.
+FEW = 16
+#: Nodes of a larger band that are compared in one go.
 BLOCK = 256
+#: Shares that rows with one text are dealt to.
+SHARES = 32
 
 _A = random_words(MINIMA, 11) | np.uint64(1)
 _B = random_words(MINIMA, 12)
-_FINGERPRINT = random_words(1, 13)
+_FINGERPRINTS = random_words(2, 13)
 
 
 def minima(hashes: np.ndarray) -> np.ndarray:
@@ -50,23 +54,24 @@ def minima(hashes: np.ndarray) -> np.ndarray:
     return (least >> np.uint64(32)).astype(np.uint32)
 
 
-def fingerprint(hashes: np.ndarray) -> int:
-    """One number for a set of hashes, whatever their order."""
-    total = mix(hashes ^ _FINGERPRINT).sum(dtype=np.uint64) + np.uint64(len(hashes))
+def fingerprint(hashes: np.ndarray, which: int = 0) -> int:
+    """One number for a set of hashes, whatever their order; there are two."""
+    total = mix(hashes ^ _FINGERPRINTS[which]).sum(dtype=np.uint64) + np.uint64(len(hashes))
     return int(mix(np.array([total], np.uint64)).view(np.int64)[0])
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for first, last, data, offsets in byte_chunks(batch.column("text")):
-            count, node, signature = [], [], []
+            count, node, check, signature = [], [], [], []
             for s in shingles(data, offsets).sets():
                 count.append(len(s))
                 node.append(fingerprint(s) if len(s) else None)
+                check.append(fingerprint(s, 1) if len(s) else None)
                 signature.append(minima(s).view(np.int32) if len(s) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").slice(first, last - first), pa.array(count, pa.int64()), pa.array(node, pa.int64()), pa.array(signature, pa.list_(pa.int32()))],
-                ["doc_id", "n_shingles", "node", "signature"],
+                [*(batch.column(c).slice(first, last - first) for c in ("doc_id", "text_key")), *(pa.array(c, pa.int64()) for c in (count, node, check)), pa.array(signature, pa.list_(pa.int32()))],
+                ["doc_id", "text_key", "n_shingles", "node", "check", "signature"],
             )
 
 
@@ -75,23 +80,31 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, _, data, offsets in byte_chunks(batch.column("text")):
             sets = [s for s in shingles(data, offsets).sets() if len(s)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([fingerprint(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["node", "shingles"]
+                [*(pa.array([fingerprint(s, k) for s in sets], pa.int64()) for k in (0, 1)), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))],
+                ["node", "check", "shingles"],
             )
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, node (set fingerprint; null without words) and signature of each row."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        _signed, "doc_id long, n_shingles long, node long, signature array<int>"
-    )
+    """doc_id, text_key, n_shingles, node and check (set fingerprints; null without words) and signature of each row."""
+    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string")).alias("text_key"), F.col("text").cast("string"))
+    return rows.mapInArrow(_signed, "doc_id long, text_key long, n_shingles long, node long, check long, signature array<int>")
+
 
+def _apart(rows: DataFrame, clashes: DataFrame | None) -> DataFrame:
+    """Rows (node, check, ...) in which sets that share a node but not the check have nodes of their own."""
+    if clashes is None:
+        return rows
+    other = F.when(F.col("_least") != F.col("check"), F.xxhash64("node", "check")).otherwise(F.col("node"))
+    return rows.join(F.broadcast(clashes), "node", "left").withColumn("node", F.coalesce(other, "node")).drop("_least")
 
-def _full_sets(docs: DataFrame, signed: DataFrame, nodes: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+
+def _full_sets(docs: DataFrame, signed: DataFrame, nodes: DataFrame, clashes: DataFrame | None, scratch: Scratch, name: str) -> DataFrame:
     """(node, shingles) of the given nodes, from the text of one document of each."""
     wanted = signed.select("doc_id", "node").join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(wanted.select("doc_id"), "doc_id", "left_semi").select("text")
-    sets = texts.mapInArrow(_sets, "node long, shingles array<long>").join(nodes, "node", "left_semi").dropDuplicates(["node"])
-    return scratch.save(sets, name)
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").select("text")
+    sets = _apart(texts.mapInArrow(_sets, "node long, check long, shingles array<long>"), clashes)
+    return scratch.save(sets.join(nodes, "node", "left_semi").select("node", "shingles").dropDuplicates(["node"]), name)
 
 
 def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -174,20 +187,31 @@ def _block_pairs(members: DataFrame) -> DataFrame:
 
 
 def near_duplicate_classes(docs: DataFrame, threshold_percent: int = 75) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row of `docs` (doc_id, text; other columns are ignored).
+    """doc_id, n_shingles, component_id, kept, text_key and class of every row of `docs` (doc_id, text; other columns are ignored).
 
     Links join rows whose sets have 100 * intersection >= threshold_percent * union; component_id is the
     smallest doc_id reachable, kept says doc_id = component_id. Null, empty and blank texts have no
-    shingles and are linked with nothing. Rows that repeat a doc_id share their links, whatever their
-    texts. A row without doc_id joins no group that is reported: its component_id is null and it is kept.
+    shingles and are linked with nothing. Rows that repeat a doc_id are linked by their texts alone; text_key (xxhash64 of
+    the text) tells them apart, and class is one number for each group, null without shingles. A row without doc_id
+    joins no group that is reported: its component_id is null and it is kept.
     """
-    scratch = Scratch(docs.sparkSession, "near-dedup")
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "near-dedup")
+    parts_wanted = int(spark.conf.get("spark.sql.shuffle.partitions"))
     signed = scratch.save(signatures(docs), "signed")
-    known = signed.where("doc_id is not null and node is not null")
+
+    def known_rows() -> DataFrame:
+        return signed.where("doc_id is not null and node is not null")
 
     # Nodes, each with one of its equal signatures, and the bands that at least two nodes share.
-    firsts = known.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    nodes = scratch.save(known.join(firsts, ["node", "doc_id"], "left_semi").dropDuplicates(["node"]).select("node", "signature"), "nodes")
+    firsts = known_rows().groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("check").alias("_least"), F.max("check").alias("_most"))
+    firsts = scratch.save(firsts, "firsts")
+    clashes = firsts.where("_least != _most").select("node", "_least")
+    clashes = None if clashes.isEmpty() else clashes  # none are to be expected in 2**32 texts
+    if clashes is not None:
+        signed = scratch.save(_apart(signed, clashes), "signed-apart")
+        firsts = known_rows().groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    nodes = scratch.save(known_rows().join(firsts.select("node", "doc_id"), ["node", "doc_id"], "left_semi").dropDuplicates(["node"]).select("node", "signature"), "nodes")
     bands = F.array(*[F.xxhash64(F.lit(b), F.slice("signature", b * ROWS + 1, ROWS)) for b in range(BANDS)])
     banded = nodes.select("node", F.explode(bands).alias("band"))
     shared = banded.groupBy("band").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).where("n > 1")
@@ -198,36 +222,51 @@ def near_duplicate_classes(docs: DataFrame, threshold_percent: int = 75) -> Data
         equal = F.aggregate(F.zip_with("u_signature", "v_signature", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
         return pairs.join(a, "u").join(b, "v").where(equal >= ESTIMATE * MINIMA).select("u", "v")
 
+    def ends(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node")))
+
+    def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        both = F.size(F.array_intersect("u_set", "v_set"))
+        u_sets, v_sets = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"{c}_set")) for c in "uv")
+        return pairs.join(u_sets, "u").join(v_sets, "v").where(100 * both >= threshold_percent * (F.size("u_set") + F.size("v_set") - both)).select("u", "v")
+
     pairs = scratch.save(signed_pairs(members.where("node != pivot").select(F.col("node").alias("u"), F.col("pivot").alias("v")).distinct()), "pairs")
-    sets = _full_sets(docs, signed, pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct(), scratch, "sets")
-    both = F.size(F.array_intersect("u_set", "v_set"))
-    u_sets, v_sets = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"{c}_set")) for c in "uv")
-    links = pairs.join(u_sets, "u").join(v_sets, "v").where(100 * both >= threshold_percent * (F.size("u_set") + F.size("v_set") - both)).select("u", "v")
-
-    # Rows that repeat a doc_id tie their nodes together.
-    repeated = known.groupBy("doc_id").agg(F.min("node").alias("v"), F.max("node").alias("w")).where("v != w").select("doc_id", "v")
-    ties = known.select("doc_id", F.col("node").alias("u")).join(repeated, "doc_id").where("u != v").select("u", "v")
-    links = scratch.save(links.union(ties), "links")
+    sets = _full_sets(docs, signed, ends(pairs).distinct(), clashes, scratch, "sets")
+    links = scratch.save(confirmed(pairs, sets), "links")
     parts = scratch.save(connected_components(links, scratch, "parts"), "parts")
 
     # Bands that still hold several components.
     labelled = members.join(parts, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
     labelled = scratch.save(labelled, "labelled")
-    open_bands = labelled.groupBy("band").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a != b").select("band")
-    contested = labelled.join(open_bands, "band", "left_semi").join(nodes, "node")
-    kind = "node long"
-    partnered = scratch.save(
-        _block_pairs(contested).groupBy("band", "low", "high").applyInPandas(_partnered, kind).distinct(), "partnered"
-    )
-    if not partnered.isEmpty():
-        sets = _full_sets(docs, signed, partnered, scratch, "more-sets")
-        again = labelled.join(open_bands, "band", "left_semi").join(partnered, "node", "left_semi").join(nodes, "node").join(sets, "node")
-        more = _block_pairs(again).groupBy("band", "low", "high").applyInPandas(_linker(threshold_percent), "u long, v long").distinct()
+    open_bands = labelled.groupBy("band").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("n")).where("a != b")
+    open_bands = scratch.save(open_bands.select("band", "n"), "open")
+    few = labelled.join(open_bands.where(F.col("n") <= FEW), "band", "left_semi")
+    u_side, v_side = (few.select("band", F.col("node").alias(c), F.col("component").alias(f"{c}_part")) for c in "uv")
+    across = u_side.join(v_side, "band").where("u < v and u_part != v_part").select("u", "v").distinct()
+    near = scratch.save(signed_pairs(across), "near")
+
+    def in_blocks(rows: DataFrame, function, kind: str) -> DataFrame:
+        keys = ["band", "low", "high"]
+        return _block_pairs(rows).repartition(parts_wanted, *keys).groupBy(*keys).applyInPandas(function, kind).distinct()
+
+    many = labelled.join(open_bands.where(F.col("n") > FEW), "band", "left_semi")
+    partnered = scratch.save(in_blocks(many.join(nodes, "node"), _partnered, "node long"), "partnered")
+    some = ends(near).union(partnered).distinct()
+    if not some.isEmpty():
+        sets = _full_sets(docs, signed, some, clashes, scratch, "more-sets")
+        again = many.join(partnered, "node", "left_semi").join(nodes, "node").join(sets, "node")
+        more = confirmed(near, sets).union(in_blocks(again, _linker(threshold_percent), "u long, v long"))
         links = links.union(scratch.save(more, "more-links"))
         parts = scratch.save(connected_components(links, scratch, "parts-again"), "all-parts")
 
-    classes = signed.select("doc_id", "n_shingles", "node").join(parts, "node", "left").withColumn("class", F.coalesce("component", "node"))
-    smallest = classes.where("class is not null and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("least"))
-    out = classes.join(smallest, "class", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.coalesce(component, F.lit(0)) == F.coalesce("doc_id", F.lit(0))).alias("kept"))
+    # Texts with very many copies meet their class in shares.
+    rows = signed.select("doc_id", "text_key", "n_shingles", "node").withColumn("share", F.pmod(F.xxhash64("doc_id"), F.lit(SHARES)).cast("int"))
+    held = rows.where("node is not null").groupBy("node", "share").agg(F.min("doc_id").alias("least"))
+    held = scratch.save(held.join(parts, "node", "left").withColumn("class", F.coalesce("component", "node")).drop("component"), "held")
+    by_node = held.groupBy("class", "node").agg(F.min("least").alias("least"))
+    smallest = scratch.save(by_node.groupBy("class").agg(F.min("least").alias("_first")), "smallest")
+    named = held.select("node", "share", "class").join(smallest, "class")
+    out = rows.join(named, ["node", "share"], "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("_first", "doc_id"))
+    kept = F.coalesce(component, F.lit(0)) == F.coalesce("doc_id", F.lit(0))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"), "text_key", "class")

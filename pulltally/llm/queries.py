@@ -25,7 +25,7 @@ def _count(kind: str) -> Column:
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_duplicate_classes(_table(spark, sf_dir, "documents"))
+    return near_dedup.near_duplicate_classes(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

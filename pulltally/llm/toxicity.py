@@ -37,6 +37,8 @@ MAX_E = 0.05
 BROADCAST_LABELS = 1_000_000
 #: Distinct terms that a task counts before it passes them on.
 HELD_TERMS = 2_000_000
+#: Terms of a model, which every task holds.
+MODEL_TERMS = 1_000_000
 LOW, HIGH, STEP = -40.0, 80.0, 0.25
 
 _LEVEL = random_words(len(BEGINNINGS) + 1, 31)
@@ -169,12 +171,13 @@ def _scorer(model: Model, passages: bool):
             for first, last, data, offsets in byte_chunks(batch.column("text")):
                 words = split_words(data, offsets, SEPARATORS)
                 scores = model.word_scores(words)
-                features, spans = [], []
+                features, spans, numbers = [], [], []
                 for a, b in zip(words.bounds[:-1], words.bounds[1:], strict=True):
                     found = segments(scores[a:b])
                     best = max((s for _, _, s in found), default=0.0)
                     features.append(model.feature(best, b - a) if found else LOW)
                     if passages:
+                        numbers.append(len(found))
                         spans.append([
                             {"first_word": i, "after_word": j, "score": s, "e_value": float(np.exp(-model.feature(s, b - a))), "text": data[words.starts[a + i]:words.ends[a + j - 1]].tobytes().decode()}
                             for i, j, s in found if model.feature(s, b - a) >= -np.log(MAX_E)
@@ -182,8 +185,8 @@ def _scorer(model: Model, passages: bool):
                 features = np.clip(features, LOW, HIGH)
                 columns, names = [batch.column(0).slice(first, last - first)], [batch.schema.names[0]]
                 if passages:
-                    columns += [pa.array(model.probability(features)), pa.array(spans, _SPANS)]
-                    names += ["score", "passages"]
+                    columns += [pa.array(model.probability(features)), pa.array(numbers, pa.int64()), pa.array(spans, _SPANS)]
+                    names += ["score", "n_segments", "passages"]
                 else:
                     columns.append(pa.array(features))
                     names.append("feature")
@@ -199,8 +202,9 @@ _PASSAGES = T.ArrayType(T.StructType([T.StructField("first_word", T.LongType()),
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Model of all documents (doc_id, text) that have a label (doc_id, toxic) and aren't held out.
 
-    Labels that are null count as none; of several for one document the mean decides, a half being toxic.
-    The model holds only terms that pass both limits; it is a few kB to a few MB.
+    Labels that are null count as none; of several for one document the mean decides, a half being toxic. A term of one
+    toxic document never reaches MIN_Z, so such terms aren't stored. The model holds only terms that pass both limits, at
+    most MODEL_TERMS (16 MB), which is checked before they are collected: more are an error, not cut.
     """
     scratch = Scratch(docs.sparkSession, "toxicity")
     labels = labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id")))
@@ -224,6 +228,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     odds = lambda x, total: F.log(x / F.greatest(total - x, F.lit(0.5)))
     delta = odds(t, n_toxic + mass) - odds(c, n_clean + mass)
     chosen = counts.where("term is not null").select("term", delta.alias("delta"), (delta / F.sqrt((t + c) / (t * c))).alias("z"), c.alias("clean")).where(f"z >= {MIN_Z} and delta >= {MIN_LOG_ODDS}")
+    chosen = scratch.save(chosen, "chosen")
+    if (size := chosen.count()) > MODEL_TERMS:
+        raise ValueError(f"{size} toxic terms, more than MODEL_TERMS; raise MIN_Z or MIN_LOG_ODDS")
     got = chosen.toPandas()
     keys = got["term"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(keys)
@@ -254,12 +261,12 @@ def _logistic(x: np.ndarray, positive: np.ndarray, n: np.ndarray) -> tuple[float
 
 
 def toxic_scores(docs: DataFrame, model: Model) -> DataFrame:
-    """Every row of docs as `kept` (a struct of all its columns) with its score (0 to 1) and passages.
+    """Every row of docs as `kept` (a struct of all its columns) with its score (0 to 1), number of segments and passages.
 
     docs needs a column text; others may have any name. A passage has its first word, the word after its last, score,
-    E-value and lower-cased text; words are runs of letters. Null, empty and wordless texts have no passage and the
+    E-value and lower-cased text; words are runs of letters. Segments hold toxic terms, but need not be significant. Null, empty and wordless texts have no passage and the
     lowest score. Equal texts score alike.
     """
     rows = docs.select(F.struct("*").alias("kept"), F.col("text").cast("string").alias("text"))
-    schema = T.StructType([rows.schema["kept"], T.StructField("score", T.DoubleType()), T.StructField("passages", _PASSAGES)])
+    schema = T.StructType([rows.schema["kept"], T.StructField("score", T.DoubleType()), T.StructField("n_segments", T.LongType()), T.StructField("passages", _PASSAGES)])
     return rows.mapInArrow(_scorer(model, True), schema)

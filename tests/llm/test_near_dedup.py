@@ -72,6 +72,40 @@ def test_empty(spark):
     assert near_duplicate_classes(documents(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("few", [2, 16])
+def test_small_and_large_bands(spark, monkeypatch, few):
+    """Groups around two texts that are alike in parts: bands of every size, paired by joins or in blocks."""
+    monkeypatch.setattr(near_dedup, "FEW", few)
+    monkeypatch.setattr(near_dedup, "BLOCK", 5)
+    rng, texts = np.random.default_rng(8), []
+    for group in range(6):
+        base = prose(group, 200)
+        for copy in range(3 * group + 2):
+            words = list(base)
+            for at in rng.choice(len(words), 3 + copy % 7, replace=False):
+                words[at] = f"y{group}-{copy}-{at}"
+            texts.append(" ".join(words))
+    texts = [(i, t) for i, t in enumerate(rng.permutation(texts).tolist())]
+    assert found(near_duplicate_classes(documents(spark, texts))) == expected(texts)
+
+
+def test_sets_that_share_one_fingerprint_are_kept_apart(spark):
+    rows = spark.createDataFrame([(1, 10, 7), (2, 10, 7), (3, 11, 7), (4, 12, 8)], "doc_id long, check long, node long")
+    clashes = spark.createDataFrame([(7, 10)], "node long, _least long")
+    nodes = {r["doc_id"]: r["node"] for r in near_dedup._apart(rows, clashes).collect()}
+    assert nodes[1] == nodes[2] == 7 and nodes[4] == 8 and nodes[3] not in (7, 8)
+    hashes = np.arange(1, 50, dtype=np.uint64)
+    assert near_dedup.fingerprint(hashes) != near_dedup.fingerprint(hashes, 1)
+    assert [near_dedup.fingerprint(hashes[::-1], k) for k in (0, 1)] == [near_dedup.fingerprint(hashes, k) for k in (0, 1)]
+
+
+def test_rows_that_repeat_an_id(spark):
+    one, other = (" ".join(prose(k, 50)) for k in (1, 2))
+    rows = [(3, one), (3, other), (7, other), (9, one), (9, None)]
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in near_duplicate_classes(documents(spark, rows)).collect())
+    assert got == [(3, 46, 3, True), (3, 46, 3, True), (7, 46, 3, False), (9, 0, 9, True), (9, 46, 3, False)]
+
+
 @pytest.mark.parametrize("shift", [0, 1000])
 def test_components(spark, shift):
     rng = np.random.default_rng(3)

@@ -73,3 +73,25 @@ def test_stages_on_odd_rows(spark, tmp_path, stage):
     if stage == "personal_data":
         assert result.where("doc_id = 300").first()["text"] == "mail [EMAIL] now please today"
     assert function(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def test_repeated_ids_lose_no_document(spark, tmp_path):
+    one, other, third = (" ".join(prose(k, 60)) for k in (1, 2, 3))
+    rows = [(1, one), (1, None), (1, None), (2, one + " more"), (2, other), (3, other + " end"), (4, third), (4, third), (4, ""), (5, "few"), (5, "words"), (6, "few"), (None, one), (None, one)]
+    result = corpus_pipeline.drop_near_duplicates(spark, documents(spark, rows), str(tmp_path))
+    assert result.columns == documents(spark, rows).columns
+    left = Counter((r["doc_id"], r["text"]) for r in result.collect())
+    assert left == Counter({(1, one): 1, (1, None): 1, (2, other): 1, (4, third): 1, (4, ""): 1, (5, "few"): 1, (5, "words"): 1, (None, one): 2})
+
+
+def test_toxic_by_score_alone(spark, tmp_path):
+    """A document that scores as toxic goes also without a significant passage, but not without any toxic term."""
+    texts = [(k, " ".join(prose(k, 20)) + (" vile scum" if k % 2 else "")) for k in range(400)]
+    spark.createDataFrame([(k, k % 2) for k in range(400)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    long = " ".join(prose(7, 30_000))
+    docs = documents(spark, [*texts, (900, long + " vile scum"), (901, long)])
+    model = corpus_pipeline.toxicity.fit(docs, spark.read.parquet(f"{tmp_path}/labels.parquet"))
+    scores = {r["kept"]["doc_id"]: r for r in corpus_pipeline.toxicity.toxic_scores(docs, model).collect()}
+    left = {r["doc_id"] for r in corpus_pipeline.drop_toxic(spark, docs, str(tmp_path)).collect()}
+    assert left == {i for i, r in scores.items() if r["score"] < 0.5 or not r["n_segments"]}
+    assert 901 in left and 1 not in left
