@@ -112,19 +112,22 @@ def fit(samples: DataFrame) -> Model:
 def log_ratio(token: Column, model: Model) -> Column:
     """Log-likelihood of a token under the random model less that under the ordinary one."""
     table = F.from_json(F.lit(json.dumps(list(model.ratios))), "array<double>")  # folded to a constant
-    return F.aggregate(_places(token), F.lit(0.0), lambda total, place: total + F.get(table, place))
+    start = F.struct(F.lit(0).alias("before"), F.lit(0.0).alias("total"))
+    walked = F.aggregate(_signs(token), start, lambda at, sign: F.struct(
+        sign.alias("before"), (at["total"] + F.get(table, at["before"] * _WIDTH + sign)).alias("total")))
+    return walked["total"]
 
 
-def _running(sizes: Column) -> Column:
-    """Running totals of an array, by doubling steps: n log n however many matches a text has."""
-    steps = F.filter(F.transform(F.sequence(F.lit(0), F.lit(30)), lambda k: F.pow(F.lit(2), k).cast("int")), lambda d: d < F.size(sizes))
+def _running(sizes: Column, n: Column) -> Column:
+    """Running totals of an array of n numbers, by doubling steps: n log n however many matches a text has."""
+    steps = F.filter(F.array(*[F.lit(1 << k) for k in range(31)]), lambda d: d < n)
     return F.aggregate(steps, sizes, lambda totals, d: F.transform(totals, lambda x, i: x + F.coalesce(F.get(totals, i - d), F.lit(0))))
 
 
 def _placed(text: Column, found: Column, pattern: str) -> Column:
     """The matches found (leftmost, non-overlapping) with start and end in code points: sizes of what lies between them add up."""
     between = F.slice(F.split(text, pattern, -1), 1, F.size(found))
-    ends = _running(F.zip_with(between, found, lambda a, m: F.char_length(a) + F.char_length(m)))
+    ends = _running(F.zip_with(between, found, lambda a, m: F.char_length(a) + F.char_length(m)), F.size(found))
     return F.zip_with(found, ends, lambda m, end: F.struct(m.alias("match"), (end - F.char_length(m)).alias("start"), end.alias("end")))
 
 
