@@ -7,21 +7,26 @@ import re
 from array import array
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: How a text falls into pieces that the tokenizer treats independently.
 #: "words": white space only separates (it is dropped, and no token or normal form spans it).
 #: "spaces": byte-level; a piece may begin with the space before it, and a line end is a token of its own.
 #: "whole": the text is one piece.
 SPLITS = ("words", "spaces", "whole")
-#: Pieces kept; some 100 MB at most for usual words. When full, the cache starts anew.
-CACHED = 500_000
+#: Pieces kept in each of two generations; some 80 MB for usual words. When the young one is full it becomes the old one;
+#: pieces of the old one that are met again are young again, the others go with it.
+CACHED = 400_000
 #: Longer pieces are encoded but not kept.
 LONGEST = 64
 #: Pieces encoded in one call; they are joined by a mark, which saves most of a call's cost.
 JOINED = 200
 
+#: White space as Python and the tokenizers see it, for Arrow's patterns.
+_SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 #: Runs of white space that hold a space, runs of line ends, and beginnings of special tokens reach across a split.
-_SPANNING = re.compile(r"\s | \s|\n\s|\s\n|<\|")
+_SPANNING = rf"{_SPACE} | {_SPACE}|\n{_SPACE}|{_SPACE}\n|<\|"
 #: Pieces that can't be joined with others: with white space, the mark or the beginning of a special token.
 _ALONE = re.compile(r"[\s\x01]|<\|")
 
@@ -41,7 +46,8 @@ class Encoder:
 
         self._tokenizer = Tokenizer.from_file(path)
         self._split = split
-        self._cache: dict[str, bytes] = {}
+        self._young: dict[str, bytes] = {}
+        self._old: dict[str, bytes] = {}
         # A mark between pieces, which is always one token, and before each piece what stands there in a text.
         self._mark, self._lead = (" \x01 ", "") if split == "words" else ("\n", " ")
         ids = self._ids([self._mark])[0]
@@ -80,38 +86,67 @@ class Encoder:
         found.update(zip(alone, (array("I", x).tobytes() for x in self._ids(led)), strict=True))
         return found
 
+    def _known(self, pieces: list[str]) -> list[bytes]:
+        """Ids of different pieces, from the cache or new."""
+        if len(self._young) > CACHED:
+            self._old, self._young = self._young, {}
+        values = list(map(self._young.get, pieces))
+        gaps = [k for k, v in enumerate(values) if v is None]
+        missing = []
+        for k in gaps:
+            values[k] = self._old.get(pieces[k])
+            if values[k] is None:
+                missing.append(pieces[k])
+        found = self._fill(missing) if missing else {}
+        for k in gaps:
+            piece = pieces[k]
+            if values[k] is None:
+                values[k] = found[piece]
+            if len(piece) <= LONGEST:
+                self._young[piece] = values[k]
+        return values
+
+    def _split_texts(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts that may be split. Each different piece is looked up once; its ids are copied to all its places."""
+        between, into = ("\n", " ") if self._split == "words" else ("\n", " \n")
+        lists = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.large_string()), between, into), " ")
+        bounds = lists.offsets.to_numpy().astype(np.int64)
+        pieces = lists.flatten().dictionary_encode()
+        at = pieces.indices.to_numpy()
+        heads = [b""] * len(texts)
+        if self._split == "spaces":  # nothing leads to a text's first piece
+            first = pieces.dictionary.take(pieces.indices.take(pa.array(bounds[:-1]))).to_pylist()
+            heads = [array("I", x).tobytes() for x in self._ids(first)]
+        values = self._known(pieces.dictionary.to_pylist())
+        ids = np.frombuffer(b"".join(values), "<u4")
+        number = np.int32 if sum(map(len, texts)) < 1 << 28 else np.int64  # a character gives few ids
+        sizes = np.fromiter(map(len, values), number, len(values)) >> 2
+        starts = np.cumsum(sizes, dtype=number) - sizes
+        n = sizes[at]
+        if self._split == "spaces":
+            n[bounds[:-1]] = 0
+        ends = np.cumsum(n, dtype=number)
+        placed = np.repeat(starts[at] - (ends - n), n)
+        placed += np.arange(len(placed), dtype=number)
+        placed = ids[placed]
+        edges = np.concatenate([[0], ends])[bounds]
+        raw = memoryview(placed.tobytes())
+        return [head + bytes(raw[4 * a:4 * b]) for head, a, b in zip(heads, edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Per text, its ids as little-endian unsigned 32-bit numbers."""
-        if len(self._cache) > CACHED:
-            self._cache.clear()
-        if self._split == "whole":
-            return [array("I", x).tobytes() for x in self._ids(texts)]
+        if not texts:
+            return []
+        whole = np.full(len(texts), self._split == "whole")
+        if self._split == "spaces":
+            whole = pc.match_substring_regex(pa.array(texts, pa.large_string()), _SPANNING).to_numpy(zero_copy_only=False)
         out: list[bytes | None] = [None] * len(texts)
-        flat: list[str] = []
-        bounds: list[tuple[int, int, int]] = []
-        heads: list[str] = []
-        for i, text in enumerate(texts):
-            if self._split == "words":
-                pieces = text.replace("\n", " ").split(" ")
-            elif _SPANNING.search(text):
-                out[i] = array("I", self._ids([text])[0]).tobytes()
-                continue
-            else:
-                pieces = text.replace("\n", " \n").split(" ")
-                heads.append(pieces[0])  # nothing leads to it
-                pieces = pieces[1:]
-            bounds.append((i, len(flat), len(flat) + len(pieces)))
-            flat += pieces
-        values = list(map(self._cache.get, flat))
-        gaps = [k for k, v in enumerate(values) if v is None]
-        if gaps:
-            found = self._fill(list(dict.fromkeys([flat[k] for k in gaps])))
-            for k in gaps:
-                values[k] = found[flat[k]]
-            self._cache.update((p, v) for p, v in found.items() if len(p) <= LONGEST)
-        first = [array("I", x).tobytes() for x in self._ids(heads)] if heads else [b""] * len(bounds)
-        for (i, a, b), head in zip(bounds, first, strict=True):
-            out[i] = head + b"".join(values[a:b])
+        for k, ids in zip(np.flatnonzero(whole).tolist(), self._ids([texts[k] for k in np.flatnonzero(whole).tolist()]), strict=True):
+            out[k] = array("I", ids).tobytes()
+        rest = np.flatnonzero(~whole).tolist()
+        if rest:
+            for k, ids in zip(rest, self._split_texts([texts[k] for k in rest]), strict=True):
+                out[k] = ids
         return out
 
 
