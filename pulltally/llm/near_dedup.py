@@ -45,12 +45,12 @@ _B = random_words(MINIMA, 12)
 _FINGERPRINTS = random_words(2, 13)
 
 
-def minima(hashes: np.ndarray) -> np.ndarray:
-    """The smallest value of each universal hash function over a set, as 32-bit numbers."""
-    least = np.full(MINIMA, np.iinfo(np.uint64).max, np.uint64)
+def minima(hashes: np.ndarray, n: int = MINIMA) -> np.ndarray:
+    """The smallest value of each of the first n universal hash functions over a set, as 32-bit numbers."""
+    least = np.full(n, np.iinfo(np.uint64).max, np.uint64)
     for k in range(0, len(hashes), 4096):
         part = hashes[k:k + 4096]
-        np.minimum(least, (part[None, :] * _A[:, None] + _B[:, None]).min(axis=1), out=least)
+        np.minimum(least, (part[None, :] * _A[:n, None] + _B[:n, None]).min(axis=1), out=least)
     return (least >> np.uint64(32)).astype(np.uint32)
 
 

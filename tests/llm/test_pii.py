@@ -1,7 +1,12 @@
 from __future__ import annotations
 
+import math
 import random
 import re
+from collections import Counter
+
+import pyarrow as pa
+import xxhash
 
 from pulltally.llm import pii
 from pulltally.llm.pii import base_spans, personal_data, redact
@@ -119,3 +124,64 @@ def test_two_texts_are_evidence_in_a_large_corpus(spark):
     assert found[0] == found[1] == ["Zebulon"] and not any(t for i, t in found.items() if i > 1)
     few = terms(spark, texts[:300])
     assert not any(few.values())
+
+
+def test_near_copies_are_one_text(spark):
+    """Two texts of 42 and 43 words that differ in one, or many near copies of one, give no term; a name met elsewhere does."""
+    base = letters(1, 42, 5000)
+    texts = [(0, " ".join([*base, "x@y.org"])), (1, " ".join([*base[:20], "added", *base[20:], "x@y.org"]))]
+    long = letters(2, 120, 5000)
+    texts += [(10 + k, " ".join([*long[:k], f"changed{'abcdefghij'[k]}", *long[k:], "p@y.org"])) for k in range(10)]
+    texts += [(50 + k, " ".join([*letters(900 + k, 9, 5000), "Zebulon", "z@y.org", *letters(950 + k, 9, 5000)])) for k in range(3)]
+    texts += [(60 + k, " ".join([*letters(900, 9, 5000), "Zebulon", "z@y.org", *letters(950, 9, 5000), "end"])) for k in range(3)]
+    texts += [(100 + k, " ".join(letters(100 + k, 12, 5000))) for k in range(5000)]
+    found = terms(spark, texts)
+    assert all(found.pop(k) == ["Zebulon"] for k in (50, 51, 52, 60, 61, 62))
+    assert not any(found.values())
+
+
+def test_terms_against_brute_force(spark):
+    rng = random.Random(11)
+    texts = []
+    for person in range(12):
+        name, address = f"Name{'abcdefghijkl'[person]}", f"p{person}@y.org"
+        for k in range(rng.randint(1, 5)):
+            words = letters(100 * person + k, rng.randint(10, 40), 60)
+            words.insert(rng.randrange(len(words)), name)
+            words.insert(rng.randrange(len(words)), address)
+            texts += [" ".join(words)] * rng.randint(1, 3)
+            if rng.random() < 0.4:
+                texts.append(" ".join([*words, "last"]))
+        texts += [" ".join([*letters(5000 + 10 * person + k, 15, 60), name]) for k in range(rng.randint(0, 2))]
+    texts += [" ".join(letters(9000 + k, 20, 60)) for k in range(800)]
+
+    keys = {t: xxhash.xxh64(t.encode(), seed=42).intdigest() for t in texts}
+    keys = {t: k - (1 << 64) if k >> 63 else k for t, k in keys.items()}
+    batch = pa.RecordBatch.from_arrays([pa.array(keys.values(), pa.int64()), pa.array(keys)], ["text_key", "text"])
+    bands = dict(zip(keys, next(pii._bands(iter([batch]))).column("bands").to_pylist()))
+    least = {}
+    for t, found in bands.items():
+        for band in found:
+            least[band] = min(least.get(band, keys[t]), keys[t])
+    counted = [t for t, found in bands.items() if all(least[band] == keys[t] for band in found)]
+    assert len(counted) < len(keys)
+
+    def words(t):
+        return {w for w, _, _ in pii.words_outside(t, pii.base_spans(t))}
+
+    def entities(t):
+        return {t[a:b] for _, a, b in pii.base_spans(t)}
+
+    holding = Counter(w for t in counted for w in words(t))
+    both, n_entity = Counter(), Counter(e for t in counted for e in entities(t))
+    for t in counted:
+        both.update((e, w) for e in entities(t) for w in words(t))
+    strong = set()
+    for (e, w), n in both.items():
+        floor, share = (n_entity[e] / len(counted)) ** (1 - pii.DISCLOSURE), n / holding[w]
+        gain = n * math.log(share / floor) + ((holding[w] - n) * math.log((1 - share) / (1 - floor)) if share < 1 else 0)
+        if share > floor and gain >= pii.EVIDENCE:
+            strong.add((e, w))
+    assert strong
+    want = {i: {w for e in entities(t) for w in words(t) if (e, w) in strong} for i, t in enumerate(texts)}
+    assert {i: {w.lower() for w in found} for i, found in terms(spark, list(enumerate(texts))).items()} == want
