@@ -3,7 +3,7 @@
 Whole long documents have hopelessly small similarities to short items, so both sides are partitioned
 by size: items fall into size classes of powers of two, and for each class documents are cut into
 overlapping windows of two blocks of that many shingles, so that every place of an item lies within
-one window. An item of a class then has a similarity of at least 0.17 to its window when 0.75 of
+one window. An item of one shingle is looked up as it is; any other of a class has a similarity of at least 0.17 to its window when 0.75 of
 its shingles are there, and one common minimum of 48 makes the pair a candidate (missed with a chance of 1e-4
 at worst, of 1e-6 where the whole item is present). Block minima of a class come from those of the class below, so
 all classes cost one pass. A fixed-size table of item minima keeps other windows from the shuffle.
@@ -22,8 +22,6 @@ from pulltally.llm.arrays import Shingles, byte_chunks, mix, random_words, shing
 from pulltally.llm.scratch import Scratch
 
 MINIMA = 48
-#: Shingles of the smallest size class; a class holds sizes up to its own, above half of it.
-SMALLEST = 8
 #: Places in the table that holds the items' minima for the map side; it is 4 MB whatever the number of items.
 PLACES = 1 << 25
 
@@ -37,7 +35,8 @@ def _keys(values: np.ndarray, k: int, size: int) -> np.ndarray:
 
 
 def _size_class(n: int) -> int:
-    return max(SMALLEST, 1 << max(n - 1, 0).bit_length())
+    """A class holds sizes up to its own, above half of it."""
+    return 1 << max(n - 1, 0).bit_length()
 
 
 def _item_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -48,35 +47,42 @@ def _item_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for i, s in zip(ids, shingles(data, offsets).sets(), strict=True):
                 if len(s):
                     c = _size_class(len(s))
-                    item += [i] * MINIMA
-                    size += [c] * MINIMA
-                    number += [len(s)] * MINIMA
-                    key += [int(_keys((s * _A[k] + _B[k]).min(keepdims=True), k, c).view(np.int64)[0]) for k in range(MINIMA)]
+                    least = [s] if c == 1 else [(s * _A[k] + _B[k]).min(keepdims=True) for k in range(MINIMA)]
+                    item += [i] * len(least)
+                    size += [c] * len(least)
+                    number += [len(s)] * len(least)
+                    key += [int(_keys(x, k, c).view(np.int64)[0]) for k, x in enumerate(least)]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (item, size, number, key)], ["item_id", "size", "n_item", "key"])
 
 
 def window_keys(found: Shingles, sizes: list[int], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(document, key) of the window minima whose place in the table is taken, for all size classes."""
+    """(document, key) of the window minima whose place in the table is taken, for all size classes (ascending)."""
     docs, keys = [], []
     counts = np.diff(found.bounds)
-    for k in range(MINIMA):
+
+    def look_up(owner: np.ndarray, key: np.ndarray) -> None:
+        place = key & np.uint64(PLACES - 1)
+        hit = (table[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 > 0
+        docs.append(owner[hit])
+        keys.append(key[hit])
+
+    if 1 in sizes:
+        look_up(np.repeat(np.arange(len(counts)), counts), _keys(found.hashes, 0, 1))
+    wider = [size for size in sizes if size > 1]
+    for k in range(MINIMA if wider else 0):
         values, n, size = found.hashes * _A[k] + _B[k], counts, 1
-        while len(values) and size < max(sizes):
-            # Minima of runs of blocks: of SMALLEST shingles first, then always of two.
-            step = SMALLEST if size == 1 else 2
+        while len(values) and size < wider[-1]:
+            # Minima of runs of blocks: of the smallest class's shingles first, then always of two.
+            step = wider[0] if size == 1 else 2
             blocks = -(-n // step)
             begin = np.repeat(np.cumsum(n) - n, blocks) + step * (np.arange(blocks.sum()) - np.repeat(np.cumsum(blocks) - blocks, blocks))
             values, n, size = np.minimum.reduceat(values, begin), blocks, size * step
-            if size in sizes:
+            if size in wider:
                 owner = np.repeat(np.arange(len(n)), n)
                 window = values.copy()
                 joined = np.flatnonzero(owner[:-1] == owner[1:])
                 window[joined] = np.minimum(values[joined], values[joined + 1])
-                key = _keys(window, k, size)
-                place = key & np.uint64(PLACES - 1)
-                hit = (table[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 > 0
-                docs.append(owner[hit])
-                keys.append(key[hit])
+                look_up(owner, _keys(window, k, size))
     if not docs:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     return np.concatenate(docs), np.concatenate(keys)

@@ -41,6 +41,20 @@ def test_against_brute_force(spark):
     assert result == expected(texts, items) and len(result) > 20
 
 
+def test_short_items_at_every_place(spark):
+    """Items of four to nine words, at the start, the end and many places of texts of many lengths."""
+    items = [(n, " ".join(f"q{n}x{k}" for k in range(n))) for n in range(4, 10)]
+    texts = []
+    for n, item in items:
+        for k in range(250):
+            words = prose(1000 * n + k, 20 + k % 90)
+            at = (7 * k) % (len(words) + 1)
+            texts.append((len(texts), " ".join([*words[:at], *item.split(), *words[at:]])))
+    texts.append((len(texts), items[0][1]))
+    result = found(contaminated(documents(spark, texts), items_table(spark, items)))
+    assert set(result) == {(250 * (n - 4) + k, n) for n in range(5, 10) for k in range(250)} | {(1500, 4)}
+
+
 def test_odd_rows(spark):
     texts = [*odd_texts(), (9, "a b c d e f g h"), (9, "a b c d e f"), (None, "a b c d e f g h")]
     items = [(1, None), (2, ""), (3, "a b c d e f"), (None, "a b c d e"), (4, "ONE two"), (4, "one two"), (5, "é" * 50_000)]
