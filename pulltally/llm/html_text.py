@@ -71,16 +71,16 @@ class Dom(HTMLParser):
         self.parent: list[int] = []
         self.pieces: list[tuple[int, int, str]] = []
         self._open: list[int] = []
+        self._at: dict[str, list[int]] = {}  # places of each tag among the open ones
         self._block = 0
 
     @classmethod
     def of(cls, html: str) -> Dom:
         dom = cls()
         dom._push("#page", [])
-        if html.rfind("<") > html.rfind(">"):
-            cut = html.rfind("<")
-            if re.match(r"[A-Za-z/!?]", html[cut + 1:cut + 2] or "/"):
-                html = html[:cut]  # a tag that the page ends within
+        unfinished = re.compile(r"<(?:[A-Za-z/!?]|$)").search(html, html.rfind(">") + 1)
+        if unfinished:
+            html = html[:unfinished.start()]  # a tag that the page ends within
         dom.feed(html)
         dom.close()
         return dom
@@ -90,23 +90,36 @@ class Dom(HTMLParser):
         self.names.append(frozenset([tag, *_NAME.findall(_CAMEL.sub(" ", " ".join(named)).lower())]) if named else frozenset((tag,)))
         self.parent.append(self._open[-1] if self._open else -1)
         self.tag.append(tag)
+        self._at.setdefault(tag, []).append(len(self._open))
         self._open.append(len(self.tag) - 1)
         if tag in BLOCK:
             self._block += 1
 
     def _pop(self) -> None:
-        if self.tag[self._open.pop()] in BLOCK:
+        tag = self.tag[self._open.pop()]
+        self._at[tag].pop()
+        if tag in BLOCK:
             self._block += 1
 
+    def _nearest(self, tags: set[str] | frozenset[str]) -> int:
+        """The place of the innermost open element of these tags; 0, that of the page, if there is none."""
+        return max((self._at[t][-1] for t in tags if self._at.get(t)), default=0)
+
     def _end_nearest(self, tags: set[str] | frozenset[str], beyond: frozenset[str]) -> None:
-        for k in range(len(self._open) - 1, 0, -1):
-            tag = self.tag[self._open[k]]
-            if tag in tags:
-                while len(self._open) > k:
-                    self._pop()
-                return
-            if tag in beyond:
-                return
+        found = self._nearest(tags)
+        if found and found > self._nearest(beyond):
+            while len(self._open) > found:
+                self._pop()
+
+    def parse_comment(self, i: int, report: int = 1) -> int:
+        """A comment that nothing ends takes the rest of the page."""
+        end = super().parse_comment(i, report)
+        return len(self.rawdata) if end < 0 else end
+
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """In a page, these are comments up to the next mark."""
+        end = self.rawdata.find(">", i)
+        return len(self.rawdata) if end < 0 else end + 1
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in ENDS_P:
@@ -261,8 +274,13 @@ def _training(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> Trees | None:
     """The classifier, from the pages with the smallest hashes of page_id; None if they name no article, or nothing else."""
-    sample = pages.select(F.xxhash64("page_id").alias("order"), F.col("html").cast("string").alias("html")).orderBy("order", F.xxhash64("html")).limit(sample_pages).select("html")
-    rows = Scratch(pages.sparkSession, "html").save(sample.mapInArrow(_training, "features array<double>, label double"), "training")
+    scratch = Scratch(pages.sparkSession, "html")
+    html = F.col("html").cast("string")
+    # Only hashes are sorted; then the chosen pages are taken from where they are.
+    hashed = pages.select(F.xxhash64("page_id").alias("order"), F.xxhash64(html).alias("tie"), html.alias("html"))
+    chosen = scratch.save(hashed.select("order", "tie").distinct().orderBy("order", "tie").limit(sample_pages), "chosen")
+    sample = hashed.join(F.broadcast(chosen), ["order", "tie"]).groupBy("order", "tie").agg(F.min("html").alias("html")).select("html")
+    rows = scratch.save(sample.mapInArrow(_training, "features array<double>, label double"), "training")
     if rows.select("label").distinct().count() < 2:
         return None
     training = rows.select(array_to_vector("features").alias("features"), "label")

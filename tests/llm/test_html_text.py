@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import time
+
 import numpy as np
 import pytest
 
@@ -81,3 +83,25 @@ def test_dom():
     assert main_text(dom, np.ones(len(dom.tag), bool)) == "a\nb\ncd\ne\nf\ng\nh"
     features, label = describe(dom)
     assert features.shape == (len(dom.tag), len(html_text.FEATURES)) and np.isfinite(features).all() and (label == -1).all()
+
+
+@pytest.mark.parametrize("unit", ["<a ", "<a x='", "<div>", "</b>", "<!--", "<b><p>", "<table><p>", "<![x ", "<a b=\"", "&#x", "<script>"])
+def test_broken_pages_take_linear_time(unit):
+    """Half a megabyte of unfinished tags, comments, attributes and nesting."""
+    for end in ("", "> <p>end</p>"):
+        start = time.process_time()
+        dom = Dom.of("<p>start</p>" + unit * (500_000 // len(unit)) + end)
+        html_text.decode(np.array(dom.parent), html_text._gains(dom, html_text.describe(dom)[0], None))
+        assert time.process_time() - start < 20
+        assert dom.pieces[0][2] == "start"
+
+
+def test_text_after_broken_markup():
+    def text(html):
+        return " ".join(t for _, _, t in Dom.of(html).pieces)
+
+    assert text("<p>a < b</p> tail <a <b x='") .split() == "a < b tail".split()
+    assert text("<p>one</p><!-- two <p>three</p>") == "one"
+    assert text("<p>one</p><![CDATA[ two ]]><p>three</p>") == "one three"
+    dom = Dom.of("<div><p>a<div>b</b></div>c</p>d</div>e")
+    assert [dom.tag[node] for _, node, _ in dom.pieces] == ["p", "div", "div", "div", "#page"]
