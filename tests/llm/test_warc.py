@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import base64
+import gzip
 import hashlib
 from collections import Counter
 
@@ -70,6 +72,7 @@ def segments(numbers, total):
     parts = {1: block[:10], 2: block[10:20], 3: block[20:]}
     return pd.DataFrame({
         "part_origin": "o", "part_number": numbers, "part_total": [total if n == 3 else None for n in numbers],
+        "part_file": "f", "part_offset": [100 * n for n in numbers],
         "part_page_id": [5.0 if n == 1 else None for n in numbers], "part_digest": [digest if n == 1 else None for n in numbers], "part_block": [parts[n] for n in numbers],
     })
 
@@ -82,9 +85,53 @@ def test_reassembly_checks():
     assert "length" in warc.reassemble(segments([1, 2], 25)).iloc[0]["error"]
 
 
-def test_cut_off_archive():
-    record = b"".join(warc.page_records("0-0", 1, "u", b"abc", "d", None))
-    assert [h["warc-type"] for h, _ in warc.parse(record * 2)] == ["response"] * 2
-    for broken in (record[:-3], b"x" + record, record[:40]):
-        with pytest.raises(ValueError):
-            list(warc.parse(broken))
+RECORD = b"".join(warc.page_records("0-0", 1, "u", b"abc", hashlib.sha1(b"abc").hexdigest(), None))
+
+
+def test_damaged_records_are_rows_and_reading_goes_on():
+    assert [(at, h["warc-type"], e) for at, h, _, e in warc.parse(RECORD * 2)] == [(0, "response", None), (len(RECORD), "response", None)]
+    for broken, errors in (
+        (RECORD[:-3], ["a WARC record is cut off"]), (b"x" + RECORD, ["not a WARC record"]), (RECORD[:40], ["not a WARC record"]),
+        (b"junk\r\n" + RECORD, ["not a WARC record", None]), (RECORD[:-30] + RECORD, ["a WARC record is cut off"]),
+        (RECORD[:-30] + b"\r\n" + RECORD + RECORD, ["a WARC record is cut off", None, None]),
+        (RECORD.replace(b"Content-Length: ", b"Content-Length: x") + RECORD, ["a WARC record has no length", None]),
+    ):
+        assert [e for *_, e in warc.parse(broken)] == errors
+
+
+def foreign():
+    """Records as other writers make them: own identifiers, base 32 digests, no chunks, other types."""
+    block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n<p>hi</p>"
+    digest = "sha1:" + base64.b32encode(hashlib.sha1(b"<p>hi</p>").digest()).decode()
+    return [
+        warc._record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", "<urn:uuid:1>")], b"software: x"),
+        warc._record([("WARC-Type", "response"), ("WARC-Record-ID", "<urn:uuid:2>"), ("WARC-Payload-Digest", digest)], block),
+        warc._record([("WARC-Type", "response"), ("WARC-Record-ID", "<urn:uuid:3>")], block),
+        warc._record([("WARC-Type", "response"), ("WARC-Record-ID", "<urn:uuid:4>"), ("WARC-Payload-Digest", "sha1:" + "A" * 32)], block),
+        warc._record([("WARC-Type", "revisit"), ("WARC-Record-ID", "<urn:uuid:5>"), ("WARC-Refers-To", "<urn:uuid:2>"), ("WARC-Payload-Digest", digest)], b""),
+        warc._record([("WARC-Type", "response")], block),
+    ]
+
+
+def test_foreign_and_gzip_archives(spark, tmp_path):
+    ship_package(spark)
+    records = foreign()
+    members = [gzip.compress(r) for r in records]
+    (tmp_path / "a.warc").write_bytes(b"".join(records))
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(members))
+    (tmp_path / "c.warc.gz").write_bytes(members[1] + members[2][:-12] + members[1])
+    (tmp_path / "d.warc").write_bytes(b"")
+    (tmp_path / "e.warc.gz").write_bytes(gzip.compress(b"".join(records * 300)))
+    rows = warc.read_archives(spark, str(tmp_path)).collect()
+    found = Counter((r["file"][-9:], r["record_id"], r["record_type"], r["page_id"], r["payload"] and bytes(r["payload"]), r["error"]) for r in rows)
+    wrong = "the payload doesn't have the stated digest"
+    page = b"<p>hi</p>"
+    want = [("<urn:uuid:2>", "response", None, page, None), ("<urn:uuid:3>", "response", None, page, None), ("<urn:uuid:4>", "response", None, page, wrong),
+            ("<urn:uuid:5>", "revisit", None, None, None), (None, "response", None, page, None)]
+    assert {k[1:]: n for k, n in found.items() if k[0].endswith("a.warc")} == {w: 1 for w in want}
+    assert {k[1:]: n for k, n in found.items() if k[0].endswith("b.warc.gz")} == {w: 1 for w in want}
+    assert {k[1:]: n for k, n in found.items() if k[0].endswith("e.warc.gz")} == {w: 300 for w in want}
+    damaged = {k[1:]: n for k, n in found.items() if k[0].endswith("c.warc.gz")}
+    assert damaged[want[0]] == 2 and any(k[-1] and "gzip" in k[-1] for k in damaged)
+    offsets = sorted(r["offset"] for r in rows if r["file"].endswith("b.warc.gz"))
+    assert offsets == [sum(map(len, members[:k])) for k in range(1, 6)]
