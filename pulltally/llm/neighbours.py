@@ -12,6 +12,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +33,6 @@ ROUNDS = 6
 #: Rounds end when fewer than this share of all list entries changed.
 FEW_CHANGES = 0.02
 EF = 160
-SEARCH_ROUNDS = 12
 #: Vectors that the hyperplanes' medians are taken from.
 SAMPLE = 4096
 #: Rows up to this number are broadcast (vectors of some 100 bytes); more are joined by a shuffle.
@@ -157,7 +157,10 @@ def neighbour_graph(vectors: DataFrame, scratch: Scratch) -> DataFrame:
     """(u, v, d, fresh): the nearest neighbours found of every row of vectors (id, vector in byte form), by NN-descent."""
     n = vectors.count()
     small = n <= BROADCAST_ROWS
-    sample = _floats(pa.array([r["vector"] for r in vectors.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()], pa.binary()))
+    # About twice the sample passes the first filter, so that no task hands on much more than its share.
+    order = F.shiftrightunsigned(F.xxhash64("id"), 2)
+    drawn = vectors.where(order < min(2**62, 2**63 * SAMPLE // max(n, 1))).orderBy(order, "id").limit(SAMPLE)
+    sample = _floats(pa.array([r["vector"] for r in drawn.collect()], pa.binary()))
     bits = max(0, int(np.ceil(np.log2(max(n, 1) / LEAF))))
     planes = np.random.default_rng(5).standard_normal((TREES if bits else 1, bits, sample.shape[1])).astype(np.float32)
     medians = np.median(np.einsum("sd,tbd->tbs", sample, planes), axis=2) if len(sample) else np.zeros(planes.shape[:2])
@@ -193,7 +196,7 @@ def search(queries: DataFrame, neighbourhoods: DataFrame, scratch: Scratch, ef:
     """(query, id, d): up to ef nearest found for each query (query, start, query_vector), by greedy rounds from node `start`."""
     found = queries.select("query", F.col("start").alias("id"), F.lit(0.0).cast("float").alias("d"), F.lit(False).alias("expanded"))
     nearest = Window.partitionBy("query").orderBy("d", "id")
-    for step in range(SEARCH_ROUNDS):
+    for step in itertools.count():  # ends, as what has left a query's nearest ef stays out
         frontier = scratch.save(found.where("not expanded").join(queries.select("query", "query_vector"), "query").select("query", "id", "query_vector"), f"frontier-{step}")
         n = frontier.count()
         if not n:
