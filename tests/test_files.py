@@ -11,13 +11,14 @@ from pyspark.sql import functions as F
 import pulltally
 from pulltally.operators.activity import activity_report, first_parts
 from pulltally.operators.languages import extensions_of, language_filter
-from pulltally.operators.metrics import diff_line_counts, diff_line_counts_by_chunk, diff_line_counts_by_line
+from pulltally.operators.metrics import diff_line_counts, diff_line_counts_by_chunk, diff_line_counts_by_line, pr_metrics, with_details
 from pulltally.plans.assessment import AssessmentConfig, assess, finish, save
 from pulltally.session import discard, materialize, run_folder, shared_folder
 from pulltally.sinks import writers
 from pulltally.sources import exports
 from pulltally.sources.records import stored_texts
 from pulltally.sources.reports import read_activity_reports
+from pulltally.sources.stored import add_to_stored, store_by_key, stored_by_key
 from tests.data import DIFF, DIFF_COUNTS, at, pull_requests
 
 OPEN_ITEM = {
@@ -410,3 +411,38 @@ def test_joins_over_an_author_in_parts(spark):
     report = activity_report(prs, "2025-01-15", part_rows=2)
     assert [r.part for r in report.orderBy("part").collect()] == [0, 1, 2]
     assert first_parts(report).join(prs.select("author").distinct(), "author").count() == 1
+
+
+def test_buckets_meet_without_a_shuffle(spark, tmp_path):
+    layout = "repo STRING, number BIGINT, additions BIGINT, deletions BIGINT, changed_files BIGINT"
+    prs = pull_requests(spark, [(k, "OPEN", "2025-01-01T00:00:00", 1, 1, "a", f"o/r{k % 7}") for k in range(200)])
+    tables = {
+        "prs": prs.drop("additions", "deletions"),
+        "details": spark.createDataFrame([(f"o/r{k % 7}", k, k, 2, 1) for k in range(0, 200, 2)], layout),
+        "status": spark.createDataFrame([(f"o/r{k % 7}", k, "MERGED", "2025-01-02T00:00:00Z") for k in range(0, 200, 3)], pulltally.schema.RAW_MERGE_STATUS),
+        "diffs": spark.createDataFrame([(f"o/r{k % 7}", k, "+test") for k in range(200)], pulltally.schema.PR_DIFFS),
+        "files": spark.createDataFrame([(f"o/r{k % 7}", k, "a.py" if k % 5 else "a.ts", 1, 1, "added") for k in range(200)], pulltally.schema.PR_FILES),
+    }
+    for name, df in tables.items():
+        store_by_key(df, f"kept_{name}", 4, str(tmp_path / name))
+    kept = {name: stored_by_key(spark, f"kept_{name}") for name in tables}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for make in (
+            lambda t: exports.with_merge_status(t["prs"], t["status"]),
+            lambda t: with_details(t["prs"], t["details"]),
+            lambda t: pr_metrics(t["details"], t["diffs"]),
+            lambda t: pr_metrics(t["details"], t["diffs"], t["prs"]),
+            lambda t: language_filter(t["prs"], t["files"], "Python"),
+        ):
+            found, plain = make(kept), make(tables)
+            assert sorted(map(str, found.collect())) == sorted(map(str, plain.collect())) and found.count()
+            assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+        more = spark.createDataFrame([("o/r0", 0, 500, 2, 1), ("o/r9", 9, 9, 9, 9)], layout)
+        add_to_stored(spark, more, "kept_details", "more_details", 4, str(tmp_path / "more"))
+        sizes = {(r.repo, r.number): r.additions for r in stored_by_key(spark, "more_details").collect()}
+        assert len(sizes) == 101 and sizes["o/r0", 0] == 500 and sizes["o/r9", 9] == 9
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        for name in (*(f"kept_{name}" for name in tables), "more_details"):
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
