@@ -128,12 +128,12 @@ def _cross_pairs(group: pd.DataFrame) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def _partnered(group: pd.DataFrame) -> pd.DataFrame:
-    """The nodes that have a partner in another component of their block pair."""
+    """The nodes, with their band, that have a partner in another component of their block pair."""
     found = np.zeros(len(group), bool)
     for i, partners in _cross_pairs(group):
         found[partners] = True
         found[i] |= len(partners) > 0
-    return group.loc[found, ["node"]].drop_duplicates()
+    return group.loc[found, ["band", "node"]].drop_duplicates()
 
 
 def _linker(percent: int):
@@ -250,11 +250,13 @@ def near_duplicate_classes(docs: DataFrame, threshold_percent: int = 75) -> Data
         return _block_pairs(rows).repartition(parts_wanted, *keys).groupBy(*keys).applyInPandas(function, kind).distinct()
 
     many = labelled.join(open_bands.where(F.col("n") > FEW), "band", "left_semi")
-    partnered = scratch.save(in_blocks(many.join(nodes, "node"), _partnered, "node long"), "partnered")
-    some = ends(near).union(partnered).distinct()
+    partnered = scratch.save(in_blocks(many.join(nodes, "node"), _partnered, "band long, node long"), "partnered")
+    some = ends(near).union(partnered.select("node")).distinct()
     if not some.isEmpty():
         sets = _full_sets(docs, signed, some, clashes, scratch, "more-sets")
-        again = many.join(partnered, "node", "left_semi").join(nodes, "node").join(sets, "node")
+        # Only in the bands where they have partners; signature and set of a node meet once.
+        whole = sets.join(partnered.select("node").distinct(), "node", "left_semi").join(nodes, "node")
+        again = many.join(partnered, ["band", "node"], "left_semi").join(whole, "node")
         more = confirmed(near, sets).union(in_blocks(again, _linker(threshold_percent), "u long, v long"))
         links = links.union(scratch.save(more, "more-links"))
         parts = scratch.save(connected_components(links, scratch, "parts-again"), "all-parts")
