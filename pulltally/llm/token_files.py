@@ -1,13 +1,15 @@
 """Token-id files with Elias-Fano document boundaries.
 
 A file is a run of segments, each followed by a line feed. A segment holds, little-endian: magic (8 bytes);
-part and number in the part (u32 each), documents (u32), bytes per id (u8, 2 or 4), low bits (u8), two zero bytes,
-tokens (u64), bytes of the high part (u64); one bit per document that tells whether it has an id (whole bytes), the
-document ids (i64); the boundaries; the token ids, concatenated.
+part and number in the part (u32 each), documents (u32), documents without an id, which come first (u32), bytes per
+token id (u8, 2 or 4), low bits of the boundaries and of the document ids (u8 each), a zero byte, tokens (u64), bytes of
+the high parts of both (u64 each), the first document id (i64); the boundaries; the document ids, less the first; the
+token ids, concatenated.
 
 Boundaries are the document ends e_0 <= e_1 <= ... in Elias-Fano form: the low bits of all values, packed; the high
 parts in unary, as a bit vector in which value i sets bit (e_i >> low) + i; and for every 64th set bit its position
-(u32). This takes about 2 + log2(tokens per document) bits for each document; an offset is found by one select.
+(u32). This takes about 2 + log2(tokens per document) bits for each document; an offset is found by one select. The
+ascending document ids are kept in the same way.
 """
 
 from __future__ import annotations
@@ -25,8 +27,8 @@ from pyspark.sql import functions as F
 from pulltally.llm.scratch import Scratch
 from pulltally.llm.tokens import encoder, text_runs
 
-MAGIC = b"TOKSEG01"
-HEADER = struct.Struct("<8sIIIBBxxQQ")
+MAGIC = b"TOKSEG02"
+HEADER = struct.Struct("<8sIIIIBBBxQQQq")
 SAMPLE = 64
 #: A segment ends with the document that reaches this many tokens; a file holds so many segments.
 SEGMENT_TOKENS = 1 << 18
@@ -36,11 +38,12 @@ _ONES = np.array([bin(x).count("1") for x in range(256)], np.uint8)
 
 
 def elias_fano(ends: np.ndarray) -> tuple[int, bytes, bytes, bytes]:
-    """Number of low bits, low part, high part and select samples of a non-decreasing sequence."""
+    """Number of low bits, low part, high part and select samples of a non-decreasing sequence of numbers from 0."""
     n, top = len(ends), int(ends[-1]) if len(ends) else 0
     low_bits = max(0, ((top + 1) // max(n, 1)).bit_length() - 1)
-    low = np.packbits((ends[:, None] >> np.arange(low_bits)) & 1 == 1, bitorder="little")
-    at = (ends >> low_bits) + np.arange(n)
+    ends = ends.astype(np.uint64)
+    low = np.packbits((ends[:, None] >> np.arange(low_bits, dtype=np.uint64)) & np.uint64(1) == 1, bitorder="little")
+    at = (ends >> np.uint64(low_bits)).astype(np.int64) + np.arange(n)
     high = np.zeros((top >> low_bits) + n + 1, bool)
     high[at] = True
     return low_bits, low.tobytes(), np.packbits(high, bitorder="little").tobytes(), at[::SAMPLE].astype("<u4").tobytes()
@@ -72,41 +75,56 @@ class Boundaries:
     def start(self, i: int) -> int:
         return self.end(i - 1) if i else 0
 
-    def all_ends(self) -> np.ndarray:
-        """All ends in order, for reading a segment through."""
-        high = np.flatnonzero(np.unpackbits(self._high, bitorder="little"))[: self.n] - np.arange(self.n)
-        low = np.unpackbits(self._low, bitorder="little")[: self.n * self._low_bits].reshape(self.n, self._low_bits)
-        return (high << self._low_bits) + (low.astype(np.int64) << np.arange(self._low_bits)).sum(axis=1)
+    def ends(self) -> Iterator[int]:
+        """All ends in order, by select."""
+        return map(self.end, range(self.n))
 
 
 def write_segment(part: int, number: int, doc_ids: list[int | None], ids: list[bytes]) -> bytes:
+    """Documents in ascending order of their ids, those without one first."""
     tokens = np.frombuffer(b"".join(ids), "<u4")
     ends = np.cumsum([len(x) // 4 for x in ids]).astype(np.int64)
     width = 2 if not len(tokens) or tokens.max() < 1 << 16 else 4
-    low_bits, low, high, samples = elias_fano(ends)
-    known = np.packbits([x is not None for x in doc_ids], bitorder="little").tobytes()
-    header = HEADER.pack(MAGIC, part, number, len(ids), width, low_bits, len(tokens), len(high))
-    return b"".join([header, known, np.array([x or 0 for x in doc_ids], "<i8").tobytes(), low, high, samples, tokens.astype(f"<u{width}").tobytes()])
+    known = [x for x in doc_ids if x is not None]
+    if doc_ids[:len(doc_ids) - len(known)] != [None] * (len(doc_ids) - len(known)) or known != sorted(known):
+        raise ValueError("documents must ascend by id")
+    first = known[0] if known else 0
+    low_bits, *boundaries = elias_fano(ends)
+    id_bits, *names = elias_fano(np.array([x - first for x in known], np.uint64))
+    header = HEADER.pack(
+        MAGIC, part, number, len(ids), len(ids) - len(known), width, low_bits, id_bits, len(tokens), len(boundaries[1]), len(names[1]), first)
+    return b"".join([header, *boundaries, *names, tokens.astype(f"<u{width}").tobytes()])
 
 
 class Segment:
     """A segment at `begin` of a file's bytes."""
 
     def __init__(self, content: bytes, begin: int = 0) -> None:
-        magic, self.part, self.number, n, width, low_bits, tokens, high = HEADER.unpack_from(content, begin)
+        magic, self.part, self.number, n, unnamed, width, low_bits, id_bits, tokens, high, id_high, self._first = HEADER.unpack_from(content, begin)
         if magic != MAGIC:
             raise ValueError("not a segment of token ids")
-        sizes = (-(-n // 8), 8 * n, -(-n * low_bits // 8), high, 4 * -(-n // SAMPLE), width * tokens)
+
+        def parts(n: int, low_bits: int, high: int) -> tuple[int, int, int]:
+            return -(-n * low_bits // 8), high, 4 * -(-n // SAMPLE)
+
+        sizes = (*parts(n, low_bits, high), *parts(n - unnamed, id_bits, id_high), width * tokens)
         at = begin + HEADER.size + np.concatenate([[0], np.cumsum(sizes)])
-        known, doc_ids, low, high, samples, ids = (content[a:b] for a, b in zip(at[:-1], at[1:], strict=True))
+        *held, ids = (content[a:b] for a, b in zip(at[:-1], at[1:], strict=True))
         if len(ids) != sizes[-1]:
             raise ValueError("a segment is cut off")
-        valid = np.unpackbits(np.frombuffer(known, np.uint8), bitorder="little")[:n]
-        self.doc_ids = [int(x) if v else None for x, v in zip(np.frombuffer(doc_ids, "<i8"), valid, strict=True)]
-        self.boundaries = Boundaries(n, low_bits, low, high, samples)
+        self.boundaries, self._unnamed = Boundaries(n, low_bits, *held[:3]), unnamed
+        self._names = Boundaries(n - unnamed, id_bits, *held[3:])
         self.ids = np.frombuffer(ids, f"<u{width}")
         self.after = int(at[-1]) + 1
 
+    def doc_id(self, i: int) -> int | None:
+        """The i-th document's id."""
+        return None if i < self._unnamed else self._first + self._names.end(i - self._unnamed)
+
+    def tokens(self, i: int) -> np.ndarray:
+        """The i-th document's token ids."""
+        return self.ids[self.boundaries.start(i):self.boundaries.end(i)]
+
 
 def _segmenter(tokenizer: str, split: str, end_id: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,13 +176,14 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             while at < len(content):
                 segment = Segment(content, at)
                 at = segment.after
-                ends = segment.boundaries.all_ends()
+                ends = np.fromiter(segment.boundaries.ends(), np.int64, segment.boundaries.n)
+                doc_ids = [segment.doc_id(i) for i in range(segment.boundaries.n)]
                 starts = np.concatenate([[0], ends[:-1]])
                 ids = segment.ids.astype("<u4")
                 crc = [zlib.crc32(ids[a:b]) for a, b in zip(starts, ends, strict=True)]
                 n = len(ends)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x, pa.int64()) for x in (np.full(n, segment.part), np.full(n, segment.number), segment.doc_ids, starts, ends - starts, crc)],
+                    [pa.array(x, pa.int64()) for x in (np.full(n, segment.part), np.full(n, segment.number), doc_ids, starts, ends - starts, crc)],
                     ["part", "number", "doc_id", "place", "n_tokens", "ids_crc32"],
                 )
 

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import struct
 import zlib
 from array import array
 
@@ -32,7 +33,7 @@ def test_elias_fano(lengths):
     ends = np.cumsum(lengths).astype(np.int64)
     low_bits, *parts = elias_fano(ends)
     stored = Boundaries(len(ends), low_bits, *parts)
-    assert stored.all_ends().tolist() == ends.tolist()
+    assert list(stored.ends()) == ends.tolist()
     assert [stored.end(i) for i in range(len(ends))] == ends.tolist()
     assert stored.start(0) == 0
 
@@ -42,13 +43,29 @@ def test_elias_fano_is_small():
     assert sum(map(len, elias_fano(ends)[1:])) * 8 / len(ends) < 13.5
 
 
-def test_segment_round_trip():
-    content = write_segment(3, 4, [7, None, -1], [array("I", x).tobytes() for x in ([1, 2, 99_999], [1], [])])
+@pytest.mark.parametrize("known", [[-1, 7], [5], [], [-(2**63), -1, 0, 2**63 - 1], [3, 3, 3], list(range(0, 90_000, 9)), [2**62 + k * k for k in range(1000)]])
+@pytest.mark.parametrize("unnamed", [0, 2])
+def test_segment_round_trip(known, unnamed):
+    doc_ids = [None] * unnamed + known
+    ids = [[], [1], [1, 2, 99_999]]
+    content = write_segment(3, 4, doc_ids, [array("I", ids[k % 3]).tobytes() for k in range(len(doc_ids))])
     segment = Segment(b"xx" + content + b"\n", 2)
-    assert (segment.part, segment.number, segment.doc_ids, segment.ids.tolist()) == (3, 4, [7, None, -1], [1, 2, 99_999, 1])
-    assert segment.boundaries.all_ends().tolist() == [3, 4, 4] and segment.after == len(content) + 3
-    with pytest.raises(ValueError):
-        Segment(content[:-1])
+    assert (segment.part, segment.number, segment.after) == (3, 4, len(content) + 3)
+    assert [segment.doc_id(k) for k in range(len(doc_ids))] == doc_ids
+    assert [segment.tokens(k).tolist() for k in range(len(doc_ids))] == [ids[k % 3] for k in range(len(doc_ids))]
+    with pytest.raises((ValueError, struct.error)):
+        Segment(content[:-1] if len(doc_ids) > 1 else content[:20])
+
+
+def test_document_ids_are_small():
+    content = write_segment(0, 0, list(range(0, 30_000, 3)), [b"\1\0\0\0"] * 10_000)
+    assert len(content) * 8 / 10_000 < 16 + 3 + 5  # token, boundary, id
+
+
+def test_segments_ascend():
+    for wrong in ([7, -1], [7, None]):
+        with pytest.raises(ValueError):
+            write_segment(0, 0, wrong, [b"", b""])
 
 
 def test_token_files(spark, tmp_path, monkeypatch):
