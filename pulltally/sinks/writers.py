@@ -9,6 +9,9 @@ Two layouts:
     ``user=<user>/date=<date>[/run=<run>]``, one folder per user as a single
     developer expects it. A folder each costs the file system dearly beyond some
     ten thousand users; this layout is for teams.
+
+``key`` is the column whose value a record is stored under as its user, for reports made by other
+columns than ``author``; ``sources.reports`` reads them back under that name.
 """
 
 from __future__ import annotations
@@ -22,41 +25,45 @@ BY_DATE, PER_USER = "by_date", "per_user"
 
 
 def write_activity_reports(
-    activity: DataFrame, path: str, as_of: Moment = None, layout: str = BY_DATE, files: int | None = None
+    activity: DataFrame, path: str, as_of: Moment = None, layout: str = BY_DATE, files: int | None = None,
+    key: str = "author",
 ) -> None:
-    document = report_document(activity).withColumn("date", F.lit(report_date(as_of)))
+    document = report_document(activity, key).withColumn("date", F.lit(report_date(as_of)))
     _write(document, path, ["date"], layout, files, "json")
 
 
 def write_assessments(
-    texts: DataFrame, path: str, as_of: Moment = None, layout: str = BY_DATE, files: int | None = None
+    texts: DataFrame, path: str, as_of: Moment = None, layout: str = BY_DATE, files: int | None = None,
+    key: str = "author",
 ) -> None:
     """Markdown assessments (columns ``author``, ``assessment``); a missing one is an error."""
-    _write_texts(assessment_records(texts, as_of), path, layout, files)
+    _write_texts(assessment_records(texts, as_of, key), path, layout, files)
 
 
-def assessment_records(texts: DataFrame, as_of: Moment = None) -> DataFrame:
+def assessment_records(texts: DataFrame, as_of: Moment = None, key: str = "author") -> DataFrame:
     """Assessments as they are stored: user, text, date and run."""
-    text = F.coalesce("assessment", F.raise_error(F.concat(F.lit("no assessment for "), "author")))
-    return _text_records(texts.withColumn("assessment", text), "assessment", as_of)
+    text = F.coalesce("assessment", F.raise_error(F.concat(F.lit("no assessment for "), key)))
+    return _text_records(texts.withColumn("assessment", text), "assessment", as_of, key)
 
 
 def write_coaching(
-    texts: DataFrame, path: str, as_of: Moment = None, layout: str = BY_DATE, files: int | None = None
+    texts: DataFrame, path: str, as_of: Moment = None, layout: str = BY_DATE, files: int | None = None,
+    key: str = "author",
 ) -> None:
     """Coaching reports (columns ``author``, ``coaching``), where there is one."""
-    _write_texts(coaching_records(texts, as_of), path, layout, files)
+    _write_texts(coaching_records(texts, as_of, key), path, layout, files)
 
 
-def coaching_records(texts: DataFrame, as_of: Moment = None) -> DataFrame:
+def coaching_records(texts: DataFrame, as_of: Moment = None, key: str = "author") -> DataFrame:
     """Coaching reports as they are stored: user, text, date and run; none for authors without advice."""
-    return _text_records(texts.filter(F.col("coaching").isNotNull()), "coaching", as_of)
+    return _text_records(texts.filter(F.col("coaching").isNotNull()), "coaching", as_of, key)
 
 
 def write_bundles(
-    bundles: DataFrame, path: str, as_of: Moment = None, layout: str = BY_DATE, files: int | None = None
+    bundles: DataFrame, path: str, as_of: Moment = None, layout: str = BY_DATE, files: int | None = None,
+    key: str = "author",
 ) -> None:
-    document = bundle_document(bundles)
+    document = bundle_document(bundles, key)
     _write(_placed(document, as_of), path, ["date", "run"], layout, files, "json")
 
 
@@ -64,8 +71,8 @@ def _placed(df: DataFrame, as_of: Moment) -> DataFrame:
     return df.withColumns({"date": F.lit(report_date(as_of)), "run": F.lit(run_name(as_of))})
 
 
-def _text_records(texts: DataFrame, column: str, as_of: Moment) -> DataFrame:
-    return _placed(texts.select(F.col("author").alias("user"), column), as_of)
+def _text_records(texts: DataFrame, column: str, as_of: Moment, key: str) -> DataFrame:
+    return _placed(texts.select(F.col(key).alias("user"), column), as_of)
 
 
 def _write_texts(rows: DataFrame, path: str, layout: str, files: int | None) -> None:
@@ -91,7 +98,7 @@ def _write(
         writer.text(path)
 
 
-def report_document(activity: DataFrame) -> DataFrame:
+def report_document(activity: DataFrame, key: str = "author") -> DataFrame:
     """Reports under the names their readers know."""
     s = F.col("summary")
 
@@ -109,12 +116,12 @@ def report_document(activity: DataFrame) -> DataFrame:
         pr["repo"].alias("repo"), pr["number"].alias("number"), pr["title"].alias("title"),
         pr["state"].alias("state"), iso_seconds(pr["created_at"], created).alias("createdAt")))
     return activity.select(
-        F.col("author").alias("user"), "part", F.col("generated_at").alias("generatedAt"),
+        F.col(key).alias("user"), "part", F.col("generated_at").alias("generatedAt"),
         F.when(s.isNotNull(), summary).alias("summary"), "repositories",
         F.col("monthly_activity").alias("monthlyActivity"), recent.alias("recentPRs"))
 
 
-def bundle_document(bundles: DataFrame) -> DataFrame:
+def bundle_document(bundles: DataFrame, key: str = "author") -> DataFrame:
     """Bundles under the names their readers know."""
     r, m = F.col("report"), F.col("report")["metrics"]
     report = F.struct(
@@ -133,13 +140,16 @@ def bundle_document(bundles: DataFrame) -> DataFrame:
 
     def pull_request(pr: Column) -> Column:
         fields = []
+        login = pr["author"] if "author" in shown.names else F.col(key)
         for name in shown.names:
+            if name == "author":
+                continue
             if name == "repo":
                 fields.append(F.struct(pr[name].alias("nameWithOwner")).alias("repository"))
             else:
                 value = iso_seconds(pr[name], shown[name].dataType) if name.endswith("_at") else pr[name]
                 fields.append(value.alias(renamed.get(name, name)))
-        return F.struct(*fields, F.struct(F.col("author").alias("login")).alias("author"))
+        return F.struct(*fields, F.struct(login.alias("login")).alias("author"))
 
     def measures(key: Column, v: Column) -> Column:
         return F.struct(
@@ -149,7 +159,7 @@ def bundle_document(bundles: DataFrame) -> DataFrame:
             v["files_changed"].alias("filesChanged"))
 
     return bundles.select(
-        F.col("author").alias("user"), "part", "config",
+        F.col(key).alias("user"), "part", "config",
         F.transform("selected_prs", pull_request).alias("selectedPRs"),
         F.transform_values("metrics", measures).alias("metrics"),
         F.when(r.isNotNull(), report).alias("report"))

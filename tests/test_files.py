@@ -182,6 +182,19 @@ def test_indented_report(spark, tmp_path):
     assert read_activity_reports(spark, str(tmp_path)).rejected.count() > 1
 
 
+@pytest.mark.parametrize("layout", [writers.BY_DATE, writers.PER_USER])
+def test_reports_by_repository_are_stored(spark, tmp_path, layout):
+    prs = pull_requests(spark, [(k, "MERGED", "2025-01-10T00:00:00", 1, 1, f"a{k}", f"o/x {k % 3}") for k in range(9)])
+    report = activity_report(prs, "2025-01-15", keys=("repo",))
+    writers.write_activity_reports(report, str(tmp_path / "r"), "2025-01-15", layout, key="repo")
+    found = read_activity_reports(spark, str(tmp_path / "r"), key="repo").rows
+    assert found.columns == report.columns and sorted(map(str, found.collect())) == sorted(map(str, report.collect()))
+    texts = spark.createDataFrame([("o/x", "# Text", "Letter")], "repo STRING, assessment STRING, coaching STRING")
+    writers.write_assessments(texts, str(tmp_path / "a"), "2025-01-15", layout, key="repo")
+    writers.write_coaching(texts, str(tmp_path / "c"), "2025-01-15", layout, key="repo")
+    assert writers.assessment_records(texts, "2025-01-15", "repo").first()["user"] == "o/x"
+
+
 @pytest.mark.parametrize("zone", ["America/Los_Angeles", "Asia/Kolkata"])
 def test_another_session_zone(spark, zone):
     prs = pull_requests(spark, [(1, "MERGED", "2025-01-01T00:30:00", 1, 1, "a", "o/x"), (2, "OPEN", "2024-12-31T23:30:00", 1, 1, "a", "o/x")])
