@@ -72,15 +72,24 @@ class Encoder:
 
     def _fill(self, missing: list[str]) -> dict[str, bytes]:
         """Ids of new pieces, each with what leads to it in a text: a space, or its own line end."""
-        found: dict[str, bytes] = {}
-        plain, lines, alone = [], [], []
-        for p in missing:
-            body = p[1:] if self._split == "spaces" and p[:1] == "\n" else p
-            if self._mark_id is None or self._split == "whole" or not body or _ALONE.search(body):
-                alone.append(p)
-            else:
-                (plain if body is p else lines).append(p)
-        found.update(zip(plain, self._joined(plain, self._lead), strict=True))
+        lines = [p for p in missing if p[:1] == "\n"] if self._split == "spaces" else []
+        plain = [p for p in missing if p[:1] != "\n"] if lines else missing
+        alone: list[str] = []
+        bare = [p[1:] for p in lines]
+        # Seldom does any piece have to stand alone, so all are searched at once first.
+        if self._mark_id is None or _ALONE.search("".join(plain)) or _ALONE.search("".join(bare)):
+            apart = [self._mark_id is None or bool(_ALONE.search(p)) for p in plain]
+            alone = [p for p, a in zip(plain, apart, strict=True) if a]
+            plain = [p for p, a in zip(plain, apart, strict=True) if not a]
+            apart = [self._mark_id is None or bool(_ALONE.search(p)) for p in bare]
+            alone += [p for p, a in zip(lines, apart, strict=True) if a]
+            lines = [p for p, a in zip(lines, apart, strict=True) if not a]
+        empty = [p for p in ("", "\n") if p in missing]
+        if empty:
+            alone += empty
+            plain, lines = [p for p in plain if p], [p for p in lines if p != "\n"]
+            alone = list(dict.fromkeys(alone))
+        found = dict(zip(plain, self._joined(plain, self._lead), strict=True))
         found.update(zip(lines, (self._line_end + x for x in self._joined([p[1:] for p in lines], "")), strict=True))
         led = [p if self._split != "spaces" or p[:1] == "\n" else " " + p for p in alone]
         found.update(zip(alone, (array("I", x).tobytes() for x in self._ids(led)), strict=True))
@@ -92,18 +101,18 @@ class Encoder:
             self._old, self._young = self._young, {}
         values = list(map(self._young.get, pieces))
         gaps = [k for k, v in enumerate(values) if v is None]
-        missing = []
-        for k in gaps:
-            values[k] = self._old.get(pieces[k])
-            if values[k] is None:
-                missing.append(pieces[k])
-        found = self._fill(missing) if missing else {}
-        for k in gaps:
-            piece = pieces[k]
-            if values[k] is None:
-                values[k] = found[piece]
-            if len(piece) <= LONGEST:
-                self._young[piece] = values[k]
+        if gaps:
+            wanted = [pieces[k] for k in gaps]
+            old = self._old
+            found = {p: old[p] for p in wanted if p in old} if old else {}
+            missing = [p for p in wanted if p not in found] if found else wanted
+            if missing:
+                found.update(self._fill(missing))
+            for k, value in zip(gaps, map(found.get, wanted), strict=True):
+                values[k] = value
+            if max(map(len, wanted)) > LONGEST:
+                found = {p: v for p, v in found.items() if len(p) <= LONGEST}
+            self._young.update(found)
         return values
 
     def _split_texts(self, texts: list[str]) -> list[bytes]:
