@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections import Counter
 
 import duckdb
@@ -9,7 +10,8 @@ import pytest
 
 import corpus_pipeline
 from pulltally.llm.queries import ORACLE, QUERIES
-from pulltally.llm.scratch import Scratch
+from pulltally.llm import scratch
+from pulltally.llm.scratch import Scratch, discard
 from tests.llm.cases import documents, odd_texts, prose
 
 FOLDER = "/root/testdata/sf0.001"
@@ -95,3 +97,12 @@ def test_toxic_by_score_alone(spark, tmp_path):
     left = {r["doc_id"] for r in corpus_pipeline.drop_toxic(spark, docs, str(tmp_path)).collect()}
     assert left == {i for i, r in scores.items() if r["score"] < 0.5 or not r["n_segments"]}
     assert 901 in left and 1 not in left
+
+
+def test_stored_tables_can_be_removed(tmp_path, spark, monkeypatch):
+    monkeypatch.setattr(scratch, "_made", [])
+    table = Scratch(spark, "gone").save(spark.range(3), "t")
+    assert table.count() == 3
+    (folder,) = (path for _, path in scratch._made)
+    discard(spark)
+    assert not scratch._made and not os.path.exists(folder.removeprefix("file://"))
