@@ -108,8 +108,10 @@ def _ranked_repos(counts: DataFrame, keys: Sequence[str], first: int | None = No
     time = microseconds(F.col("last_created_at"), counts.schema["last_created_at"].dataType)
     place = F.struct(F.coalesce(-time, F.lit(2**63 - 1)).alias("time"), F.coalesce("repo", F.lit("")).alias("repo"))
     ranges = with_ranges(counts, keys, bucket, place, "_range")
-    levels = [Level(bucket, True), Level(F.col("_range"), False)]
-    return ranked(ranges, keys, _busiest_first(), levels, "repo_rank", first=first).drop("_range")
+    # One list of buckets in their order: there are few even of an author with very many repositories.
+    day = F.datediff(_day("last_created_at"), F.lit("0001-01-01").cast("date"))
+    order = F.struct((-F.col("pr_count")).alias("count"), (-day).alias("day"), "_range")
+    return ranked(ranges, keys, _busiest_first(), [Level(order, False)], "repo_rank", first=first).drop("_range")
 
 
 def _repo_totals(prs: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -79,17 +79,19 @@ def with_ranges(df: DataFrame, keys: Sequence[str], bucket: Column, place: Colum
     """
     rows = df.withColumns({"_bucket": bucket, "_place": place})
     order = F.xxhash64("_place")
-    slots = rows.groupBy(*keys, "_bucket", F.pmod(order, F.lit(SAMPLES)).alias("_slot")).agg(
-        F.count(F.lit(1)).alias("_rows"), F.min_by("_place", order).alias("_sample"))
-    large = slots.groupBy(*keys, "_bucket").agg(F.sum("_rows").alias("_rows"), F.array_sort(F.collect_list("_sample")).alias("_sorted"))
-    large = large.filter(F.col("_rows") > RANGE_ROWS)
+    rows = rows.withColumn("_share", F.pmod(order, F.lit(SHARES)).cast("int"))
+    # Large buckets are few and mostly none. Their rows meet them in shares, so that no task gets all of them.
+    large = rows.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > RANGE_ROWS)
+    shares = large.withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
+    inside = rows.join(shares, [*keys, "_bucket", "_share"])
+    slots = inside.groupBy(*keys, "_bucket", F.pmod(order, F.lit(SAMPLES)).alias("_slot")).agg(
+        F.max("_rows").alias("_rows"), F.min_by("_place", order).alias("_sample"))
+    samples = slots.groupBy(*keys, "_bucket").agg(F.max("_rows").alias("_rows"), F.array_sort(F.collect_list("_sample")).alias("_sorted"))
     ranges = F.least(F.ceil(F.col("_rows") / RANGE_ROWS), F.ceil(F.size("_sorted") / SAMPLES_PER_RANGE)).cast("int")
     edges = F.expr("transform(sequence(1, _ranges), k -> get(_sorted, cast(floor(k * size(_sorted) / _ranges) as int)))")
-    cut = large.withColumn("_ranges", ranges).select(*keys, "_bucket", F.slice(edges, 1, F.col("_ranges") - 1).alias("_edges"))
-    # A large bucket's rows meet its edges in shares, so that no task gets all of them.
+    cut = samples.withColumn("_ranges", ranges).select(*keys, "_bucket", F.slice(edges, 1, F.col("_ranges") - 1).alias("_edges"))
     copies = cut.withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
-    shared = rows.withColumn("_share", F.pmod(order, F.lit(SHARES)).cast("int"))
-    met = shared.join(copies, [*keys, "_bucket", "_share"], "left")
+    met = rows.join(copies, [*keys, "_bucket", "_share"], "left")
     # The number of edges at or before the place, by halving steps.
     steps = F.array(*[F.lit(1 << k) for k in reversed(range((SAMPLES // SAMPLES_PER_RANGE).bit_length()))])
     found = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get("_edges", at + step - 1) <= F.col("_place"), at + step).otherwise(at))
