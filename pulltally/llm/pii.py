@@ -5,9 +5,9 @@ of different texts that hold both is counted over the whole corpus, as is the nu
 word. With p(e|t) = texts with both / texts with t, the word's pointwise mutual information with the entity, as a
 share of the entity's information content -ln p(e), says how much of the entity it discloses. Words that disclose at
 least DISCLOSURE of it, at the lower bound that p(e|t) has with a confidence of 95%, become spans of kind `term`
-wherever they stand in texts that hold the entity. Copies of a text are no evidence, nor are near copies: of texts that
+wherever they stand in texts that hold the entity. Equal texts count once. Near copies are no evidence either: of texts that
 share a band of minima over their five-word shingles (as those with a similarity of 0.75 do, but for 2 in 100,000) only
-one counts, for all of these numbers.
+one counts as a text with the entity, and the others with both entity and word don't count among those with the word.
 """
 
 from __future__ import annotations
@@ -187,7 +187,7 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _holder(table: bytes, copies: bytes):
     def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Hashes of the candidate words that each text holds, once per text: counted, or with the key of texts that have copies or may be such."""
+        """Hashes of the candidate words that each text holds, once per text: counted, or with the key of texts that may have copies."""
         places, repeated = np.frombuffer(table, np.uint8), np.frombuffer(copies, np.uint8)
         for batch in batches:
             keys = batch.column("text_key").to_numpy().astype(np.int64)
@@ -220,7 +220,8 @@ def disclosing_terms(docs: DataFrame) -> DataFrame | None:
         return None
     # The least p(e|t) that discloses enough: (ln p(e|t) - ln p(e)) / -ln p(e) >= DISCLOSURE.
     least = F.pow(F.least(F.col("n_entity") / n_texts, F.lit(1 - 1e-9)), F.lit(1 - DISCLOSURE))
-    entities = found.join(counted, "text_key", "left_semi").groupBy("entity").agg(F.count("*").alias("n_entity")).withColumn("least", least)
+    found = found.join(counted.withColumn("counts", F.lit(True)), "text_key", "left")
+    entities = found.groupBy("entity").agg(F.count_if("counts").alias("n_entity"), F.count("*").alias("n_all")).withColumn("least", least)
     # Words that stand with the entity only and in all of its texts are the best evidence there can be.
     entities = entities.where(-F.col("n_entity") * F.log("least") >= EVIDENCE)
     live = scratch.save(found.join(entities, "entity"), "live")
@@ -231,17 +232,18 @@ def disclosing_terms(docs: DataFrame) -> DataFrame | None:
     words = scratch.save(words.distinct().join(texts, "text_key", "left_semi"), "words")
     terms = scratch.save(words.select("term").distinct().mapInArrow(_hashed, "term string, hash long"), "terms")
     keys = keyed.groupBy("text_key").agg(F.count("*").alias("n"))
-    left_out = scratch.save(keys.join(counted, "text_key", "left_anti").select("text_key"), "left-out")
-    copies = _places(keys.where("n > 1").select(F.col("text_key").alias("hash")).union(left_out))
+    copies = _places(keys.where("n > 1").select(F.col("text_key").alias("hash")))
     held = keyed.mapInArrow(_holder(_places(terms), copies), "hash long, text_key long, n long")
-    once = held.groupBy("hash", "text_key").agg(F.sum("n").alias("n")).join(left_out, "text_key", "left_anti")
-    once = once.select("hash", F.when(F.col("text_key").isNull(), F.col("n")).otherwise(1).alias("n"))
+    once = held.groupBy("hash", "text_key").agg(F.sum("n").alias("n")).select("hash", F.when(F.col("text_key").isNull(), F.col("n")).otherwise(1).alias("n"))
     held = once.groupBy("hash").agg(F.sum("n").alias("holding"))
     held = scratch.save(terms.join(held, "hash").select("term", "holding"), "held")
-    # A word in more texts than n_entity / least can't pass, so it isn't paired.
-    pairs = live.join(counted, "text_key", "left_semi").join(words.join(held, "term"), "text_key").where(F.col("holding") * F.col("least") <= F.col("n_entity"))
-    pairs = pairs.groupBy("entity", "term").agg(F.count("*").alias("both"), F.first("least").alias("least"), F.first("holding").alias("holding"))
-    strong = scratch.save(pairs.where(_passes(F.col("both"), F.greatest("holding", "both"), F.col("least"))).select("entity", "term"), "strong")
+    # A word in more texts than n_entity / least, but for near copies with the entity, can't pass, so it isn't paired.
+    few = (F.col("holding") - (F.col("n_all") - F.col("n_entity"))) * F.col("least") <= F.col("n_entity")
+    pairs = live.join(words.join(held, "term"), "text_key").where(few)
+    pairs = pairs.groupBy("entity", "term").agg(
+        F.count_if("counts").alias("both"), F.count("*").alias("all"), F.first("least").alias("least"), F.first("holding").alias("holding"))
+    pairs = pairs.withColumn("holding", F.col("holding") - (F.col("all") - F.col("both")))
+    strong = scratch.save(pairs.where(_passes(F.col("both"), F.greatest("holding", "both", F.lit(1)), F.col("least"))).select("entity", "term"), "strong")
     some = words.join(strong.select("term").distinct(), "term", "left_semi")
     flagged = some.join(live.select("text_key", "entity"), "text_key").join(strong, ["entity", "term"], "left_semi")
     flagged = scratch.save(flagged.groupBy("text_key").agg(F.collect_set("term").alias("terms")), "flagged")  # at most the words of the text
@@ -252,7 +254,7 @@ def _passes(both: Column, holding: Column, least: Column) -> Column:
     """Whether p(e|t) is at least `least` with a confidence of 1 - exp(-EVIDENCE), by Chernoff's bound."""
     share = both / holding
     rest = F.when(both < holding, (holding - both) * F.log((1 - share) / (1 - least))).otherwise(0.0)
-    return (share > least) & (both * F.log(share / least) + rest >= EVIDENCE)
+    return (share > least) & (both * F.log(share / least) + rest >= EVIDENCE)  # never without a text that holds both
 
 
 def all_spans(text: str, terms: list[str] | None) -> list[tuple[str, int, int]]:

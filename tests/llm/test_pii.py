@@ -172,14 +172,16 @@ def test_terms_against_brute_force(spark):
     def entities(t):
         return {t[a:b] for _, a, b in pii.base_spans(t)}
 
-    holding = Counter(w for t in counted for w in words(t))
+    holding = Counter(w for t in keys for w in words(t))
     both, n_entity = Counter(), Counter(e for t in counted for e in entities(t))
     for t in counted:
         both.update((e, w) for e in entities(t) for w in words(t))
+    others = Counter((e, w) for t in set(keys) - set(counted) for e in entities(t) for w in words(t))
     strong = set()
     for (e, w), n in both.items():
-        floor, share = (n_entity[e] / len(counted)) ** (1 - pii.DISCLOSURE), n / holding[w]
-        gain = n * math.log(share / floor) + ((holding[w] - n) * math.log((1 - share) / (1 - floor)) if share < 1 else 0)
+        rest = holding[w] - others[e, w] - n
+        floor, share = (n_entity[e] / len(counted)) ** (1 - pii.DISCLOSURE), n / (n + rest)
+        gain = n * math.log(share / floor) + (rest * math.log((1 - share) / (1 - floor)) if share < 1 else 0)
         if share > floor and gain >= pii.EVIDENCE:
             strong.add((e, w))
     assert strong

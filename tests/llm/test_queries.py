@@ -87,16 +87,19 @@ def test_repeated_ids_lose_no_document(spark, tmp_path):
 
 
 def test_toxic_by_score_alone(spark, tmp_path):
-    """A document that scores as toxic goes also without a significant passage, but not without any toxic term."""
-    texts = [(k, " ".join(prose(k, 20)) + (" vile scum" if k % 2 else "")) for k in range(400)]
-    spark.createDataFrame([(k, k % 2) for k in range(400)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
-    long = " ".join(prose(7, 30_000))
-    docs = documents(spark, [*texts, (900, long + " vile scum"), (901, long)])
+    """A document goes by its score alone, significant passage or not; but never without any toxic term."""
+    bad = ["vile", "scum", "filth", "trash", "idiot", "moron", "loser", "creep"]
+    letters = str.maketrans("0123456789", "abcdefghij")
+    plain = {k: " ".join(prose(k, 25)).translate(letters) for k in range(900)}
+    texts = [(k, plain[k] + (f" {bad[k % 8]} {bad[k // 8 % 8]} {bad[k // 64 % 8]}" if k % 5 == 1 else "")) for k in range(900)]
+    spark.createDataFrame([(k, int(k % 5 == 1)) for k in range(900)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    long = " ".join(prose(7, 30_000)).translate(letters)
+    docs = documents(spark, [*texts, *((1000 + n, " ".join(prose(n, n)).translate(letters) + " vile scum") for n in (10, 100, 1000, 10_000)), (2000, long)])
     model = corpus_pipeline.toxicity.fit(docs, spark.read.parquet(f"{tmp_path}/labels.parquet"))
     scores = {r["kept"]["doc_id"]: r for r in corpus_pipeline.toxicity.toxic_scores(docs, model).collect()}
     left = {r["doc_id"] for r in corpus_pipeline.drop_toxic(spark, docs, str(tmp_path)).collect()}
     assert left == {i for i, r in scores.items() if r["score"] < 0.5 or not r["n_segments"]}
-    assert 901 in left and 1 not in left
+    assert 2000 in left and not left & set(range(1, 900, 5)) and left >= {k for k in range(900) if k % 5 != 1}
 
 
 def test_stored_tables_can_be_removed(tmp_path, spark, monkeypatch):
