@@ -35,6 +35,8 @@ KINDS = ("email", "ip", "card", "phone")
 #: Places in the table of candidate words for the map side; it is 4 MB whatever their number.
 PLACES = 1 << 25
 
+#: Words counted in a task before they are handed on.
+HELD = 1 << 20
 #: Bands that tell near copies, and minima in each.
 BANDS, ROWS = 20, 3
 
@@ -189,6 +191,16 @@ def _holder(table: bytes, copies: bytes):
     def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Hashes of the candidate words that each text holds, once per text: counted, or with the key of texts that may have copies."""
         places, repeated = np.frombuffer(table, np.uint8), np.frombuffer(copies, np.uint8)
+        pending: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def rows(hashes: np.ndarray, keys: np.ndarray | None, n: np.ndarray) -> pa.RecordBatch:
+            named = pa.nulls(len(hashes), pa.int64()) if keys is None else pa.array(keys)
+            return pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), named, pa.array(n.astype(np.int64))], ["hash", "text_key", "n"])
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            found, at = np.unique(np.concatenate([h for h, _ in pending]), return_inverse=True)
+            return found, np.bincount(at, np.concatenate([n for _, n in pending]), len(found)).astype(np.int64)
+
         for batch in batches:
             keys = batch.column("text_key").to_numpy().astype(np.int64)
             for first, last, data, offsets in byte_chunks(batch.column("text")):
@@ -198,13 +210,17 @@ def _holder(table: bytes, copies: bytes):
                 pairs = np.unique(np.stack([owner[hit].astype(np.uint64), hashes[hit]]), axis=1) if hit.any() else np.zeros((2, 0), np.uint64)
                 key = keys[first:last][pairs[0].astype(np.int64)]
                 again = _marked(repeated, key.view(np.uint64))
-                found, n = np.unique(pairs[1][~again], return_counts=True)
-                columns = [
-                    pa.array(np.concatenate([found, pairs[1][again]]).view(np.int64)),
-                    pa.array([*[None] * len(found), *key[again].tolist()], pa.int64()),
-                    pa.array(np.concatenate([n, np.ones(int(again.sum()), np.int64)]).astype(np.int64)),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, ["hash", "text_key", "n"])
+                if again.any():
+                    yield rows(pairs[1][again], key[again], np.ones(int(again.sum())))
+                pending.append(np.unique(pairs[1][~again], return_counts=True))
+                if sum(len(h) for h, _ in pending) > HELD:
+                    pending = [merged()]
+                    if len(pending[0][0]) > HELD // 2:
+                        yield rows(pending[0][0], None, pending[0][1])
+                        pending = []
+        if pending:
+            found, n = merged()
+            yield rows(found, None, n)
 
     return hold
 
@@ -230,19 +246,18 @@ def disclosing_terms(docs: DataFrame) -> DataFrame | None:
     texts = live.select("text_key").distinct()
     words = keyed.mapInArrow(_beside(_places(texts.select(F.col("text_key").alias("hash")))), "text_key long, term string")
     words = scratch.save(words.distinct().join(texts, "text_key", "left_semi"), "words")
-    terms = scratch.save(words.select("term").distinct().mapInArrow(_hashed, "term string, hash long"), "terms")
+    # Only words with enough texts beside an entity to be evidence, were they nowhere else, are counted in the whole corpus.
+    pairs = live.join(words, "text_key").groupBy("entity", "term").agg(
+        F.count_if("counts").alias("both"), F.count("*").alias("all"), F.first("least").alias("least"))
+    pairs = scratch.save(pairs.where(-F.col("both") * F.log("least") >= EVIDENCE), "pairs")
+    terms = scratch.save(pairs.select("term").distinct().mapInArrow(_hashed, "term string, hash long"), "terms")
     keys = keyed.groupBy("text_key").agg(F.count("*").alias("n"))
     copies = _places(keys.where("n > 1").select(F.col("text_key").alias("hash")))
     held = keyed.mapInArrow(_holder(_places(terms), copies), "hash long, text_key long, n long")
     once = held.groupBy("hash", "text_key").agg(F.sum("n").alias("n")).select("hash", F.when(F.col("text_key").isNull(), F.col("n")).otherwise(1).alias("n"))
     held = once.groupBy("hash").agg(F.sum("n").alias("holding"))
     held = scratch.save(terms.join(held, "hash").select("term", "holding"), "held")
-    # A word in more texts than n_entity / least, but for near copies with the entity, can't pass, so it isn't paired.
-    few = (F.col("holding") - (F.col("n_all") - F.col("n_entity"))) * F.col("least") <= F.col("n_entity")
-    pairs = live.join(words.join(held, "term"), "text_key").where(few)
-    pairs = pairs.groupBy("entity", "term").agg(
-        F.count_if("counts").alias("both"), F.count("*").alias("all"), F.first("least").alias("least"), F.first("holding").alias("holding"))
-    pairs = pairs.withColumn("holding", F.col("holding") - (F.col("all") - F.col("both")))
+    pairs = pairs.join(held, "term").withColumn("holding", F.col("holding") - (F.col("all") - F.col("both")))
     strong = scratch.save(pairs.where(_passes(F.col("both"), F.greatest("holding", "both", F.lit(1)), F.col("least"))).select("entity", "term"), "strong")
     some = words.join(strong.select("term").distinct(), "term", "left_semi")
     flagged = some.join(live.select("text_key", "entity"), "text_key").join(strong, ["entity", "term"], "left_semi")
