@@ -37,6 +37,8 @@ PLACES = 1 << 25
 
 #: Words counted in a task before they are handed on.
 HELD = 1 << 20
+#: Up to this number of texts with copies (16 MB) tasks know how many each has; of more, words are handed on text by text.
+COPIES = 1_000_000
 #: Bands that tell near copies, and minima in each.
 BANDS, ROWS = 20, 3
 
@@ -187,19 +189,21 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("term"), pa.array([_term_hash(t) for t in batch.column("term").to_pylist()], pa.int64())], ["term", "hash"])
 
 
-def _holder(table: bytes, copies: bytes):
+def _holder(table: bytes, copies: bytes, known: tuple[np.ndarray, np.ndarray]):
     def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Hashes of the candidate words that each text holds, once per text: counted, or with the key of texts that may have copies."""
+        """Hashes of the candidate words that each text holds, once per text: counted, or with the key of texts that may have copies.
+
+        A text that is known (key, number) to stand there n times counts 1 / n each time."""
         places, repeated = np.frombuffer(table, np.uint8), np.frombuffer(copies, np.uint8)
         pending: list[tuple[np.ndarray, np.ndarray]] = []
 
         def rows(hashes: np.ndarray, keys: np.ndarray | None, n: np.ndarray) -> pa.RecordBatch:
             named = pa.nulls(len(hashes), pa.int64()) if keys is None else pa.array(keys)
-            return pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), named, pa.array(n.astype(np.int64))], ["hash", "text_key", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), named, pa.array(n.astype(float))], ["hash", "text_key", "n"])
 
         def merged() -> tuple[np.ndarray, np.ndarray]:
             found, at = np.unique(np.concatenate([h for h, _ in pending]), return_inverse=True)
-            return found, np.bincount(at, np.concatenate([n for _, n in pending]), len(found)).astype(np.int64)
+            return found, np.bincount(at, np.concatenate([n for _, n in pending]), len(found))
 
         for batch in batches:
             keys = batch.column("text_key").to_numpy().astype(np.int64)
@@ -212,7 +216,12 @@ def _holder(table: bytes, copies: bytes):
                 again = _marked(repeated, key.view(np.uint64))
                 if again.any():
                     yield rows(pairs[1][again], key[again], np.ones(int(again.sum())))
-                pending.append(np.unique(pairs[1][~again], return_counts=True))
+                weight = np.ones(len(key))
+                if len(known[0]):
+                    place = np.minimum(np.searchsorted(known[0], key), len(known[0]) - 1)
+                    weight = np.where(known[0][place] == key, 1 / known[1][place], 1.0)
+                found, at = np.unique(pairs[1][~again], return_inverse=True)
+                pending.append((found, np.bincount(at, weight[~again], len(found))))
                 if sum(len(h) for h, _ in pending) > HELD:
                     pending = [merged()]
                     if len(pending[0][0]) > HELD // 2:
@@ -251,11 +260,16 @@ def disclosing_terms(docs: DataFrame) -> DataFrame | None:
         F.count_if("counts").alias("both"), F.count("*").alias("all"), F.first("least").alias("least"))
     pairs = scratch.save(pairs.where(-F.col("both") * F.log("least") >= EVIDENCE), "pairs")
     terms = scratch.save(pairs.select("term").distinct().mapInArrow(_hashed, "term string, hash long"), "terms")
-    keys = keyed.groupBy("text_key").agg(F.count("*").alias("n"))
-    copies = _places(keys.where("n > 1").select(F.col("text_key").alias("hash")))
-    held = keyed.mapInArrow(_holder(_places(terms), copies), "hash long, text_key long, n long")
-    once = held.groupBy("hash", "text_key").agg(F.sum("n").alias("n")).select("hash", F.when(F.col("text_key").isNull(), F.col("n")).otherwise(1).alias("n"))
-    held = once.groupBy("hash").agg(F.sum("n").alias("holding"))
+    copies = scratch.save(keyed.groupBy("text_key").agg(F.count("*").alias("n")).where("n > 1"), "copies")
+    known = np.zeros(0, np.int64), np.zeros(0)
+    if copies.count() <= COPIES:
+        got = copies.orderBy("text_key").toPandas()
+        known = got["text_key"].to_numpy(np.int64), got["n"].to_numpy(float)
+        copies = copies.limit(0)
+    marked = _places(copies.select(F.col("text_key").alias("hash")))
+    held = keyed.mapInArrow(_holder(_places(terms), marked, known), "hash long, text_key long, n double")
+    once = held.groupBy("hash", "text_key").agg(F.sum("n").alias("n")).select("hash", F.when(F.col("text_key").isNull(), F.col("n")).otherwise(1.0).alias("n"))
+    held = once.groupBy("hash").agg(F.round(F.sum("n")).cast("long").alias("holding"))  # whole but for rounding
     held = scratch.save(terms.join(held, "hash").select("term", "holding"), "held")
     pairs = pairs.join(held, "term").withColumn("holding", F.col("holding") - (F.col("all") - F.col("both")))
     strong = scratch.save(pairs.where(_passes(F.col("both"), F.greatest("holding", "both", F.lit(1)), F.col("least"))).select("entity", "term"), "strong")

@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import pyarrow as pa
+import pytest
 import xxhash
 
 from pulltally.llm import pii
@@ -140,7 +141,9 @@ def test_near_copies_are_one_text(spark):
     assert not any(found.values())
 
 
-def test_terms_against_brute_force(spark):
+@pytest.mark.parametrize("copies", [0, pii.COPIES])
+def test_terms_against_brute_force(spark, monkeypatch, copies):
+    monkeypatch.setattr(pii, "COPIES", copies)
     rng = random.Random(11)
     texts = []
     for person in range(12):
