@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulltally import schema
-from pulltally.functions.strict_json import strict_object
+from pulltally.functions.strict_json import with_object
 from pulltally.functions.text import strip_fences
 from pulltally.operators.activity import AUTHOR
 
@@ -20,7 +20,7 @@ def parse_responses(responses: DataFrame) -> DataFrame:
     An answer is one JSON object, perhaps in a fence, and nothing else. Null items of its lists are left out.
     """
     answer = F.col("_answer")
-    parsed = responses.withColumn("_answer", strict_object(strip_fences(F.col("content")), schema.RESPONSE))
+    parsed = with_object(responses, "_answer", strip_fences(F.col("content")), schema.RESPONSE)
     problem = (
         F.when(F.col("content").isNull(), F.lit("no response"))
         .when(answer.isNull(), F.lit("not JSON"))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pulltally.functions.strict_json import strict_object, struct_fields
+from pulltally.functions.strict_json import struct_fields, with_object
 from pulltally.sources.records import NOT_JSON, Read, parse_records, split
 
 
@@ -80,12 +80,13 @@ def _elements(texts: DataFrame, fields: str, items: str) -> DataFrame:
     bare = F.regexp_replace("text", r"\s*,\s*$", "")
     cut = texts.withColumns({"comma": F.col("text").rlike(r",\s*$"), "text": bare})
     layout = struct_fields(fields)
-    parsed = cut.withColumn("_parsed", strict_object(F.col("text"), layout))
+    parsed = with_object(cut, "_parsed", F.col("text"), layout)
     known = [f for f in parsed.schema["_parsed"].dataType.names if not f.startswith("_end")]
     record = F.when(F.col("_parsed").isNotNull(), F.struct(*[F.col("_parsed")[f].alias(f) for f in known]))
     # A null is rejected alone; a list with other JSON that is no object is none that can be read.
-    value = strict_object(F.concat(F.lit('{"value": '), F.col("text"), F.lit("}")), "value: STRING").isNotNull()
-    other = F.when(value & ~F.ltrim("text").startswith("{"), F.lit(f"no {items}")).otherwise(F.lit(NOT_JSON))
+    value = F.when(F.col("_parsed").isNull(), F.concat(F.lit('{"value": '), F.col("text"), F.lit("}")))
+    parsed = with_object(parsed, "_value", value, "value: STRING")
+    other = F.when(F.col("_value").isNotNull() & ~F.ltrim("text").startswith("{"), F.lit(f"no {items}")).otherwise(F.lit(NOT_JSON))
     none = F.trim("text") == "null"
     bad = F.when(F.col("_parsed").isNull(), F.when(none, F.lit(f"no object among {items}")).otherwise(other))
     return parsed.select(

@@ -8,7 +8,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulltally.functions.strict_json import strict_object, struct_fields
+from pulltally.functions.strict_json import struct_fields, with_object
 from pulltally.session import materialize
 
 NOT_JSON = "not JSON"
@@ -51,10 +51,10 @@ def parse_records(texts: DataFrame, fields: str, items: str | None = None) -> Da
     kept = [name for name in texts.columns if name not in ("file", "text")]
     layout = struct_fields(fields)
     if items is None:
-        parsed = texts.withColumn("record", strict_object(F.col("text"), layout))
+        parsed = with_object(texts, "record", F.col("text"), layout)
         parsed = parsed.withColumn("_bad", F.when(F.col("record").isNull(), F.lit(NOT_JSON)))
     else:
-        stored = texts.withColumn("_page", strict_object(F.col("text"), f"{items}: ARRAY<STRUCT<{layout}>>"))
+        stored = with_object(texts, "_page", F.col("text"), f"{items}: ARRAY<STRUCT<{layout}>>")
         listed = F.col("_page")[items]
         parsed = stored.select(
             "file", *kept, F.explode_outer(listed).alias("record"),

@@ -9,7 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import pulltally
+from pulltally.functions.strict_json import with_object
 from pulltally.operators.activity import activity_report, first_parts
+from pulltally.operators.insights import parse_responses
 from pulltally.operators.languages import extensions_of, language_filter
 from pulltally.operators.metrics import diff_line_counts, diff_line_counts_by_chunk, diff_line_counts_by_line, pr_metrics, with_details
 from pulltally.plans.assessment import AssessmentConfig, assess, finish, save
@@ -17,7 +19,7 @@ from pulltally.session import discard, materialize, run_folder, shared_folder
 from pulltally.sinks import writers
 from pulltally.sources import exports
 from pulltally.sources.records import stored_texts
-from pulltally.sources.reports import read_activity_reports
+from pulltally.sources.reports import activity_reports, read_activity_reports
 from pulltally.sources.stored import add_to_stored, store_by_key, stored_by_key
 from tests.data import DIFF, DIFF_COUNTS, at, pull_requests
 
@@ -174,6 +176,25 @@ def test_parsed_once(spark, tmp_path):
     assert found.rows.count() == 2 and [r.reason for r in found.rejected.collect()] == ["no repository"]
 
 
+def test_filters_do_not_repeat_the_parser(spark):
+    texts = spark.range(4).select(F.lit("f").alias("file"), F.concat(F.lit('{"repo": "r/r", "diff": "+a", "number": '), "id", F.lit("}")).alias("text"))
+    answers = spark.range(4).select(F.col("id").cast("string").alias("author"), F.concat(F.lit('{"insights": ["'), "id", F.lit('"]}')).alias("content"))
+    results = [*exports.diff_records(texts), *exports.api_search(texts), *activity_reports(texts)]
+    results += [parse_responses(answers).filter("problem is null"), parse_responses(answers).filter("problem is not null")]
+    for result in results:
+        plan = result._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("from_json") == 1, plan
+    assert [r.number for r in exports.diff_records(texts).rows.orderBy("number").collect()] == [0, 1, 2, 3]
+
+
+@pytest.mark.parametrize("text, kept", [
+    (' \t\n\r{"a": 1}', True), ('{"a": 1} \n', True), ("{}", True), ('\u00a0{"a": 1}', False), ('{"a": 1}, {"a": 2}', False),
+    ('{"a": 1} x', False), ("[]", False), ("", False), (None, False)])
+def test_only_one_object_is_an_object(spark, text, kept):
+    found = with_object(spark.createDataFrame([(text,)], "text STRING"), "object", F.col("text"), "a: INT").collect()
+    assert [r.text for r in found] == [text] and (found[0].object is not None) == kept
+
+
 def test_indented_report(spark, tmp_path):
     report = activity_report(pull_requests(spark, [(1, "MERGED", "2025-01-10T00:00:00", 1, 1, "a b", "o/x")]), "2025-01-15")
     document = writers.report_document(report).select(F.to_json(F.struct("*")).alias("j")).first().j
