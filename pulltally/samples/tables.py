@@ -59,19 +59,20 @@ def pr_diffs(spark: SparkSession, folder: str) -> DataFrame:
     """
     documents = table(spark, folder, "documents").select("doc_id", "text")
     held = documents.select(F.count(F.lit(1))).scalar()
-    # Where both tables are large the join spreads documents like this anyway;
-    # a small documents file is one row group and would be one task's work.
-    documents = documents.repartition("doc_id")
+    body = F.transform(
+        F.split("text", "\n", -1),
+        lambda line, i: F.concat(F.when(i % 3 == 2, F.lit("-")).otherwise(F.lit("+")), line))
+    # Lines are marked before the join, once a document. Behind it there is far more text than is shuffled,
+    # by whose size Spark would merge partitions to one for each core; with a number given it keeps them.
+    spread = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    documents = documents.repartition(spread, "doc_id").select("doc_id", F.array_join(body, "\n").alias("body"))
     key = F.col("o_orderkey")
     orders = table(spark, folder, "orders").select(
         key.alias("number"), (key % (held + F.floor(held / 16))).alias("doc_id"))
     path = F.element_at(
         F.array(*[F.lit(p) for p in ("src/app.py", "tests/app.test.ts", "README.md", "src/auth.ts", "src/core.go")]),
         (F.col("number") % 5 + 1).cast("int"))
-    body = F.transform(
-        F.split("text", "\n", -1),
-        lambda line, i: F.concat(F.when(i % 3 == 2, F.lit("-")).otherwise(F.lit("+")), line))
-    diff = F.concat(F.lit("+++ b/"), path, F.lit("\n"), F.array_join(body, "\n"))
+    diff = F.concat(F.lit("+++ b/"), path, F.lit("\n"), F.col("body"))
     empty = F.col("number") % 29 == 0
     return orders.join(documents, "doc_id").select(
         "number", F.when(empty, F.lit("")).otherwise(F.coalesce(diff, F.lit(""))).alias("diff"))
