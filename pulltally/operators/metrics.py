@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulltally import schema
@@ -51,30 +51,38 @@ def diff_line_counts_by_chunk(chunks: DataFrame, on: Sequence[str] = schema.PR_K
     """
     data = F.coalesce("data", F.lit(b""))
     rows = chunks.select(*on, "chunk", data.alias("data"))
-    # Each byte as one character, so that places are bytes.
-    plain = rows.withColumn("_plain", F.decode("data", "ISO-8859-1"))
-    sizes = plain.withColumns({
-        "_head": F.length(F.substring_index("_plain", "\n", 1)), "_tail": F.length(F.substring_index("_plain", "\n", -1)),
-        "_ends": F.instr("_plain", "\n") > 0}).drop("_plain")
+    # A line end is one byte, which no other character holds; so it is found in any bytes.
+    plain = F.col("data").cast("string")
+    sizes = rows.withColumns({
+        "_head": F.octet_length(F.substring_index(plain, "\n", 1)), "_tail": F.octet_length(F.substring_index(plain, "\n", -1)),
+        "_ends": plain.contains("\n")})
     middle = F.expr("substring(data, _head + 2, length(data) - _head - _tail - 2)")
     whole = F.when(F.col("_ends") & (F.length("data") > F.col("_head") + F.col("_tail") + 1), middle.cast("string"))
-    counted = sizes.select(*on, added_lines(whole).alias("added"))
-    inner = counted.select(*on, *[F.coalesce(F.size(F.filter("added", test)), F.lit(0)).cast("bigint").alias(name) for name, test in LINE_TESTS.items()])
-
-    # A line's number is that of the chunks with a line end before it; one with an end gives the rest of a line and the start of the next.
     tail = F.expr("substring(data, length(data) - _tail + 1, _tail)")
     head = F.when(F.col("_ends"), F.expr("substring(data, 1, _head)")).otherwise(F.col("data"))
+    cut = sizes.select(
+        *on, "chunk", "_ends", head.alias("_first"), F.when(F.col("_ends"), tail).alias("_last"), added_lines(whole).alias("added"))
+    inner = {name: F.coalesce(F.size(F.filter("added", test)), F.lit(0)).cast("bigint") for name, test in LINE_TESTS.items()}
+    # Counts of whole lines go on with the ends of their chunk, so that chunks are read once.
+    ends = cut.withColumns(inner).drop("added")
+
+    # A line's number is that of the chunks with a line end before it; one with an end gives the rest of a line and the start of the next.
     before = Window.partitionBy(*on).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    ends = sizes.select(*on, "chunk", "_ends", head.alias("_first"), F.when(F.col("_ends"), tail).alias("_last"))
     ends = ends.withColumn("_line", F.coalesce(F.sum(F.col("_ends").cast("bigint")).over(before), F.lit(0)))
-    parts = ends.select(*on, "_line", F.struct("chunk", F.lit(0).alias("part"), F.hex("_first").alias("hex")).alias("piece")).union(
-        ends.filter("_ends").select(*on, F.col("_line") + 1, F.struct("chunk", F.lit(1).alias("part"), F.hex("_last").alias("hex"))))
-    joined = parts.groupBy(*on, "_line").agg(F.array_join(F.sort_array(F.collect_list("piece"))["hex"], "").alias("hex"))
-    line = fold(F.unhex("hex").cast("string"))
-    outer = joined.select(*on, line.alias("line"))
-    line = F.col("line")
-    outer = outer.select(*on, *[(is_added(line) & test(line)).cast("bigint").alias(name) for name, test in LINE_TESTS.items()])
-    return inner.union(outer).groupBy(*on).agg(*[F.sum(name).alias(name) for name in LINE_TESTS])
+
+    def piece(part: int, data: str) -> Column:
+        counts = [(F.col(name) if part == 0 else F.lit(0).cast("bigint")).alias(name) for name in LINE_TESTS]
+        return F.struct(
+            (F.col("_line") + part).alias("_line"), F.struct("chunk", F.lit(part).alias("part"), F.hex(data).alias("hex")).alias("piece"), *counts)
+
+    pieces = F.when(F.col("_ends"), F.array(piece(0, "_first"), piece(1, "_last"))).otherwise(F.array(piece(0, "_first")))
+    joined = ends.select(*on, F.inline(pieces)).groupBy(*on, "_line").agg(
+        F.array_join(F.sort_array(F.collect_list("piece"))["hex"], "").alias("hex"), *[F.sum(name).alias(name) for name in LINE_TESTS])
+    # As many rows with a line as there are lines across chunks; all of a diff are in one task already.
+    lines = joined.select(*on, *LINE_TESTS, fold(F.unhex("hex").cast("string")).alias("_text"))
+    text = F.col("_text")
+    return lines.groupBy(*on).agg(
+        *[F.sum(F.col(name) + (is_added(text) & test(text)).cast("bigint")).alias(name) for name, test in LINE_TESTS.items()])
 
 
 def with_details(prs: DataFrame, details: DataFrame, on: Sequence[str] = schema.PR_KEY) -> DataFrame:

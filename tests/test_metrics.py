@@ -5,6 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from pulltally.operators import metrics
+from pulltally.samples.tables import pr_diffs
 from pulltally.sources.exports import diff_chunks
 from tests.data import DIFF, DIFF_COUNTS, at
 
@@ -114,6 +115,28 @@ def test_metrics_from_chunks(spark):
     assert [tuple(r) for r in metrics.pr_metrics(details, once).collect()] == [("r/r", 1, *DIFF_COUNTS, 10, 0, 4)]
 
 
+def test_chunks_are_read_and_shuffled_once(spark, tmp_path):
+    spark.createDataFrame([("r/r", 1, 0, b"+test\n+au"), ("r/r", 1, 1, b"th\n")], "repo STRING, number BIGINT, chunk BIGINT, data BINARY").write.parquet(f"{tmp_path}/chunks")
+    found = metrics.diff_line_counts_by_chunk(spark.read.parquet(f"{tmp_path}/chunks"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("Exchange hashpartitioning") == 1, plan
+    assert [tuple(r[c] for c in COUNTS) for r in found.collect()] == [(1, 0, 1)]
+
+
+def test_sample_diffs_keep_their_partitions(spark, tmp_path):
+    spark.createDataFrame([(i, "a\nb\nc\nd" if i else None) for i in range(3)], "doc_id BIGINT, text STRING").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.range(200).withColumnRenamed("id", "o_orderkey").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        diffs = pr_diffs(spark, str(tmp_path))
+        assert diffs.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+        found = {r.number: r.diff for r in diffs.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(found) == 200 and (found[0], found[3], found[29]) == ("", "", "")
+    assert found[1] == "+++ b/tests/app.test.ts\n+a\n+b\n-c\n+d"
+
+
 def test_a_line_over_many_chunks_and_uneven_cuts(spark):
     text = "+é test " + "x" * 5000 + "README\n-password\n" + "+tokén auth" * 300 + "\n+漢字 secret\n\n"
     data, cuts = text.encode(), [0, 1, 3, 4, 900, 901, 5018, 5019, 5031, 9000, 9001]
