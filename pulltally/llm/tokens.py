@@ -52,11 +52,38 @@ class Encoder:
         self._mark, self._lead = (" \x01 ", "") if split == "words" else ("\n", " ")
         ids = self._ids([self._mark])[0]
         self._mark_id = ids[0] if len(ids) == 1 else None
+        self._last = self._word_ends() if split == "words" else None
         self._line_end = array("I", self._ids(["\n"])[0]).tobytes()
 
+    def _word_ends(self) -> np.ndarray | None:
+        """Per id, whether it ends a word; None where the tokenizer doesn't mark ends, or not after every byte."""
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        suffix, vocabulary = getattr(self._tokenizer.model, "end_of_word_suffix", None), self._tokenizer.get_vocab()
+        if not suffix or any(x + suffix not in vocabulary for x in ByteLevel.alphabet()):
+            return None
+        last = np.zeros(max(vocabulary.values()) + 1, bool)
+        last[[x for token, x in vocabulary.items() if token.endswith(suffix)]] = True
+        return last
+
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _letters(self, pieces: list[str]) -> dict[str, bytes]:
+        """Ids of pieces of letters, where ids that end a word tell them apart without a mark.
+
+        A piece has at least one such id; where a group has as many as pieces, each piece has just one. Other groups are left out.
+        """
+        found: dict[str, bytes] = {}
+        groups = [pieces[i:i + JOINED] for i in range(0, len(pieces), JOINED)]
+        for group, ids in zip(groups, self._ids([" ".join(g) for g in groups]), strict=True):
+            numbers = np.array(ids, "<u4")
+            at = 4 * np.flatnonzero(self._last[numbers]) + 4
+            if len(at) == len(group):
+                raw, ends = numbers.tobytes(), at.tolist()
+                found.update(zip(group, [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)], strict=True))
+        return found
+
     def _joined(self, pieces: list[str], lead: str) -> list[bytes]:
         """Ids of pieces that hold neither white space nor the mark, each after `lead`."""
         out: list[bytes] = []
@@ -72,6 +99,9 @@ class Encoder:
 
     def _fill(self, missing: list[str]) -> dict[str, bytes]:
         """Ids of new pieces, each with what leads to it in a text: a space, or its own line end."""
+        found = self._letters([p for p in missing if p.isalpha()]) if self._last is not None else {}
+        if found:
+            missing = [p for p in missing if p not in found]
         lines = [p for p in missing if p[:1] == "\n"] if self._split == "spaces" else []
         plain = [p for p in missing if p[:1] != "\n"] if lines else missing
         alone: list[str] = []
@@ -89,7 +119,7 @@ class Encoder:
             alone += empty
             plain, lines = [p for p in plain if p], [p for p in lines if p != "\n"]
             alone = list(dict.fromkeys(alone))
-        found = dict(zip(plain, self._joined(plain, self._lead), strict=True))
+        found.update(zip(plain, self._joined(plain, self._lead), strict=True))
         found.update(zip(lines, (self._line_end + x for x in self._joined([p[1:] for p in lines], "")), strict=True))
         led = [p if self._split != "spaces" or p[:1] == "\n" else " " + p for p in alone]
         found.update(zip(alone, (array("I", x).tobytes() for x in self._ids(led)), strict=True))
@@ -126,7 +156,7 @@ class Encoder:
         if self._split == "spaces":  # nothing leads to a text's first piece
             first = pieces.dictionary.take(pieces.indices.take(pa.array(bounds[:-1]))).to_pylist()
             heads = [array("I", x).tobytes() for x in self._ids(first)]
-        values = self._known(pieces.dictionary.to_pylist())
+        values = self._known(pieces.dictionary.to_numpy(zero_copy_only=False).tolist())
         ids = np.frombuffer(b"".join(values), "<u4")
         number = np.int32 if sum(map(len, texts)) < 1 << 28 else np.int64  # a character gives few ids
         sizes = np.fromiter(map(len, values), number, len(values)) >> 2

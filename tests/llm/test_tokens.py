@@ -28,6 +28,25 @@ def test_pieces_change_nothing(name, split):
         assert encoder.encode(texts) == [array("I", e.ids).tobytes() for e in plain.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_new_words_need_no_marks(monkeypatch):
+    path, got = public_tokenizer("word_bpe_49k.json"), []
+    words = sorted({f"{a}{b}{c}"[k:] for a in ("in", "Über", "año", "漢") for b in ("tion", "Σ", "elle", "xq") for c in ("s", "ñ", "ing") for k in range(3)})
+    encoder, ids = Encoder(path, "words"), Encoder._ids
+    monkeypatch.setattr(Encoder, "_ids", lambda self, texts: [got.append(len(x)) or x for x in ids(self, texts)])
+    found = encoder.encode([" ".join(words * 2)])[0]
+    assert 4 * 2 * sum(got) == len(found)  # the library gives each word's ids once, and nothing else
+    assert found == array("I", Tokenizer.from_file(path).encode(" ".join(words * 2), add_special_tokens=False).ids).tobytes()
+
+
+# Letters of which the normal form holds a mark, so that they are several words, or one that its neighbours don't join.
+@pytest.mark.parametrize("odd", ["İ", "xİx", "\u0958", "a\u0958b", "ﬁn", "ẞ", "ǰ", "\u3164", "ªº", "Ⅷ", "x\u02b0", "\U0001e900", "\u1c89", "\ufb1d"])
+def test_words_of_several_tokens_of_the_library(odd):
+    path = public_tokenizer("word_bpe_49k.json")
+    text = " ".join([*prose(1, 300), *(f"{'abcdefghij'[k % 10] * (k // 10 + 1)}" for k in range(300)), odd, "end", odd + "s", "last"])
+    for order in (text, " ".join(reversed(text.split()))):
+        assert Encoder(path, "words").encode([order])[0] == array("I", Tokenizer.from_file(path).encode(order, add_special_tokens=False).ids).tobytes()
+
+
 @pytest.mark.parametrize("lengths", [[1], [5, 1, 1, 70_000, 3], [1] * 1000, list(range(1, 500)), [0, 0, 4]])
 def test_elias_fano(lengths):
     ends = np.cumsum(lengths).astype(np.int64)
